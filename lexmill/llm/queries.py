@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.llm import common, near_dedup
+from lexmill.llm import common, near_dedup, quality
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -30,3 +30,29 @@ r(doc_id, reached) as (select doc_id, doc_id from n union select r.doc_id, g.b f
 c as (select doc_id, min(reached) as component_id from r group by 1)
 select n.doc_id, n.n as n_shingles, component_id, n.doc_id = component_id as kept from n join c using (doc_id)
 """
+
+
+def op9_quality_rules(spark, sf_dir):
+    return quality.quality(common.documents(spark, sf_dir))
+
+
+QUERIES["op9_quality_rules"] = op9_quality_rules
+
+ORACLES["op9_quality_rules"] = rf"""
+with d as (select doc_id, coalesce(source, chr(0)) as host, coalesce(text, '') as t, {_WORDS} as ws from documents),
+g as (select doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as g from d, unnest(range(1, len(ws) - 1)) u(i)),
+again as (select doc_id, i from g qualify count(*) over (partition by doc_id, g) > 1),
+rep as (select doc_id, count(distinct i + k) as n from again, range(3) r(k) group by 1),
+l as (select doc_id, host, md5(t) as page, i, string_split(t, chr(10))[i] as line from d, unnest(range(1, len(string_split(t, chr(10))) + 1)) u(i)),
+lw as (select *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as own from l where regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup as (select doc_id, count(*) - count(distinct line) as n from lw group by 1),
+ln as (select doc_id, host, page, translate(array_to_string(own, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as h, sum(len(own)) as w from lw group by 1, 2, 3, 4),
+pages as (select host, count(distinct md5(t)) as pages from d group by 1),
+f as (select host, h from (select host, h, count(distinct page) as n from ln group by 1, 2) join pages using (host) where n > 10 and n > pages * 0.01),
+lost as (select doc_id, sum(w) as lost from ln join f using (host, h) group by 1),
+b as (select doc_id, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
+    coalesce(dup.n, 0) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words, coalesce(lost, 0)::bigint as n_frequent_words
+    from d left join dup using (doc_id) left join rep using (doc_id) left join lost using (doc_id)),
+v as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from b)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and n_words - n_frequent_words >= n_words * 0.5 as kept, n_frequent_words from v
+"""
