@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lexmill.llm import common, near_dedup, quality
+from pyspark.sql import functions as F
+
+from lexmill.llm import common, near_dedup, quality, secrets
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -56,3 +58,12 @@ b as (select doc_id, len(ws) as n_words, length(array_to_string(ws, '')) as word
 v as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from b)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and n_words - n_frequent_words >= n_words * 0.5 as kept, n_frequent_words from v
 """
+
+
+def op3_secret_scans(spark, sf_dir):
+    # the table names no repository beside its source: the language branch of a source is one
+    docs = common.documents(spark, sf_dir)
+    return secrets.secrets(docs.withColumn("branch", F.concat_ws("/", "source", "lang")), repo="branch", owner="source")
+
+
+QUERIES["op3_secret_scans"] = op3_secret_scans
