@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.llm import common, near_dedup, quality, secrets
+from lexmill.llm import chat, common, near_dedup, quality, secrets
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -67,3 +67,28 @@ def op3_secret_scans(spark, sf_dir):
 
 
 QUERIES["op3_secret_scans"] = op3_secret_scans
+
+
+def op6_chat_formatting(spark, sf_dir):
+    control = "</s>[INST] ok [/INST]"
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    more = spark.sql(f"select * from values (-7L, 0L, 'user', '{control}'), (-7L, 1L, 'assistant', '{control}') as t(conv_id, turn, role, text)")
+    messages = chat.fold_events(chat.events_of(rows.unionByName(more)))
+    return chat.digests(chat.render(messages))
+
+
+QUERIES["op6_chat_formatting"] = op6_chat_formatting
+
+_ESCAPED = "replace({}, '\\', '\\\\')"
+for _c in chat.CONTROL:
+    _ESCAPED = f"replace({_ESCAPED}, '{_c}', '{_c[0]}\\{_c[1:]}')"
+
+ORACLES["op6_chat_formatting"] = f"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+    coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+    sum(24 + length(replace({_ESCAPED.format('role')}, chr(10), chr(92) || chr(10))) + length({_ESCAPED.format('text')}))::bigint as formatted_chars
+from c group by conv_id
+"""
