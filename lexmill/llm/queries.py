@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat, common, near_dedup, quality, secrets
+from lexmill.llm import chat, common, near_dedup, quality, secrets, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -92,3 +92,38 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
     sum(24 + length(replace({_ESCAPED.format('role')}, chr(10), chr(92) || chr(10))) + length({_ESCAPED.format('text')}))::bigint as formatted_chars
 from c group by conv_id
 """
+
+
+#: The tables hold neither fetch times nor lists. A page is fetched (page_id * 7919) mod 730 days after the
+#: start of 2023; every host gets entries by the length of its name and its first letters.
+_FETCHED = "timestamp '2023-01-01 00:00:00' + make_interval(0, 0, 0, cast(page_id * 7919 % 730 as int), 0, 0, 0)"
+
+
+def op10_url_filters(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("id"), "url")
+    captures = pages.withColumn("fetched", F.expr(_FETCHED.replace("page_id", "id")))
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("key")).where("key <> ''").distinct()
+    day = lambda n: F.expr(f"timestamp '2023-01-01 00:00:00' + make_interval(0, 0, 0, cast({n} as int), 0, 0, 0)")
+    entry = lambda kind, key, action, n: F.struct(F.lit(kind).alias("kind"), key.alias("key"), F.lit(action).alias("action"), day(n).alias("at"))
+    base = "(ascii(key) * 31 + length(key) * 17) % 200"
+    entries = hosts.where("length(key) % 3 <> 0").select(F.inline(F.array(
+        entry("domain", F.col("key"), "add", base), entry("domain", F.col("key"), "remove", f"{base} + 150"), entry("domain", F.col("key"), "add", f"{base} + 400"),
+        entry("url", F.concat("key", F.lit("/de")), "add", f"{base} + 60"))))
+    found = url_filter.as_of_filter(captures, entries)
+    return found.select(F.col("id").alias("page_id"), "blocked", "n_active", F.date_format("since", "yyyy-MM-dd").alias("since"))
+
+
+QUERIES["op10_url_filters"] = op10_url_filters
+
+ORACLES["op10_url_filters"] = r"""
+with p as (select page_id, url, timestamp '2023-01-01' + to_days((page_id * 7919 % 730)::int) as fetched,
+    regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\.', '') as host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) as path from pages),
+h as (select distinct host as key, (ascii(host) * 31 + length(host) * 17) % 200 as n from p where host <> '' and length(host) % 3 <> 0),
+i as (select 'domain' as kind, key, n as since, n + 150 as until from h union all select 'domain', key, n + 400, null from h union all select 'url', key || '/de', n + 60, null from h),
+t as (select kind, key, timestamp '2023-01-01' + to_days(since::int) as since, timestamp '2023-01-01' + to_days(until::int) as until from i),
+m as (select page_id, t.since from p join t on t.since <= fetched and (until is null or fetched < until) and
+    (kind = 'domain' and (host = key or ends_with(host, '.' || key)) or kind = 'url' and (host || path = key or starts_with(host || path, key || '/')))),
+g as (select page_id, count(*) as n, max(since) as since from m group by 1)
+select page_id, n is not null as blocked, coalesce(n, 0) as n_active, strftime(g.since, '%Y-%m-%d') as since from p left join g using (page_id)
+"""
