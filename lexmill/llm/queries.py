@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat, common, near_dedup, quality, secrets, url_filter
+from lexmill.llm import chat, common, near_dedup, quality, secrets, substring_dedup, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -127,3 +127,20 @@ m as (select page_id, t.since from p join t on t.since <= fetched and (until is
 g as (select page_id, count(*) as n, max(since) as since from m group by 1)
 select page_id, n is not null as blocked, coalesce(n, 0) as n_active, strftime(g.since, '%Y-%m-%d') as since from p left join g using (page_id)
 """
+
+
+def op4_substring_dedup(spark, sf_dir):
+    return substring_dedup.substring_dedup(common.documents(spark, sf_dir))
+
+
+QUERIES["op4_substring_dedup"] = op4_substring_dedup
+
+ORACLES["op4_substring_dedup"] = rf"""
+with d as (select doc_id, {_WORDS} as ws from documents),
+s as (select doc_id, i, array_to_string(ws[i:i + 19], ' ') as g from d, unnest(range(1, len(ws) - 18)) u(i)),
+c as (select doc_id, i from s qualify row_number() over (partition by g order by doc_id, i) > 1),
+gone as (select distinct doc_id, i + k as i from c, range(20) r(k)),
+w as (select doc_id, i, ws[i] as word from d, unnest(range(1, len(ws) + 1)) u(i)),
+k as (select w.doc_id, count(*) as n, string_agg(word, ' ' order by w.i) as kept from w anti join gone on w.doc_id = gone.doc_id and w.i = gone.i group by 1)
+select d.doc_id, len(ws) as n_words, len(ws) - coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (doc_id)
+"""
