@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat, common, near_dedup, quality, secrets, substring_dedup, url_filter
+from lexmill.llm import chat, common, decontaminate, near_dedup, quality, secrets, substring_dedup, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -144,3 +144,10 @@ w as (select doc_id, i, ws[i] as word from d, unnest(range(1, len(ws) + 1)) u(i)
 k as (select w.doc_id, count(*) as n, string_agg(word, ' ' order by w.i) as kept from w anti join gone on w.doc_id = gone.doc_id and w.i = gone.i group by 1)
 select d.doc_id, len(ws) as n_words, len(ws) - coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (doc_id)
 """
+
+
+def op7_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.matches(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("th")
+
+
+QUERIES["op7_benchmark_decontamination"] = op7_benchmark_decontamination
