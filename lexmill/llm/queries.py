@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat, common, decontaminate, line_dedup, near_dedup, quality, secrets, substring_dedup, url_filter
+from lexmill.llm import chat, common, decontaminate, line_dedup, near_dedup, pieces, quality, secrets, substring_dedup, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -160,3 +160,11 @@ def op8_line_dedup(spark, sf_dir):
 
 
 QUERIES["op8_line_dedup"] = op8_line_dedup
+
+
+def op5_sentencepiece(spark, sf_dir):
+    tokens = pieces.decoded(pieces.encoded(common.documents(spark, sf_dir)))
+    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+QUERIES["op5_sentencepiece"] = op5_sentencepiece
