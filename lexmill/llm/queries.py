@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat, common, decontaminate, line_dedup, near_dedup, pieces, quality, secrets, substring_dedup, url_filter
+from lexmill.llm import chat, common, decontaminate, line_dedup, near_dedup, pieces, quality, secrets, substring_dedup, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -168,3 +168,13 @@ def op5_sentencepiece(spark, sf_dir):
 
 
 QUERIES["op5_sentencepiece"] = op5_sentencepiece
+
+
+def op1_toxicity(spark, sf_dir):
+    docs = common.documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    net = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    score = F.col("_score").alias("score")
+    return toxicity.scored(docs, net).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), score, (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES["op1_toxicity"] = op1_toxicity
