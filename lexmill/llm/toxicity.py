@@ -32,7 +32,8 @@ WINDOW, STRIDE = 48, 32
 HIDDEN, WIDTH = 8, 12
 WORD_ROWS, GRAM_ROWS = 1 << 13, 1 << 15
 MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 1500, 2500, 8000
-EPOCHS, BATCH = 6, 64
+#: Passes over the windows; more of them if the sample is so small that they hold fewer than LEAST_STEPS batches.
+EPOCHS, LEAST_STEPS, BATCH = 4, 200, 64
 EDGE = b".,;:!?\"'()[]{}<>*#%&$|-_"
 #: Words whose inputs a worker keeps.
 KEEP = 200_000
@@ -58,6 +59,13 @@ def _grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.stack(out), starts, np.maximum(sizes - 2, 0) + np.maximum(sizes - 3, 0) + np.maximum(sizes - 4, 0)
 
 
+def _summed(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids and, for each, the sum of its rows of values (..., rows, columns)."""
+    order = np.argsort(ids, kind="stable")
+    found, starts = np.unique(ids[order], return_index=True)
+    return found, np.add.reduceat(values[..., order, :], starts, axis=-2)
+
+
 def _buckets(words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) % WORD_ROWS for w in words), dtype=np.int64, count=len(words))
 
@@ -135,6 +143,7 @@ class Network:
         d_states = np.stack((d_both[..., :h], d_both[..., h:]))
         g["u"] = np.zeros_like(p["u"])
         d_proj = np.zeros_like(proj)
+        d_inputs = np.zeros((2, steps, n, 3 * h), np.float32)
         carry = np.zeros((2, n, h), np.float32)
         for t in range(steps - 1, -1, -1):
             at = (t, steps - 1 - t)
@@ -147,8 +156,9 @@ class Network:
             d_in = np.concatenate((d_gates, d_c), axis=2)
             g["u"] += np.matmul(state.transpose(0, 2, 1), d_rec)
             carry = carry * (1 - m * z) + np.matmul(d_rec, p["u"].transpose(0, 2, 1))
-            for k in (0, 1):
-                np.add.at(d_proj[k], ids[:, at[k]], d_in[k])
+            d_inputs[0, at[0]], d_inputs[1, at[1]] = d_in[0], d_in[1]
+        found, summed = _summed(ids.T.ravel(), d_inputs.reshape(2, steps * n, 3 * h))
+        d_proj[:, found] = summed
         return g, d_proj
 
     def score(self, logit: np.ndarray) -> np.ndarray:
@@ -215,7 +225,8 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int
         seen[name][at] += grad**2
         net.p[name][at] -= rate * grad / (np.sqrt(seen[name][at]) + 1e-6)
 
-    for epoch in range(epochs):
+    windows = len(y) + int((y == 0).sum())
+    for _ in range(max(epochs, -(-LEAST_STEPS * BATCH // windows))):
         other = [(d, int(s)) for d in np.flatnonzero(y == 0) for s in [r.choice(window_starts(len(docs[d])))]]
         picks = np.array(best + other, dtype=np.int64)[r.permutation(len(best) + len(other))]
         for k in range(0, len(picks), BATCH):
@@ -228,9 +239,8 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int
             owner = np.repeat(np.arange(len(used)), [len(s) for s in spans])
             rows = grams[:, np.concatenate(spans)]
             x = net.p["word"][buckets[used]].copy()
-            parts = np.zeros_like(x)
-            for row in rows:
-                np.add.at(parts, owner, net.p["gram"][row])
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            parts = sum(np.add.reduceat(net.p["gram"][row], first, axis=0) for row in rows)
             share = (1 / count[used]).astype(np.float32)[:, None]
             x += parts * share
             g, d_proj = net.gradients(net.projected(x), local, mask, y[[d for d, _ in batch]])
@@ -240,9 +250,7 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int
             for name, grad in g.items():
                 update(name, grad.astype(np.float32))
             for name, at, grad in (("word", buckets[used], d_x), ("gram", rows.ravel(), np.tile((d_x * share)[owner], (3, 1)))):
-                touched, where = np.unique(at, return_inverse=True)
-                summed = np.zeros((len(touched), WIDTH), np.float32)
-                np.add.at(summed, where, grad)
+                touched, summed = _summed(at, grad)
                 update(name, summed, touched)
             net.p["gram"][-1] = 0
         best_logit, best = _largest(*window_logits(net, net.projected(net.inputs(words)), docs), len(docs))
