@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexmill.llm.common import map_batches
 
@@ -268,5 +269,4 @@ def decoded(tokens: DataFrame, model: str = MODEL) -> DataFrame:
             out.append(None if ids is None else b"".join(map(table.__getitem__, ids.to_numpy().tolist()))[1:].decode("utf-8", "replace"))
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    schema = tokens.schema.add("decoded", "string")
-    return map_batches(tokens, run, schema)
+    return map_batches(tokens, run, T.StructType([*tokens.schema.fields, T.StructField("decoded", T.StringType())]))

@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WINDOW, STRIDE = 48, 32
 HIDDEN, WIDTH = 8, 12
@@ -328,4 +329,4 @@ def scored(docs: DataFrame, net: Network) -> DataFrame:
                     start, size = k + 1, 0
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else [], pa.float64())], names=[*batch.schema.names, "_score"])
 
-    return docs.mapInArrow(run, docs.schema.add("_score", "double"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
