@@ -36,7 +36,7 @@ MOST = 32
 
 
 def lines_of(text: Column) -> Column:
-    return F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^[\x09-\x0D ]+|[\x09-\x0D ]+$", "")))
+    return F.transform(F.split(text, "\n"), lambda x: F.trim(x, F.lit(" \t\v\f\r")))
 
 
 def _cuts(length: Column) -> Column:
@@ -44,14 +44,15 @@ def _cuts(length: Column) -> Column:
     return F.floor(length / 2).cast("int")
 
 
-def _keys(line: Column, n: Column) -> Column:
-    """array<struct<kh, side, n, own>>: the index keys (own) and the probes of the lines shorter by one."""
-    out = []
-    for own, size in ((True, n), (False, n - 1)):
-        cut = _cuts(size)
-        for side, part in ((0, F.substring(line, F.lit(1), cut)), (1, F.substring(line, cut + (n - size) + 1, n))):
-            out.append(F.struct(F.xxhash64(F.lit(side), size, part).alias("kh"), F.lit(side).alias("side"), size.alias("n"), F.lit(own).alias("own")))
-    return F.array(*out)
+#: The keys of a line: side of the segment, and whether it is an index key (of its own length) or a probe (of one less).
+KEYS = ((0, True), (1, True), (0, False), (1, False))
+
+
+def _key(line: Column, n: Column, side: int, own: bool) -> Column:
+    size = n if own else n - 1
+    cut = _cuts(size)
+    part = F.substring(line, cut + (n - size) + 1, n) if side else F.substring(line, F.lit(1), cut)
+    return F.xxhash64(F.lit(side), size, part)
 
 
 def _remainder(line: Column, side: Column, size: Column) -> Column:
@@ -60,20 +61,23 @@ def _remainder(line: Column, side: Column, size: Column) -> Column:
     return F.when(side == 0, F.substring(line, cut + 1, F.length(line))).otherwise(F.substring(line, F.lit(1), F.length(line) - (size - cut)))
 
 
-def within_one(a: Column, b: Column) -> Column:
-    """Whether two strings are within one edit.
+def code_points(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+
 
-    The state holds, after j code points of b, in bits 0-2 the diagonals -1, 0, 1 (code points of a used, less
-    j) reached without an edit, in bits 3-5 those reached with one edit.
+def within_one(xs: Column, ys: Column) -> Column:
+    """Whether two arrays of code points are within one edit. Both must be stored columns: each step reads them.
+
+    The state holds, after j code points of ys, in bits 0-2 the diagonals -1, 0, 1 (code points of xs used,
+    less j) reached without an edit, in bits 3-5 those reached with one edit.
     """
-    xs, ys = F.regexp_extract_all(a, F.lit("(?s)."), F.lit(0)), F.regexp_extract_all(b, F.lit("(?s)."), F.lit(0))
     shift = lambda x, k: F.shiftleft(x, k) if k > 0 else F.shiftright(x, -k)
     pairs = F.transform(ys, lambda y, j: sum((F.when((j + d >= 0) & (F.get(xs, j + d) == y), F.lit(1 << (d + 1))).otherwise(F.lit(0)) for d in (-1, 0, 1)), F.lit(0)))
 
     def step(s: Column, match: Column) -> Column:
         none, one = s.bitwiseAND(F.lit(7)), F.shiftright(s, 3)
         after = none.bitwiseAND(match)
-        # with an edit: a match, a code point replaced, one of b extra, one of a skipped
+        # with an edit: a match, a code point replaced, one of ys extra, one of xs skipped
         kept = one.bitwiseAND(match).bitwiseOR(none).bitwiseOR(shift(none, -1)).bitwiseOR(shift(after, 1).bitwiseAND(F.lit(7)))
         return after.bitwiseOR(F.shiftleft(kept, 3))
 
@@ -84,27 +88,30 @@ def within_one(a: Column, b: Column) -> Column:
     return end.bitwiseAND(bit) != 0
 
 
+_HELD = ("id", "own", "place", "rest", "chars")
+
+
 def near_pairs(held: DataFrame) -> DataFrame:
-    """held(kh, id, own, place, rest): (gone, by) pairs of ids where `gone` is within one edit of the earlier `by`."""
+    """held(kh, id, own, place, rest, chars): (gone, by) pairs of ids where `gone` is within one edit of the earlier `by`."""
     sizes = held.groupBy("kh").agg(F.count("*").alias("members"))
     held = held.join(sizes, "kh")
     few, many = held.where(F.col("members") <= MOST), held.where(F.col("members") > MOST)
-    side = lambda df, s: df.select("kh", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "own", "place", "rest")))
+    side = lambda df, s: df.select("kh", *(F.col(c).alias(f"{c}_{s}") for c in _HELD))
 
     small = side(few, "a").join(side(few, "b"), "kh").where("place_a > place_b and (own_a or own_b)")
     # equal length: the earliest line of each cut
     cut = lambda place: F.transform(F.sequence(F.lit(1), F.greatest(F.length("rest"), F.lit(1))), lambda i: F.xxhash64(place(i), F.concat(F.substring("rest", F.lit(1), i - 1), F.substring("rest", i + 1, F.length("rest")))))
-    same = many.where("own").select("kh", "id", "own", "place", "rest", F.explode(cut(lambda i: i)).alias("sig"))
-    best = same.groupBy("kh", "sig").agg(F.min(F.struct("place", "id", "own", "rest")).alias("m"))
-    best = best.select("kh", "sig", *(F.col(f"m.{c}").alias(f"{c}_b") for c in ("id", "own", "place", "rest")))
-    same = same.select("kh", "sig", *(F.col(c).alias(f"{c}_a") for c in ("id", "own", "place", "rest"))).join(best, ["kh", "sig"]).where("place_a > place_b").drop("sig")
+    same = many.where("own").select("kh", *_HELD, F.explode(cut(lambda i: i)).alias("sig"))
+    best = same.groupBy("kh", "sig").agg(F.min(F.struct("place", *(c for c in _HELD if c != "place"))).alias("m"))
+    best = best.select("kh", "sig", *(F.col(f"m.{c}").alias(f"{c}_b") for c in _HELD))
+    same = same.select("kh", "sig", *(F.col(c).alias(f"{c}_a") for c in _HELD)).join(best, ["kh", "sig"]).where("place_a > place_b").drop("sig")
     # longer by one: the line that some cut makes equal
-    longer = many.where("not own").select("kh", "id", "own", "place", "rest", F.explode(F.array_distinct(cut(lambda i: F.lit(0)))).alias("sig"))
-    shorter = many.where("own").select("kh", "id", "own", "place", "rest", F.xxhash64(F.lit(0), "rest").alias("sig"))
+    longer = many.where("not own").select("kh", *_HELD, F.explode(F.array_distinct(cut(lambda i: F.lit(0)))).alias("sig"))
+    shorter = many.where("own").select("kh", *_HELD, F.xxhash64(F.lit(0), "rest").alias("sig"))
     both = side(longer.withColumn("kh", F.xxhash64("kh", "sig")), "a").join(side(shorter.withColumn("kh", F.xxhash64("kh", "sig")), "b"), "kh")
-    turned = both.select("kh", *(F.when(F.col("place_a") > F.col("place_b"), F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(f"{c}_a") for c in ("id", "own", "place", "rest")), *(F.when(F.col("place_a") > F.col("place_b"), F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).alias(f"{c}_b") for c in ("id", "own", "place", "rest")))
+    turned = both.select("kh", *(F.when(F.col("place_a") > F.col("place_b"), F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(f"{c}_a") for c in _HELD), *(F.when(F.col("place_a") > F.col("place_b"), F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).alias(f"{c}_b") for c in _HELD))
     met = small.unionByName(same).unionByName(turned).where("id_a <> id_b")
-    return met.where(within_one(F.col("rest_a"), F.col("rest_b"))).select(F.col("id_a").alias("gone"), F.col("id_b").alias("by")).distinct()
+    return met.where(F.abs(F.size("chars_a") - F.size("chars_b")) < 2).where(within_one(F.col("chars_a"), F.col("chars_b"))).select(F.col("id_a").alias("gone"), F.col("id_b").alias("by")).distinct()
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -117,17 +124,20 @@ def staying(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     rows = _rows(docs)
     line = F.col("line")
     each = rows.select("key", "th", F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).withColumn("n", F.length("line")).where(F.col("n") >= least_chars)
-    each = each.select(F.xxhash64(line).alias("id"), F.xxhash64(F.lit(1), line).alias("id2"), F.struct("key", "th", "pos").alias("place"), _keys(line, F.col("n")).alias("keys"))
-    lines = park(each.groupBy("id", "id2").agg(F.min("place").alias("place"), F.first("keys").alias("keys")), "line-rows")
+    n = F.col("n")
+    each = each.select(F.xxhash64(line).alias("id"), F.xxhash64(F.lit(1), line).alias("id2"), F.struct("key", "th", "pos").alias("place"), "n", *(_key(line, n, *k).alias(f"k{i}") for i, k in enumerate(KEYS)))
+    lines = park(each.groupBy("id", "id2").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in ("n", "k0", "k1", "k2", "k3"))), "line-rows")
 
-    keys = lines.select("id", "place", F.inline("keys"))
+    entry = lambda i, side, own: F.struct(F.col(f"k{i}").alias("kh"), F.lit(side).alias("side"), (n if own else n - 1).alias("n"), F.lit(own).alias("own"))
+    keys = lines.select("id", "place", F.inline(F.array(*(entry(i, *k) for i, k in enumerate(KEYS)))))
     shared = keys.groupBy("kh").agg(F.count("*").alias("c"), F.max("own").alias("any_own")).where("c > 1 and any_own").select("kh")
     held = park(keys.join(shared, "kh"), "line-keys")
     # the candidates' texts, from the documents where they first stand
     wanted = held.groupBy("place").agg(F.collect_list(F.struct("kh", "id", "side", "n", "own")).alias("ks")).select("place.key", "place.th", "place.pos", "ks")
     texts = rows.dropDuplicates(["key", "th"]).join(wanted.groupBy("key", "th").agg(F.collect_list(F.struct("pos", "ks")).alias("ps")), ["key", "th"])
     texts = texts.select("key", "th", lines_of(F.col("text")).alias("ls"), F.inline("ps")).select(F.struct("key", "th", "pos").alias("place"), F.get("ls", F.col("pos")).alias("line"), F.inline("ks"))
-    texts = park(texts.select("kh", "id", "own", "place", _remainder(F.col("line"), F.col("side"), F.col("n")).alias("rest")), "line-candidates")
+    texts = texts.select("kh", "id", "own", "place", _remainder(F.col("line"), F.col("side"), F.col("n")).alias("rest"))
+    texts = park(texts.withColumn("chars", code_points(F.col("rest"))), "line-candidates")
     gone = near_pairs(texts).select(F.col("gone").alias("id")).distinct()
     left = lines.select("id", "place").join(gone, "id", "left_anti")
     return left.groupBy(F.col("place.key").alias("key"), F.col("place.th").alias("th")).agg(F.collect_list("place.pos").alias("stay"))
