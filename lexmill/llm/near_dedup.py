@@ -5,14 +5,20 @@ lower-cased); one hash function orders the shingles, and the k smallest values f
 
 1. Documents with equal sets fall together at once, through a 128-bit digest of the sorted set.
 2. Two sets with Jaccard 0.75 share about three quarters of the k smallest values of their union, so two
-   sketches of a link share at least `least` values but for a chance below one in a million. Hence each
+   sketches of a link share at least `least` values but for a chance of a few in a million. Hence each
    sketch needs inverted-list entries only for its k - least + 1 rarest values: a passage that many
-   documents share has frequent values, which stay out of the lists.
-3. In each inverted list some pivots are compared with the whole list: the Jaccard estimate over the
-   union's sketch filters, the exact Jaccard of the full sets confirms. Linked documents get one label.
-   Lists whose members all have one label are done; in the others the next pivots, four times as many,
-   follow, until no list has two labels and an uncompared pair. A list of n near copies thus costs n
-   pairs and not n * n, and no pair of different labels is skipped.
+   documents share has frequent values, which stay out of the lists. (Of sets small enough
+   that every partner's sketch is its whole set, a link shares three quarters for certain.)
+3. In each inverted list one pivot, the document with the most frequent values (the original of a group of
+   copies), is compared with the whole list: the Jaccard estimate over the union's sketch filters, the exact
+   Jaccard of the full sets confirms. Linked documents get one label; lists of one label are done.
+4. Documents of the other lists get lists by their full sets. In the order of frequency, rarest first, two
+   sets of sizes m and n that are linked share ceil(3/7 (m + n)) shingles, so one within the first
+   m - that + 1 of the one and the first n - that + 1 of the other. Copies that differ too much have too
+   many shingles of their own and meet nobody.
+5. In those lists pivots, four times as many each turn, are compared with the list as in 3, until no list
+   has two labels and an uncompared pair. A list of n near copies thus costs n pairs and not n * n, and no
+   pair of different labels that could be linked is skipped.
 
 Defined cases: null, empty or wordless text has the empty set and is linked with nothing; fewer than five
 words form one shingle; a null doc_id has component_id null and is kept; repeated rows give repeated
@@ -30,9 +36,9 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import WordHashes, binary_rows, keyed, map_batches, park, smallest_labels, window_hashes
 
 WIDTH = 5
-SKETCH = 32
-#: Of 32 values 24 are shared on average at Jaccard 0.75; 12 is 4.9 standard deviations below.
-LEAST_SHARE = 0.375
+SKETCH = 64
+#: Of 64 values 48 are shared on average at Jaccard 0.75; 32 is 4.6 standard deviations below.
+LEAST_SHARE = 0.5
 
 
 def shingle_set(text: bytes, hashes: WordHashes, width: int = WIDTH) -> np.ndarray:
@@ -62,8 +68,8 @@ def _full_sets():
     hashes = WordHashes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(text, hashes).tobytes() for text in binary_rows(batch, "text")]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["id", "full"])
+        sets = [shingle_set(text, hashes).view(np.int64) for text in binary_rows(batch, "text")]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "full"])
 
     return run
 
@@ -71,8 +77,8 @@ def _full_sets():
 def _verify(percent: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
-        for x, y in zip(batch.column("full_a").to_pylist(), batch.column("full_b").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for x, y in zip(batch.column("full_a"), batch.column("full_b"), strict=True):
+            x, y = x.values.to_numpy(), y.values.to_numpy()
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(100 * both >= percent * (len(x) + len(y) - both))
         return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -86,6 +92,19 @@ def _estimate(a: str, b: str, k: int):
     return F.size(F.array_intersect(F.array_intersect(a, b), union)) / F.size(union)
 
 
+def _exact_lists(entries: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Inverted lists of the full sets of the documents in the entries: v, id, o, n, pos (from 0, rarest first), label."""
+    docs = entries.select("id", "o", "n", "label").distinct()
+    values = docs.join(full, "id").select("id", F.explode("full").alias("v"))
+    shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = values.join(shared, "v").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs")).join(docs, "id")
+    # shingles that no other of these documents has come before all others
+    own = F.col("n") - F.size("vs")
+    places = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - own).cast("int")
+    each = ranked.select("id", "o", "n", "label", own.alias("own"), F.posexplode(F.slice("vs", F.lit(1), F.greatest(F.lit(0), places))).alias("at", "e"))
+    return each.select(F.col("e.v").alias("v"), "id", "o", "n", (F.col("own") + F.col("at")).alias("pos"), "label")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, k: int = SKETCH) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept."""
     docs = keyed(docs)
@@ -93,29 +112,38 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = SKETCH) -> Data
     # one document stands for all with the same set
     sets = park(sketched.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("sketch", "doc_id").alias("sketch"), F.first("n_shingles").alias("n")), "near-sets")
 
-    values = sets.select("id", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
+    values = sets.select("id", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = values.join(shared, "v").groupBy("id").agg(F.first("s").alias("s"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    ranked = values.join(shared, "v").groupBy("id").agg(F.first("s").alias("s"), F.first("n").alias("n"), (-F.sum("df")).alias("hub"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
     # values that only this sketch holds are its rarest: they use up the first places of the prefix
-    places = F.size("vs") - F.ceil(F.col("s") * LEAST_SHARE) + 1
-    lists = park(ranked.select("id", F.explode(F.slice("vs", F.lit(1), F.greatest(F.lit(0), places.cast("int")))).alias("e")).select("id", F.col("e.v").alias("v")), "near-lists")
+    least = F.ceil(F.col("s") * F.when(F.col("s") <= k * percent / 100, percent / 100).otherwise(LEAST_SHARE))
+    places = (F.size("vs") - least + 1).cast("int")
+    ranked = ranked.select("id", F.struct("hub", "id").alias("o"), "n", F.explode(F.slice("vs", F.lit(1), F.greatest(F.lit(0), places))).alias("e"))
+    lists = park(ranked.select("id", "o", "n", F.col("e.v").alias("v")), "near-lists")
 
     members = lists.select("id").distinct()
-    full = park(map_batches(docs.join(members, docs.doc_id == members.id, "left_semi").dropDuplicates(["doc_id"]), _full_sets(), "id long, full binary"), "near-full")
-    sk = sets.select("id", "sketch", "n")
+    full = park(map_batches(docs.join(members, docs.doc_id == members.id, "left_semi").dropDuplicates(["doc_id"]), _full_sets(), "id long, full array<long>"), "near-full")
+    sketch = sets.select("id", "sketch")
 
-    labels, pivots = None, 1
-    entries = lists.withColumn("label", F.col("id"))
+    labels, pivots, exact = None, 1, False
+    entries = lists.withColumn("label", F.col("id")).withColumn("pos", F.lit(0))
+    # the shingles that linked sets share: J / (1 + J) of the sum of their sizes, at least
+    overlap = lambda m, n: f"ceil({percent} * ({m} + {n}) / {100 + percent})"
     while True:
         open_lists = entries.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v")
         entries = park(entries.join(open_lists, "v", "left_semi"), "near-open")
         if entries.isEmpty():
             break
-        first = entries.withColumn("rank", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("rank") <= pivots)
-        first = park(first.select("v", F.col("id").alias("a"), F.col("label").alias("label_a")), "near-pivots")
-        pairs = first.join(entries, "v").where("a < id and label_a <> label").select("a", F.col("id").alias("b")).distinct()
-        near = pairs.join(sk.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b"), F.col("n").alias("nb")), "b").join(sk.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a"), F.col("n").alias("na")), "a")
-        near = near.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").where(_estimate("sketch_a", "sketch_b", k) >= LEAST_SHARE).select("a", "b")
+        if pivots > 1 and not exact:
+            exact = True
+            entries = park(_exact_lists(entries, full, percent), "near-exact")
+            continue
+        first = entries.withColumn("rank", F.row_number().over(Window.partitionBy("v").orderBy("o"))).where(F.col("rank") <= pivots)
+        first = park(first.select("v", F.col("id").alias("a"), F.col("o").alias("o_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("label").alias("label_a")), "near-pivots")
+        within = f"pos <= n - {overlap('n_a', 'n')} and pos_a <= n_a - {overlap('n_a', 'n')}" if exact else "true"
+        pairs = first.join(entries, "v").where(f"o_a < o and label_a <> label and 100 * least(n_a, n) >= {percent} * greatest(n_a, n) and {within}").select("a", F.col("id").alias("b")).distinct()
+        near = pairs.join(sketch.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b").join(sketch.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
+        near = near.where(_estimate("sketch_a", "sketch_b", k) >= LEAST_SHARE).select("a", "b")
         confirmed = near.join(full.select(F.col("id").alias("b"), F.col("full").alias("full_b")), "b").join(full.select(F.col("id").alias("a"), F.col("full").alias("full_a")), "a")
         links = park(map_batches(confirmed.select("a", "b", "full_a", "full_b"), _verify(percent), "a long, b long"), "near-links")
         if labels is not None:
@@ -129,13 +157,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = SKETCH) -> Data
             else:
                 moved = labels.join(new.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
                 labels = park(moved.unionByName(new.join(labels.select("node"), "node", "left_anti")), "near-labels")
-        cut = first.groupBy("v").agg(F.max("a").alias("cut"))
-        entries = entries.join(cut, "v").where("id > cut").select("v", "id")
+        cut = first.groupBy("v").agg(F.max("o_a").alias("cut"))
+        entries = entries.join(cut, "v").where("o > cut").drop("cut", "label")
         if labels is None:
             entries = entries.withColumn("label", F.col("id"))
         else:
-            entries = entries.join(labels.withColumnRenamed("node", "id"), "id", "left").select("v", "id", F.coalesce("label", "id").alias("label"))
-        entries = park(entries, "near-entries")
+            entries = entries.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
         pivots *= 4
 
     found = sets.select("digest", "id")
