@@ -91,7 +91,8 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     out = np.zeros(n, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for k in range(width):
-            out = (out * _STEP) + mixed(words[k : k + n] + np.uint64(k + 1))
+            out *= _STEP
+            out += words[k : k + n]
         return mixed(out)
 
 

@@ -26,7 +26,9 @@ give repeated result rows.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -41,28 +43,67 @@ WINDOW = 20
 PHRASE = 5
 MERGE_LIMIT = 60_000
 BLOCK_BYTES = 3_000_000
-_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+BLOCK_WORDS = 100_000
+_BLANK = re.compile(" ")
+_PLACE = np.uint64((1 << 24) - 1)
 
 
 def anchors(hashes: np.ndarray, window: int = WINDOW, phrase: int = PHRASE) -> np.ndarray:
-    """For each window start, the place of the leftmost smallest phrase hash in the window."""
+    """For each window start, the place of the smallest phrase hash in the window.
+
+    Hashes are compared in their upper 40 bits, the leftmost of equal ones wins: the place goes into the
+    lower 24 bits, and a minimum over 2, 4, 8 and so on phrases gives hash and place at once.
+    """
     wide = window - phrase + 1
-    if len(hashes) < wide:
+    n = len(hashes) - wide + 1
+    if n <= 0:
         return np.empty(0, dtype=np.int64)
-    return np.lib.stride_tricks.sliding_window_view(hashes, wide).argmin(axis=1) + np.arange(len(hashes) - wide + 1)
+    low = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
+    reach = 1
+    while 2 * reach <= wide:
+        low = np.minimum(low[:-reach], low[reach:])
+        reach *= 2
+    if reach < wide:
+        low = np.minimum(low[:n], low[wide - reach : wide - reach + n])
+    return (low[:n] & _PLACE).astype(np.int64)
 
 
 def _anchor_rows():
-    words = WordHashes()
+    hashed = WordHashes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found, places = [], []
-        for text in binary_rows(batch, "text"):
-            hashes = window_hashes(words.of(text.split()), PHRASE)
-            at = np.unique(anchors(hashes))
+        texts = binary_rows(batch, "text")
+        found: list[np.ndarray] = []
+        places: list[np.ndarray] = []
+        counts: list[int] = []
+        block: list[list[bytes]] = []
+
+        def flush() -> None:
+            """Anchors of a block of documents in one go; windows across their borders are left out."""
+            sizes = np.array([len(w) for w in block], dtype=np.int64)
+            ends = np.cumsum(sizes)
+            hashes = window_hashes(hashed.of(list(chain.from_iterable(block))), PHRASE)
+            at = anchors(hashes)
+            owner = np.repeat(np.arange(len(block)), sizes)[: len(at)]
+            inside = np.arange(len(at)) + WINDOW <= ends[owner]
+            at = np.unique(at[inside])
+            counts.extend(np.bincount(np.searchsorted(ends, at, side="right"), minlength=len(block)).tolist())
             found.append(hashes[at].view(np.int64))
-            places.append(at.astype(np.int32))
-        return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("th"), pa.array(found, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["key", "th", "hs", "ps"])
+            places.append((at - (ends - sizes)[np.searchsorted(ends, at, side="right")]).astype(np.int32))
+            block.clear()
+
+        size = 0
+        for text in texts:
+            block.append(text.split())
+            size += len(block[-1])
+            if size >= BLOCK_WORDS:
+                flush()
+                size = 0
+        if block:
+            flush()
+        offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else np.empty(0, t), t())) for x, t in ((found, pa.int64), (places, pa.int32))] if texts else [pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays([batch.column("key"), *lists], names=["key", "hs", "ps"])
 
     return run
 
@@ -70,37 +111,37 @@ def _anchor_rows():
 def _automaton(block: list[tuple]) -> ahocorasick.Automaton:
     """Of the confirmed phrases of a block's documents, between blanks so that only whole words match."""
     shard = ahocorasick.Automaton()
-    for _, _, words, found in block:
-        for x in found:
-            phrase = " ".join(words[x["p"] : x["p"] + PHRASE])
-            shard.add_word(f" {phrase} ", x["h"])
+    for _, _, words, places in block:
+        for p in places:
+            shard.add_word(f" {' '.join(words[p : p + PHRASE])} ", 0)
     shard.make_automaton()
     return shard
 
 
-def snippets(key: int, th: int, words: list[str], shard: ahocorasick.Automaton) -> Iterator[tuple[int, int, int, int, int, str]]:
+def snippets(key: int, th: int, words: list[str], shard: ahocorasick.Automaton, hashed: WordHashes) -> Iterator[tuple[int, int, int, int, int, str]]:
     """(phrase hash, key, th, first window start, number of windows, words) around each located anchor."""
     n = len(words) - WINDOW + 1
     if n < 1:
         return
+    joined = f" {' '.join(words)} "
+    # a match ends at the blank behind a word
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-    hashes = np.full(len(words) - PHRASE + 1, _NONE)
-    # the blank before word k is at ends[k - 1] (0 for the first), so a match ending at e ends with the word whose end is e
-    at, hs = [], []
-    for e, h in shard.iter(f" {' '.join(words)} "):
-        at.append(e)
-        hs.append(h)
-    if not at:
+    at = np.fromiter((e for e, _ in shard.iter(joined)), dtype=np.int64)
+    if not len(at):
         return
-    hashes[np.searchsorted(ends, np.array(at)) - PHRASE + 1] = np.array(hs, dtype=np.int64).view(np.uint64)
+    hashes = window_hashes(hashed.of(joined.encode("utf-8", "surrogatepass").split()), PHRASE)
+    located = np.zeros(len(hashes), dtype=bool)
+    located[np.searchsorted(ends, at) - PHRASE + 1] = True
     places = anchors(hashes)
     bounds = np.flatnonzero(np.diff(places)) + 1
-    starts = np.concatenate(([0], bounds)).tolist()
+    starts = np.concatenate(([0], bounds))
+    chosen = places[starts]
+    hs = hashes[chosen].view(np.int64).tolist()
     stops = np.concatenate((bounds, [n])).tolist()
-    for s, e in zip(starts, stops, strict=True):
-        h = hashes[places[s]]
-        if h != _NONE:
-            yield int(h.astype(np.int64)), key, th, s, e - s, " ".join(words[s : e + WINDOW - 1])
+    before = np.concatenate(([0], ends)).tolist()
+    for s, e, h, confirmed in zip(starts.tolist(), stops, hs, located[chosen].tolist(), strict=True):
+        if confirmed:
+            yield h, key, th, s, e - s, joined[before[s] + 1 : before[e + WINDOW - 1]]
 
 
 _SNIPPET = "h long, key long, th long, start int, n int, snippet string"
@@ -115,6 +156,7 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Snippets of a task's documents; those known to be covered come without words."""
     earliest: dict[bytes, tuple] = {}
     out: list[tuple] = []
+    hashed = WordHashes()
 
     def covered(row: tuple) -> tuple:
         # spread by document: there is nothing to compare
@@ -136,7 +178,7 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in blocks():
         shard = _automaton(block)
         for key, th, words, _ in block:
-            for row in snippets(key, th, words, shard):
+            for row in snippets(key, th, words, shard, hashed):
                 mark = xxhash.xxh3_128_digest(row[5].encode())
                 best = earliest.get(mark)
                 if best is None:
@@ -173,9 +215,9 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if h != now:
                 now, seen = h, {}
-            words = snippet.split(" ")
+            blanks = [-1, *(m.start() for m in _BLANK.finditer(snippet)), len(snippet)]
             for i in range(n):
-                sequence = " ".join(words[i : i + WINDOW])
+                sequence = snippet[blanks[i] + 1 : blanks[i + WINDOW]]
                 if seen.setdefault(sequence, (key, start + i)) < (key, start + i):
                     out.append((key, th, start + i, start + i + WINDOW))
         if out:
@@ -213,19 +255,23 @@ def _removed(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def covered_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents with key and th, ranges(key, th, ranges array<struct<from, to>>))."""
-    rows = keyed(docs).select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.xxhash64("text").alias("th"))
-    found = park(map_batches(rows.select("key", "th", "text"), _anchor_rows(), "key long, th long, hs array<long>, ps array<int>"), "substring-anchors")
+    """(documents(key, text, th), ranges(key, ranges array<struct<th, from, to>>)); th is a hash of the text."""
+    rows = keyed(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "text", F.xxhash64("text").alias("th"))
+    found = park(map_batches(rows.select("key", "text"), _anchor_rows(), "key long, hs array<long>, ps array<int>"), "substring-anchors")
     confirmed = found.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    each = found.select("key", "th", F.inline(F.arrays_zip(F.col("hs").alias("h"), F.col("ps").alias("p"))))
-    wanted = each.join(confirmed, "h").groupBy("key", "th").agg(F.collect_list(F.struct("h", "p")).alias("found"))
-    located = rows.join(wanted, ["key", "th"]).select("key", "th", "text", "found").mapInArrow(_located, _SNIPPET)
+    each = found.select("key", F.inline(F.arrays_zip(F.col("hs").alias("h"), F.col("ps").alias("p"))))
+    wanted = each.join(confirmed, "h").groupBy("key").agg(F.collect_set("p").alias("found"))
+    located = rows.join(wanted, "key").select("key", "th", "text", "found").mapInArrow(_located, _SNIPPET)
     sorted_ = located.repartition("h").sortWithinPartitions("h", "key", "start")
     ranges = sorted_.mapInArrow(_compared, "key long, th long, `from` int, `to` int")
-    return rows, ranges.groupBy("key", "th").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
+    ranges = ranges.groupBy("key").agg(F.collect_list(F.struct("th", "from", "to")).alias("ranges"))
+    return rows, ranges
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_words, n_removed, kept_sha256."""
     rows, ranges = covered_ranges(docs)
-    return map_batches(rows.join(ranges, ["key", "th"], "left").select("doc_id", "text", "ranges"), _removed, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    # both joins of the documents ask for the same columns by the same key: they are shuffled once
+    own = F.filter("ranges", lambda r: r["th"] == F.col("th"))
+    joined = rows.join(ranges, "key", "left").select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), "text", own.alias("ranges"))
+    return map_batches(joined, _removed, "doc_id long, n_words long, n_removed long, kept_sha256 string")
