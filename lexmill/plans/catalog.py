@@ -1,6 +1,607 @@
-"""Name -> query and name -> SQL for the engine's own operators."""
+"""Name -> query and name -> SQL for the engine's own operators. Every query runs over its whole tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lexmill.functions import kernels
+from lexmill.functions import text as t
+from lexmill.operators import evaluation, language, reports, tagging, training
+from lexmill.operators import tokens as tk
+from lexmill.plans.fixtures import docs, gold, predicted, sql, tok
+from lexmill.sources import conllu, html, teitok
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def _long(*columns: str) -> list:
+    return [F.col(c).cast("long").alias(c) for c in columns]
+
+
+PLACE = ("doc_id", "line_no", "sent_no", "tok_no")
+
+# --- text -----------------------------------------------------------------------------------------------------
+
+
+@query(sql("s", "select doc_id, line_no, sent_no, sent from s"))
+def sentence_split(spark, d):
+    return tk.sentence_table(docs(spark, d)).select("doc_id", *_long("line_no", "sent_no"), "sent")
+
+
+@query(sql("t", "select lang, form, count(*) as n from t group by 1, 2"))
+def tokenize_forms(spark, d):
+    return tok(spark, d).groupBy("lang", "form").agg(F.count("*").alias("n"))
+
+
+@query(sql("l", r"""select x as form, count(*) as n from (select unnest(case when regexp_matches(w, '^.*[^.!?][.!?]+$') then [regexp_extract(w, '^(.*[^.!?])([.!?]+)$', 1), regexp_extract(w, '^(.*[^.!?])([.!?]+)$', 2)] else [w] end) as x
+    from (select unnest(list_filter(regexp_split_to_array(line, '\s+'), lambda z: z <> '')) as w from l)) group by 1"""))
+def whitespace_tokens(spark, d):
+    return tk.line_table(docs(spark, d)).select(F.explode(t.whitespace_tokens(F.col("line"))).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
+
+
+@query(r"""select doc_id, generate_subscripts(y, 1) - 1 as sent_no, unnest(y) as sent from (select doc_id, list_filter(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?]+) ', '\1' || chr(10), 'g'), chr(10)), lambda z: z <> '') as y from documents)""")
+def punct_collapse_segment(spark, d):
+    return docs(spark, d).select("doc_id", F.posexplode(t.collapsed_sentences(F.col("text"))).alias("sent_no", "sent")).select("doc_id", *_long("sent_no"), "sent")
+
+
+@query(sql("l", r"select x as form, count(*) as n from (select unnest(regexp_extract_all(line, '([\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s])', 1)) as x from l) group by 1"))
+def punctuation_apart(spark, d):
+    return tk.line_table(docs(spark, d)).select(F.explode(t.punctuation_apart(F.col("line"))).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
+
+
+@query(sql("s", r"select x as form, count(*) as n from (select unnest(regexp_extract_all(sent, '([A-Za-z0-9\x{80}-\x{10FFFF}]+(?:[''-][A-Za-z0-9\x{80}-\x{10FFFF}]+)*|[\x21-\x7E])', 1)) as x from s) group by 1"))
+def ascii_tokens(spark, d):
+    return tk.sentence_table(docs(spark, d)).select(F.explode(t.ascii_tokens(F.col("sent"))).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
+
+
+@query()
+def quoted_sentences(spark, d):
+    return tk.line_table(docs(spark, d)).select("doc_id", *_long("line_no"), F.posexplode(kernels.quoted_sentences(F.col("line"))).alias("sent_no", "sent")).select("doc_id", "line_no", *_long("sent_no"), "sent")
+
+
+@query("select doc_id, sha256(nfc_normalize(text)) as nfc, length(nfc_normalize(text)) as chars from documents")
+def nfc_normalize(spark, d):
+    n = kernels.normalized("NFC")(F.col("text"))
+    return docs(spark, d).select("doc_id", n.alias("n")).select("doc_id", F.sha2("n", 256).alias("nfc"), F.length("n").cast("long").alias("chars"))
+
+
+@query()
+def nfd_normalize(spark, d):
+    return docs(spark, d).select("doc_id", kernels.normalized("NFD")(F.col("text")).alias("text")).select("doc_id", F.length("text").cast("long").alias("chars"), F.sha2("text", 256).alias("nfd"))
+
+
+@query(sql("sp", "select doc_id, line_no, sent_no, tok_no, form, space_after from sp"))
+def space_after_flags(spark, d):
+    return tk.with_space_after(tok(spark, d)).select("doc_id", *_long("line_no", "sent_no", "tok_no"), "form", "space_after")
+
+
+@query(sql("sp", "select doc_id, line_no, sent_no, rtrim(string_agg(form || case when space_after = false then '' else ' ' end, '' order by tok_no)) as text from sp group by 1, 2, 3"))
+def sentence_rebuild(spark, d):
+    return tk.rebuilt(tk.with_space_after(tok(spark, d))).select("doc_id", *_long("line_no", "sent_no"), "text")
+
+
+@query(sql("sp", """select doc_id, line_no, sent_no, tok_no, start as char_start, start + length(form) as char_end from (select *, coalesce(sum(length(form) + case when space_after = false then 0 else 1 end)
+    over (partition by doc_id, line_no, sent_no order by tok_no rows between unbounded preceding and 1 preceding), 0)::bigint as start from sp)"""))
+def token_offsets(spark, d):
+    return tk.with_offsets(tk.with_space_after(tok(spark, d))).select("doc_id", *_long("line_no", "sent_no", "tok_no", "char_start", "char_end"))
+
+
+@query()
+def token_locate(spark, d):
+    return tk.located(tok(spark, d), tk.sentence_table(docs(spark, d))).select("doc_id", *_long("line_no", "sent_no", "tok_no"), "form", *_long("char_start"))
+
+
+@query(sql("t", "select doc_id, line_no, sent_no, e - n as tok_start, e as tok_end from (select *, (sum(n) over (partition by doc_id order by line_no, sent_no))::bigint as e from (select doc_id, line_no, sent_no, count(*) as n from t group by 1, 2, 3))"))
+def sentence_bounds(spark, d):
+    return tk.sentence_bounds(tok(spark, d)).select("doc_id", *_long("line_no", "sent_no"), *_long("tok_start", "tok_end"))
+
+
+@query(sql("t", """select doc_id, line_no, sent_no, tok_no, array_to_string(list_filter([lag(form, 2) over w, lag(form) over w, '<' || form || '>', lead(form) over w, lead(form, 2) over w], lambda z: z is not null), ' ') as context
+    from t window w as (partition by doc_id, line_no, sent_no order by tok_no)"""))
+def context_window(spark, d):
+    return tk.context(tok(spark, d)).select("doc_id", *_long("line_no", "sent_no", "tok_no"), "context")
+
+
+@query(r"""select doc_id, case when regexp_matches(substr(text, 1, 4096), '<tok[\s>]|<TEI[\s>]') then 'teitok' when regexp_matches(substr(text, 1, 4096), '(?m)^# ?(?:sent_id|text|newdoc|newpar|global\.columns)\b')
+    or length(substr(text, 1, 4096)) - length(replace(substr(text, 1, 4096), chr(9), '')) >= 10 then 'conllu' else 'raw' end as format from documents""")
+def detect_format(spark, d):
+    return docs(spark, d).select("doc_id", t.detected_format(F.col("text")).alias("format"))
+
+
+@query(sql("t", r"select k, count(*) as n from (select case when regexp_replace(lower(form), '[^\p{L}\p{N}]', '', 'g') <> '' then regexp_replace(lower(form), '[^\p{L}\p{N}]', '', 'g') else lower(form) end as k from t) group by 1"))
+def align_key(spark, d):
+    return tok(spark, d).select(t.align_key(F.col("form")).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+
+
+@query(r"""select doc_id, regexp_replace(text, '(\p{L})[-\x{00AD}\x{2010}][ \t]*\n[ \t]*(\p{Ll})', '\1\2', 'g') as text from documents""")
+def hyphen_rejoin(spark, d):
+    return docs(spark, d).select("doc_id", t.rejoined(F.col("text")).alias("text"))
+
+
+@query()
+def html_plain_text(spark, d):
+    return html.plain_pages(spark.read.parquet(f"{d}/pages.parquet"))
+
+
+@query("select props_type, feats, upos, count(*) as n from (select event_type as props_type, case event_id % 4 when 0 then 'V;IND;SG;3;PRS' when 1 then 'N;PL;NOM' when 2 then 'ADJ;X' else '' end as f from events), (values ('V;IND;SG;3;PRS', 'VERB', 'Mood=Ind|Number=Sing|Person=3|Tense=Pres'), ('N;PL;NOM', 'NOUN', 'Case=Nom|Number=Plur'), ('ADJ;X', 'ADJ', '_'), ('', '_', '_')) m(k, upos, feats) where f = k group by 1, 2, 3")
+def unimorph_to_ud(spark, d):
+    bundle = F.expr("case event_id % 4 when 0 then 'V;IND;SG;3;PRS' when 1 then 'N;PL;NOM' when 2 then 'ADJ;X' else '' end")
+    rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("props_type"), t.unimorph_to_ud(bundle).alias("u"))
+    return rows.groupBy("props_type", "u.feats", "u.upos").agg(F.count("*").alias("n"))
+
+
+@query(sql("g", "select f, count(*) as n from (select case when feats like '%|%' then feats else feats end as f from g) group by 1"))
+def feats_normalize(spark, d):
+    shuffled = F.array_join(F.reverse(F.split("feats", r"\|")), "|")
+    return gold(spark, d).select(t.feats_normal(F.concat(shuffled, F.lit("|junk"))).alias("f")).groupBy("f").agg(F.count("*").alias("n"))
+
+
+# --- multiword tokens, projections ----------------------------------------------------------------------------
+
+
+@query()
+def implicit_mwt(spark, d):
+    return tk.implicit_mwts(tk.with_space_after(gold(spark, d))).select("doc_id", *_long("line_no", "sent_no"), *_long("mwt_start", "mwt_end"), "form")
+
+
+@query(sql("sp", r"""select doc_id, line_no, sent_no, tok_no as first, tok_no + 1 as second, form || next_form as form from (select *, row_number() over (partition by doc_id, line_no, sent_no, chain order by tok_no) as rank from
+    (select *, sum(case when joins then 0 else 1 end) over (partition by doc_id, line_no, sent_no order by tok_no) as chain from (select *, coalesce(space_after = false and not punct and not lead(punct) over w, false) as joins, lead(form) over w as next_form
+    from (select *, upos = 'PUNCT' or regexp_matches(form, '^[!-/:-@\[-`{-~]$') as punct from sp) window w as (partition by doc_id, line_no, sent_no order by tok_no))) where joins) where rank % 2 = 1"""))
+def contraction_pairs(spark, d):
+    return tk.contraction_pairs(tk.with_space_after(gold(spark, d))).select("doc_id", *_long("line_no", "sent_no"), *_long("first", "second"), "form")
+
+
+_HYPHENATED = r"contains(form, '-') and length(form) > 1"
+
+
+@query(sql("g", r"select upos, part as form, count(*) as n from (select upos, unnest(case when contains(form, '-') and length(form) > 1 then string_split(form, '-') else [form] end) as part from g) group by 1, 2"))
+def atomic_tokens(spark, d):
+    parts = F.when(F.expr(_HYPHENATED), F.transform(F.split("form", "-"), lambda x: F.struct(x.alias("form"), F.col("upos").alias("upos"))))
+    return tk.atomic(gold(spark, d).withColumn("parts", parts)).groupBy("upos", "form").agg(F.count("*").alias("n"))
+
+
+@query(sql("g", "select form, '_' as upos, '_' as lemma, '_' as feats, count(*) as n from g group by 1"))
+def detag(spark, d):
+    return tk.detagged(gold(spark, d)).groupBy("form", "upos", "lemma", "feats").agg(F.count("*").alias("n"))
+
+
+@query(sql("g", "select upos, '_' as lemma, '_' as deprel, count(*) as n from g group by 1"))
+def task_filter(spark, d):
+    return tk.keep_tasks(gold(spark, d), ("tag",)).groupBy("upos", "lemma", "deprel").agg(F.count("*").alias("n"))
+
+
+@query(sql("g", "select doc_id, true as tag, bool_or(lemma not in ('_', '')) as lemmatize, true as parse from g group by 1"))
+def task_flags(spark, d):
+    return tk.task_flags(gold(spark, d), "doc_id").select("doc_id", "tag", "lemmatize", "parse")
+
+
+@query(sql("g", "select upos, count(*) as n from g where (doc_id, line_no, sent_no) in (select (doc_id, line_no, sent_no) from g where upos = 'VERB') group by 1"))
+def required_annotations(spark, d):
+    rows = gold(spark, d).withColumn("verb", F.when(F.col("upos") == "VERB", "x").otherwise("_"))
+    return tk.with_annotations(rows, ("verb", "form")).groupBy("upos").agg(F.count("*").alias("n"))
+
+
+@query(sql("g", "select coalesce(case when length(form) > 4 then lower(form) end, form) as form, count(*) as n from g group by 1"))
+def nlp_form(spark, d):
+    return tk.with_nlp_form(gold(spark, d).withColumn("reg", F.when(F.length("form") > 4, F.lower("form")).otherwise("_"))).groupBy("form").agg(F.count("*").alias("n"))
+
+
+# --- training -------------------------------------------------------------------------------------------------
+
+
+@query(sql("v", "select form, lemma, upos, xpos, feats, cnt from v"))
+def vocab_counts(spark, d):
+    return training.vocabulary(gold(spark, d))
+
+
+@query(sql("g", "select prev, tag, count(*) as cnt from (select lag(upos) over (partition by doc_id, line_no, sent_no order by tok_no) as prev, upos as tag from g) where prev is not null group by 1, 2"))
+def transition_counts(spark, d):
+    return training.transitions(gold(spark, d), starts=False)
+
+
+@query(sql("g", "select 'START' as prev, upos as tag, count(*) as cnt from g where tok_no = 0 group by 2"))
+def start_counts(spark, d):
+    return training.transitions(gold(spark, d)).where("prev = 'START'")
+
+
+_CASE = r"case when regexp_matches(form, '^\p{Lu}') and upper(form) = form and length(form) > 1 then 'UU' when regexp_matches(form, '^\p{Lu}') then 'Ul' when regexp_matches(form, '^\p{Ll}') then 'll' else '??' end"
+
+
+@query(sql("g", f"select upos as tag, {_CASE} as wcase, count(*) as cnt from g group by 1, 2"))
+def case_profile(spark, d):
+    return training.case_profile(gold(spark, d))
+
+
+@query(sql("v", "select (select count(*) from v) as entries, (select sum(cnt)::bigint from v) as tokens, (select count(distinct form) from t) as words, (select count(distinct (doc_id, line_no, sent_no)) from t) as sentences"))
+def vocab_stats(spark, d):
+    return training.vocabulary_stats(gold(spark, d))
+
+
+_ENDINGS = "en as (select ending, tag, count(*) as types from (select tag, form[-n:] as ending from (select distinct form, lemma, upos as tag from v), range(1, 7) r(n) where n <= length(form)) group by 1, 2)"
+
+
+@query(sql("v", "select ending, tag, count(*) as types from (select tag, substr(form, length(form) - n + 1) as ending from (select distinct form, lemma, upos as tag from v), range(1, 7) r(n) where n <= length(form)) group by 1, 2"))
+def ending_counts(spark, d):
+    return training.endings(training.vocabulary(gold(spark, d)))
+
+
+@query(sql("g", "select upos as tag, count(distinct form) as types from g group by 1"))
+def tag_type_counts(spark, d):
+    return training.tag_types(gold(spark, d))
+
+
+@query(sql("v", "select upos as tag, form, lemma, cnt from v qualify row_number() over (partition by upos order by cnt desc, form, lemma, xpos, feats) = 1"))
+def top_entry_per_tag(spark, d):
+    return training.top_entries(training.vocabulary(gold(spark, d)))
+
+
+@query(sql("g", "select xpos, upos, feats, count(*) as cnt from g group by 1, 2, 3 qualify row_number() over (partition by xpos order by cnt desc, upos, feats) = 1"))
+def tag_mapping_best(spark, d):
+    return training.tag_map(gold(spark, d))
+
+
+@query(sql("g", r"""
+    , m as (select xpos, upos, feats, count(*) as cnt from g group by 1, 2, 3 qualify row_number() over (partition by xpos order by cnt desc, upos, feats) = 1),
+    w as (select distinct xpos, case length(form) % 3 when 0 then xpos when 1 then lower(xpos) else regexp_replace(xpos, '2$', '77') end as q from g),
+    b as (select upos, feats, lower(xpos) as low, regexp_replace(lower(xpos), '[0-9.\-_:]+$', '') as bare, cnt, xpos from m),
+    bl as (select low, upos, feats from b qualify row_number() over (partition by low order by cnt desc, xpos) = 1), bb as (select bare, upos, feats from b qualify row_number() over (partition by bare order by cnt desc, xpos) = 1)
+    select distinct q as xpos, coalesce(m.upos, bl.upos, bb.upos) as upos, coalesce(m.feats, bl.feats, bb.feats) as feats, case when m.upos is not null then 'exact' when bl.upos is not null then 'case' when bb.upos is not null then 'bare' else 'none' end as how
+    from w left join m on m.xpos = w.q left join bl on bl.low = lower(w.q) left join bb on bb.bare = regexp_replace(lower(w.q), '[0-9.\-_:]+$', '')"""))
+def tag_map_fallback(spark, d):
+    g = gold(spark, d)
+    wanted = g.select(F.expr(r"case length(form) % 3 when 0 then xpos when 1 then lower(xpos) else regexp_replace(xpos, '2$', '77') end").alias("xpos")).distinct()
+    return training.map_tags(wanted, training.tag_map(g))
+
+
+@query(sql("g", """
+    select w.upos, w.feats, r.xpos, r.feats = w.feats as exact from (select distinct upos, feats from g union select upos, feats || '|Voice=Act' from g) w
+    join (select upos, feats, xpos, count(*) as cnt from g group by 1, 2, 3) r on r.upos = w.upos and len(list_filter(string_split(r.feats, '|'), lambda z: not list_contains(string_split(w.feats, '|'), z))) = 0
+    qualify row_number() over (partition by w.upos, w.feats order by r.feats = w.feats desc, r.cnt desc, r.xpos) = 1"""))
+def feats_subset_xpos(spark, d):
+    g = gold(spark, d)
+    own = g.select("upos", "feats").distinct()
+    return training.guess_xpos(own.unionByName(own.withColumn("feats", F.concat("feats", F.lit("|Voice=Act")))).distinct(), g)
+
+
+@query(sql("g", """select field, name, value, count(*) as cnt from (select 'UPOS' as field, '' as name, upos as value from g union all
+    select 'FEATS', split_part(p, '=', 1), split_part(p, '=', 2) from (select unnest(string_split(feats, '|')) as p from g)) group by 1, 2, 3"""))
+def ud_inventory(spark, d):
+    return training.ud_inventory(gold(spark, d))
+
+
+@query(sql("g", "select distinct case when upos = 'ADV' then 'ADVX' else upos end as upos from g where upos = 'ADV'"))
+def upos_extended(spark, d):
+    return training.extended_upos(gold(spark, d).select(F.when(F.col("upos") == "ADV", "ADVX").otherwise(F.col("upos")).alias("upos")))
+
+
+@query(sql("v", "select f.form from (select distinct reverse(form) as form from v) f where f.form not in (select form from v) and lower(f.form) not in (select form from v)"))
+def oov_tokens(spark, d):
+    vocab = training.vocabulary(gold(spark, d))
+    return evaluation.oov(vocab.select(F.reverse("form").alias("form")).distinct(), vocab)
+
+
+@query(sql("v", """, c as (select form, sum(cnt)::bigint as own from v group by 1)
+    select bucket, count(*) as forms, sum(freq)::bigint as freq from (select case when f < 5 then '1-4' when f < 20 then '5-19' when f < 100 then '20-99' else '100+' end as bucket, f as freq from
+    (select c.own + coalesce(l.own, 0) as f from c left join c l on l.form = lower(c.form) and lower(c.form) <> c.form)) group by 1"""))
+def word_frequency_bucket(spark, d):
+    vocab = training.vocabulary(gold(spark, d))
+    freq = evaluation.word_frequency(vocab.select("form").distinct(), vocab)
+    return freq.groupBy(t.frequency_bucket(F.col("freq")).alias("bucket")).agg(F.count("*").alias("forms"), F.sum("freq").alias("freq"))
+
+
+@query()
+def lemma_rules(spark, d):
+    vocab = training.vocabulary(gold(spark, d))
+    rules = training.ending_rules(vocab, kernels.lemma_rule(F.col("form"), F.col("lemma")), length=4)
+    return training.best_rule(rules)
+
+
+# --- candidates, Viterbi --------------------------------------------------------------------------------------
+
+_KNOWN = "k as (select form, upos as tag, sum(cnt) as cnt from v group by 1, 2)"
+_FORMS = "f as (select distinct form from v union select distinct translate(form, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') from v union select distinct 'zz' || form from v)"
+_LEX = "lx as (select f.form, tag, cnt::double as weight, 'exact' as source from f join k using (form) union all select f.form, k.tag, k.cnt * 0.1, 'lower' from f join k on k.form = lower(f.form) where lower(f.form) <> f.form and f.form not in (select form from k))"
+
+
+def _forms(vocab: DataFrame) -> DataFrame:
+    form = vocab.select("form")
+    return form.unionByName(form.select(F.translate("form", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("form"))).unionByName(form.select(F.concat(F.lit("zz"), "form").alias("form"))).distinct()
+
+
+@query(sql("v", f", {_KNOWN}, {_FORMS}, {_LEX} select form, tag, round(weight, 4) as weight, source from lx"))
+def lexicon_candidates(spark, d):
+    vocab = training.vocabulary(gold(spark, d))
+    return tagging.lexicon_candidates(_forms(vocab), vocab).withColumn("weight", F.round("weight", 4))
+
+
+_EN = "en as (select ending, tag, count(*) as types from (select tag, substr(form, length(form) - n + 1) as ending from (select distinct form, lemma, upos as tag from v), range(1, 7) r(n) where n <= length(form)) group by 1, 2)"
+_END = "ec as (select form, tag, sum(types * pow(5.0, -nth)) as weight, 'ending' as source from (select q.form, en.tag, en.types, dense_rank() over (partition by q.form order by length(en.ending) desc) as nth from (select form, substr(form, length(form) - n + 1) as ending from fo, range(1, 7) r(n) where n <= length(form)) q join en using (ending)) where nth <= 3 group by 1, 2)"
+
+
+@query(sql("v", f", fo as (select distinct 'zz' || form as form from v), {_EN}, {_END} select form, tag, round(weight, 4) as weight, source from ec"))
+def ending_candidates(spark, d):
+    vocab = training.vocabulary(gold(spark, d))
+    forms = vocab.select(F.concat(F.lit("zz"), "form").alias("form")).distinct()
+    return tagging.ending_candidates(forms, training.endings(vocab)).withColumn("weight", F.round("weight", 4))
+
+
+def _lattice(spark, d, forms=None):
+    g = gold(spark, d)
+    vocab = training.vocabulary(g)
+    return tagging.lattice(forms if forms is not None else _forms(vocab), vocab, training.endings(vocab), training.tag_types(g))
+
+
+@query(sql("v", f", {_KNOWN}, {_FORMS}, {_LEX}, fo as (select form from f where form not in (select form from lx)), {_EN}, {_END}, ty as (select upos as tag, count(distinct form)::double as types from v group by 1), al as (select * from lx union all select * from ec union all select form, tag, types, 'prior' from fo, ty where form not in (select form from ec)) select form, tag, round(weight / sum(weight) over (partition by form), 6) as prob, source from al"))
+def lattice_normalized(spark, d):
+    return _lattice(spark, d).withColumn("prob", F.round("prob", 6))
+
+
+@query()
+def viterbi_tags(spark, d):
+    g = gold(spark, d)
+    forms = g.select("form").distinct()
+    tagged = tagging.viterbi(g.select(*PLACE, "form"), _lattice(spark, d, forms), training.transitions(g))
+    return tagged.select("doc_id", *_long("line_no", "sent_no", "tok_no"), "form", "tag")
+
+
+# --- evaluation -----------------------------------------------------------------------------------------------
+
+
+def _aligned(spark, d):
+    g = gold(spark, d)
+    p = predicted(g).withColumn("tok", F.col("tok_no"))
+    return evaluation.same_place(g, p.withColumn("tok_no_", F.col("tok_no")), ("form", "upos", "xpos", "feats", "lemma", "head", "deprel", "tok_no_")).withColumnRenamed("pred_tok_no_", "pred_tok_no")
+
+
+_METRICS = ["tokenization", "upos", "xpos", "feats", "lemma", "feats_partial", "upos_feats"]
+
+
+@query(sql("pr", """, o as (select count(*) as total, count(*) as tokenization, count(*) filter (p_upos = upos) as upos, count(*) filter (p_xpos = xpos) as xpos, count(*) filter (p_feats = feats) as feats, count(*) filter (p_lemma = lemma) as lemma,
+    count(*) filter (len(list_filter(string_split(p_feats, '|'), lambda z: not list_contains(string_split(feats, '|'), z))) = 0) as feats_partial, count(*) filter (p_upos = upos and p_feats = feats) as upos_feats from pr)
+    select metric, correct, total, round(correct / total, 6) as accuracy from (unpivot o on tokenization, upos, xpos, feats, lemma, feats_partial, upos_feats into name metric value correct)"""))
+def eval_metrics(spark, d):
+    return evaluation.metrics(_aligned(spark, d)).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(sql("pr", "select metric, correct, total, round(correct / total, 6) as accuracy from (select unnest([{'metric': 'UAS', 'correct': u, 'total': n}, {'metric': 'LAS', 'correct': l, 'total': n}], recursive := true) from (select count(*) as n, count(*) as u, count(*) filter (p_deprel = deprel) as l from pr))"))
+def uas_las(spark, d):
+    return evaluation.attachment(_aligned(spark, d)).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query()
+def split_prf(spark, d):
+    g = tk.with_space_after(gold(spark, d))
+    mwts = tk.implicit_mwts(g)
+    pairs = tk.contraction_pairs(g).select("doc_id", "line_no", "sent_no", F.col("first").alias("mwt_start"), F.col("second").alias("mwt_end"))
+    return evaluation.split_scores(mwts, pairs)
+
+
+_LEN = "case when length(form) <= 2 then '1-2' when length(form) <= 4 then '3-4' when length(form) <= 7 then '5-7' when length(form) <= 10 then '8-10' else '11+' end"
+
+
+@query(sql("pr", f""", e as (select upos as gold_upos, {_LEN} as length, lang, (p_upos <> upos)::bigint as w from pr)
+    select case when grouping(gold_upos) = 0 then 'gold_upos' when grouping(length) = 0 then 'length' when grouping(lang) = 0 then 'lang' else 'all' end as grouping,
+    case when grouping(gold_upos) = 0 then gold_upos when grouping(length) = 0 then length when grouping(lang) = 0 then lang else '' end as value, count(*) as total, sum(w)::bigint as errors from e group by grouping sets ((), (gold_upos), (length), (lang))"""))
+def error_grouping_sets(spark, d):
+    rows = _aligned(spark, d).withColumn("gold_upos", F.col("upos")).withColumn("length", t.length_bucket(F.length("form")))
+    return evaluation.error_report(rows, F.col("pred_upos") != F.col("upos"), "gold_upos", "length", "lang")
+
+
+@query()
+def align_greedy(spark, d):
+    g = tok(spark, d).join(tk.sentence_bounds(tok(spark, d)), ["doc_id", "line_no", "sent_no"]).withColumn("n", F.col("tok_start") + F.col("tok_no"))
+    g = g.withColumn("sent_no", F.col("line_no") * 10000 + F.col("sent_no")).select("doc_id", "n", "sent_no", "form")
+    # the predicted side lost every token of one character
+    p = g.where("length(form) > 1").withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("n")) - 1)
+    return evaluation.align(g, p)
+
+
+_RUNS = "er as (select doc_id, line_no, sent_no, min(n) as start, max(n) + 1 as e, count(*) as k from (select *, n - row_number() over (partition by doc_id, line_no, sent_no order by n) as grp from (select g.*, b.tok_start + tok_no as n from g join b using (doc_id, line_no, sent_no)) where upos = 'PROPN') group by doc_id, line_no, sent_no, grp)"
+_BOUNDS = "b as (select doc_id, line_no, sent_no, e - n as tok_start, e as tok_end from (select *, (sum(n) over (partition by doc_id order by line_no, sent_no))::bigint as e from (select doc_id, line_no, sent_no, count(*) as n from t group by 1, 2, 3)))"
+
+
+def _entities(spark, d):
+    """Runs of proper nouns as spans of document token numbers."""
+    g = gold(spark, d)
+    bounds = tk.sentence_bounds(g)
+    n = g.where("upos = 'PROPN'").join(bounds, ["doc_id", "line_no", "sent_no"]).withColumn("n", F.col("tok_start") + F.col("tok_no"))
+    n = n.withColumn("grp", F.col("n") - F.row_number().over(Window.partitionBy("doc_id", "line_no", "sent_no").orderBy("n")))
+    spans = n.groupBy("doc_id", "line_no", "sent_no", "grp").agg(F.min("n").alias("start"), (F.max("n") + 1).alias("end")).select("doc_id", "start", "end", F.when(F.col("end") - F.col("start") > 1, "ORG").otherwise("PER").alias("label"))
+    return spans, bounds
+
+
+_ENTITIES = f", {_BOUNDS}, {_RUNS}, ei as (select doc_id, line_no, sent_no, (start - tok_start + 1)::bigint as first, (er.e - tok_start)::bigint as last, case when k > 1 then 'ORG' else 'PER' end as label from er join b using (doc_id, line_no, sent_no))"
+
+
+@query(sql("g", _ENTITIES + " select * from ei"))
+def entity_to_sentence(spark, d):
+    return evaluation.entities_in_sentences(*_entities(spark, d)).select("doc_id", *_long("line_no", "sent_no"), *_long("first", "last"), "label")
+
+
+@query(sql("g", _ENTITIES + " select *, label || '_' || row_number() over (partition by doc_id, line_no, sent_no, label order by first, last) as ne from ei"))
+def ne_sequence_ids(spark, d):
+    return evaluation.numbered_entities(evaluation.entities_in_sentences(*_entities(spark, d))).select("doc_id", *_long("line_no", "sent_no"), *_long("first", "last"), "label", "ne")
+
+
+@query(sql("g", _ENTITIES + " select * from ei where label = 'PER' union all select * from ei where label <> 'PER'"))
+def ner_merge(spark, d):
+    found = evaluation.entities_in_sentences(*_entities(spark, d)).select("doc_id", *_long("line_no", "sent_no"), *_long("first", "last"), "label")
+    return evaluation.merged_entities(found.where("label = 'PER'"), found, ("doc_id", "line_no", "sent_no", "first", "last", "label"))
+
+
+@query(sql("pr", "select case when (length(form) % 10) / 10.0 < 0.75 then p_upos else upos end as upos, (length(form) % 10) / 10.0 < 0.75 as from_fallback, count(*) as n from pr group by 1, 2"))
+def confidence_merge(spark, d):
+    g = gold(spark, d).withColumn("confidence", F.length("form") % 10 / 10)
+    return evaluation.merged_by_confidence(g, predicted(g), ("upos",), PLACE).groupBy("upos", "from_fallback").agg(F.count("*").alias("n"))
+
+
+@query(sql("g", "select depth, count(*) as n from (select tok_no as depth from g) group by 1"))
+def tree_depth(spark, d):
+    return evaluation.depths(gold(spark, d)).groupBy("depth").agg(F.count("*").alias("n"))
+
+
+# --- language -------------------------------------------------------------------------------------------------
+
+_TRI = "tr as (select doc_id, lang, substr(x, i, 3) as trigram, count(*) as n from (select doc_id, lang, substr(lower(text), 1, 20000) as x from documents), unnest(range(1, length(x) - 1)) r(i) where length(x) >= 3 group by 1, 2, 3), pf as (select lang, trigram, row_number() over (partition by lang order by sum(n) desc, trigram) as rank from tr group by 1, 2 qualify rank <= 300)"
+_SCORES = "sc as (select doc_id, y.lang, greatest(0, 1 - sum(coalesce(abs(n - rank)::double, 300.0)) / (300.0 * count(*))) as score from tr cross join (select distinct lang from pf) y left join pf on pf.trigram = tr.trigram and pf.lang = y.lang group by 1, 2)"
+
+
+@query(f"with {_TRI} select lang, trigram, rank from pf")
+def trigram_profile(spark, d):
+    return language.profiles(docs(spark, d)).select("lang", "trigram", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"with {_TRI}, {_SCORES} select doc_id, lang, round(score, 6) as score from sc")
+def trigram_detect(spark, d):
+    return language.scores(docs(spark, d), language.profiles(docs(spark, d))).withColumn("score", F.round("score", 6))
+
+
+@query()
+def detect_confusion(spark, d):
+    found = language.detected(language.scores(docs(spark, d), language.profiles(docs(spark, d)))).withColumnRenamed("lang", "detected")
+    return docs(spark, d).select("doc_id", "lang").join(found, "doc_id", "left").groupBy("lang", "detected", "reliable").agg(F.count("*").alias("n"))
+
+
+# --- reports --------------------------------------------------------------------------------------------------
+
+_RESULTS = """r as (select lang as language, source as treebank, 'b' || (length(source) % 2) as backend, 'm' || (doc_id % 3) || case when doc_id % 3 = 1 then '_full' else '' end as model, 'auto' as mode,
+    case when sum(n_chars) % 5 = 0 then null else (sum(n_chars) % 1000)::double / 1000 end as uas, sum(n_chars)::bigint as size, max(doc_id) as timestamp from documents group by 1, 2, 3, 4)"""
+
+
+def _results(spark, d):
+    rows = docs(spark, d).select(F.col("lang").alias("language"), F.col("source").alias("treebank"), F.concat(F.lit("b"), F.length("source") % 2).alias("backend"), F.concat(F.lit("m"), F.col("doc_id") % 3, F.when(F.col("doc_id") % 3 == 1, "_full").otherwise("")).alias("model"), F.lit("auto").alias("mode"), "n_chars", "doc_id")
+    out = rows.groupBy("language", "treebank", "backend", "model", "mode").agg(F.sum("n_chars").alias("size"), F.max("doc_id").alias("timestamp"))
+    return out.withColumn("uas", F.when(F.col("size") % 5 != 0, (F.col("size") % 1000) / 1000))
+
+
+@query(f"with {_RESULTS} select language, backend, model, mode, round(avg(uas), 6) as uas, round(avg(size), 2) as size, count(*) as treebanks from r group by 1, 2, 3, 4")
+def bench_average(spark, d):
+    return reports.averages(_results(spark, d), ("uas", "size")).withColumn("uas", F.round("uas", 6)).withColumn("size", F.round("size", 2))
+
+
+@query(f"with {_RESULTS}, n as (select * replace (size + 1 as size, timestamp + (size % 3) - 1 as timestamp) from r) select language, treebank, backend, model, mode, size, timestamp from (select *, 0 as new from r union all select *, 1 from n) qualify row_number() over (partition by language, backend, model, treebank, mode order by timestamp desc, new desc) = 1")
+def bench_upsert(spark, d):
+    stored = _results(spark, d)
+    new = stored.withColumn("timestamp", F.col("timestamp") + F.col("size") % 3 - 1).withColumn("size", F.col("size") + 1)
+    return reports.upserted(stored, new).select("language", "treebank", "backend", "model", "mode", "size", "timestamp")
+
+
+@query(f"with {_RESULTS} select language, treebank, backend, model, uas, row_number() over (partition by language order by uas desc nulls last, language, backend, model, treebank, mode) as place from r")
+def bench_sorted(spark, d):
+    return reports.ranked(_results(spark, d), "uas").select("language", "treebank", "backend", "model", "uas", F.col("place").cast("long").alias("place"))
+
+
+@query(f"with {_RESULTS}, tb as (select distinct language, treebank from r where language <> 'es'), md as (select distinct language, backend, model from r where language <> 'de') select language, coalesce(a, 0) as treebanks, coalesce(b, 0) as models from (select language, count(*) as a from tb group by 1) full join (select language, count(*) as b from md group by 1) using (language)")
+def language_coverage(spark, d):
+    r = _results(spark, d)
+    return reports.language_coverage(r.where("language <> 'es'").select("language", "treebank").distinct(), r.where("language <> 'de'").select("language", "backend", "model").distinct())
+
+
+@query(f"with {_RESULTS} select m.language, m.backend, m.model, t.treebank from (select distinct language, backend, model from r where not (backend = 'b0' and model = 'm2')) m join (select distinct language, treebank from r) t using (language)")
+def job_grid(spark, d):
+    r = _results(spark, d)
+    disabled = spark.createDataFrame([("b0", "m2")], "backend string, model string")
+    return reports.job_grid(r.select("language", "backend", "model").distinct(), r.select("language", "treebank").distinct(), disabled)
+
+
+@query(f"with {_RESULTS}, c as (select language, backend, model, max(size) % 2 = 0 as installed from r group by 1, 2, 3) select * from c qualify row_number() over (partition by language, backend order by installed desc, ends_with(model, '_full') desc, model) = 1")
+def preferred_model(spark, d):
+    catalog = _results(spark, d).groupBy("language", "backend", "model").agg((F.max("size") % 2 == 0).alias("installed"))
+    return reports.preferred_models(catalog)
+
+
+@query(f"with {_RESULTS}, c as (select language, backend, model, max(size) % 2 = 0 as installed from r group by 1, 2, 3), p as (select * from c qualify row_number() over (partition by language, backend order by installed desc, ends_with(model, '_full') desc, model) = 1) select * from p qualify row_number() over (partition by language order by installed desc, backend desc, model) = 1")
+def preferred_per_language(spark, d):
+    catalog = _results(spark, d).groupBy("language", "backend", "model").agg((F.max("size") % 2 == 0).alias("installed"))
+    return reports.preferred_per_language(catalog, ("b1", "b0"))
+
+
+@query(f"with {_RESULTS}, lo as (select backend, model, max(size) as size from r where language = 'en' group by 1, 2), re as (select backend, model || '' as model, min(size) as size from r where language = 'de' group by 1, 2) select backend, model, coalesce(lo.size, re.size) as size, lo.size is not null as installed, re.size is not null as remote from lo full join re using (backend, model)")
+def registry_merge(spark, d):
+    r = _results(spark, d)
+    local = r.where("language = 'en'").groupBy("backend", "model").agg(F.max("size").alias("size"))
+    remote = r.where("language = 'de'").groupBy("backend", "model").agg(F.min("size").alias("size"))
+    return reports.merged_registry(remote, local, ("size",))
+
+
+@query("select doc_id, case when p < 0.8 then 'train' when p < 0.9 then 'dev' else 'test' end as split from (select doc_id, ('0x' || substr(md5('42:' || doc_id), 1, 8))::bigint / 4294967296.0 as p from documents)")
+def split_assign(spark, d):
+    return reports.split_assigned(docs(spark, d).select("doc_id"), "doc_id")
+
+
+# --- spelling -------------------------------------------------------------------------------------------------
+
+_PAIRS = "pa as (select form, case when length(form) % 3 = 0 then '_' else replace(replace(form, 'é', 'e'), 'th', 'd') end as reg from t)"
+
+
+def _pairs(spark, d):
+    reg = F.when(F.length("form") % 3 == 0, "_").otherwise(F.replace(F.replace("form", F.lit("é"), F.lit("e")), F.lit("th"), F.lit("d")))
+    return tok(spark, d).select("form", reg.alias("reg"))
+
+
+@query(sql("t", f", {_PAIRS}, c as (select form, case when reg not in ('_', '') and reg <> form then reg end as reg, count(*) as cnt from pa group by 1, 2), w as (select *, sum(cnt) over (partition by form) as al, coalesce(sum(cnt) filter (reg is null) over (partition by form), 0) as same from c) select form, reg, cnt from (select * from w where reg is not null qualify row_number() over (partition by form order by cnt desc, reg) = 1) where cnt > same or same * 5 < al"))
+def reg_dominant(spark, d):
+    return training.dominant_reg(_pairs(spark, d))
+
+
+_LEXPAIRS = "lp as (select distinct form, reg from pa where reg <> '_' and reg <> form)"
+
+
+@query(sql("t", f", {_PAIRS}, {_LEXPAIRS} select form[-n:] as suffix, count(*) as cnt from lp, range(1, 5) r(n) where length(form) > n and length(reg) > n and form[-n:] = reg[-n:] group by 1 having count(*) >= 5"))
+def suffix_patterns(spark, d):
+    return training.suffix_patterns(_pairs(spark, d).where("reg <> '_' and reg <> form").distinct())
+
+
+@query(sql("t", f", {_PAIRS}, {_LEXPAIRS} select form[i] as old, reg[i] as new, count(*) as cnt from lp, unnest(range(1, length(form) + 1)) r(i) where length(form) = length(reg) and form[i] <> reg[i] group by 1, 2 having count(*) >= 10"))
+def substitution_patterns(spark, d):
+    return training.substitutions(_pairs(spark, d).where("reg <> '_' and reg <> form").distinct())
+
+
+@query()
+def normalize_bold(spark, d):
+    pairs = _pairs(spark, d)
+    lexicon = pairs.where("reg <> '_' and reg <> form").distinct()
+    vocab = pairs.groupBy("form").agg(F.count("*").alias("cnt"))
+    return training.normalize(vocab.select("form"), training.dominant_reg(pairs), vocab, training.substitutions(lexicon), bold=True).groupBy("how").agg(F.count("*").alias("n"))
+
+
+# --- formats --------------------------------------------------------------------------------------------------
+
+
+@query(sql("sp", r"""select doc_id, line_no, sent_no, string_agg((tok_no + 1) || chr(9) || case when form = '_' then '\_' else form end || chr(9) || lemma || chr(9) || upos || chr(9) || xpos || chr(9) || feats || chr(9) || head || chr(9) || deprel || chr(9) || '_' || chr(9) || case when space_after = false then 'SpaceAfter=No' else '_' end, chr(10) order by tok_no) as body from sp group by 1, 2, 3"""))
+def conllu_lines(spark, d):
+    return conllu.sentence_bodies(tk.with_space_after(gold(spark, d))).select("doc_id", *_long("line_no", "sent_no"), "body")
+
+
+@query(sql("sp", "select doc_id, form, lemma, upos, xpos, feats, head, deprel, count(*) as n from sp group by all"))
+def conllu_roundtrip(spark, d):
+    written = conllu.documents(tk.with_space_after(gold(spark, d)))
+    return conllu.parsed(written).groupBy("doc_id", "form", "lemma", "upos", "xpos", "feats", F.col("head").cast("long").alias("head"), "deprel").agg(F.count("*").alias("n"))
+
+
+@query(sql("sp", "select doc_id, form, lemma, upos, count(*) as n from sp group by all"))
+def teitok_roundtrip(spark, d):
+    written = teitok.documents(tk.with_space_after(gold(spark, d)))
+    return teitok.parsed(written).groupBy("doc_id", "form", "lemma", "upos").agg(F.count("*").alias("n"))
+
+
+@query(sql("g", "select doc_id, count(*) as tokens, count(distinct (line_no, sent_no)) as sentences from g group by 1"))
+def json_payload(spark, d):
+    payload = conllu.json_documents(gold(spark, d))
+    tree = F.from_json("payload", "sentences array<struct<tokens: array<struct<form: string>>>>")
+    read = payload.select("doc_id", tree["sentences"].alias("ss"))
+    return read.select("doc_id", F.aggregate("ss", F.lit(0).cast("long"), lambda a, s: a + F.size(s["tokens"])).alias("tokens"), F.size("ss").cast("long").alias("sentences"))
