@@ -23,6 +23,7 @@ the text back exactly, except that U+2581 in a text comes back as a blank. Repea
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
 from dataclasses import dataclass, field
 from itertools import chain
@@ -39,8 +40,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONG = 40
 UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-#: Units and fitting pairs that a worker keeps; beyond it starts anew.
+#: Units that a worker keeps; beyond it starts anew.
 KEEP = 300_000
+#: Places for pairs of pieces whose fit is known.
+PAIR_BITS = 20
 
 
 @dataclass
@@ -87,12 +90,11 @@ class Encoder:
     vocabulary: Vocabulary
     ids: dict[str, int] = field(init=False)
     known: dict[str, tuple[int, ...]] = field(default_factory=dict)
-    fits: dict[int, bool] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         pieces = self.vocabulary.pieces
         self.ids = {p: i for i, p in enumerate(pieces) if p}
-        self.rank = {p: (-self.vocabulary.scores[i], i) for p, i in self.ids.items()}
+        self.rank = {p: -self.vocabulary.scores[i] for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
         by_length: dict[int, list[str]] = {}
         for p in self.ids:
@@ -103,11 +105,18 @@ class Encoder:
             ids.append(np.array([self.ids[p] for p in group], dtype=np.int64))
         order = np.argsort(np.concatenate(hashes))
         self.keys, self.key_ids = np.concatenate(hashes)[order], np.concatenate(ids)[order]
+        # whether two pieces fit, by a hash of the pair; a later pair takes the place of an earlier one
+        self.pair_keys, self.pair_fits = np.full(1 << PAIR_BITS, -1, dtype=np.int64), np.zeros(1 << PAIR_BITS, dtype=bool)
+        # which values of 20 bits of a hash any piece has: most substrings are no piece and need no search
+        self.seen = np.zeros(1 << 20, dtype=bool)
+        self.seen[(self.keys >> np.uint64(44)).astype(np.int64)] = True
         with np.errstate(over="ignore"):
             self.powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(self.longest, _BASE))))
 
     def merged(self, text: str) -> list[str]:
         """Merging by rank, the leftmost first: the definition that the batches are held to."""
+        if len(text) <= 2 * self.longest:
+            return self._merged_short(list(text))
         parts: list[str | None] = list(text)
         before, after = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
         heap: list[tuple] = []
@@ -115,7 +124,7 @@ class Encoder:
         def offer(i: int, j: int) -> None:
             both = parts[i] + parts[j]
             if (r := self.rank.get(both)) is not None:
-                heapq.heappush(heap, (r[0], i, j, both))
+                heapq.heappush(heap, (r, i, j, both))
 
         for i in range(len(parts) - 1):
             offer(i, i + 1)
@@ -132,6 +141,23 @@ class Encoder:
                 offer(before[i], i)
         return [p for p in parts if p is not None]
 
+    def _merged_short(self, parts: list[str]) -> list[str]:
+        get = self.rank.get
+        ranks = [get(a + b) for a, b in itertools.pairwise(parts)]
+        while True:
+            best, at = None, -1
+            for i, r in enumerate(ranks):
+                if r is not None and (best is None or r < best):
+                    best, at = r, i
+            if at < 0:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get(parts[at - 1] + parts[at])
+            if at < len(ranks):
+                ranks[at] = get(parts[at] + parts[at + 1])
+
     def out_ids(self, parts: list[str]) -> tuple[int, ...]:
         out: list[int] = []
         for p in parts:
@@ -144,17 +170,21 @@ class Encoder:
     def _fitting(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether piece `right` can stand behind piece `left`; left -1 is the start, -2 a code point without a piece."""
         n = len(self.vocabulary.pieces)
-        pairs, at = np.unique((left + 2) * n + right, return_inverse=True)
-        good = np.empty(len(pairs), dtype=bool)
-        for k, pair in enumerate(pairs.tolist()):
-            known = self.fits.get(pair)
-            if known is None:
+        pairs = (left + 2) * n + right
+        slots = ((pairs.astype(np.uint64) * _BASE) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        good = self.pair_fits[slots]
+        missed = np.flatnonzero(self.pair_keys[slots] != pairs)
+        if len(missed):
+            new, at = np.unique(pairs[missed], return_inverse=True)
+            fits = np.empty(len(new), dtype=bool)
+            for k, pair in enumerate(new.tolist()):
                 a, b = divmod(pair, n)
                 b = self.vocabulary.pieces[b]
                 a = self.vocabulary.pieces[a - 2] if a >= 2 else ""
-                known = self.fits[pair] = self.merged(a + b) == ([a, b] if a else [b])
-            good[k] = known
-        return good[at]
+                fits[k] = self.merged(a + b) == ([a, b] if a else [b])
+            good[missed] = fits[at]
+            self.pair_keys[slots[missed]], self.pair_fits[slots[missed]] = pairs[missed], good[missed]
+        return good
 
     def _batch(self, words: list[str], length: int) -> list[tuple[int, ...]]:
         count = len(words)
@@ -169,39 +199,43 @@ class Encoder:
                 s = e - size
                 with np.errstate(over="ignore"):
                     h = hashes[:, e] - hashes[:, s] * self.powers[size]
-                k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                rows = np.flatnonzero((self.keys[k] == h) & (best == 0))
+                rows = np.flatnonzero(self.seen[(h >> np.uint64(44)).astype(np.int64)] & (best == 0))
+                k = np.minimum(np.searchsorted(self.keys, h[rows]), len(self.keys) - 1)
+                real = self.keys[k] == h[rows]
+                rows, ids = rows[real], self.key_ids[k[real]]
                 if not len(rows):
                     continue
-                ids = self.key_ids[k[rows]]
                 score = (size + 1) * self._fitting(last[rows, s], ids) if size > 1 else np.full(len(rows), 2)
                 better = score > best[rows]
                 rows, ids = rows[better], ids[better]
                 best[rows], last[rows, e], back[rows, e] = score[better], ids, s
-        paths: list[list[int]] = [[] for _ in words]
-        ends = [length] * count
-        last_rows, back_rows = last.tolist(), back.tolist()
-        for w in range(count):
-            e, path = ends[w], paths[w]
-            while e:
-                i = last_rows[w][e]
-                path.append(i if i >= 0 else -e)
-                e = back_rows[w][e]
+        # follow the backpointers of all units at once, filling the pieces in from the right
+        found = np.zeros((count, length), dtype=np.int64)
+        filled = np.zeros((count, length), dtype=bool)
+        rows, e = np.arange(count), np.full(count, length)
+        column = length - 1
+        while len(rows):
+            ids = last[rows, e]
+            # a code point without a piece is noted by its place
+            found[rows, column], filled[rows, column] = np.where(ids >= 0, ids, -e), True
+            e = back[rows, e]
+            rows, e = rows[e > 0], e[e > 0]
+            column -= 1
+        flat = found[filled].tolist()
+        bounds = np.concatenate(([0], np.cumsum(filled.sum(axis=1)))).tolist()
+        whole = (found >= 0).all(axis=1).tolist()
         out = []
-        for w, path in zip(words, paths, strict=True):
-            path.reverse()
-            if min(path) >= 0:
-                out.append(tuple(path))
-            else:
-                out.append(tuple(chain.from_iterable((i,) if i >= 0 else [self.vocabulary.bytes_from + b for b in w[-i - 1].encode("utf-8", "surrogatepass")] for i in path)))
+        for k, (w, a, b) in enumerate(zip(words, bounds, bounds[1:], strict=False)):
+            path = flat[a:b]
+            if not whole[k]:
+                path = chain.from_iterable((i,) if i >= 0 else [self.vocabulary.bytes_from + x for x in w[-i - 1].encode("utf-8", "surrogatepass")] for i in path)
+            out.append(tuple(path))
         return out
 
     def learn(self, units: set[str]) -> None:
         """Encode the units not known yet."""
         if len(self.known) > KEEP:
             self.known.clear()
-        if len(self.fits) > 4 * KEEP:
-            self.fits.clear()
         by_length: dict[int, list[str]] = {}
         for u in units:
             if u not in self.known:
@@ -214,11 +248,19 @@ class Encoder:
                 part = words[k : k + 20_000]
                 self.known.update(zip(part, self._batch(part, length), strict=True))
 
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in one array, and where each text's ids begin and the last ones end; a null text has none."""
+        units = [UNIT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        flat = list(chain.from_iterable(units))
+        self.learn(set(flat))
+        found = list(map(self.known.__getitem__, flat))
+        ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))))
+        ids = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(ends[-1]))
+        return ids, ends[np.concatenate(([0], np.cumsum([len(u) for u in units], dtype=np.int64)))]
+
     def encode(self, texts: list[str | None]) -> list[list[int] | None]:
-        units = [None if t is None else UNIT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        self.learn(set(chain.from_iterable(u for u in units if u)))
-        known = self.known
-        return [None if u is None else list(chain.from_iterable(map(known.__getitem__, u))) for u in units]
+        ids, at = self.encode_flat(texts)
+        return [None if t is None else ids[a:b].tolist() for t, a, b in zip(texts, at.tolist(), at[1:].tolist(), strict=False)]
 
 
 def _byte_table(vocabulary: Vocabulary) -> list[bytes]:
@@ -247,9 +289,11 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
             for k, t in enumerate(texts):
                 size += len(t or "")
                 if size >= _BLOCK_CHARS or k == len(texts) - 1:
-                    ids = encoder.encode(texts[start : k + 1])
+                    ids, at = encoder.encode_flat(texts[start : k + 1])
                     part = batch.slice(start, k + 1 - start)
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "text", "ids"])
+                    none = pa.array([t is None for t in texts[start : k + 1]])
+                    ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids), mask=none)
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), ids], names=["doc_id", "text", "ids"])
                     start, size = k + 1, 0
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text string, ids array<int>")
