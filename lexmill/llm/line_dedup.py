@@ -32,7 +32,7 @@ from lexmill.llm.common import NO_ID, park
 
 EDITS = 1
 LEAST_CHARS = 30
-MOST = 32
+MOST = 128
 
 
 def lines_of(text: Column) -> Column:
@@ -88,30 +88,35 @@ def within_one(xs: Column, ys: Column) -> Column:
     return end.bitwiseAND(bit) != 0
 
 
-_HELD = ("id", "own", "place", "rest", "chars")
-
-
 def near_pairs(held: DataFrame) -> DataFrame:
-    """held(kh, id, own, place, rest, chars): (gone, by) pairs of ids where `gone` is within one edit of the earlier `by`."""
+    """held(kh, id, own, place, rest, chars): (gone, by) pairs of ids where `gone` is within one edit of the earlier `by`.
+
+    Pairs are made of places alone; the code points join the pairs that are left.
+    """
     sizes = held.groupBy("kh").agg(F.count("*").alias("members"))
-    held = held.join(sizes, "kh")
-    few, many = held.where(F.col("members") <= MOST), held.where(F.col("members") > MOST)
-    side = lambda df, s: df.select("kh", *(F.col(c).alias(f"{c}_{s}") for c in _HELD))
+    light = held.join(sizes, "kh").select("kh", "id", "own", "place", "rest", "members")
+    few, many = light.where(F.col("members") <= MOST).drop("rest", "members"), light.where(F.col("members") > MOST)
+    side = lambda df, s: df.select("kh", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "own", "place")))
 
     small = side(few, "a").join(side(few, "b"), "kh").where("place_a > place_b and (own_a or own_b)")
-    # equal length: the earliest line of each cut
     cut = lambda place: F.transform(F.sequence(F.lit(1), F.greatest(F.length("rest"), F.lit(1))), lambda i: F.xxhash64(place(i), F.concat(F.substring("rest", F.lit(1), i - 1), F.substring("rest", i + 1, F.length("rest")))))
-    same = many.where("own").select("kh", *_HELD, F.explode(cut(lambda i: i)).alias("sig"))
-    best = same.groupBy("kh", "sig").agg(F.min(F.struct("place", *(c for c in _HELD if c != "place"))).alias("m"))
-    best = best.select("kh", "sig", *(F.col(f"m.{c}").alias(f"{c}_b") for c in _HELD))
-    same = same.select("kh", "sig", *(F.col(c).alias(f"{c}_a") for c in _HELD)).join(best, ["kh", "sig"]).where("place_a > place_b").drop("sig")
+    # equal length: the earliest line of each cut
+    same = many.where("own").select("kh", "id", "own", "place", F.explode(cut(lambda i: i)).alias("sig"))
+    best = same.groupBy("kh", "sig").agg(F.min(F.struct("place", "id", "own")).alias("m"))
+    best = best.select("kh", "sig", *(F.col(f"m.{c}").alias(f"{c}_b") for c in ("id", "own", "place")))
+    same = same.select("kh", "sig", *(F.col(c).alias(f"{c}_a") for c in ("id", "own", "place"))).join(best, ["kh", "sig"]).where("place_a > place_b").drop("sig")
     # longer by one: the line that some cut makes equal
-    longer = many.where("not own").select("kh", *_HELD, F.explode(F.array_distinct(cut(lambda i: F.lit(0)))).alias("sig"))
-    shorter = many.where("own").select("kh", *_HELD, F.xxhash64(F.lit(0), "rest").alias("sig"))
-    both = side(longer.withColumn("kh", F.xxhash64("kh", "sig")), "a").join(side(shorter.withColumn("kh", F.xxhash64("kh", "sig")), "b"), "kh")
-    turned = both.select("kh", *(F.when(F.col("place_a") > F.col("place_b"), F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(f"{c}_a") for c in _HELD), *(F.when(F.col("place_a") > F.col("place_b"), F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).alias(f"{c}_b") for c in _HELD))
-    met = small.unionByName(same).unionByName(turned).where("id_a <> id_b")
-    return met.where(F.abs(F.size("chars_a") - F.size("chars_b")) < 2).where(within_one(F.col("chars_a"), F.col("chars_b"))).select(F.col("id_a").alias("gone"), F.col("id_b").alias("by")).distinct()
+    longer = many.where("not own").select("kh", "id", "own", "place", F.explode(F.array_distinct(cut(lambda i: F.lit(0)))).alias("sig"))
+    shorter = many.where("own").select("kh", "id", "own", "place", F.xxhash64(F.lit(0), "rest").alias("sig"))
+    pick = lambda df, s: df.select("kh", "sig", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "own", "place")))
+    both = pick(longer, "a").join(pick(shorter, "b"), ["kh", "sig"]).drop("sig")
+    later = F.col("place_a") > F.col("place_b")
+    turned = both.select("kh", *(F.when(later, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(f"{c}_{x}") for x, y in ("ab", "ba") for c in ("id", "own", "place")))
+    met = small.unionByName(same).unionByName(turned).where("id_a <> id_b").select("kh", "id_a", "own_a", "id_b", "own_b").distinct()
+    chars = lambda s: held.select("kh", F.col("id").alias(f"id_{s}"), F.col("own").alias(f"own_{s}"), F.col("chars").alias(f"chars_{s}"))
+    met = met.join(chars("a"), ["kh", "id_a", "own_a"]).join(chars("b"), ["kh", "id_b", "own_b"])
+    near = met.where(F.abs(F.size("chars_a") - F.size("chars_b")) < 2).where(within_one(F.col("chars_a"), F.col("chars_b")))
+    return near.select(F.col("id_a").alias("gone"), F.col("id_b").alias("by")).distinct()
 
 
 def _rows(docs: DataFrame) -> DataFrame:
