@@ -2,7 +2,9 @@ r"""Near-duplicate lines by a segment-partition edit join, with DataFrame functi
 
 Lines are the \n-separated parts of a text, trimmed. A line of `least_chars` code points or more is removed
 if the same line, or one within one edit (EDITS = 1), stands earlier: in a smaller doc_id, or before it in
-its document. Lines are judged on the input; shorter lines always stay.
+its document. Lines are judged on the input. Of shorter lines those of `shortest` code points or more are
+removed if the same line stands earlier; `deduplicated` and the query take 1, every line with a word. Without
+`shortest` shorter lines stay.
 
 1. Equal lines become one row, with its first place; counting drops repeats on the map side.
 2. Each line is split into EDITS + 1 = 2 segments, its first half and the rest; one of them must be unharmed
@@ -33,6 +35,8 @@ from lexmill.llm.common import NO_ID, park
 EDITS = 1
 LEAST_CHARS = 30
 MOST = 128
+#: With this as `shortest` equal lines of every length go; a line of no code points has no word and stays.
+ANY_LENGTH = 1
 
 
 def lines_of(text: Column) -> Column:
@@ -124,17 +128,17 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def staying(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """key, th, stay array<int>: the numbers of a document's lines of `least_chars` or more that stay."""
+def staying(docs: DataFrame, least_chars: int = LEAST_CHARS, shortest: int | None = None) -> DataFrame:
+    """key, th, stay array<int>: the numbers of a document's lines of `shortest` (or else `least_chars`) or more that stay."""
     rows = _rows(docs)
     line = F.col("line")
-    each = rows.select("key", "th", F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).withColumn("n", F.length("line")).where(F.col("n") >= least_chars)
+    each = rows.select("key", "th", F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).withColumn("n", F.length("line")).where(F.col("n") >= min(least_chars, least_chars if shortest is None else shortest))
     n = F.col("n")
-    each = each.select(F.xxhash64(line).alias("id"), F.xxhash64(F.lit(1), line).alias("id2"), F.struct("key", "th", "pos").alias("place"), "n", *(_key(line, n, *k).alias(f"k{i}") for i, k in enumerate(KEYS)))
+    each = each.select(F.xxhash64(line).alias("id"), F.xxhash64(F.lit(1), line).alias("id2"), F.struct("key", "th", "pos").alias("place"), "n", *(F.when(n >= least_chars, _key(line, n, *k)).alias(f"k{i}") for i, k in enumerate(KEYS)))
     lines = park(each.groupBy("id", "id2").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in ("n", "k0", "k1", "k2", "k3"))), "line-rows")
 
     entry = lambda i, side, own: F.struct(F.col(f"k{i}").alias("kh"), F.lit(side).alias("side"), (n if own else n - 1).alias("n"), F.lit(own).alias("own"))
-    keys = lines.select("id", "place", F.inline(F.array(*(entry(i, *k) for i, k in enumerate(KEYS)))))
+    keys = lines.where(n >= least_chars).select("id", "place", F.inline(F.array(*(entry(i, *k) for i, k in enumerate(KEYS)))))
     shared = keys.groupBy("kh").agg(F.count("*").alias("c"), F.max("own").alias("any_own")).where("c > 1 and any_own").select("kh")
     held = park(keys.join(shared, "kh"), "line-keys")
     # the candidates' texts, from the documents where they first stand
@@ -148,19 +152,19 @@ def staying(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     return left.groupBy(F.col("place.key").alias("key"), F.col("place.th").alias("th")).agg(F.collect_list("place.pos").alias("stay"))
 
 
-def with_lines_left(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+def with_lines_left(docs: DataFrame, least_chars: int = LEAST_CHARS, shortest: int | None = None) -> DataFrame:
     """docs with all columns and `_left`: the text without the lines that go, `_gone`: their number."""
-    stay = staying(docs, least_chars).select(F.col("key").alias("_key"), F.col("th").alias("_th"), F.col("stay").alias("_stay"))
+    stay = staying(docs, least_chars, shortest).select(F.col("key").alias("_key"), F.col("th").alias("_th"), F.col("stay").alias("_stay"))
     text = F.coalesce(docs.text, F.lit(""))
     joined = docs.join(stay, (F.coalesce(docs.doc_id.cast("long"), F.lit(NO_ID)) == F.col("_key")) & (F.xxhash64(text) == F.col("_th")), "left")
     held = F.coalesce("_stay", F.array().cast("array<int>"))
     trimmed = lines_of(text)
-    left = F.filter(F.arrays_zip(F.split(text, "\n").alias("raw"), trimmed.alias("line")), lambda x, i: (F.length(x["line"]) < least_chars) | F.array_contains(held, i))
+    left = F.filter(F.arrays_zip(F.split(text, "\n").alias("raw"), trimmed.alias("line")), lambda x, i: (F.length(x["line"]) < min(least_chars, least_chars if shortest is None else shortest)) | F.array_contains(held, i))
     joined = joined.withColumn("_kept", F.transform(left, lambda x: x["raw"])).withColumn("_gone", F.size(F.split(text, "\n")) - F.size("_kept"))
     return joined.withColumn("_left", F.when(F.col("_gone") == 0, docs.text).otherwise(F.array_join("_kept", "\n"))).drop("_key", "_th", "_stay", "_kept")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs, same columns, without the lines that go; documents that lose all their words go too."""
-    found = with_lines_left(docs).where((F.col("_gone") == 0) | F.col("_left").rlike(r"[^\x20\x09-\x0D]"))
+    found = with_lines_left(docs, shortest=ANY_LENGTH).where((F.col("_gone") == 0) | F.col("_left").rlike(r"[^\x20\x09-\x0D]"))
     return found.select(*(F.col("_left").alias(c) if c == "text" else F.length("_left").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))

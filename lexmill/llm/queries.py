@@ -156,7 +156,7 @@ QUERIES["op7_benchmark_decontamination"] = op7_benchmark_decontamination
 def op8_line_dedup(spark, sf_dir):
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
     text = F.coalesce("_left", F.lit(""))
-    return line_dedup.with_lines_left(docs).select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"), F.col("_gone").cast("long").alias("n_removed"), F.sha2(text, 256).alias("kept_sha256"))
+    return line_dedup.with_lines_left(docs, shortest=line_dedup.ANY_LENGTH).select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"), F.col("_gone").cast("long").alias("n_removed"), F.sha2(text, 256).alias("kept_sha256"))
 
 
 QUERIES["op8_line_dedup"] = op8_line_dedup
