@@ -42,11 +42,9 @@ LEAST_SHARE = 0.5
 
 
 def shingle_set(text: bytes, hashes: WordHashes, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text."""
+    """Sorted distinct shingle hashes of a text, as signed numbers: the order of a sketch is the one Spark sorts longs by."""
     words = hashes.of(text.lower().split())
-    if 0 < len(words) < width:
-        return window_hashes(words, len(words))
-    return np.unique(window_hashes(words, width))
+    return np.unique(window_hashes(words, min(width, max(1, len(words)))).view(np.int64))
 
 
 def _sketches(k: int):
@@ -58,7 +56,7 @@ def _sketches(k: int):
             s = shingle_set(text, hashes)
             sizes.append(len(s))
             digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            sketches.append(s[:k].view(np.int64))
+            sketches.append(s[:k])
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "sketch"])
 
     return run
@@ -68,7 +66,7 @@ def _full_sets():
     hashes = WordHashes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(text, hashes).view(np.int64) for text in binary_rows(batch, "text")]
+        sets = [shingle_set(text, hashes) for text in binary_rows(batch, "text")]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "full"])
 
     return run

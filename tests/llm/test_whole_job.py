@@ -1,6 +1,6 @@
 """Cases of a review in which the training-data operators did less than the whole job."""
 
-from lexmill.llm import line_dedup
+from lexmill.llm import line_dedup, near_dedup
 
 
 def docs(spark, *texts):
@@ -13,3 +13,17 @@ def test_equal_short_lines_go_at_every_length(spark):
     got = {r.doc_id: r._left for r in line_dedup.with_lines_left(df, shortest=line_dedup.ANY_LENGTH).collect()}
     assert got == {0: "x\nLes.\n\n" + near.format(1), 1: "\nLes!", 2: ""}
     assert sorted(r.doc_id for r in line_dedup.deduplicated(df).collect()) == [0, 1]
+
+
+def test_links_of_subsets_with_small_sketches(spark):
+    # 60 to 130 shingles: sketches hold values of the upper half, and the two sides are cut at different places
+    texts, want = [], {}
+    for k in range(240):
+        n = 80 + k % 51
+        m = -(-n * 3 // 4) + k % 2
+        assert 0.75 <= m / n < 0.78
+        words = [f"w{k}x{i}" for i in range(n + 4)]
+        texts += [" ".join(words), " ".join(words[: m + 4])]
+        want |= {2 * k: (n, 2 * k), 2 * k + 1: (m, 2 * k)}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs(spark, *texts)).collect()}
+    assert got == want
