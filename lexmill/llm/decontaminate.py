@@ -4,19 +4,20 @@ r"""Benchmark decontamination by canonical templates, with DataFrame functions o
 numbers and the units after them; end punctuation of words is dropped, white space stays, so that the
 tokens of a text and of its template correspond one to one.
 
-Every run of WIDTH template tokens of a benchmark item is a window. Its longest literal token is its anchor.
+Every run of WIDTH template tokens of a benchmark item is a window, and so is every run of its unmasked,
+lower-cased tokens (of a shorter item the whole of it). A window's longest literal token is its anchor.
 Documents' tokens meet the anchors in a hash join, and the tokens around each are compared with the window,
 so only true windows leave the join. Up to `broadcast_rows` windows (counted first) are broadcast, and no
 document moves; beyond it the join is by shuffle.
 
-Matches of one item at one offset are one alignment. Its slots (tokens under a placeholder) must be
-consistent: equal item values have equal document values and the other way round. A re-parameterised
+Matches of one template at one offset are one alignment, which is held against every item of the template:
+tokens met only by unmasked windows must equal the item's. Slots (tokens under a placeholder) must be
+consistent, whatever their case: equal item values have equal document values and the other way round. A re-parameterised
 question replaces values throughout, unrelated text does not. An alignment counts if its slots are
 consistent and the windows cover at least `least_tokens` tokens or the whole item.
 
 Defined cases: null or empty texts match nothing; items of fewer than WIDTH tokens, and windows with fewer
-than half literal tokens, are not searched; items with the same template are one item (the smallest id);
-repeated documents give repeated rows; a null doc_id is reported as null; a null item_id sorts last.
+than half literal tokens, are searched unmasked only; items of one template are all reported; repeated documents give repeated rows; a null doc_id is reported as null; a null item_id sorts last.
 """
 
 from __future__ import annotations
@@ -47,17 +48,37 @@ def is_slot(token: Column) -> Column:
     return token.isin("<name>", "<num>", "<unit>")
 
 
-def windows_of(items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """items(item_id, text) -> item_id, n_item, raw, ipos, tokens of the window, anchor, off (of the anchor)."""
-    rows = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("canon", tokens(canonical(F.col("text")))).where(F.size("canon") >= width)
-    one = rows.groupBy("canon").agg(F.min_by(F.struct("item_id", "text"), F.struct(F.col("item_id").isNull(), "item_id", "text")).alias("first"))
-    one = one.select("first.item_id", "canon", tokens(F.col("first.text")).alias("raw"), F.size("canon").alias("n_item"))
-    spans = one.select("item_id", "n_item", "raw", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n_item") - width + 1), lambda i: F.slice("canon", i, width))).alias("ipos", "window"))
-    literal = F.filter("window", lambda t: ~is_slot(t))
-    longest = F.array_max(F.transform(literal, F.length))
-    spans = spans.where(F.size(literal) * 2 >= width).withColumn("anchor", F.element_at(F.filter(literal, lambda t: F.length(t) == longest), 1))
-    return spans.withColumn("off", F.array_position("window", F.col("anchor")).cast("int") - 1)
+def literal(text: Column) -> Column:
+    """The text lower-cased and without end punctuation of tokens; nothing is masked, the tokens stay as many."""
+    return F.regexp_replace(F.lower(text), r"(?<=[^\x20\x09-\x0D.,;:!?])[.,;:!?]+(?=[\x20\x09-\x0D]|$)", "")
+
+
+def items_of(items: DataFrame) -> DataFrame:
+    """items(item_id, text) -> item_id, canon, inner, lits, tid (of the template), n_item.
+
+    inner is the template as it is behind a lower-case word: there a capitalised first token is masked too.
+    """
+    text = F.coalesce("text", F.lit(""))
+    inner = tokens(canonical(F.concat(F.lit("x "), F.regexp_replace(text, "^" + _SPACE, ""))))
+    rows = items.select("item_id", tokens(canonical(text)).alias("canon"), F.slice(inner, F.lit(2), F.size(inner)).alias("inner"), tokens(literal(text)).alias("lits"))
+    return rows.where(F.size("canon") > 0).distinct().withColumn("tid", F.xxhash64("canon")).withColumn("n_item", F.size("canon"))
+
+
+def windows_of(rows: DataFrame, width: int = WIDTH) -> DataFrame:
+    """items_of -> tid, n_item, ipos, lit, match (the tokens to be met), window (their template), anchor, off (of the anchor)."""
+    long = rows.where(F.col("n_item") >= width)
+    spans = lambda c, w: F.transform(F.sequence(F.lit(1), F.col("n_item") - w + 1), lambda i: F.slice(c, i, w))
+    masked = long.select("tid", "n_item", F.posexplode(spans("canon", F.lit(width))).alias("ipos", "match"))
+    first = long.where("inner <> canon").select("tid", "n_item", F.lit(0).alias("ipos"), F.slice("inner", 1, width).alias("match"))
+    masked = masked.unionByName(first).distinct().select("*", F.lit(False).alias("lit"), F.col("match").alias("window"), F.filter("match", lambda t: ~is_slot(t)).alias("plain")).where(F.size("plain") * 2 >= width)
+    # unmasked windows, of a short item the whole of it
+    w = F.least(F.lit(width), F.col("n_item"))
+    whole = rows.select("tid", "n_item", F.posexplode(F.arrays_zip(spans("lits", w).alias("match"), spans("canon", w).alias("window"))).alias("ipos", "x"))
+    whole = whole.select("tid", "n_item", "ipos", "x.match", "x.window").distinct().select("*", F.lit(True).alias("lit"), F.col("match").alias("plain"))
+    every = masked.unionByName(whole)
+    longest = F.array_max(F.transform("plain", F.length))
+    every = every.withColumn("anchor", F.get(F.filter("plain", lambda t: F.length(t) == longest), F.lit(0))).drop("plain")
+    return every.withColumn("off", F.array_position("match", F.col("anchor")).cast("int") - 1)
 
 
 def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, least_tokens: int = 12, broadcast_rows: int = 200_000) -> DataFrame:
@@ -65,26 +86,34 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, least_tokens:
 
     th is xxhash64 of the text: with doc_id it tells rows of the same doc_id apart.
     """
-    wanted = windows_of(items, width)
-    # what the join carries is small: the window as one string, its item and place
-    keys = wanted.select("anchor", "off", "item_id", "ipos", "n_item", F.array_join("window", " ").alias("window"), F.array_join("raw", " ").alias("item_text"))
+    wanted = items_of(items)
+    # what the join carries is small: the window as one string, its template and place
+    keys = windows_of(wanted, width).select("anchor", "off", "tid", "ipos", "n_item", "lit", F.size("match").alias("w"), F.array_join("match", " ").alias("match"), F.array_join("window", " ").alias("window"))
     if keys.count() <= broadcast_rows:
         keys = F.broadcast(keys)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    each = rows.select("row", "doc_id", "text", F.split(F.regexp_replace(canonical(F.col("text")), "^" + _SPACE, ""), _SPACE).alias("canon"))
-    each = each.select("row", "doc_id", "text", "canon", F.posexplode("canon").alias("pos", "token"))
-    start = F.col("pos") - F.col("off")
-    found = each.join(keys, (F.col("token") == F.col("anchor")) & (start >= 0) & (F.array_join(F.slice("canon", F.greatest(start, F.lit(0)) + 1, width), " ") == F.col("window")))
-    values = F.slice(tokens(F.col("text")), start + 1, width)
-    found = found.select("row", "doc_id", F.xxhash64("text").alias("th"), "item_id", "n_item", (start - F.col("ipos")).alias("shift"), "ipos", F.split("window", " ").alias("canon"), F.slice(F.split("item_text", " "), F.col("ipos") + 1, width).alias("theirs"), values.alias("ours"))
-    place = F.transform(F.arrays_zip("canon", "theirs", "ours"), lambda x, i: F.struct((F.col("ipos") + i).alias("p"), x.canon.alias("c"), x.theirs.alias("t"), x.ours.alias("o")))
-    aligned = found.groupBy("row", "doc_id", "th", "item_id", "n_item", "shift").agg(F.array_distinct(F.flatten(F.collect_list(place))).alias("places"))
-    bare = lambda x: F.regexp_replace(x, r"[.,;:!?]+$", "")
-    aligned = aligned.withColumn("slots", F.transform(F.filter("places", lambda x: is_slot(x.c)), lambda x: F.struct(x.c.alias("c"), bare(x.t).alias("t"), bare(x.o).alias("o"))))
+    split = lambda text: F.split(F.regexp_replace(text, "^" + _SPACE, ""), _SPACE)
+    each = rows.select("row", "doc_id", F.xxhash64("text").alias("th"), split(canonical(F.col("text"))).alias("canon"), split(literal(F.col("text"))).alias("lits"))
+    # the masked tokens, then the unmasked ones
+    each = each.select("row", "doc_id", "th", "canon", "lits", F.posexplode(F.concat("canon", "lits")).alias("at", "token"))
+    unmasked = F.col("at") >= F.size("canon")
+    start = F.when(unmasked, F.col("at") - F.size("canon")).otherwise(F.col("at")) - F.col("off")
+    met = F.slice(F.when(F.col("lit"), F.col("lits")).otherwise(F.col("canon")), F.greatest(start, F.lit(0)) + 1, F.col("w"))
+    found = each.join(keys, (F.col("token") == F.col("anchor")) & (F.col("lit") == unmasked) & (start >= 0) & (F.array_join(met, " ") == F.col("match")))
+    found = found.select("row", "doc_id", "th", "tid", "n_item", (start - F.col("ipos")).alias("shift"), "ipos", "lit", F.split("window", " ").alias("canon"), F.slice("lits", start + 1, F.col("w")).alias("ours"))
+    place = F.transform(F.arrays_zip("canon", "ours"), lambda x, i: F.struct((F.col("ipos") + i).alias("p"), F.col("lit").alias("lit"), x.canon.alias("c"), x.ours.alias("o")))
+    aligned = found.groupBy("row", "doc_id", "th", "tid", "n_item", "shift").agg(F.array_distinct(F.flatten(F.collect_list(place))).alias("met"))
+    # every item of the template has values of its own; places that only an unmasked window covers must be equal
+    aligned = aligned.join(wanted.select("tid", "item_id", "lits", (F.col("inner") != F.col("canon")).alias("named")), "tid")
+    aligned = aligned.withColumn("met", F.array_sort(F.filter("met", lambda x: ~x.lit | (F.get("lits", x.p) == x.o))))
+    aligned = aligned.withColumn("places", F.filter("met", lambda x, i: (i == 0) | (F.get("met", F.greatest(i - 1, F.lit(0))).p != x.p)))
+    aligned = aligned.withColumn("slots", F.transform(F.filter("places", lambda x: is_slot(x.c)), lambda x: F.struct(x.c.alias("c"), F.get("lits", x.p).alias("t"), x.o.alias("o"))))
     distinct = lambda *f: F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(*(x[k] for k in f)))))
     consistent = (distinct("c", "t") == distinct("c", "t", "o")) & (distinct("c", "o") == distinct("c", "t", "o"))
     n = F.size("places")
-    good = aligned.where(consistent & ((n >= least_tokens) | (n == F.col("n_item"))))
+    # a capitalised first token is masked or not by what stands before it: it may differ
+    whole = (n == F.col("n_item")) | (F.col("named") & (n == F.col("n_item") - 1) & (n >= width) & (F.get("places", F.lit(0)).p == 1))
+    good = aligned.where(consistent & ((n >= least_tokens) | whole))
     best = good.groupBy("row", "doc_id", "th", "item_id").agg(F.max(F.struct(n.alias("n"), F.size("slots").alias("s"), F.forall("slots", lambda x: x.t == x.o).alias("v"))).alias("m"))
     return best.select("doc_id", "th", "item_id", F.col("m.n").cast("long").alias("n_tokens"), F.col("m.s").cast("long").alias("n_slots"), F.col("m.v").alias("verbatim"))
 

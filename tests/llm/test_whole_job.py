@@ -1,6 +1,6 @@
 """Cases of a review in which the training-data operators did less than the whole job."""
 
-from lexmill.llm import line_dedup, near_dedup
+from lexmill.llm import decontaminate, line_dedup, near_dedup
 
 
 def docs(spark, *texts):
@@ -27,3 +27,21 @@ def test_links_of_subsets_with_small_sketches(spark):
         want |= {2 * k: (n, 2 * k), 2 * k + 1: (m, 2 * k)}
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs(spark, *texts)).collect()}
     assert got == want
+
+
+def found(spark, items, *texts, **how):
+    items = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return sorted((r.doc_id, r.item_id, r.verbatim) for r in decontaminate.matches(docs(spark, *texts), items, **how).collect())
+
+
+def test_every_item_of_a_template_is_searched(spark):
+    one = "the farmer puts {} red apples into a basket and the baker puts {} green pears into another basket"
+    items = [one.format(3, 3), one.format(3, 4)]
+    assert found(spark, items, "so " + one.format(3, 4), "so " + one.format(7, 7), "so " + one.format(7, 9)) == [(0, 1, True), (1, 0, False), (2, 1, False)]
+
+
+def test_whole_copies_that_templates_cannot_show(spark):
+    items = ["Zorba sells quinces daily.", "7 8 9 10 11 12 13 14 15", "Marta paints eleven wooden boats near the old harbour.", "every evening old Tom and Eve walk to Rome together"]
+    texts = ["we hear zorba sells quinces daily, though", "as in 7 8 9 10 11 12 13 14 15 and so on", "then Marta paints eleven wooden boats near the old harbour", "every evening old tom and eve walk to rome together", "zorba sells quinces. 7 8 9 10 11 12 13 14 16", "then Paula paints eleven wooden boats near the old harbour"]
+    want = [(0, 0, True), (1, 1, True), (2, 2, True), (3, 3, True), (5, 2, False)]
+    assert found(spark, items, *texts) == want and found(spark, items, *texts, broadcast_rows=0) == want
