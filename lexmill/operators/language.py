@@ -6,32 +6,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PENALTY = 300.0
+#: The prefix that the registered queries and their SQL look at.
 MOST_CHARS = 20_000
 
 
-def trigrams(docs: DataFrame, *keep: str) -> DataFrame:
-    """One row per different trigram of a lower-cased text (its first MOST_CHARS code points, a bound of the method): doc_id, trigram, n."""
-    text = F.substring(F.lower(F.coalesce(F.col("text"), F.lit(""))), 1, MOST_CHARS)
+def trigrams(docs: DataFrame, *keep: str, most_chars: int | None = None) -> DataFrame:
+    """One row per different trigram of a lower-cased text (of its first `most_chars` code points, if given): doc_id, trigram, n."""
+    text = F.lower(F.coalesce(F.col("text"), F.lit("")))
+    text = text if most_chars is None else F.substring(text, 1, most_chars)
     each = docs.select("doc_id", *keep, text.alias("text")).where("length(text) >= 3")
     grams = F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.substring("text", i, F.lit(3)))
     return each.select("doc_id", *keep, F.explode(grams).alias("trigram")).groupBy("doc_id", *keep, "trigram").agg(F.count("*").alias("n"))
 
 
-def profiles(docs: DataFrame, size: int = 300) -> DataFrame:
-    """lang, trigram, rank of the `size` most frequent trigrams of each language (ties by trigram)."""
-    counts = trigrams(docs, "lang").groupBy("lang", "trigram").agg(F.sum("n").alias("n"))
+def profiles(docs: DataFrame, size: int = 300, most_chars: int | None = None) -> DataFrame:
+    """lang, trigram, rank of the `size` most frequent trigrams of each language (ties by trigram), counted over whole texts by default."""
+    counts = trigrams(docs, "lang", most_chars=most_chars).groupBy("lang", "trigram").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("lang").orderBy(F.desc("n"), "trigram")
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= size).select("lang", "trigram", "rank")
 
 
-def scores(docs: DataFrame, known: DataFrame) -> DataFrame:
+def scores(docs: DataFrame, known: DataFrame, most_chars: int | None = MOST_CHARS) -> DataFrame:
     """doc_id, lang, score in 0..1: one less the mean distance of count and rank, PENALTY for trigrams a profile lacks.
 
+    Only the first `most_chars` code points of a text are looked at, as in the reference's detection.
     Profiles are languages times 300 rows: they are broadcast, as one map of language to rank per trigram.
     """
     langs = known.select("lang").distinct()
     by_gram = known.groupBy("trigram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "rank"))).alias("ranks"))
-    grams = trigrams(docs).join(F.broadcast(by_gram), "trigram", "left")
+    grams = trigrams(docs, most_chars=most_chars).join(F.broadcast(by_gram), "trigram", "left")
     grams = grams.join(F.broadcast(langs), F.lit(True))
     rank = F.try_element_at("ranks", "lang")
     distance = F.coalesce(F.abs(F.col("n") - rank).cast("double"), F.lit(PENALTY))

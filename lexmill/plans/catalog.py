@@ -462,12 +462,12 @@ _SCORES = "sc as (select doc_id, y.lang, greatest(0, 1 - sum(coalesce(abs(n - ra
 
 @query(f"with {_TRI} select lang, trigram, rank from pf")
 def trigram_profile(spark, d):
-    return language.profiles(docs(spark, d)).select("lang", "trigram", F.col("rank").cast("long").alias("rank"))
+    return language.profiles(docs(spark, d), most_chars=language.MOST_CHARS).select("lang", "trigram", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"with {_TRI}, {_SCORES} select doc_id, lang, round(score, 6) as score from sc")
 def trigram_detect(spark, d):
-    return language.scores(docs(spark, d), language.profiles(docs(spark, d))).withColumn("score", F.round("score", 6))
+    return language.scores(docs(spark, d), language.profiles(docs(spark, d), most_chars=language.MOST_CHARS)).withColumn("score", F.round("score", 6))
 
 
 @query()
