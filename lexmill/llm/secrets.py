@@ -7,8 +7,8 @@ whole match is the span, in code points, end exclusive.
 The method adds candidates of kind `token`: runs of 20 or more of [A-Za-z0-9+/_-] with a digit, an upper
 and a lower case letter and at least 12 different characters, that no base span touches. All values, base
 and added, are hashed, and for each hash the distinct repositories and the distinct owners over the whole
-corpus are counted. A value in the hands of more than `most_owners` owners is a copied example; one of a
-single owner is live-looking. Added candidates stay only if they are live-looking, base spans stay always.
+corpus are counted. A value in the hands of more than `most_owners` owners, or in more than `most_repos`
+repositories, is a copied example, else it is live-looking. Added candidates stay only if they are live-looking, base spans stay always.
 
 Skew: a widely copied value is one key. Counting first drops repeats of (value, repository, owner) on the
 map side, and only values of few owners are joined back (each has few owners by definition, and the rows
@@ -37,6 +37,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 KINDS = ("assign", "access", "hex", "token")
 SALTS = 16
+#: A live secret may stand in a few repositories of its owner; in more it is an example.
+MOST_REPOS = 3
 
 #: No assignment can match a text without one of these.
 _NAMES = ("passw", "secret", "token", "apikey", "api_key")
@@ -75,10 +77,10 @@ def _scanned(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "repo", "owner")), pa.array(digests), pa.array(spans, _SPANS)], names=["doc_id", "repo", "owner", "base_sha256", "spans"])
 
 
-def secrets(docs: DataFrame, repo: str = "source", owner: str = "source", most_owners: int = 1) -> DataFrame:
+def secrets(docs: DataFrame, repo: str = "source", owner: str = "source", most_owners: int = 1, most_repos: int = MOST_REPOS) -> DataFrame:
     """docs(doc_id, text, repo, owner) -> doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied.
 
-    n_live counts the spans of single-owner values, n_copied those of values more than `most_owners` owners hold.
+    n_copied counts the spans of values that more than `most_owners` owners or `most_repos` repositories hold, n_live the others.
     """
     own = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), own(repo).alias("repo"), own(owner).alias("owner"))
@@ -87,7 +89,7 @@ def secrets(docs: DataFrame, repo: str = "source", owner: str = "source", most_o
 
     held = rows.select("repo", "owner", F.explode("spans.v").alias("v")).distinct()
     owners = held.groupBy("v", "owner").agg(F.count("*").alias("repos")).groupBy("v").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    live = owners.where(F.col("owners") <= most_owners).select("v", F.lit(True).alias("live"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    live = owners.where((F.col("owners") <= most_owners) & (F.col("repos") <= most_repos)).select("v", F.lit(True).alias("live"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     spans = rows.where(F.size("spans") > 0).select("row", (F.col("row") % SALTS).cast("int").alias("salt"), F.inline("spans"))
     judged = spans.join(live, ["v", "salt"], "left").withColumn("live", F.coalesce("live", F.lit(False)))
     kept = judged.where("k < 3 or live")

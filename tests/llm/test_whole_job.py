@@ -1,6 +1,6 @@
 """Cases of a review in which the training-data operators did less than the whole job."""
 
-from lexmill.llm import decontaminate, line_dedup, near_dedup
+from lexmill.llm import decontaminate, line_dedup, near_dedup, secrets
 
 
 def docs(spark, *texts):
@@ -45,3 +45,10 @@ def test_whole_copies_that_templates_cannot_show(spark):
     texts = ["we hear zorba sells quinces daily, though", "as in 7 8 9 10 11 12 13 14 15 and so on", "then Marta paints eleven wooden boats near the old harbour", "every evening old tom and eve walk to rome together", "zorba sells quinces. 7 8 9 10 11 12 13 14 16", "then Paula paints eleven wooden boats near the old harbour"]
     want = [(0, 0, True), (1, 1, True), (2, 2, True), (3, 3, True), (5, 2, False)]
     assert found(spark, items, *texts) == want and found(spark, items, *texts, broadcast_rows=0) == want
+
+
+def test_repositories_of_one_owner_decide(spark):
+    few, many = "aB3dE5fG7hJ9kL1mN2pQ4r", "xY9zW8vU7tS6rQ5pO4nM3l"
+    rows = [(k, f"{many} {few}" if k < 3 else many, f"repo{k}", "owner") for k in range(4)]
+    got = {r.doc_id: (r.spans, r.n_live) for r in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string, repo string, owner string"), "repo", "owner").collect()}
+    assert got == {**{k: ("token:23:45", 1) for k in range(3)}, 3: ("", 0)}
