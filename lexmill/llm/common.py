@@ -14,12 +14,21 @@ from pyspark.sql import functions as F
 
 #: Rows without a doc_id take this key inside an operator; it sorts after every real id.
 NO_ID = (1 << 63) - 1
+#: A key with more than 1/HOT of all rows is hot; there are fewer than HOT such keys, whatever the size of the
+#: table, so they may be broadcast.
+HOT = 5_000
+#: No key with so few rows is hot.
+LEAST_HOT = 64
+#: Parts that the rows of a hot key are dealt to.
+SALTS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: spark.checkpoint.dir, or one of our own where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor sees")
         at = tempfile.mkdtemp(prefix="lexmill-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -32,6 +41,28 @@ def park(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with underscores in front until no column has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def salted_join(many: DataFrame, few: DataFrame, key: str, row: str, how: str = "inner") -> DataFrame:
+    """Join by `key`, where `few` has one row per key and `many` may have a third of its rows on one.
+
+    `row` is a column of `many` that spreads its rows. Hot keys are found by counting; each of their rows takes
+    one of SALTS salts and `few` holds them once per salt. The counts are sums made before their shuffle.
+    """
+    total = many.agg(F.count(key)).first()[0]
+    hot = many.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > max(total / HOT, LEAST_HOT)).select(key, F.lit(SALTS).alias("_hot"))
+    hot = F.broadcast(hot)
+    left = many.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(row), F.lit(SALTS))).cast("int")).drop("_hot")
+    right = few.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_hot"), F.lit(1)) - 1))).drop("_hot")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

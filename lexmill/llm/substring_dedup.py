@@ -15,12 +15,15 @@ earlier start) goes; windows are judged on the input.
    among those seen before. The comparison is of the words themselves, hash collisions change nothing.
 4. Remove. The covered ranges go back to their documents.
 
-A passage in a third of all documents sends one snippet per task and phrase in step 3. Memory is bounded by
-the block, the merge table (emptied at MERGE_LIMIT) and the snippets of one phrase.
+Skew. Phrases with more than 1/HOT of all anchors (so fewer than HOT phrases) are hot: their places are
+confirmed by a broadcast of those few phrases, and their windows travel one by one, dealt by a hash of the
+whole window instead of the phrase. Equal windows of a task are merged before they travel, so a passage in a
+third of all documents sends one row per task. Memory is bounded by the block, the merge table (emptied at
+MERGE_LIMIT rows or MERGE_BYTES) and the snippets of one phrase that is not hot.
 
 Defined cases: null text has no words; the digest of no words is that of the empty string; rows with the
-same doc_id are one document (of two equal starts none is earlier); a null doc_id sorts last; repeated rows
-give repeated result rows.
+same doc_id are one document (of two equal starts none is earlier); a null doc_id sorts last, and all such
+rows count as one document; repeated rows give repeated result rows. Any 64-bit doc_id will do.
 """
 
 from __future__ import annotations
@@ -37,27 +40,32 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import NO_ID, WordHashes, binary_rows, keyed, map_batches, park, window_hashes
+from lexmill.llm.common import HOT, LEAST_HOT, NO_ID, WordHashes, binary_rows, keyed, map_batches, park, window_hashes
 
 WINDOW = 20
 PHRASE = 5
-MERGE_LIMIT = 60_000
+MERGE_LIMIT, MERGE_BYTES = 60_000, 48_000_000
 BLOCK_BYTES = 3_000_000
 BLOCK_WORDS = 100_000
 _BLANK = re.compile(" ")
 _PLACE = np.uint64((1 << 24) - 1)
+#: Phrases whose anchors are sought at once: places must fit _PLACE.
+CHUNK = 1 << 22
 
 
 def anchors(hashes: np.ndarray, window: int = WINDOW, phrase: int = PHRASE) -> np.ndarray:
     """For each window start, the place of the smallest phrase hash in the window.
 
     Hashes are compared in their upper 40 bits, the leftmost of equal ones wins: the place goes into the
-    lower 24 bits, and a minimum over 2, 4, 8 and so on phrases gives hash and place at once.
+    lower 24 bits, and a minimum over 2, 4, 8 and so on phrases gives hash and place at once. Long inputs
+    are taken in chunks that overlap by a window; a window's anchor doesn't depend on where chunks begin.
     """
     wide = window - phrase + 1
     n = len(hashes) - wide + 1
     if n <= 0:
         return np.empty(0, dtype=np.int64)
+    if n > CHUNK:
+        return np.concatenate([anchors(hashes[s : min(s + CHUNK, n) + wide - 1], window, phrase) + s for s in range(0, n, CHUNK)])
     low = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
     reach = 1
     while 2 * reach <= wide:
@@ -103,7 +111,7 @@ def _anchor_rows():
             flush()
         offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
         lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else np.empty(0, t), t())) for x, t in ((found, pa.int64), (places, pa.int32))] if texts else [pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.int32()))]
-        return pa.RecordBatch.from_arrays([batch.column("key"), *lists], names=["key", "hs", "ps"])
+        return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("th"), *lists], names=["key", "th", "hs", "ps"])
 
     return run
 
@@ -113,25 +121,31 @@ def _automaton(block: list[tuple]) -> ahocorasick.Automaton:
     shard = ahocorasick.Automaton()
     for _, _, words, places in block:
         for p in places:
-            shard.add_word(f" {' '.join(words[p : p + PHRASE])} ", 0)
+            # hot phrases are marked by a place below zero; one phrase is hot everywhere
+            at, hot = (-1 - p, 1) if p < 0 else (p, 0)
+            shard.add_word(f" {' '.join(words[at : at + PHRASE])} ", hot)
     shard.make_automaton()
     return shard
 
 
 def snippets(key: int, th: int, words: list[str], shard: ahocorasick.Automaton, hashed: WordHashes) -> Iterator[tuple[int, int, int, int, int, str]]:
-    """(phrase hash, key, th, first window start, number of windows, words) around each located anchor."""
+    """(hash, key, th, first window start, number of windows, words) around each located anchor.
+
+    The hash is the phrase's; windows of a hot phrase come one by one with the hash of all their words.
+    """
     n = len(words) - WINDOW + 1
     if n < 1:
         return
     joined = f" {' '.join(words)} "
     # a match ends at the blank behind a word
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-    at = np.fromiter((e for e, _ in shard.iter(joined)), dtype=np.int64)
-    if not len(at):
+    found = np.array(list(shard.iter(joined)), dtype=np.int64).reshape(-1, 2)
+    if not len(found):
         return
     hashes = window_hashes(hashed.of(joined.encode("utf-8", "surrogatepass").split()), PHRASE)
-    located = np.zeros(len(hashes), dtype=bool)
-    located[np.searchsorted(ends, at) - PHRASE + 1] = True
+    # 0: not confirmed, 1: confirmed, 2: hot
+    located = np.zeros(len(hashes), dtype=np.int8)
+    located[np.searchsorted(ends, found[:, 0]) - PHRASE + 1] = 1 + found[:, 1]
     places = anchors(hashes)
     bounds = np.flatnonzero(np.diff(places)) + 1
     starts = np.concatenate(([0], bounds))
@@ -140,8 +154,18 @@ def snippets(key: int, th: int, words: list[str], shard: ahocorasick.Automaton,
     stops = np.concatenate((bounds, [n])).tolist()
     before = np.concatenate(([0], ends)).tolist()
     for s, e, h, confirmed in zip(starts.tolist(), stops, hs, located[chosen].tolist(), strict=True):
-        if confirmed:
+        if confirmed == 1:
             yield h, key, th, s, e - s, joined[before[s] + 1 : before[e + WINDOW - 1]]
+        elif confirmed:
+            for k in range(s, e):
+                window = joined[before[k] + 1 : before[k + WINDOW]]
+                yield _signed(window.encode("utf-8", "surrogatepass")), key, th, k, 1, window
+
+
+def _signed(data: bytes) -> int:
+    """64-bit hash as a signed number."""
+    x = xxhash.xxh3_64_intdigest(data)
+    return x - (1 << 64) if x >> 63 else x
 
 
 _SNIPPET = "h long, key long, th long, start int, n int, snippet string"
@@ -156,17 +180,18 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Snippets of a task's documents; those known to be covered come without words."""
     earliest: dict[bytes, tuple] = {}
     out: list[tuple] = []
+    held = waiting = 0
     hashed = WordHashes()
 
     def covered(row: tuple) -> tuple:
         # spread by document: there is nothing to compare
-        return (row[1] * 1_000_003 + row[3], *row[1:5], None)
+        return (_signed(b"%d %d" % (row[1], row[3])), *row[1:5], None)
 
     def blocks() -> Iterator[list[tuple]]:
         block, size = [], 0
         for batch in batches:
             for key, th, text, found in zip(*(batch.column(c).to_pylist() for c in ("key", "th", "text", "found")), strict=True):
-                words = [w.decode() for w in text.encode().split()]
+                words = [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]
                 block.append((key, th, words, found))
                 size += len(text)
                 if size >= BLOCK_BYTES:
@@ -179,10 +204,11 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = _automaton(block)
         for key, th, words, _ in block:
             for row in snippets(key, th, words, shard, hashed):
-                mark = xxhash.xxh3_128_digest(row[5].encode())
+                mark = xxhash.xxh3_128_digest(row[5].encode("utf-8", "surrogatepass"))
                 best = earliest.get(mark)
                 if best is None:
                     earliest[mark] = row
+                    held += len(row[5])
                 elif (row[1], row[3]) > (best[1], best[3]):
                     out.append(covered(row))
                 elif (row[1], row[3]) < (best[1], best[3]):
@@ -190,12 +216,14 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     earliest[mark] = row
                 else:
                     out.append(row)
-            if len(earliest) >= MERGE_LIMIT:
-                out += earliest.values()
-                earliest.clear()
-            if len(out) >= 20_000:
-                yield _table(out, _SNIPPET_ARROW)
-                out = []
+                    waiting += len(row[5])
+                if len(earliest) >= MERGE_LIMIT or held >= MERGE_BYTES:
+                    out += earliest.values()
+                    waiting += held
+                    earliest, held = {}, 0
+                if len(out) >= 20_000 or waiting >= MERGE_BYTES:
+                    yield _table(out, _SNIPPET_ARROW)
+                    out, waiting = [], 0
     out += earliest.values()
     if out:
         yield _table(out, _SNIPPET_ARROW)
@@ -255,16 +283,23 @@ def _removed(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def covered_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents(key, text, th), ranges(key, ranges array<struct<th, from, to>>)); th is a hash of the text."""
+    """(documents(key, text, th), ranges(key, th, ranges array<struct<from, to>>)); th is a hash of the text."""
     rows = keyed(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "text", F.xxhash64("text").alias("th"))
-    found = park(map_batches(rows.select("key", "text"), _anchor_rows(), "key long, hs array<long>, ps array<int>"), "substring-anchors")
-    confirmed = found.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    each = found.select("key", F.inline(F.arrays_zip(F.col("hs").alias("h"), F.col("ps").alias("p"))))
-    wanted = each.join(confirmed, "h").groupBy("key").agg(F.collect_set("p").alias("found"))
-    located = rows.join(wanted, "key").select("key", "th", "text", "found").mapInArrow(_located, _SNIPPET)
+    found = park(map_batches(rows.select("key", "th", "text"), _anchor_rows(), "key long, th long, hs array<long>, ps array<int>"), "substring-anchors")
+    confirmed = park(found.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "substring-confirmed")
+    total = found.agg(F.coalesce(F.sum(F.size("hs")), F.lit(0))).first()[0]
+    # fewer than HOT phrases can have more than 1/HOT of all places each
+    most = max(total / HOT, LEAST_HOT)
+    hot = F.broadcast(confirmed.where(F.col("n") > most).select("h", F.lit(True).alias("hot")))
+    each = found.select("key", "th", F.inline(F.arrays_zip(F.col("hs").alias("h"), F.col("ps").alias("p"))))
+    each = each.join(hot, "h", "left")
+    common = each.where("hot").select("key", "th", (-1 - F.col("p")).alias("p"))
+    rare = each.where("hot is null").join(confirmed.where(F.col("n") <= most).select("h"), "h").select("key", "th", "p")
+    wanted = rare.unionByName(common).groupBy("key", "th").agg(F.collect_set("p").alias("found"))
+    located = rows.join(wanted, ["key", "th"]).select("key", "th", "text", "found").mapInArrow(_located, _SNIPPET)
     sorted_ = located.repartition("h").sortWithinPartitions("h", "key", "start")
     ranges = sorted_.mapInArrow(_compared, "key long, th long, `from` int, `to` int")
-    ranges = ranges.groupBy("key").agg(F.collect_list(F.struct("th", "from", "to")).alias("ranges"))
+    ranges = ranges.groupBy("key", "th").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
     return rows, ranges
 
 
@@ -272,6 +307,5 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_words, n_removed, kept_sha256."""
     rows, ranges = covered_ranges(docs)
     # both joins of the documents ask for the same columns by the same key: they are shuffled once
-    own = F.filter("ranges", lambda r: r["th"] == F.col("th"))
-    joined = rows.join(ranges, "key", "left").select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), "text", own.alias("ranges"))
+    joined = rows.join(ranges, ["key", "th"], "left").select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), "text", "ranges")
     return map_batches(joined, _removed, "doc_id long, n_words long, n_removed long, kept_sha256 string")

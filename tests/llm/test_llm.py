@@ -67,17 +67,21 @@ def test_near_duplicates_of_repeated_rows_and_nothing(spark):
     assert near_dedup.near_duplicates(table(spark, [(1, "x")]).limit(0)).count() == 0
 
 
-def test_substring_dedup(spark):
-    rows = corpus(2, 40)
+@pytest.mark.parametrize("least_hot", [64, 1])
+def test_substring_dedup(spark, monkeypatch, least_hot):
+    monkeypatch.setattr(substring_dedup, "LEAST_HOT", least_hot)
+    repeated = " ".join(f"q{k}" for k in range(60))
+    # ids of all sizes; rows without an id are one document
+    rows = [(i if i is None or i % 4 else i + 10**15 if i % 8 else i + 9 * 10**18, x) for i, x in corpus(2, 40)] + [(3 * 10**18, repeated), (10**13, f"x {repeated}"), (None, repeated), (None, f"y {repeated} z"), (-5, f"z {repeated}")]
     seen, want = {}, []
-    ordered = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]) + [r for r in rows if r[0] is None]
-    for n, (i, x) in enumerate(ordered):
+    place = lambda i, s: ((1 << 63) - 1 if i is None else i, s)
+    for i, x in rows:
         w = WS.findall(x or "")
-        gone = set()
         for s in range(len(w) - 19):
-            first = seen.setdefault(tuple(w[s : s + 20]), (i, s) if i is not None else (1 << 62, s))
-            if first < ((i, s) if i is not None else (1 << 62, s)):
-                gone |= set(range(s, s + 20))
+            seen[tuple(w[s : s + 20])] = min(place(i, s), seen.get(tuple(w[s : s + 20]), (1 << 64, 0)))
+    for i, x in rows:
+        w = WS.findall(x or "")
+        gone = {s + k for s in range(len(w) - 19) if seen[tuple(w[s : s + 20])] < place(i, s) for k in range(20)}
         left = [x for k, x in enumerate(w) if k not in gone]
         want.append((i, len(w), len(gone), hashlib.sha256(" ".join(left).encode()).hexdigest()))
     got = [tuple(r) for r in substring_dedup.substring_dedup(table(spark, rows)).collect()]
@@ -91,6 +95,14 @@ def test_anchors_agree_with_a_plain_minimum():
     assert len(substring_dedup.anchors(h[:15])) == 0
 
 
+def test_anchors_of_long_texts_are_found_in_chunks(monkeypatch):
+    h = np.random.default_rng(2).integers(0, 1 << 63, 3_000, dtype=np.uint64)
+    h[100:200] = h[50]
+    whole = substring_dedup.anchors(h).tolist()
+    monkeypatch.setattr(substring_dedup, "CHUNK", 37)
+    assert substring_dedup.anchors(h).tolist() == whole
+
+
 def edits(a, b):
     p = list(range(len(b) + 1))
     for i, x in enumerate(a):
