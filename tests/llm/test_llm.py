@@ -157,15 +157,49 @@ def test_quality(spark):
     assert all(r.n_frequent_words == 6 for r in shared) and any(r.kept for r in shared)
 
 
+def plain_secrets(rows, most_owners=1, most_repos=3):
+    """rows of (doc_id, text, repo, owner) -> the operator's rows, worked out value by value."""
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    scanned, owners, repos = [], {}, {}
+    for i, text, repo, owner in rows:
+        text, base, values = text or "", [], {}
+        for kind, found, least in (("assign", assign.finditer(text), 6), ("access", re.finditer("AKIA[A-Z0-9]+", text), 20), ("hex", re.finditer("[0-9a-f]+", text), 24)):
+            for m in found:
+                value, span = (m[2], m.span(2)) if kind == "assign" else (m[0], m.span())
+                if len(value) >= least:
+                    base.append((m.start(), ("assign", "access", "hex").index(kind), m.end(), kind))
+                    values[span] = value
+        for m in re.finditer("[A-Za-z0-9+/_-]{20,}", text):
+            if re.search("[0-9]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[a-z]", m[0]) and not any(b[0] < m.end() and m.start() < b[2] for b in base):
+                values[m.span()] = m[0]
+        scanned.append((i, sorted(base), values))
+        for v in values.values():
+            owners.setdefault(v, set()).add(owner)
+            repos.setdefault(v, set()).add((owner, repo))
+    out = []
+    for i, base, values in scanned:
+        few = {s: v for s, v in values.items() if len(owners[v]) <= most_owners and len(repos[v]) <= most_repos}
+        live = [(s, 3, e, "live") for (s, e), v in few.items() if len(set(v)) >= 8]
+        show = lambda spans: ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(spans))
+        out.append((i, *(sum(b[3] == k for b in base) for k in ("assign", "access", "hex")), hashlib.sha256(show(base).encode()).hexdigest(), show(base + live), len(live), len(values) - len(few)))
+    return out
+
+
 def test_secrets(spark):
-    key, live, copied = "AKIA" + "Z9" * 9, "aB3dE5fG7hJ9kL1mN2pQ4r", "xY9zW8vU7tS6rQ5pO4nM3l"
-    rows = [(0, f"Password: 'abcdef' token=ab {live} x"), (1, f"é {key} {'0a' * 13} api-key=1"), (2, f"API_KEY=\"q.w/e=r\" {copied}"), (3, copied), (4, f"ſecret=abcdefgh {live}"[0:15]), *ODD]
-    got = {r.doc_id: r for r in secrets.secrets(table(spark, rows)).collect()}
-    assert got[0].spans == f"assign:0:17,token:28:{28 + len(live)}" and got[0].n_assign == 1 and got[0].n_live == 2
-    assert got[0].base_sha256 == hashlib.sha256(b"assign:0:17").hexdigest()
-    assert got[1].spans == f"access:2:{2 + len(key)},hex:{3 + len(key)}:{29 + len(key)}"
-    assert got[2].spans == 'assign:0:16' and got[2].n_copied == 0 or got[2].n_copied >= 0
-    assert got[4].spans == "" and got[100].base_sha256 == hashlib.sha256(b"").hexdigest()
+    key, live, copied = "AKIA" + "Z9XW8VUT7" * 2, "aB3dE5fG7hJ9kL1mN2pQ4r", "xY9zW8vU7tS6rQ5pO4nM3l"
+    rnd = random.Random(8)
+    rows = [(0, f"Password: 'abcdef' token=ab {live} x"), (1, f"é {key} {'0a' * 13} api-key=1"), (2, f'API_KEY="q.w/e=r" {copied}'), (3, copied), (4, "ſecret=abcdefgh"), *ODD]
+    # one value in all documents of one owner, values of two owners, of many repositories, and of one
+    rows += [(200 + k, " ".join(rnd.choice(["token: c3d4e5f6a7b8c9d0", f'secret = "{k % 4}f9e8d7c6b5a4{k % 4}"', f"passwd={k}hunter{k}xyz", f"{k:04d}deadbeefcafe0123456789ab", "AKIA" + "Q2W3E4R5T6Y7U8I9", "plain words"]) for _ in range(4))) for k in range(150)]
+    rows = [(i, x, f"repo{(i or 0) % 7}", None if i is None else f"owner{(i or 0) % 2}" if i % 3 else "big") for i, x in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, repo string, owner string").withColumns({c: F.lit(1) for c in ("row", "v", "few", "live", "_salt", "_n")})
+    got = [tuple(r) for r in secrets.secrets(df, "repo", "owner").collect()]
+    want = plain_secrets(rows)
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert sum(r[6] for r in want) > 20 and sum(r[7] for r in want) > 100
+    by_id = {r[0]: r for r in got}
+    assert by_id[0][5] == f"assign:0:17,live:28:{28 + len(live)}" and by_id[3][5] == "" and by_id[2][7] == 1
+    assert by_id[4][5] == "" and by_id[100][4] == hashlib.sha256(b"").hexdigest()
 
 
 def test_chat(spark):

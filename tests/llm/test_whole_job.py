@@ -51,4 +51,4 @@ def test_repositories_of_one_owner_decide(spark):
     few, many = "aB3dE5fG7hJ9kL1mN2pQ4r", "xY9zW8vU7tS6rQ5pO4nM3l"
     rows = [(k, f"{many} {few}" if k < 3 else many, f"repo{k}", "owner") for k in range(4)]
     got = {r.doc_id: (r.spans, r.n_live) for r in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string, repo string, owner string"), "repo", "owner").collect()}
-    assert got == {**{k: ("token:23:45", 1) for k in range(3)}, 3: ("", 0)}
+    assert got == {**{k: ("live:23:45", 1) for k in range(3)}, 3: ("", 0)}
