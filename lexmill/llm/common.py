@@ -49,15 +49,22 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
-def salted_join(many: DataFrame, few: DataFrame, key: str, row: str, how: str = "inner") -> DataFrame:
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and, as the struct `rest`, all columns beside text: no column can clash with an operator's own."""
+    rest = F.struct(*(F.col(f"`{c}`").alias(c) for c in docs.columns if c != "text"))
+    return docs.select("doc_id", "text", rest.alias("rest"))
+
+
+def salted_join(many: DataFrame, few: DataFrame, key: str, row: str, how: str = "inner", counted: str | None = None) -> DataFrame:
     """Join by `key`, where `few` has one row per key and `many` may have a third of its rows on one.
 
-    `row` is a column of `many` that spreads its rows. Hot keys are found by counting; each of their rows takes
-    one of SALTS salts and `few` holds them once per salt. The counts are sums made before their shuffle.
+    `row` is a column of `many` that spreads its rows. Hot keys are found by counting, or read off the column
+    `counted` of `few`; each of their rows takes one of SALTS salts and `few` holds them once per salt. The counts
+    are sums made before their shuffle.
     """
     total = many.agg(F.count(key)).first()[0]
-    hot = many.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > max(total / HOT, LEAST_HOT)).select(key, F.lit(SALTS).alias("_hot"))
-    hot = F.broadcast(hot)
+    counts = few.select(key, F.col(counted).alias("_n")) if counted else many.groupBy(key).agg(F.count("*").alias("_n"))
+    hot = F.broadcast(counts.where(F.col("_n") > max(total / HOT, LEAST_HOT)).select(key, F.lit(SALTS).alias("_hot")))
     left = many.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(row), F.lit(SALTS))).cast("int")).drop("_hot")
     right = few.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_hot"), F.lit(1)) - 1))).drop("_hot")
     return left.join(right, [key, "_salt"], how).drop("_salt")

@@ -18,7 +18,11 @@ removed if the same line stands earlier; `deduplicated` and the query take 1, ev
    once the same place is cut out of both: each line takes the earliest line for each place cut out. A
    remainder longer by one becomes the shorter one by some cut: it is joined to that by equality. Either way
    a line meets few others, whatever the size of the group, and no link is lost.
-4. The places of the lines that stay go back to their documents.
+4. The places of the lines that stay go back to their documents, as a mask with one byte a line.
+
+A line is known by the place where it first stands. A document's lines are split once wherever they are
+needed, so long documents cost no more a line than short ones. A segment that a third of all lines share is
+found by counting and its rows are salted.
 
 Defined cases: null text has no lines; repeated rows (same doc_id and text) are one document and stay alike;
 rows with one doc_id and different texts are ordered by a hash of the text; a null doc_id sorts last; a
@@ -30,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import NO_ID, park
+from lexmill.llm.common import NO_ID, packed, park, salted_join
 
 EDITS = 1
 LEAST_CHARS = 30
@@ -93,34 +97,33 @@ def within_one(xs: Column, ys: Column) -> Column:
 
 
 def near_pairs(held: DataFrame) -> DataFrame:
-    """held(kh, id, own, place, rest, chars): (gone, by) pairs of ids where `gone` is within one edit of the earlier `by`.
+    """held(kh, own, place, rest, chars, members): (gone, by) pairs of places where `gone` is within one edit of the earlier `by`.
 
-    Pairs are made of places alone; the code points join the pairs that are left.
+    members: how many rows the key kh has. Pairs are made of places alone; the code points join the pairs that are left.
     """
-    sizes = held.groupBy("kh").agg(F.count("*").alias("members"))
-    light = held.join(sizes, "kh").select("kh", "id", "own", "place", "rest", "members")
+    light = held.select("kh", "own", "place", "rest", "members")
     few, many = light.where(F.col("members") <= MOST).drop("rest", "members"), light.where(F.col("members") > MOST)
-    side = lambda df, s: df.select("kh", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "own", "place")))
+    side = lambda df, s: df.select("kh", *(F.col(c).alias(f"{c}_{s}") for c in ("own", "place")))
 
     small = side(few, "a").join(side(few, "b"), "kh").where("place_a > place_b and (own_a or own_b)")
     cut = lambda place: F.transform(F.sequence(F.lit(1), F.greatest(F.length("rest"), F.lit(1))), lambda i: F.xxhash64(place(i), F.concat(F.substring("rest", F.lit(1), i - 1), F.substring("rest", i + 1, F.length("rest")))))
-    # equal length: the earliest line of each cut
-    same = many.where("own").select("kh", "id", "own", "place", F.explode(cut(lambda i: i)).alias("sig"))
-    best = same.groupBy("kh", "sig").agg(F.min(F.struct("place", "id", "own")).alias("m"))
-    best = best.select("kh", "sig", *(F.col(f"m.{c}").alias(f"{c}_b") for c in ("id", "own", "place")))
-    same = same.select("kh", "sig", *(F.col(c).alias(f"{c}_a") for c in ("id", "own", "place"))).join(best, ["kh", "sig"]).where("place_a > place_b").drop("sig")
+    # equal length: the earliest line of each cut; the lines that share one differ in a single character
+    same = many.where("own").select("kh", "own", "place", F.explode(cut(lambda i: i)).alias("sig"))
+    best = same.groupBy("kh", "sig").agg(F.min(F.struct("place", "own")).alias("m"))
+    best = best.select("kh", "sig", *(F.col(f"m.{c}").alias(f"{c}_b") for c in ("own", "place")))
+    same = same.select("kh", "sig", *(F.col(c).alias(f"{c}_a") for c in ("own", "place"))).join(best, ["kh", "sig"]).where("place_a > place_b").drop("sig")
     # longer by one: the line that some cut makes equal
-    longer = many.where("not own").select("kh", "id", "own", "place", F.explode(F.array_distinct(cut(lambda i: F.lit(0)))).alias("sig"))
-    shorter = many.where("own").select("kh", "id", "own", "place", F.xxhash64(F.lit(0), "rest").alias("sig"))
-    pick = lambda df, s: df.select("kh", "sig", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "own", "place")))
+    longer = many.where("not own").select("kh", "own", "place", F.explode(F.array_distinct(cut(lambda i: F.lit(0)))).alias("sig"))
+    shorter = many.where("own").select("kh", "own", "place", F.xxhash64(F.lit(0), "rest").alias("sig"))
+    pick = lambda df, s: df.select("kh", "sig", *(F.col(c).alias(f"{c}_{s}") for c in ("own", "place")))
     both = pick(longer, "a").join(pick(shorter, "b"), ["kh", "sig"]).drop("sig")
     later = F.col("place_a") > F.col("place_b")
-    turned = both.select("kh", *(F.when(later, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(f"{c}_{x}") for x, y in ("ab", "ba") for c in ("id", "own", "place")))
-    met = small.unionByName(same).unionByName(turned).where("id_a <> id_b").select("kh", "id_a", "own_a", "id_b", "own_b").distinct()
-    chars = lambda s: held.select("kh", F.col("id").alias(f"id_{s}"), F.col("own").alias(f"own_{s}"), F.col("chars").alias(f"chars_{s}"))
-    met = met.join(chars("a"), ["kh", "id_a", "own_a"]).join(chars("b"), ["kh", "id_b", "own_b"])
+    turned = both.select("kh", *(F.when(later, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(f"{c}_{x}") for x, y in ("ab", "ba") for c in ("own", "place")))
+    met = small.unionByName(same).unionByName(turned).where("place_a <> place_b").select("kh", "place_a", "own_a", "place_b", "own_b").distinct()
+    chars = lambda s: held.select("kh", F.col("place").alias(f"place_{s}"), F.col("own").alias(f"own_{s}"), F.col("chars").alias(f"chars_{s}"))
+    met = met.join(chars("a"), ["kh", "place_a", "own_a"]).join(chars("b"), ["kh", "place_b", "own_b"])
     near = met.where(F.abs(F.size("chars_a") - F.size("chars_b")) < 2).where(within_one(F.col("chars_a"), F.col("chars_b")))
-    return near.select(F.col("id_a").alias("gone"), F.col("id_b").alias("by")).distinct()
+    return near.select(F.col("place_a").alias("gone"), F.col("place_b").alias("by")).distinct()
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -128,43 +131,64 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), where value is worked out once although a lambda inside body uses it for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _mask(positions: Column) -> Column:
+    """Binary with a 1 at each of the places (numbers from 0) and a 0 between."""
+    piece = lambda ps: F.transform(ps, lambda p, i: F.concat(F.repeat(F.lit("0"), p - F.when(i > 0, F.get(ps, i - 1)).otherwise(-1) - 1), F.lit("1")))
+    return F.array_join(_let(F.array_sort(positions), piece), "").cast("binary")
+
+
 def staying(docs: DataFrame, least_chars: int = LEAST_CHARS, shortest: int | None = None) -> DataFrame:
-    """key, th, stay array<int>: the numbers of a document's lines of `shortest` (or else `least_chars`) or more that stay."""
+    """key, th, stay binary: a mask of the document's lines of `shortest` (or else `least_chars`) or more that stay."""
     rows = _rows(docs)
     line = F.col("line")
     each = rows.select("key", "th", F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).withColumn("n", F.length("line")).where(F.col("n") >= min(least_chars, least_chars if shortest is None else shortest))
     n = F.col("n")
     each = each.select(F.xxhash64(line).alias("id"), F.xxhash64(F.lit(1), line).alias("id2"), F.struct("key", "th", "pos").alias("place"), "n", *(F.when(n >= least_chars, _key(line, n, *k)).alias(f"k{i}") for i, k in enumerate(KEYS)))
-    lines = park(each.groupBy("id", "id2").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in ("n", "k0", "k1", "k2", "k3"))), "line-rows")
+    lines = each.groupBy("id", "id2").agg(F.min("place").alias("place"), *(F.first(c).alias(c) for c in ("n", "k0", "k1", "k2", "k3")))
+    lines = park(lines.drop("id", "id2"), "line-rows")
 
     entry = lambda i, side, own: F.struct(F.col(f"k{i}").alias("kh"), F.lit(side).alias("side"), (n if own else n - 1).alias("n"), F.lit(own).alias("own"))
-    keys = lines.where(n >= least_chars).select("id", "place", F.inline(F.array(*(entry(i, *k) for i, k in enumerate(KEYS)))))
-    shared = keys.groupBy("kh").agg(F.count("*").alias("c"), F.max("own").alias("any_own")).where("c > 1 and any_own").select("kh")
-    held = park(keys.join(shared, "kh"), "line-keys")
+    keys = lines.where(n >= least_chars).select("place", F.inline(F.array(*(entry(i, *k) for i, k in enumerate(KEYS)))))
+    shared = park(keys.groupBy("kh").agg(F.count("*").alias("members"), F.max("own").alias("any_own")).where("members > 1 and any_own").select("kh", "members"), "line-shared")
+    held = park(salted_join(keys, shared, "kh", "place", counted="members"), "line-keys")
     # the candidates' texts, from the documents where they first stand
-    wanted = held.groupBy("place").agg(F.collect_list(F.struct("kh", "id", "side", "n", "own")).alias("ks")).select("place.key", "place.th", "place.pos", "ks")
+    wanted = held.groupBy("place").agg(F.collect_list(F.struct("kh", "members", "side", "n", "own")).alias("ks")).select("place.key", "place.th", "place.pos", "ks")
     texts = rows.dropDuplicates(["key", "th"]).join(wanted.groupBy("key", "th").agg(F.collect_list(F.struct("pos", "ks")).alias("ps")), ["key", "th"])
-    texts = texts.select("key", "th", lines_of(F.col("text")).alias("ls"), F.inline("ps")).select(F.struct("key", "th", "pos").alias("place"), F.get("ls", F.col("pos")).alias("line"), F.inline("ks"))
-    texts = texts.select("kh", "id", "own", "place", _remainder(F.col("line"), F.col("side"), F.col("n")).alias("rest"))
+    found = _let(lines_of(F.col("text")), lambda ls: F.transform("ps", lambda p: F.struct(p["pos"].alias("pos"), F.get(ls, p["pos"]).alias("line"), p["ks"].alias("ks"))))
+    texts = texts.select("key", "th", F.inline(found)).select(F.struct("key", "th", "pos").alias("place"), "line", F.inline("ks"))
+    texts = texts.select("kh", "members", "own", "place", _remainder(F.col("line"), F.col("side"), F.col("n")).alias("rest"))
     texts = park(texts.withColumn("chars", code_points(F.col("rest"))), "line-candidates")
-    gone = near_pairs(texts).select(F.col("gone").alias("id")).distinct()
-    left = lines.select("id", "place").join(gone, "id", "left_anti")
-    return left.groupBy(F.col("place.key").alias("key"), F.col("place.th").alias("th")).agg(F.collect_list("place.pos").alias("stay"))
+    gone = near_pairs(texts).select(F.col("gone").alias("place")).distinct()
+    left = lines.select("place").join(gone, "place", "left_anti")
+    return left.groupBy(F.col("place.key").alias("key"), F.col("place.th").alias("th")).agg(F.collect_list("place.pos").alias("stay")).select("key", "th", _mask(F.col("stay")).alias("stay"))
+
+
+def _marked(docs: DataFrame, least_chars: int, shortest: int | None) -> DataFrame:
+    """rest (struct of the columns beside text), text, gone (number of lines that go), left (the text without them)."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = packed(docs).select("rest", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(text).alias("th"))
+    joined = rows.join(staying(docs, least_chars, shortest), ["key", "th"], "left")
+    least = min(least_chars, least_chars if shortest is None else shortest)
+    held = F.coalesce("stay", F.lit(b""))
+    stays = lambda x, i: (F.length(F.trim(x, F.lit(" \t\v\f\r"))) < least) | (F.substring(held, i + 1, F.lit(1)) == F.lit(b"1"))
+    joined = joined.withColumn("kept", F.filter(F.split(text, "\n"), stays))
+    gone = F.size(F.split(text, "\n")) - F.size("kept")
+    return joined.select("rest", "text", gone.alias("gone"), F.when(gone == 0, F.col("text")).otherwise(F.array_join("kept", "\n")).alias("left"))
 
 
 def with_lines_left(docs: DataFrame, least_chars: int = LEAST_CHARS, shortest: int | None = None) -> DataFrame:
-    """docs with all columns and `_left`: the text without the lines that go, `_gone`: their number."""
-    stay = staying(docs, least_chars, shortest).select(F.col("key").alias("_key"), F.col("th").alias("_th"), F.col("stay").alias("_stay"))
-    text = F.coalesce(docs.text, F.lit(""))
-    joined = docs.join(stay, (F.coalesce(docs.doc_id.cast("long"), F.lit(NO_ID)) == F.col("_key")) & (F.xxhash64(text) == F.col("_th")), "left")
-    held = F.coalesce("_stay", F.array().cast("array<int>"))
-    trimmed = lines_of(text)
-    left = F.filter(F.arrays_zip(F.split(text, "\n").alias("raw"), trimmed.alias("line")), lambda x, i: (F.length(x["line"]) < min(least_chars, least_chars if shortest is None else shortest)) | F.array_contains(held, i))
-    joined = joined.withColumn("_kept", F.transform(left, lambda x: x["raw"])).withColumn("_gone", F.size(F.split(text, "\n")) - F.size("_kept"))
-    return joined.withColumn("_left", F.when(F.col("_gone") == 0, docs.text).otherwise(F.array_join("_kept", "\n"))).drop("_key", "_th", "_stay", "_kept")
+    """docs with all columns and `_left`: the text without the lines that go, `_gone`: their number (columns of these names are replaced)."""
+    found = _marked(docs, least_chars, shortest)
+    columns = [c for c in docs.columns if c.lower() not in ("_left", "_gone")]
+    return found.select(*(F.col("text").alias(c) if c == "text" else F.col("rest").getField(c).alias(c) for c in columns), F.col("left").alias("_left"), F.col("gone").alias("_gone"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs, same columns, without the lines that go; documents that lose all their words go too."""
-    found = with_lines_left(docs, shortest=ANY_LENGTH).where((F.col("_gone") == 0) | F.col("_left").rlike(r"[^\x20\x09-\x0D]"))
-    return found.select(*(F.col("_left").alias(c) if c == "text" else F.length("_left").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    found = _marked(docs, LEAST_CHARS, ANY_LENGTH).where((F.col("gone") == 0) | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
+    return found.select(*(F.col("left").alias(c) if c == "text" else F.length("left").cast("long").alias(c) if c == "n_chars" else F.col("rest").getField(c).alias(c) for c in docs.columns))
