@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows without a doc_id take this key inside an operator; it sorts after every real id.
@@ -49,6 +49,11 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value is worked out once although a lambda inside body uses it for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """doc_id, text and, as the struct `rest`, all columns beside text: no column can clash with an operator's own."""
     rest = F.struct(*(F.col(f"`{c}`").alias(c) for c in docs.columns if c != "text"))

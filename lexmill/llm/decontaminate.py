@@ -5,10 +5,11 @@ numbers and the units after them; end punctuation of words is dropped, white spa
 tokens of a text and of its template correspond one to one.
 
 Every run of WIDTH template tokens of a benchmark item is a window, and so is every run of its unmasked,
-lower-cased tokens (of a shorter item the whole of it). A window's longest literal token is its anchor.
-Documents' tokens meet the anchors in a hash join, and the tokens around each are compared with the window,
-so only true windows leave the join. Up to `broadcast_rows` windows (counted first) are broadcast, and no
-document moves; beyond it the join is by shuffle.
+lower-cased tokens (of a shorter item the whole of it). Documents' tokens give windows of the same widths; the
+hashes of both meet in an equality join, and the tokens of those that meet are compared. Up to
+`broadcast_rows` windows (counted first) are broadcast, and no document moves; beyond it, rows of (document,
+place, hash) are shuffled, salted by place, and only documents with a match are read again. Either way a long
+document costs no more a token than a short one.
 
 Matches of one template at one offset are one alignment, which is held against every item of the template:
 tokens met only by unmasked windows must equal the item's. Slots (tokens under a placeholder) must be
@@ -17,7 +18,8 @@ question replaces values throughout, unrelated text does not. An alignment count
 consistent and the windows cover at least `least_tokens` tokens or the whole item.
 
 Defined cases: null or empty texts match nothing; items of fewer than WIDTH tokens, and windows with fewer
-than half literal tokens, are searched unmasked only; items of one template are all reported; repeated documents give repeated rows; a null doc_id is reported as null; a null item_id sorts last.
+than half literal tokens, are searched unmasked only; items of one template are all reported; repeated rows (same doc_id and text) give
+repeated rows; a null doc_id is reported as null; a null item_id sorts last.
 """
 
 from __future__ import annotations
@@ -25,7 +27,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm.common import NO_ID, let, packed
+
 WIDTH = 8
+#: Salts of the join by shuffle.
+PARTS = 16
 
 #: Units of measure that may follow a number; fixed values.
 UNITS = "km|m|cm|mm|kg|g|mg|t|l|ml|s|ms|min|h|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|feet|foot|inch(?:es)?|yards?|pounds?|ounces?|lbs?|oz|dollars?|euros?|cents?|percent|degrees?|metres?|meters?|litres?|liters?|grams?|kilograms?|kilometres?|kilometers?|mph|km/h"
@@ -64,21 +70,63 @@ def items_of(items: DataFrame) -> DataFrame:
     return rows.where(F.size("canon") > 0).distinct().withColumn("tid", F.xxhash64("canon")).withColumn("n_item", F.size("canon"))
 
 
+def window_key(match: Column, lit: bool, w: int) -> Column:
+    """Hash of a window by the hashes of its tokens, its kind and its width."""
+    return F.xxhash64(F.lit(lit), F.lit(w), match)
+
+
+def hashed(ts: Column) -> Column:
+    return F.transform(ts, lambda x: F.xxhash64(x))
+
+
+def window_keys(ts: Column, lit: bool, w: int) -> Column:
+    """The keys of all windows of w tokens."""
+    keys = let(hashed(ts), lambda hs: F.transform(F.sequence(F.lit(1), F.size(hs) - w + 1), lambda i: window_key(F.slice(hs, i, w), lit, w)))
+    return F.when(F.size(ts) >= w, keys).otherwise(F.array().cast("array<long>"))
+
+
 def windows_of(rows: DataFrame, width: int = WIDTH) -> DataFrame:
-    """items_of -> tid, n_item, ipos, lit, match (the tokens to be met), window (their template), anchor, off (of the anchor)."""
+    """items_of -> tid, n_item, ipos, lit, w, match (the tokens to be met), window (their template); both as strings."""
     long = rows.where(F.col("n_item") >= width)
     spans = lambda c, w: F.transform(F.sequence(F.lit(1), F.col("n_item") - w + 1), lambda i: F.slice(c, i, w))
     masked = long.select("tid", "n_item", F.posexplode(spans("canon", F.lit(width))).alias("ipos", "match"))
     first = long.where("inner <> canon").select("tid", "n_item", F.lit(0).alias("ipos"), F.slice("inner", 1, width).alias("match"))
-    masked = masked.unionByName(first).distinct().select("*", F.lit(False).alias("lit"), F.col("match").alias("window"), F.filter("match", lambda t: ~is_slot(t)).alias("plain")).where(F.size("plain") * 2 >= width)
+    masked = masked.unionByName(first).distinct().select("*", F.lit(False).alias("lit"), F.col("match").alias("window")).where(F.size(F.filter("match", lambda t: ~is_slot(t))) * 2 >= width)
     # unmasked windows, of a short item the whole of it
     w = F.least(F.lit(width), F.col("n_item"))
     whole = rows.select("tid", "n_item", F.posexplode(F.arrays_zip(spans("lits", w).alias("match"), spans("canon", w).alias("window"))).alias("ipos", "x"))
-    whole = whole.select("tid", "n_item", "ipos", "x.match", "x.window").distinct().select("*", F.lit(True).alias("lit"), F.col("match").alias("plain"))
-    every = masked.unionByName(whole)
-    longest = F.array_max(F.transform("plain", F.length))
-    every = every.withColumn("anchor", F.get(F.filter("plain", lambda t: F.length(t) == longest), F.lit(0))).drop("plain")
-    return every.withColumn("off", F.array_position("match", F.col("anchor")).cast("int") - 1)
+    whole = whole.select("tid", "n_item", "ipos", "x.match", "x.window").distinct().select("*", F.lit(True).alias("lit"))
+    every = masked.unionByName(whole).withColumn("w", F.size("match"))
+    return every.select("tid", "n_item", "ipos", "lit", "w", F.array_join("match", " ").alias("match"), F.array_join("window", " ").alias("window"), F.xxhash64("lit", "w", hashed(F.col("match"))).alias("wh"))
+
+
+def _found(rows: DataFrame, windows: DataFrame, broadcast_rows: int) -> DataFrame:
+    """rows(key, th, text), windows_of -> key, th, tid, n_item, ipos, lit, w, at, window, ours (the document's tokens), copies."""
+    # a short item adds its own width: at most WIDTH of them
+    shapes = [(r.lit, r.w, r.n) for r in windows.groupBy("lit", "w").agg(F.count("*").alias("n")).collect()]
+    if not shapes:
+        shapes = [(True, WIDTH, 0)]
+    split = lambda text: F.split(F.regexp_replace(text, "^" + _SPACE, ""), _SPACE)
+    tokens_ = lambda df: df.withColumn("canon", split(canonical(F.col("text")))).withColumn("lits", split(literal(F.col("text")))).drop("text")
+    segment = lambda lit, w: F.struct(F.lit(lit).alias("lit"), F.lit(w).alias("w"), window_keys(F.col("lits" if lit else "canon"), lit, w).alias("whs"))
+    each = tokens_(rows).select("key", "th", "canon", "lits", F.inline(F.array(*(segment(lit, w) for lit, w, _ in shapes))))
+    met = F.slice(F.when(F.col("lit"), F.col("lits")).otherwise(F.col("canon")), F.col("at") + 1, F.col("w"))
+    ours = F.slice("lits", F.col("at") + 1, F.col("w"))
+    details = windows.drop("lit", "w")
+    what = ["key", "th", "lit", "w", "at"]
+    if sum(n for _, _, n in shapes) <= broadcast_rows:
+        hits = each.select("key", "th", "canon", "lits", "lit", "w", F.posexplode("whs").alias("at", "wh")).join(F.broadcast(details), "wh")
+        hits = hits.where(F.array_join(met, " ") == F.col("match")).select(*what, "tid", "n_item", "ipos", "window", ours.alias("ours"))
+    else:
+        salted = windows.select("wh").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        light = each.select("key", "th", "lit", "w", F.posexplode("whs").alias("at", "wh")).withColumn("salt", F.pmod(F.col("at") + F.col("th"), F.lit(PARTS)).cast("int"))
+        light = light.join(salted, ["wh", "salt"]).groupBy("key", "th").agg(F.collect_list(F.struct("lit", "w", "at", "wh")).alias("hs"))
+        hits = tokens_(rows.dropDuplicates(["key", "th"]).join(light, ["key", "th"])).select("key", "th", F.inline(let(F.col("canon"), lambda cs: let(F.col("lits"), lambda ls: F.transform("hs", lambda h: F.struct(
+            h["lit"].alias("lit"), h["w"].alias("w"), h["at"].alias("at"), h["wh"].alias("wh"), F.slice(ls, h["at"] + 1, h["w"]).alias("ours"), F.slice(F.when(h["lit"], ls).otherwise(cs), h["at"] + 1, h["w"]).alias("met")))))))
+        hits = hits.withColumn("salt", F.pmod(F.col("at") + F.col("th"), F.lit(PARTS)).cast("int")).join(details.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), ["wh", "salt"])
+        hits = hits.where(F.array_join("met", " ") == F.col("match")).select(*what, "tid", "n_item", "ipos", "window", "ours")
+    # equal rows give equal hits: their number is how often the row is repeated
+    return hits.groupBy(*what, "tid", "n_item", "ipos", "window", "ours").agg(F.count("*").alias("copies"))
 
 
 def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, least_tokens: int = 12, broadcast_rows: int = 200_000) -> DataFrame:
@@ -87,22 +135,12 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, least_tokens:
     th is xxhash64 of the text: with doc_id it tells rows of the same doc_id apart.
     """
     wanted = items_of(items)
-    # what the join carries is small: the window as one string, its template and place
-    keys = windows_of(wanted, width).select("anchor", "off", "tid", "ipos", "n_item", "lit", F.size("match").alias("w"), F.array_join("match", " ").alias("match"), F.array_join("window", " ").alias("window"))
-    if keys.count() <= broadcast_rows:
-        keys = F.broadcast(keys)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    split = lambda text: F.split(F.regexp_replace(text, "^" + _SPACE, ""), _SPACE)
-    each = rows.select("row", "doc_id", F.xxhash64("text").alias("th"), split(canonical(F.col("text"))).alias("canon"), split(literal(F.col("text"))).alias("lits"))
-    # the masked tokens, then the unmasked ones
-    each = each.select("row", "doc_id", "th", "canon", "lits", F.posexplode(F.concat("canon", "lits")).alias("at", "token"))
-    unmasked = F.col("at") >= F.size("canon")
-    start = F.when(unmasked, F.col("at") - F.size("canon")).otherwise(F.col("at")) - F.col("off")
-    met = F.slice(F.when(F.col("lit"), F.col("lits")).otherwise(F.col("canon")), F.greatest(start, F.lit(0)) + 1, F.col("w"))
-    found = each.join(keys, (F.col("token") == F.col("anchor")) & (F.col("lit") == unmasked) & (start >= 0) & (F.array_join(met, " ") == F.col("match")))
-    found = found.select("row", "doc_id", "th", "tid", "n_item", (start - F.col("ipos")).alias("shift"), "ipos", "lit", F.split("window", " ").alias("canon"), F.slice("lits", start + 1, F.col("w")).alias("ours"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(text).alias("th"), text.alias("text"))
+    found = _found(rows, windows_of(wanted, width), broadcast_rows)
+    found = found.withColumn("shift", F.col("at") - F.col("ipos")).withColumn("canon", F.split("window", " "))
     place = F.transform(F.arrays_zip("canon", "ours"), lambda x, i: F.struct((F.col("ipos") + i).alias("p"), F.col("lit").alias("lit"), x.canon.alias("c"), x.ours.alias("o")))
-    aligned = found.groupBy("row", "doc_id", "th", "tid", "n_item", "shift").agg(F.array_distinct(F.flatten(F.collect_list(place))).alias("met"))
+    aligned = found.groupBy("key", "th", "tid", "n_item", "shift").agg(F.array_distinct(F.flatten(F.collect_list(place))).alias("met"), F.max("copies").alias("copies"))
     # every item of the template has values of its own; places that only an unmasked window covers must be equal
     aligned = aligned.join(wanted.select("tid", "item_id", "lits", (F.col("inner") != F.col("canon")).alias("named")), "tid")
     aligned = aligned.withColumn("met", F.array_sort(F.filter("met", lambda x: ~x.lit | (F.get("lits", x.p) == x.o))))
@@ -114,11 +152,14 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, least_tokens:
     # a capitalised first token is masked or not by what stands before it: it may differ
     whole = (n == F.col("n_item")) | (F.col("named") & (n == F.col("n_item") - 1) & (n >= width) & (F.get("places", F.lit(0)).p == 1))
     good = aligned.where(consistent & ((n >= least_tokens) | whole))
-    best = good.groupBy("row", "doc_id", "th", "item_id").agg(F.max(F.struct(n.alias("n"), F.size("slots").alias("s"), F.forall("slots", lambda x: x.t == x.o).alias("v"))).alias("m"))
-    return best.select("doc_id", "th", "item_id", F.col("m.n").cast("long").alias("n_tokens"), F.col("m.s").cast("long").alias("n_slots"), F.col("m.v").alias("verbatim"))
+    best = good.groupBy("key", "th", "item_id").agg(F.max(F.struct(n.alias("n"), F.size("slots").alias("s"), F.forall("slots", lambda x: x.t == x.o).alias("v"))).alias("m"), F.max("copies").alias("copies"))
+    best = best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return best.select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), "th", "item_id", F.col("m.n").cast("long").alias("n_tokens"), F.col("m.s").cast("long").alias("n_slots"), F.col("m.v").alias("verbatim"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, in which no item is found."""
-    hits = matches(docs, items).select(F.col("doc_id").alias("_hit"), "th").distinct()
-    return docs.join(hits, docs.doc_id.eqNullSafe(hits["_hit"]) & (F.xxhash64(F.coalesce(docs.text, F.lit(""))) == hits.th), "left_anti")
+    hits = matches(docs, items).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "th").distinct()
+    rows = packed(docs).select("rest", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    left = rows.join(hits, ["key", "th"], "left_anti")
+    return left.select(*(F.col("text") if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns))

@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import NO_ID, packed, park, salted_join
+from lexmill.llm.common import NO_ID, let, packed, park, salted_join
 
 EDITS = 1
 LEAST_CHARS = 30
@@ -131,15 +131,10 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), where value is worked out once although a lambda inside body uses it for each element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _mask(positions: Column) -> Column:
     """Binary with a 1 at each of the places (numbers from 0) and a 0 between."""
     piece = lambda ps: F.transform(ps, lambda p, i: F.concat(F.repeat(F.lit("0"), p - F.when(i > 0, F.get(ps, i - 1)).otherwise(-1) - 1), F.lit("1")))
-    return F.array_join(_let(F.array_sort(positions), piece), "").cast("binary")
+    return F.array_join(let(F.array_sort(positions), piece), "").cast("binary")
 
 
 def staying(docs: DataFrame, least_chars: int = LEAST_CHARS, shortest: int | None = None) -> DataFrame:
@@ -159,7 +154,7 @@ def staying(docs: DataFrame, least_chars: int = LEAST_CHARS, shortest: int | Non
     # the candidates' texts, from the documents where they first stand
     wanted = held.groupBy("place").agg(F.collect_list(F.struct("kh", "members", "side", "n", "own")).alias("ks")).select("place.key", "place.th", "place.pos", "ks")
     texts = rows.dropDuplicates(["key", "th"]).join(wanted.groupBy("key", "th").agg(F.collect_list(F.struct("pos", "ks")).alias("ps")), ["key", "th"])
-    found = _let(lines_of(F.col("text")), lambda ls: F.transform("ps", lambda p: F.struct(p["pos"].alias("pos"), F.get(ls, p["pos"]).alias("line"), p["ks"].alias("ks"))))
+    found = let(lines_of(F.col("text")), lambda ls: F.transform("ps", lambda p: F.struct(p["pos"].alias("pos"), F.get(ls, p["pos"]).alias("line"), p["ks"].alias("ks"))))
     texts = texts.select("key", "th", F.inline(found)).select(F.struct("key", "th", "pos").alias("place"), "line", F.inline("ks"))
     texts = texts.select("kh", "members", "own", "place", _remainder(F.col("line"), F.col("side"), F.col("n")).alias("rest"))
     texts = park(texts.withColumn("chars", code_points(F.col("rest"))), "line-candidates")
