@@ -111,7 +111,7 @@ def _anchor_rows():
             flush()
         offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
         lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else np.empty(0, t), t())) for x, t in ((found, pa.int64), (places, pa.int32))] if texts else [pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.int32()))]
-        return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("th"), *lists], names=["key", "th", "hs", "ps"])
+        return pa.RecordBatch.from_arrays([batch.column("at"), *lists], names=["at", "hs", "ps"])
 
     return run
 
@@ -123,6 +123,9 @@ def _automaton(block: list[tuple]) -> ahocorasick.Automaton:
         for p in places:
             # hot phrases are marked by a place below zero; one phrase is hot everywhere
             at, hot = (-1 - p, 1) if p < 0 else (p, 0)
+            if at + PHRASE > len(words):
+                # the place belongs to another text of the same doc_id
+                continue
             shard.add_word(f" {' '.join(words[at : at + PHRASE])} ", hot)
     shard.make_automaton()
     return shard
@@ -180,12 +183,18 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Snippets of a task's documents; those known to be covered come without words."""
     earliest: dict[bytes, tuple] = {}
     out: list[tuple] = []
+    gone: list[tuple] = []
     held = waiting = 0
     hashed = WordHashes()
 
-    def covered(row: tuple) -> tuple:
-        # spread by document: there is nothing to compare
-        return (_signed(b"%d %d" % (row[1], row[3])), *row[1:5], None)
+    def covered(row: tuple) -> None:
+        gone.append((*row[1:4], row[3] + row[4] - 1 + WINDOW))
+
+    def table() -> pa.RecordBatch:
+        # neighbouring covered snippets of a document are one range; there is nothing to compare, so they are spread by document
+        rows = [(_signed(b"%d %d" % (key, start)), key, th, start, end - start - WINDOW + 1, None) for key, th, start, end in (_merged(sorted(gone)) if gone else ())]
+        gone.clear()
+        return _table([*out, *rows], _SNIPPET_ARROW)
 
     def blocks() -> Iterator[list[tuple]]:
         block, size = [], 0
@@ -210,9 +219,9 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     earliest[mark] = row
                     held += len(row[5])
                 elif (row[1], row[3]) > (best[1], best[3]):
-                    out.append(covered(row))
+                    covered(row)
                 elif (row[1], row[3]) < (best[1], best[3]):
-                    out.append(covered(best))
+                    covered(best)
                     earliest[mark] = row
                 else:
                     out.append(row)
@@ -221,12 +230,12 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out += earliest.values()
                     waiting += held
                     earliest, held = {}, 0
-                if len(out) >= 20_000 or waiting >= MERGE_BYTES:
-                    yield _table(out, _SNIPPET_ARROW)
+                if len(out) >= 20_000 or len(gone) >= MERGE_LIMIT or waiting >= MERGE_BYTES:
+                    yield table()
                     out, waiting = [], 0
     out += earliest.values()
-    if out:
-        yield _table(out, _SNIPPET_ARROW)
+    if out or gone:
+        yield table()
 
 
 _RANGE_ARROW = pa.schema([("key", pa.int64()), ("th", pa.int64()), ("from", pa.int32()), ("to", pa.int32())])
@@ -283,23 +292,28 @@ def _removed(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def covered_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents(key, text, th), ranges(key, th, ranges array<struct<from, to>>)); th is a hash of the text."""
-    rows = keyed(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "text", F.xxhash64("text").alias("th"))
-    found = park(map_batches(rows.select("key", "th", "text"), _anchor_rows(), "key long, th long, hs array<long>, ps array<int>"), "substring-anchors")
+    """(documents(at, key, text, th), ranges(at, ranges array<struct<th, from, to>>)); th is a hash of the text.
+
+    Documents are joined by `at`, their doc_id or, where it is null, th. Several texts of one doc_id share it:
+    they share confirmed phrases, which does no harm, and ranges name the text they are for.
+    """
+    at = lambda: F.when(F.col("key") == NO_ID, F.col("th")).otherwise(F.col("key")).alias("at")
+    rows = keyed(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "text", F.xxhash64("text").alias("th")).select(at(), "key", "text", "th")
+    found = park(map_batches(rows.select("at", "text"), _anchor_rows(), "at long, hs array<long>, ps array<int>"), "substring-anchors")
     confirmed = park(found.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "substring-confirmed")
     total = found.agg(F.coalesce(F.sum(F.size("hs")), F.lit(0))).first()[0]
     # fewer than HOT phrases can have more than 1/HOT of all places each
     most = max(total / HOT, LEAST_HOT)
     hot = F.broadcast(confirmed.where(F.col("n") > most).select("h", F.lit(True).alias("hot")))
-    each = found.select("key", "th", F.inline(F.arrays_zip(F.col("hs").alias("h"), F.col("ps").alias("p"))))
+    each = found.select("at", F.inline(F.arrays_zip(F.col("hs").alias("h"), F.col("ps").alias("p"))))
     each = each.join(hot, "h", "left")
-    common = each.where("hot").select("key", "th", (-1 - F.col("p")).alias("p"))
-    rare = each.where("hot is null").join(confirmed.where(F.col("n") <= most).select("h"), "h").select("key", "th", "p")
-    wanted = rare.unionByName(common).groupBy("key", "th").agg(F.collect_set("p").alias("found"))
-    located = rows.join(wanted, ["key", "th"]).select("key", "th", "text", "found").mapInArrow(_located, _SNIPPET)
+    common = each.where("hot").select("at", (-1 - F.col("p")).alias("p"))
+    rare = each.where("hot is null").join(confirmed.where(F.col("n") <= most).select("h"), "h").select("at", "p")
+    wanted = rare.unionByName(common).groupBy("at").agg(F.collect_set("p").alias("found"))
+    located = rows.join(wanted, "at").select("key", "th", "text", "found").mapInArrow(_located, _SNIPPET)
     sorted_ = located.repartition("h").sortWithinPartitions("h", "key", "start")
     ranges = sorted_.mapInArrow(_compared, "key long, th long, `from` int, `to` int")
-    ranges = ranges.groupBy("key", "th").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
+    ranges = ranges.groupBy(at()).agg(F.collect_list(F.struct("th", "from", "to")).alias("ranges"))
     return rows, ranges
 
 
@@ -307,5 +321,6 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_words, n_removed, kept_sha256."""
     rows, ranges = covered_ranges(docs)
     # both joins of the documents ask for the same columns by the same key: they are shuffled once
-    joined = rows.join(ranges, ["key", "th"], "left").select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), "text", "ranges")
+    own = F.filter("ranges", lambda r: r["th"] == F.col("th"))
+    joined = rows.join(ranges, "at", "left").select(F.nullif("key", F.lit(NO_ID)).alias("doc_id"), "text", own.alias("ranges"))
     return map_batches(joined, _removed, "doc_id long, n_words long, n_removed long, kept_sha256 string")
