@@ -60,19 +60,32 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", rest.alias("rest"))
 
 
+def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Broadcast (key, _hot) of the keys with over 1/HOT of all rows, from counts(key, n): fewer than HOT, whatever the size."""
+    return F.broadcast(counts.where(F.col(n) > max(total / HOT, LEAST_HOT)).select(key, F.lit(SALTS).alias("_hot")))
+
+
+def dealt(many: DataFrame, hot: DataFrame, key: str, row: str) -> DataFrame:
+    """`many` with `_salt`: rows of a hot key are dealt to SALTS parts by a hash of `row`, others have 0."""
+    salt = F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(row), F.lit(SALTS))).cast("int")
+    return many.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
+
+
+def repeated(few: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """`few` with `_salt`: rows of a hot key once for every salt."""
+    return few.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_hot"), F.lit(1)) - 1))).drop("_hot")
+
+
 def salted_join(many: DataFrame, few: DataFrame, key: str, row: str, how: str = "inner", counted: str | None = None) -> DataFrame:
-    """Join by `key`, where `few` has one row per key and `many` may have a third of its rows on one.
+    """Join by `key`, where `few` has few rows per key and `many` may have a third of its rows on one.
 
     `row` is a column of `many` that spreads its rows. Hot keys are found by counting, or read off the column
-    `counted` of `few`; each of their rows takes one of SALTS salts and `few` holds them once per salt. The counts
-    are sums made before their shuffle.
+    `counted` of `few`. The counts are sums made before their shuffle.
     """
     total = many.agg(F.count(key)).first()[0]
     counts = few.select(key, F.col(counted).alias("_n")) if counted else many.groupBy(key).agg(F.count("*").alias("_n"))
-    hot = F.broadcast(counts.where(F.col("_n") > max(total / HOT, LEAST_HOT)).select(key, F.lit(SALTS).alias("_hot")))
-    left = many.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(row), F.lit(SALTS))).cast("int")).drop("_hot")
-    right = few.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_hot"), F.lit(1)) - 1))).drop("_hot")
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    hot = hot_keys(counts, key, "_n", total)
+    return dealt(many, hot, key, row).join(repeated(few, hot, key), [key, "_salt"], how).drop("_salt")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

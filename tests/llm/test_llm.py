@@ -7,9 +7,10 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat, decontaminate, line_dedup, near_dedup, pieces, quality, secrets, substring_dedup, toxicity, url_filter
+from lexmill.llm import chat, common, decontaminate, line_dedup, near_dedup, pieces, quality, secrets, substring_dedup, toxicity, url_filter
 
 WS = re.compile("[^\x20\x09-\x0d]+")
 ODD = [(100, None), (101, ""), (102, " \n\t"), (103, "one two"), (103, "one two"), (None, "null id text with some words in it"), (104, "ÄÖ ß 😀 é \x85 x"), (105, "long " * 3000)]
@@ -47,7 +48,9 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("least_hot", [64, 0])
+def test_near_duplicates(spark, monkeypatch, least_hot):
+    monkeypatch.setattr(common, "LEAST_HOT", least_hot)
     rows = [r for r in corpus() if r[0] != 103]
     sets = {i: shingles(x) for i, x in rows if i is not None}
     label = {i: i for i in sets}
@@ -67,6 +70,13 @@ def test_near_duplicates_of_repeated_rows_and_nothing(spark):
     assert near_dedup.near_duplicates(table(spark, [(1, "x")]).limit(0)).count() == 0
 
 
+def test_near_duplicates_of_rows_with_one_doc_id(spark):
+    texts = ["a b c d e f", "g h i j k l"]
+    one, other = sorted(texts, key=lambda x: xxhash.xxh3_128_digest(near_dedup.shingle_set(x.encode(), common.WordHashes()).tobytes()))
+    got = near_dedup.near_duplicates(table(spark, [(5, one), (5, other), (3, one), (4, other)])).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(3, 3, True), (4, 4, True), (5, 3, False), (5, 3, False)]
+
+
 @pytest.mark.parametrize("least_hot", [64, 1])
 def test_substring_dedup(spark, monkeypatch, least_hot):
     monkeypatch.setattr(substring_dedup, "LEAST_HOT", least_hot)
