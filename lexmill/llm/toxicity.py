@@ -15,7 +15,8 @@ up to MOST_CHARS code points. Rows whose crc32(doc_id) mod 5 is 0 are held out a
 
 Defined cases: null, empty and wordless texts are one window without words and get its score; a label
 without a document, or null, is not used; of repeated labels the largest counts; without toxic or without
-clean labels the score is the share of toxic ones; repeated rows give repeated rows.
+clean labels the score is the share of toxic ones; repeated rows give repeated rows; columns of docs may have
+any names, one that has the name asked for the score is replaced.
 """
 
 from __future__ import annotations
@@ -313,9 +314,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
     return train([t.encode("utf-8", "surrogatepass") for _, t, _ in rows], [y for _, _, y in rows])
 
 
-def scored(docs: DataFrame, net: Network) -> DataFrame:
-    """docs with all columns and `_score`, of the whole text alone."""
+def scored(docs: DataFrame, net: Network, column: str = "_score") -> DataFrame:
+    """docs with all columns and the score, of the whole text alone, in `column`."""
     model = docs.sparkSession.sparkContext.broadcast(net)
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != column.lower()))
 
     def run(batches):
         scorer = Scorer(model.value)
@@ -327,6 +329,6 @@ def scored(docs: DataFrame, net: Network) -> DataFrame:
                 if size >= 400_000 or k == len(texts) - 1:
                     out.append(scorer.scores(texts[start : k + 1]))
                     start, size = k + 1, 0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else [], pa.float64())], names=[*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else [], pa.float64())], names=[*batch.schema.names, column])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
