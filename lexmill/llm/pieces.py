@@ -4,17 +4,18 @@ A text becomes pieces as the model's library would make them: blanks turn into U
 and pieces merge by rank. No piece holds a newline or a U+2581 behind another character, so a text falls
 into units (U+2581 run and word, or a newline) that are encoded apart, each different unit of a block once.
 
-Units of equal length advance together, one code point at a time. For every unit the last piece of the
+Units of equal length (those of more than EVEN code points: of similar length, padded) advance together, one code point at a time. For every unit the last piece of the
 encoding of its first s code points is known for all s < e; the candidates for e are the pieces that end
-there: hashes of the substrings, from prefix hashes, probe the sorted hashes of the pieces. In a model that
+there: hashes of the substrings, from prefix hashes, probe the sorted hashes of the pieces, and the code
+points of a hit are compared. In a model that
 merges by rank a sequence of pieces is the encoding if, and only if, each two neighbours encode to
 themselves when joined (merges inside two pieces go on independently unless one crosses their border).
 Hence exactly one candidate fits behind the last piece of its prefix; a maximum over the lengths, where
 fitting counts most and length next, picks it and stores the backpointer. Whether two pieces fit is worked
 out once per pair and kept.
 
-Code points without a piece become their UTF-8 bytes. Units of more than LONG code points merge by rank
-directly, with the same result.
+Code points without a piece become their UTF-8 bytes. A unit of more than LONG code points, which would
+advance all alone, merges by rank through a heap instead, with the same result.
 
 Defined cases: null text has no ids (null) and decodes to null, empty text has an empty list. Decoding gives
 the text back exactly, except that U+2581 in a text comes back as a blank. Repeated rows give repeated rows.
@@ -38,10 +39,12 @@ from lexmill.llm.common import map_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-LONG = 40
+EVEN, LONG = 40, 4_096
+#: Code points of the units that advance together.
+BATCH_CODES = 800_000
 UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-#: Units that a worker keeps; beyond it starts anew.
-KEEP = 300_000
+#: Units, and their code points, that a worker keeps; beyond it starts anew.
+KEEP, KEEP_CODES = 300_000, 6_000_000
 #: Places for pairs of pieces whose fit is known.
 PAIR_BITS = 20
 
@@ -73,7 +76,16 @@ def _spread(codes: np.ndarray) -> np.ndarray:
 
 
 def _codes(words: list[str], length: int) -> np.ndarray:
-    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(words), length)
+    """Code points of words of up to `length`, padded with zeros."""
+    return np.frombuffer("".join(w.ljust(length, "\0") for w in words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(words), length)
+
+
+def _width(length: int) -> int:
+    """Length that a unit is padded to: its own up to EVEN, then the next multiple of an eighth of its size."""
+    if length <= EVEN:
+        return length
+    step = 1 << (length.bit_length() - 3)
+    return -(-length // step) * step
 
 
 def _prefix_hashes(codes: np.ndarray) -> np.ndarray:
@@ -90,6 +102,7 @@ class Encoder:
     vocabulary: Vocabulary
     ids: dict[str, int] = field(init=False)
     known: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    held: int = 0
 
     def __post_init__(self) -> None:
         pieces = self.vocabulary.pieces
@@ -105,6 +118,9 @@ class Encoder:
             ids.append(np.array([self.ids[p] for p in group], dtype=np.int64))
         order = np.argsort(np.concatenate(hashes))
         self.keys, self.key_ids = np.concatenate(hashes)[order], np.concatenate(ids)[order]
+        self.codes = np.zeros((len(pieces), self.longest), dtype=np.uint32)
+        for length, group in by_length.items():
+            self.codes[[self.ids[p] for p in group], :length] = _codes(group, length)
         # whether two pieces fit, by a hash of the pair; a later pair takes the place of an earlier one
         self.pair_keys, self.pair_fits = np.full(1 << PAIR_BITS, -1, dtype=np.int64), np.zeros(1 << PAIR_BITS, dtype=bool)
         # which values of 20 bits of a hash any piece has: most substrings are no piece and need no search
@@ -188,7 +204,8 @@ class Encoder:
 
     def _batch(self, words: list[str], length: int) -> list[tuple[int, ...]]:
         count = len(words)
-        hashes = _prefix_hashes(_codes(words, length))
+        codes = _codes(words, length)
+        hashes = _prefix_hashes(codes)
         last = np.full((count, length + 1), -1, dtype=np.int64)
         back = np.zeros((count, length + 1), dtype=np.int64)
         for e in range(1, length + 1):
@@ -203,6 +220,8 @@ class Encoder:
                 k = np.minimum(np.searchsorted(self.keys, h[rows]), len(self.keys) - 1)
                 real = self.keys[k] == h[rows]
                 rows, ids = rows[real], self.key_ids[k[real]]
+                same = (codes[rows, s:e] == self.codes[ids, :size]).all(axis=1)
+                rows, ids = rows[same], ids[same]
                 if not len(rows):
                     continue
                 score = (size + 1) * self._fitting(last[rows, s], ids) if size > 1 else np.full(len(rows), 2)
@@ -212,7 +231,7 @@ class Encoder:
         # follow the backpointers of all units at once, filling the pieces in from the right
         found = np.zeros((count, length), dtype=np.int64)
         filled = np.zeros((count, length), dtype=bool)
-        rows, e = np.arange(count), np.full(count, length)
+        rows, e = np.arange(count), np.fromiter(map(len, words), dtype=np.int64, count=count)
         column = length - 1
         while len(rows):
             ids = last[rows, e]
@@ -234,18 +253,19 @@ class Encoder:
 
     def learn(self, units: set[str]) -> None:
         """Encode the units not known yet."""
-        if len(self.known) > KEEP:
+        if len(self.known) > KEEP or self.held > KEEP_CODES:
             self.known.clear()
+            self.held = 0
         by_length: dict[int, list[str]] = {}
         for u in units:
             if u not in self.known:
-                by_length.setdefault(len(u), []).append(u)
+                self.held += len(u)
+                by_length.setdefault(_width(len(u)) if len(u) <= LONG else 0, []).append(u)
+        self.known.update((w, self.out_ids(self.merged(w))) for w in by_length.pop(0, ()))
         for length, words in by_length.items():
-            if length > LONG:
-                self.known.update((w, self.out_ids(self.merged(w))) for w in words)
-                continue
-            for k in range(0, len(words), 20_000):
-                part = words[k : k + 20_000]
+            step = max(1, min(20_000, BATCH_CODES // length))
+            for k in range(0, len(words), step):
+                part = words[k : k + step]
                 self.known.update(zip(part, self._batch(part, length), strict=True))
 
     def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -276,7 +296,7 @@ _BLOCK_CHARS = 2_000_000
 
 
 def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, text, ids array<int>."""
+    """docs(doc_id, text) -> doc_id, text, ids array<int>. Further columns, of whatever names, are left out."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
 
     def run(batches):
@@ -304,7 +324,9 @@ def decoded(tokens: DataFrame, model: str = MODEL) -> DataFrame:
     vocabulary = tokens.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        table = _WORKER.setdefault(f"{model} bytes", _byte_table(vocabulary.value))
+        table = _WORKER.get(f"{model} bytes")
+        if table is None:
+            table = _WORKER[f"{model} bytes"] = _byte_table(vocabulary.value)
         out = []
         column = batch.column("ids")
         for k in range(len(column)):
