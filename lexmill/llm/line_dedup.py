@@ -184,6 +184,8 @@ def with_lines_left(docs: DataFrame, least_chars: int = LEAST_CHARS, shortest: i
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs, same columns, without the lines that go; documents that lose all their words go too."""
+    """docs, same columns, without the lines that go; documents that lose all their words go too. A column n_chars is set anew where lines went."""
     found = _marked(docs, LEAST_CHARS, ANY_LENGTH).where((F.col("gone") == 0) | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
-    return found.select(*(F.col("left").alias(c) if c == "text" else F.length("left").cast("long").alias(c) if c == "n_chars" else F.col("rest").getField(c).alias(c) for c in docs.columns))
+    own = lambda c: F.col("rest").getField(c)
+    size = lambda c: F.when(F.col("gone") == 0, own(c)).otherwise(F.length("left").cast(docs.schema[c].dataType))
+    return found.select(*(F.col("left").alias(c) if c == "text" else (size if c == "n_chars" else own)(c).alias(c) for c in docs.columns))

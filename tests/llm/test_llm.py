@@ -270,8 +270,10 @@ def test_pieces(spark):
     model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     rnd = random.Random(4)
     texts = ["".join(rnd.choice(" \n\tabcdefghist_éß日😀.,-0123 THE") for _ in range(rnd.randrange(0, 90))) for _ in range(400)] + ["the " * 50, "a" * 300, "", " ", "\n\n x"]
+    # units without blanks: of similar lengths, of a length of its own, of more than LONG code points
+    texts += ["".join(rnd.choice("abcdeghinorst日本語é") for _ in range(n)) for n in (*range(39, 90), 700, 3_000, pieces.LONG, pieces.LONG + 1, 6_000)]
     rows = [(k, x) for k, x in enumerate(texts)] + [(900, None)]
-    df = table(spark, rows, clash=False)
+    df = table(spark, rows).withColumns({"ids": F.lit(1), "decoded": F.lit(1)})
     got = {r.doc_id: r for r in pieces.decoded(pieces.encoded(df)).collect()}
     assert got[900].ids is None and got[900].decoded is None
     for k, x in enumerate(texts):
@@ -302,6 +304,59 @@ def test_toxicity_gradients():
         assert abs((up - down) / 2e-3 - grad[at]) < 2e-5
 
 
+def plain_score(net, text):
+    """The network of one text, window by window and word by word."""
+    words = [w for w in (x.strip(toxicity.EDGE) for x in text.lower().split()) if w]
+    sigma = lambda x: 1 / (1 + np.exp(-x))
+    h, best = toxicity.HIDDEN, -np.inf
+    inputs = [net.inputs([w])[0] for w in words]
+    last = max(0, len(words) - toxicity.WINDOW)
+    for start in {*range(0, last, toxicity.STRIDE), last}:
+        own = inputs[start : start + toxicity.WINDOW]
+        states = []
+        for way in (0, 1):
+            state, seen = np.zeros(h), []
+            for x in own[:: 1 - 2 * way]:
+                x, u = x @ net.p["wx"][way] + net.p["bx"][way][0], state @ net.p["u"][way]
+                z, r = (np.clip(0.25 * (x[k * h : (k + 1) * h] + u[k * h : (k + 1) * h]) + 0.5, 0, 1) for k in (0, 1))
+                state = state + z * (np.tanh(x[2 * h :] + r * u[2 * h :]) - state)
+                seen.append(state)
+            states.append(seen[:: 1 - 2 * way])
+        logit = net.p["b"][0]
+        if own:
+            both = np.concatenate((np.array(states[0]), np.array(states[1])), axis=1)
+            weight = np.exp(both @ net.p["va"])
+            logit = weight / weight.sum() @ both @ net.p["w"] + logit
+        best = max(best, logit)
+    return sigma(np.clip(net.slope * best + net.shift, -30, 30))
+
+
+def test_toxicity_scores_equal_a_plain_network(spark):
+    rnd = random.Random(6)
+    net = toxicity.Network.fresh(3)
+    net.p["b"][:], net.slope, net.shift = 0.3, 1.7, -0.2
+    rows = [(k, " ".join(prose(rnd, n))) for k, n in enumerate([0, 1, 2, 47, 48, 49, 80, 81, 200, 1000])] + ODD
+    df = table(spark, rows).withColumns({"_score": F.lit("x"), "words": F.lit(2)})
+    got = toxicity.scored(df, net, column="score")
+    assert sorted(got.columns) == sorted(df.columns)
+    want = {(i, x): plain_score(net, (x or "").encode()) for i, x in rows}
+    for r in got.collect():
+        assert r._score == "x" and abs(r.score - want[r.doc_id, r.text]) < 1e-5
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables here")
+def test_toxicity_on_labelled_rows_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
+    labelled = docs.join(labels, "doc_id", "left_semi")
+    net = toxicity.fit(labelled, labels.withColumn("toxic", F.col("toxic").cast("int")))
+    held = toxicity.scored(labelled.where(toxicity.held_out(F.col("doc_id"))), net).join(labels, "doc_id").collect()
+    caught = [r._score >= 0.5 for r in held if r.toxic]
+    alarms = [r._score >= 0.5 for r in held if not r.toxic]
+    print(f"held out: {sum(caught)} of {len(caught)} toxic rows, {sum(alarms)} of {len(alarms)} clean ones")
+    assert sum(caught) >= 0.8 * len(caught) and sum(alarms) <= 0.02 * len(alarms)
+
+
 def test_toxicity_learns_and_covers_every_word(spark):
     rnd = random.Random(5)
     rows = [(k, " ".join([*prose(rnd, 130)][: 60 + k % 60] + (["lowei" + rnd.choice(["g", "sch", "tum"]) if k % 2 else "scum"] if k % 3 == 0 else []) + prose(rnd, 20))) for k in range(400)]
