@@ -70,19 +70,9 @@ def items_of(items: DataFrame) -> DataFrame:
     return rows.where(F.size("canon") > 0).distinct().withColumn("tid", F.xxhash64("canon")).withColumn("n_item", F.size("canon"))
 
 
-def window_key(match: Column, lit: bool, w: int) -> Column:
-    """Hash of a window by the hashes of its tokens, its kind and its width."""
-    return F.xxhash64(F.lit(lit), F.lit(w), match)
-
-
-def hashed(ts: Column) -> Column:
-    return F.transform(ts, lambda x: F.xxhash64(x))
-
-
-def window_keys(ts: Column, lit: bool, w: int) -> Column:
-    """The keys of all windows of w tokens."""
-    keys = let(hashed(ts), lambda hs: F.transform(F.sequence(F.lit(1), F.size(hs) - w + 1), lambda i: window_key(F.slice(hs, i, w), lit, w)))
-    return F.when(F.size(ts) >= w, keys).otherwise(F.array().cast("array<long>"))
+def window_key(lit: Column, ts: Column, at: Column, w: int) -> Column:
+    """Hash of the window of w tokens from `at` (from 0) on and of its kind."""
+    return F.xxhash64(lit, F.lit(w), *(F.get(ts, at + k) for k in range(w)))
 
 
 def windows_of(rows: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -97,36 +87,36 @@ def windows_of(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     whole = rows.select("tid", "n_item", F.posexplode(F.arrays_zip(spans("lits", w).alias("match"), spans("canon", w).alias("window"))).alias("ipos", "x"))
     whole = whole.select("tid", "n_item", "ipos", "x.match", "x.window").distinct().select("*", F.lit(True).alias("lit"))
     every = masked.unionByName(whole).withColumn("w", F.size("match"))
-    return every.select("tid", "n_item", "ipos", "lit", "w", F.array_join("match", " ").alias("match"), F.array_join("window", " ").alias("window"), F.xxhash64("lit", "w", hashed(F.col("match"))).alias("wh"))
+    key = F.coalesce(*(F.when(F.col("w") == n, window_key(F.col("lit"), F.col("match"), F.lit(0), n)) for n in range(1, width + 1)))
+    return every.select("tid", "n_item", "ipos", "lit", "w", F.array_join("match", " ").alias("match"), F.array_join("window", " ").alias("window"), key.alias("wh"))
 
 
 def _found(rows: DataFrame, windows: DataFrame, broadcast_rows: int) -> DataFrame:
-    """rows(key, th, text), windows_of -> key, th, tid, n_item, ipos, lit, w, at, window, ours (the document's tokens), copies."""
+    """rows(key, th, text), windows_of -> key, th, tid, n_item, shift, ipos, lit, window, ours (the document's tokens)."""
     # a short item adds its own width: at most WIDTH of them
-    shapes = [(r.lit, r.w, r.n) for r in windows.groupBy("lit", "w").agg(F.count("*").alias("n")).collect()]
-    if not shapes:
-        shapes = [(True, WIDTH, 0)]
+    widths = {r.w: r.n for r in windows.groupBy("w").agg(F.count("*").alias("n")).collect()} or {WIDTH: 0}
     split = lambda text: F.split(F.regexp_replace(text, "^" + _SPACE, ""), _SPACE)
     tokens_ = lambda df: df.withColumn("canon", split(canonical(F.col("text")))).withColumn("lits", split(literal(F.col("text")))).drop("text")
-    segment = lambda lit, w: F.struct(F.lit(lit).alias("lit"), F.lit(w).alias("w"), window_keys(F.col("lits" if lit else "canon"), lit, w).alias("whs"))
-    each = tokens_(rows).select("key", "th", "canon", "lits", F.inline(F.array(*(segment(lit, w) for lit, w, _ in shapes))))
-    met = F.slice(F.when(F.col("lit"), F.col("lits")).otherwise(F.col("canon")), F.col("at") + 1, F.col("w"))
-    ours = F.slice("lits", F.col("at") + 1, F.col("w"))
+    each = tokens_(rows).select("key", "th", "lits", F.inline(F.array(F.struct(F.lit(False).alias("lit"), F.col("canon").alias("ts")), F.struct(F.lit(True).alias("lit"), F.col("lits").alias("ts")))))
+    each = each.select("key", "th", "lits", "lit", "ts", F.posexplode("ts").alias("at", "token"))
+    at, ts = F.col("at"), F.col("ts")
+    keys = [F.struct(F.lit(w).alias("w"), F.when(at + w <= F.size(ts), window_key(F.col("lit"), ts, at, w)).alias("wh")) for w in sorted(widths)]
+    key = (lambda df: df.withColumn("w", F.lit(next(iter(widths)))).withColumn("wh", keys[0]["wh"])) if len(keys) == 1 else (lambda df: df.select("*", F.inline(F.array(*keys))))
+    each = key(each).where("wh is not null")
     details = windows.drop("lit", "w")
-    what = ["key", "th", "lit", "w", "at"]
-    if sum(n for _, _, n in shapes) <= broadcast_rows:
-        hits = each.select("key", "th", "canon", "lits", "lit", "w", F.posexplode("whs").alias("at", "wh")).join(F.broadcast(details), "wh")
-        hits = hits.where(F.array_join(met, " ") == F.col("match")).select(*what, "tid", "n_item", "ipos", "window", ours.alias("ours"))
+    if sum(widths.values()) <= broadcast_rows:
+        hits = each.join(F.broadcast(details), "wh").where(F.array_join(F.slice(ts, at + 1, F.col("w")), " ") == F.col("match")).withColumn("ours", F.slice("lits", at + 1, F.col("w")))
     else:
-        salted = windows.select("wh").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-        light = each.select("key", "th", "lit", "w", F.posexplode("whs").alias("at", "wh")).withColumn("salt", F.pmod(F.col("at") + F.col("th"), F.lit(PARTS)).cast("int"))
-        light = light.join(salted, ["wh", "salt"]).groupBy("key", "th").agg(F.collect_list(F.struct("lit", "w", "at", "wh")).alias("hs"))
-        hits = tokens_(rows.dropDuplicates(["key", "th"]).join(light, ["key", "th"])).select("key", "th", F.inline(let(F.col("canon"), lambda cs: let(F.col("lits"), lambda ls: F.transform("hs", lambda h: F.struct(
-            h["lit"].alias("lit"), h["w"].alias("w"), h["at"].alias("at"), h["wh"].alias("wh"), F.slice(ls, h["at"] + 1, h["w"]).alias("ours"), F.slice(F.when(h["lit"], ls).otherwise(cs), h["at"] + 1, h["w"]).alias("met")))))))
-        hits = hits.withColumn("salt", F.pmod(F.col("at") + F.col("th"), F.lit(PARTS)).cast("int")).join(details.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), ["wh", "salt"])
-        hits = hits.where(F.array_join("met", " ") == F.col("match")).select(*what, "tid", "n_item", "ipos", "window", "ours")
-    # equal rows give equal hits: their number is how often the row is repeated
-    return hits.groupBy(*what, "tid", "n_item", "ipos", "window", "ours").agg(F.count("*").alias("copies"))
+        salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        salt = F.pmod(F.col("at") + F.col("th"), F.lit(PARTS)).cast("int").alias("salt")
+        light = each.select("key", "th", "lit", "w", "at", "wh", salt).join(salted(windows.select("wh").distinct()), ["wh", "salt"])
+        # documents with a match are read again; each keeps its number of repeated rows
+        light = light.groupBy("key", "th").agg(F.collect_set(F.struct("lit", "w", "at", "wh")).alias("hs"))
+        again = tokens_(rows.join(light, ["key", "th"]))
+        part = lambda ts, h: F.slice(ts, h["at"] + 1, h["w"])
+        found = let(F.col("canon"), lambda cs: let(F.col("lits"), lambda ls: F.transform("hs", lambda h: F.struct(h["lit"].alias("lit"), h["at"].alias("at"), h["wh"].alias("wh"), part(ls, h).alias("ours"), part(F.when(h["lit"], ls).otherwise(cs), h).alias("met")))))
+        hits = again.select("key", "th", F.inline(found)).withColumn("salt", salt).join(salted(details), ["wh", "salt"]).where(F.array_join("met", " ") == F.col("match"))
+    return hits.select("key", "th", "tid", "n_item", (at - F.col("ipos")).alias("shift"), "ipos", "lit", F.split("window", " ").alias("canon"), "ours")
 
 
 def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, least_tokens: int = 12, broadcast_rows: int = 200_000) -> DataFrame:
@@ -138,13 +128,17 @@ def matches(docs: DataFrame, items: DataFrame, width: int = WIDTH, least_tokens:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(text).alias("th"), text.alias("text"))
     found = _found(rows, windows_of(wanted, width), broadcast_rows)
-    found = found.withColumn("shift", F.col("at") - F.col("ipos")).withColumn("canon", F.split("window", " "))
-    place = F.transform(F.arrays_zip("canon", "ours"), lambda x, i: F.struct((F.col("ipos") + i).alias("p"), F.col("lit").alias("lit"), x.canon.alias("c"), x.ours.alias("o")))
-    aligned = found.groupBy("key", "th", "tid", "n_item", "shift").agg(F.array_distinct(F.flatten(F.collect_list(place))).alias("met"), F.max("copies").alias("copies"))
+    # one row per place of an alignment; its token under a template (c), under an unmasked window (u), the document's (o)
+    alignment = ("key", "th", "tid", "n_item", "shift")
+    each = found.select(*alignment, "ipos", "lit", F.posexplode(F.arrays_zip("canon", "ours")).alias("i", "x"))
+    first = lambda lit: F.count(F.when((F.col("i") == 0) & (F.col("lit") == lit), 1))
+    token = lambda lit: F.min(F.when(F.col("lit") == lit, F.col("x.canon")))
+    # a window begins once per row: more often in repeated rows
+    places = each.groupBy(*alignment, (F.col("ipos") + F.col("i")).alias("p")).agg(token(False).alias("c"), token(True).alias("u"), F.min("x.ours").alias("o"), F.greatest(first(False), first(True)).alias("copies"))
+    aligned = places.groupBy(*alignment).agg(F.array_sort(F.collect_list(F.struct("p", "c", "u", "o"))).alias("met"), F.max("copies").alias("copies"))
     # every item of the template has values of its own; places that only an unmasked window covers must be equal
     aligned = aligned.join(wanted.select("tid", "item_id", "lits", (F.col("inner") != F.col("canon")).alias("named")), "tid")
-    aligned = aligned.withColumn("met", F.array_sort(F.filter("met", lambda x: ~x.lit | (F.get("lits", x.p) == x.o))))
-    aligned = aligned.withColumn("places", F.filter("met", lambda x, i: (i == 0) | (F.get("met", F.greatest(i - 1, F.lit(0))).p != x.p)))
+    aligned = aligned.withColumn("places", F.transform(F.filter("met", lambda x: x.c.isNotNull() | (F.get("lits", x.p) == x.o)), lambda x: F.struct(x.p.alias("p"), F.coalesce(x.c, x.u).alias("c"), x.o.alias("o"))))
     aligned = aligned.withColumn("slots", F.transform(F.filter("places", lambda x: is_slot(x.c)), lambda x: F.struct(x.c.alias("c"), F.get("lits", x.p).alias("t"), x.o.alias("o"))))
     distinct = lambda *f: F.size(F.array_distinct(F.transform("slots", lambda x: F.struct(*(x[k] for k in f)))))
     consistent = (distinct("c", "t") == distinct("c", "t", "o")) & (distinct("c", "o") == distinct("c", "t", "o"))
