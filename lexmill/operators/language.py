@@ -10,18 +10,27 @@ PENALTY = 300.0
 MOST_CHARS = 20_000
 
 
-def trigrams(docs: DataFrame, *keep: str, most_chars: int | None = None) -> DataFrame:
-    """One row per different trigram of a lower-cased text (of its first `most_chars` code points, if given): doc_id, trigram, n."""
+def each_trigram(docs: DataFrame, *keep: str, most_chars: int | None = None) -> DataFrame:
+    """One row per trigram of a lower-cased text (of its first `most_chars` code points, if given): keep, trigram.
+
+    A text is split into its code points once; neighbours are then read off by place.
+    """
     text = F.lower(F.coalesce(F.col("text"), F.lit("")))
     text = text if most_chars is None else F.substring(text, 1, most_chars)
-    each = docs.select("doc_id", *keep, text.alias("text")).where("length(text) >= 3")
-    grams = F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.substring("text", i, F.lit(3)))
-    return each.select("doc_id", *keep, F.explode(grams).alias("trigram")).groupBy("doc_id", *keep, "trigram").agg(F.count("*").alias("n"))
+    each = docs.select(*keep, F.split(text, "").alias("cs"))
+    each = each.select(*keep, "cs", F.posexplode("cs").alias("at", "c")).where(F.col("at") + 2 < F.size("cs"))
+    return each.select(*keep, F.concat("c", F.get("cs", F.col("at") + 1), F.get("cs", F.col("at") + 2)).alias("trigram"))
+
+
+def trigrams(docs: DataFrame, *keep: str, most_chars: int | None = None) -> DataFrame:
+    """One row per different trigram of a text: doc_id, keep, trigram, n. Texts are dealt by doc_id first, so what is counted per document needs no further shuffle."""
+    dealt = docs.select("doc_id", *keep, "text").repartition("doc_id")
+    return each_trigram(dealt, "doc_id", *keep, most_chars=most_chars).groupBy("doc_id", *keep, "trigram").agg(F.count("*").alias("n"))
 
 
 def profiles(docs: DataFrame, size: int = 300, most_chars: int | None = None) -> DataFrame:
     """lang, trigram, rank of the `size` most frequent trigrams of each language (ties by trigram), counted over whole texts by default."""
-    counts = trigrams(docs, "lang", most_chars=most_chars).groupBy("lang", "trigram").agg(F.sum("n").alias("n"))
+    counts = each_trigram(docs, "lang", most_chars=most_chars).groupBy("lang", "trigram").agg(F.count("*").alias("n"))
     w = Window.partitionBy("lang").orderBy(F.desc("n"), "trigram")
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= size).select("lang", "trigram", "rank")
 
@@ -30,15 +39,21 @@ def scores(docs: DataFrame, known: DataFrame, most_chars: int | None = MOST_CHAR
     """doc_id, lang, score in 0..1: one less the mean distance of count and rank, PENALTY for trigrams a profile lacks.
 
     Only the first `most_chars` code points of a text are looked at, as in the reference's detection.
-    Profiles are languages times 300 rows: they are broadcast, as one map of language to rank per trigram.
+    A trigram that a profile lacks adds nothing to what the distances leave of PENALTY, so only trigrams of a
+    profile are multiplied by its languages; the others are counted. Profiles are languages times 300 rows: they are broadcast.
     """
     langs = known.select("lang").distinct()
-    by_gram = known.groupBy("trigram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "rank"))).alias("ranks"))
+    by_gram = known.groupBy("trigram").agg(F.collect_list(F.struct("lang", "rank")).alias("ranks"))
     grams = trigrams(docs, most_chars=most_chars).join(F.broadcast(by_gram), "trigram", "left")
-    grams = grams.join(F.broadcast(langs), F.lit(True))
-    rank = F.try_element_at("ranks", "lang")
-    distance = F.coalesce(F.abs(F.col("n") - rank).cast("double"), F.lit(PENALTY))
-    return grams.groupBy("doc_id", "lang").agg(F.greatest(F.lit(0.0), 1 - F.sum(distance) / (PENALTY * F.count("*"))).alias("score"))
+    # a row without a language counts the trigram
+    none = F.array(F.struct(F.lit(None).cast("string").alias("lang"), F.lit(None).cast("int").alias("rank")))
+    each = grams.select("doc_id", "n", F.inline(F.concat(none, F.coalesce("ranks", F.array().cast("array<struct<lang:string,rank:int>>")))))
+    left = F.sum(PENALTY - F.abs(F.col("n") - F.col("rank")))
+    per = each.groupBy("doc_id", "lang").agg(left.alias("left"), F.count("*").alias("grams"))
+    own = per.groupBy("doc_id").agg(F.max(F.when(F.col("lang").isNull(), F.col("grams"))).alias("grams"), F.map_from_entries(F.collect_list(F.when(F.col("lang").isNotNull(), F.struct("lang", "left")))).alias("of"))
+    whole = PENALTY * F.col("grams")
+    score = F.greatest(F.lit(0.0), 1 - (whole - F.coalesce(F.try_element_at("of", "lang"), F.lit(0.0))) / whole)
+    return own.join(F.broadcast(langs), F.lit(True)).select("doc_id", "lang", score.alias("score"))
 
 
 def detected(scored: DataFrame, k: int = 2) -> DataFrame:

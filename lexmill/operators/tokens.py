@@ -119,12 +119,12 @@ def contraction_pairs(tokens: DataFrame) -> DataFrame:
     """Neighbours without a blank, neither of them punctuation, merged pairwise from the left. -> SENTENCE, first, second, form."""
     w = in_sentence()
     punct = is_punctuation(F.col("upos"), F.col("form"))
-    rows = tokens.withColumn("punct", punct).withColumn("next_form", F.lead("form").over(w)).withColumn("next_punct", F.lead("punct").over(w))
+    rows = tokens.withColumn("punct", punct).withColumn("next_form", F.lead("form").over(w)).withColumn("next_no", F.lead("tok_no").over(w)).withColumn("next_punct", F.lead("punct").over(w))
     rows = rows.withColumn("joins", F.coalesce((F.col("space_after") == F.lit(False)) & ~F.col("punct") & ~F.col("next_punct"), F.lit(False)))
     # in a chain of joining tokens the odd ones start a pair
     rows = rows.withColumn("chain", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(w)).withColumn("chain", F.when(F.col("joins"), F.col("chain")).otherwise(-1))
     rank = F.row_number().over(Window.partitionBy(*SENTENCE, "chain").orderBy("tok_no"))
-    return rows.where("joins").withColumn("rank", rank).where("rank % 2 = 1").select(*SENTENCE, F.col("tok_no").alias("first"), (F.col("tok_no") + 1).alias("second"), F.concat("form", "next_form").alias("form"))
+    return rows.where("joins").withColumn("rank", rank).where("rank % 2 = 1").select(*SENTENCE, F.col("tok_no").alias("first"), F.col("next_no").alias("second"), F.concat("form", "next_form").alias("form"))
 
 
 def atomic(tokens: DataFrame) -> DataFrame:

@@ -94,29 +94,58 @@ def tag_map(tokens: DataFrame) -> DataFrame:
 def map_tags(tags: DataFrame, mapping: DataFrame) -> DataFrame:
     """tags(xpos) with upos, feats, how: exact, else by lower case, else without a suffix of digits and marks.
 
-    The map is small by its nature (a tagset); each step is a hash join on the rows left over, by coalesce.
+    Of tags that differ in case alone the most frequent counts. The map is small by its nature (a tagset); each
+    step is a hash join on the rows left over, by coalesce.
     """
-    bare = lambda c: F.regexp_replace(F.lower(c), r"[0-9.\-_:]+$", "")
-    best = lambda key: mapping.withColumn("key", key).withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("cnt"), "xpos"))).where("rank = 1").select("key", "upos", "feats")
-    steps = [("exact", F.col("xpos"), F.col("xpos")), ("case", F.lower("xpos"), F.lower("xpos")), ("bare", bare(F.col("xpos")), bare(F.col("xpos")))]
+    first = lambda key: mapping.withColumn("key", key).withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("cnt"), "xpos"))).where("rank = 1").select("key", "upos", "feats")
+    bare = F.regexp_replace("xpos", r"[0-9.\-_:]+$", "")
+    steps = [("exact", F.col("xpos"), F.col("xpos")), ("case", F.lower("xpos"), F.lower("xpos")), ("bare", bare, F.col("xpos"))]
     out = tags
     for name, own, theirs in steps:
-        side = best(theirs).select(F.col("key").alias(f"key_{name}"), F.struct("upos", "feats", F.lit(name).alias("how")).alias(f"hit_{name}"))
+        side = first(theirs).select(F.col("key").alias(f"key_{name}"), F.struct("upos", "feats", F.lit(name).alias("how")).alias(f"hit_{name}"))
         out = out.join(side, own == F.col(f"key_{name}"), "left").drop(f"key_{name}")
     hit = F.coalesce(*(f"hit_{name}" for name, _, _ in steps))
     return out.withColumn("hit", hit).select(*tags.columns, "hit.upos", "hit.feats", F.coalesce("hit.how", F.lit("none")).alias("how"))
 
 
+def reverse_tag_map(tokens: DataFrame) -> DataFrame:
+    """(upos, feats) -> its most frequent xpos, ties by name."""
+    counts = tokens.groupBy("upos", "feats", "xpos").agg(F.count("*").alias("cnt"))
+    w = Window.partitionBy("upos", "feats").orderBy(F.desc("cnt"), "xpos")
+    return counts.withColumn("rank", F.row_number().over(w)).where("rank = 1").select("upos", "feats", "xpos", "cnt")
+
+
 def guess_xpos(wanted: DataFrame, tokens: DataFrame) -> DataFrame:
-    """wanted(upos, feats) with the most frequent xpos of a reading whose features are a subset of the wanted ones."""
-    readings = tokens.groupBy("upos", "feats", "xpos").agg(F.count("*").alias("cnt"))
-    r = readings.select(F.col("upos").alias("upos_r"), F.col("feats").alias("feats_r"), "xpos", "cnt")
-    pairs = wanted.join(r, (wanted.upos == r.upos_r) & t.feats_within(F.col("feats_r"), wanted.feats))
+    """wanted(upos, feats) with the most frequent xpos of that reading, else of a reading that has all wanted features (and more)."""
+    r = reverse_tag_map(tokens).select(F.col("upos").alias("upos_r"), F.col("feats").alias("feats_r"), "xpos", "cnt")
+    pairs = wanted.join(r, (wanted.upos == r.upos_r) & t.feats_within(wanted.feats, F.col("feats_r")))
     exact = F.col("feats_r") == F.col("feats")
     w = Window.partitionBy("upos", "feats").orderBy(exact.desc(), F.desc("cnt"), "xpos")
     return pairs.withColumn("rank", F.row_number().over(w)).where("rank = 1").select("upos", "feats", "xpos", exact.alias("exact"))
 
 
+def with_mapped_tags(tokens: DataFrame, model: DataFrame, direction: str = "both") -> DataFrame:
+    """tokens with what is missing filled in from a model's tokens: `upos-feats` from xpos, `xpos` from upos and feats, or `both`.
+
+    Different tags are few: each is mapped once, and tokens meet the maps in broadcast joins of the size of two tagsets.
+    """
+    if direction not in ("xpos", "upos-feats", "both"):
+        raise ValueError(f"unknown direction {direction!r}")
+    missing = lambda c: F.coalesce(F.col(c), F.lit("_")).isin("_", "")
+    out = tokens
+    if direction != "xpos":
+        found = map_tags(tokens.where(~missing("xpos")).select("xpos").distinct(), tag_map(model.where(~missing("xpos"))))
+        found = found.select("xpos", F.col("upos").alias("_upos"), F.col("feats").alias("_feats")).where("_upos is not null")
+        out = out.join(F.broadcast(found), "xpos", "left")
+        out = out.withColumn("upos", F.when(missing("upos"), F.coalesce("_upos", "upos")).otherwise(F.col("upos"))).withColumn("feats", F.when(missing("feats"), F.coalesce("_feats", "feats")).otherwise(F.col("feats"))).drop("_upos", "_feats")
+    if direction != "upos-feats":
+        blank = out.where(missing("xpos")).select(F.coalesce("upos", F.lit("_")).alias("upos"), F.coalesce("feats", F.lit("_")).alias("feats")).distinct()
+        found = guess_xpos(blank, model).select(F.col("upos").alias("_upos"), F.col("feats").alias("_feats"), F.col("xpos").alias("_xpos"))
+        out = out.join(F.broadcast(found), (F.coalesce(out.upos, F.lit("_")) == F.col("_upos")) & (F.coalesce(out.feats, F.lit("_")) == F.col("_feats")), "left")
+        out = out.withColumn("xpos", F.when(missing("xpos"), F.coalesce("_xpos", "xpos")).otherwise(F.col("xpos"))).drop("_upos", "_feats", "_xpos")
+    return out.select(*tokens.columns)
+
+
 # --- inventories ----------------------------------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from lexmill.functions import kernels
 from lexmill.functions import text as t
 from lexmill.operators import evaluation, language, reports, tagging, training
 from lexmill.operators import tokens as tk
-from lexmill.plans.fixtures import docs, gold, predicted, sql, tok
+from lexmill.plans.fixtures import docs, gold, predicted, split_words, sql, tok
 from lexmill.sources import conllu, html, teitok
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,16 +154,29 @@ def feats_normalize(spark, d):
 # --- multiword tokens, projections ----------------------------------------------------------------------------
 
 
-@query()
+_PUNCT = r"(upos = 'PUNCT' or regexp_matches(form, '^[!-/:-@\[-`{-~]$'))"
+#: Runs without blanks, and of each the first tail that counts as a multiword token.
+_MWTS = rf"""rn as (select doc_id, line_no, sent_no, run, list({{'n': tok_no, 'form': form, 'p': {_PUNCT}}} order by tok_no) as ms from
+        (select *, sum(coalesce(before, true)::int) over (partition by doc_id, line_no, sent_no order by tok_no) as run from (select *, lag(space_after) over (partition by doc_id, line_no, sent_no order by tok_no) as before from mw)) group by 1, 2, 3, 4 having count(*) > 1),
+    tl as (select doc_id, line_no, sent_no, run, i, ms[i:] as ms, len(list_filter(ms[i:], lambda m: m.p)) as marks from rn, unnest(range(1, len(ms))) u(i)),
+    im as (select doc_id, line_no, sent_no, ms[1].n as mwt_start, ms[-1].n as mwt_end, list_reduce(list_transform(ms, lambda m: m.form), lambda a, b: a || b) as form from tl
+        where marks = 0 or (len(ms) = 2 and ms[2].p and contains(ms[2].form, '''')) or (not ms[1].p and not ms[-1].p and len(list_filter(ms, lambda m: m.p and m.form not in ('-', '–', '—'))) = 0)
+        qualify row_number() over (partition by doc_id, line_no, sent_no, run order by i) = 1)"""
+
+
+@query(sql("mw", f", {_MWTS} select * from im"))
 def implicit_mwt(spark, d):
-    return tk.implicit_mwts(tk.with_space_after(gold(spark, d))).select("doc_id", *_long("line_no", "sent_no"), *_long("mwt_start", "mwt_end"), "form")
+    return tk.implicit_mwts(split_words(gold(spark, d))).select("doc_id", *_long("line_no", "sent_no"), *_long("mwt_start", "mwt_end"), "form")
+
 
+_PAIRED = rf"""cp as (select doc_id, line_no, sent_no, tok_no as first, next_no as second, form || next_form as form from (select *, row_number() over (partition by doc_id, line_no, sent_no, chain order by tok_no) as rank from
+    (select *, sum(case when joins then 0 else 1 end) over (partition by doc_id, line_no, sent_no order by tok_no) as chain from (select *, coalesce(space_after = false and not punct and not lead(punct) over w, false) as joins, lead(form) over w as next_form, lead(tok_no) over w as next_no
+    from (select *, {_PUNCT} as punct from mw) window w as (partition by doc_id, line_no, sent_no order by tok_no))) where joins) where rank % 2 = 1)"""
 
-@query(sql("sp", r"""select doc_id, line_no, sent_no, tok_no as first, tok_no + 1 as second, form || next_form as form from (select *, row_number() over (partition by doc_id, line_no, sent_no, chain order by tok_no) as rank from
-    (select *, sum(case when joins then 0 else 1 end) over (partition by doc_id, line_no, sent_no order by tok_no) as chain from (select *, coalesce(space_after = false and not punct and not lead(punct) over w, false) as joins, lead(form) over w as next_form
-    from (select *, upos = 'PUNCT' or regexp_matches(form, '^[!-/:-@\[-`{-~]$') as punct from sp) window w as (partition by doc_id, line_no, sent_no order by tok_no))) where joins) where rank % 2 = 1"""))
+
+@query(sql("mw", f", {_PAIRED} select * from cp"))
 def contraction_pairs(spark, d):
-    return tk.contraction_pairs(tk.with_space_after(gold(spark, d))).select("doc_id", *_long("line_no", "sent_no"), *_long("first", "second"), "form")
+    return tk.contraction_pairs(split_words(gold(spark, d))).select("doc_id", *_long("line_no", "sent_no"), *_long("first", "second"), "form")
 
 
 _HYPHENATED = r"contains(form, '-') and length(form) > 1"
@@ -254,27 +268,50 @@ def tag_mapping_best(spark, d):
     return training.tag_map(gold(spark, d))
 
 
-@query(sql("g", r"""
-    , m as (select xpos, upos, feats, count(*) as cnt from g group by 1, 2, 3 qualify row_number() over (partition by xpos order by cnt desc, upos, feats) = 1),
-    w as (select distinct xpos, case length(form) % 3 when 0 then xpos when 1 then lower(xpos) else regexp_replace(xpos, '2$', '77') end as q from g),
-    b as (select upos, feats, lower(xpos) as low, regexp_replace(lower(xpos), '[0-9.\-_:]+$', '') as bare, cnt, xpos from m),
-    bl as (select low, upos, feats from b qualify row_number() over (partition by low order by cnt desc, xpos) = 1), bb as (select bare, upos, feats from b qualify row_number() over (partition by bare order by cnt desc, xpos) = 1)
-    select distinct q as xpos, coalesce(m.upos, bl.upos, bb.upos) as upos, coalesce(m.feats, bl.feats, bb.feats) as feats, case when m.upos is not null then 'exact' when bl.upos is not null then 'case' when bb.upos is not null then 'bare' else 'none' end as how
-    from w left join m on m.xpos = w.q left join bl on bl.low = lower(w.q) left join bb on bb.bare = regexp_replace(lower(w.q), '[0-9.\-_:]+$', '')"""))
+_MAP = "m as (select xpos, upos, feats, count(*) as cnt from g group by 1, 2, 3 qualify row_number() over (partition by xpos order by cnt desc, upos, feats) = 1)"
+
+
+@query(sql("g", rf"""
+    , {_MAP}, w as (select distinct case length(form) % 3 when 0 then xpos when 1 then lower(xpos) else xpos || '.7' end as xpos from g),
+    k as (select lower(xpos) as low, upos, feats from m qualify row_number() over (partition by low order by cnt desc, xpos) = 1)
+    select w.xpos, coalesce(e.upos, k.upos, b.upos) as upos, coalesce(e.feats, k.feats, b.feats) as feats, case when e.upos is not null then 'exact' when k.upos is not null then 'case' when b.upos is not null then 'bare' else 'none' end as how
+    from w left join m e on e.xpos = w.xpos left join k on k.low = lower(w.xpos) left join m b on b.xpos = rtrim(w.xpos, '0123456789.-_:')"""))
 def tag_map_fallback(spark, d):
     g = gold(spark, d)
-    wanted = g.select(F.expr(r"case length(form) % 3 when 0 then xpos when 1 then lower(xpos) else regexp_replace(xpos, '2$', '77') end").alias("xpos")).distinct()
+    wanted = g.select(F.expr("case length(form) % 3 when 0 then xpos when 1 then lower(xpos) else concat(xpos, '.7') end").alias("xpos")).distinct()
     return training.map_tags(wanted, training.tag_map(g))
 
 
-@query(sql("g", """
-    select w.upos, w.feats, r.xpos, r.feats = w.feats as exact from (select distinct upos, feats from g union select upos, feats || '|Voice=Act' from g) w
-    join (select upos, feats, xpos, count(*) as cnt from g group by 1, 2, 3) r on r.upos = w.upos and len(list_filter(string_split(r.feats, '|'), lambda z: not list_contains(string_split(w.feats, '|'), z))) = 0
-    qualify row_number() over (partition by w.upos, w.feats order by r.feats = w.feats desc, r.cnt desc, r.xpos) = 1"""))
+@query(sql("g", "select upos, feats, xpos, count(*) as cnt from g group by 1, 2, 3 qualify row_number() over (partition by upos, feats order by cnt desc, xpos) = 1"))
+def tag_mapping_reverse(spark, d):
+    return training.reverse_tag_map(gold(spark, d))
+
+
+_REVERSE = "rv as (select upos, feats, xpos, count(*) as cnt from g group by 1, 2, 3 qualify row_number() over (partition by upos, feats order by cnt desc, xpos) = 1)"
+
+
+@query(sql("g", f"""
+    , {_REVERSE}, w as (select distinct upos, feats from g union select upos, split_part(feats, '|', 1) from g union select upos, '_' from g union select upos, 'Number=Plur' from g union select upos, 'Voice=Act' from g)
+    select w.upos, w.feats, rv.xpos, rv.feats = w.feats as exact from w join rv on rv.upos = w.upos and (w.feats = '_' or list_has_all(string_split(rv.feats, '|'), string_split(w.feats, '|')))
+    qualify row_number() over (partition by w.upos, w.feats order by rv.feats = w.feats desc, rv.cnt desc, rv.xpos) = 1"""))
 def feats_subset_xpos(spark, d):
     g = gold(spark, d)
     own = g.select("upos", "feats").distinct()
-    return training.guess_xpos(own.unionByName(own.withColumn("feats", F.concat("feats", F.lit("|Voice=Act")))).distinct(), g)
+    wanted = [own, own.withColumn("feats", F.substring_index("feats", "|", 1)), *(own.withColumn("feats", F.lit(x)) for x in ("_", "Number=Plur", "Voice=Act"))]
+    return training.guess_xpos(reduce(DataFrame.unionByName, wanted).distinct(), g)
+
+
+@query(sql("g", f"""
+    , {_MAP}, {_REVERSE}, b as (select case when length(form) % 2 = 0 then '_' else upos end as upos, case when length(form) % 4 = 0 then '_' else feats end as feats, case when length(form) % 3 = 0 then '_' else xpos end as xpos from g),
+    u as (select case when b.upos = '_' then coalesce(m.upos, '_') else b.upos end as upos, case when b.feats = '_' then coalesce(m.feats, '_') else b.feats end as feats, b.xpos from b left join m on m.xpos = b.xpos and b.xpos <> '_'),
+    q as (select u.upos, u.feats, r.xpos from (select distinct upos, feats from u where xpos = '_') u join rv r on r.upos = u.upos and (u.feats = '_' or list_has_all(string_split(r.feats, '|'), string_split(u.feats, '|')))
+        qualify row_number() over (partition by u.upos, u.feats order by r.feats = u.feats desc, r.cnt desc, r.xpos) = 1)
+    select u.upos, u.feats, case when u.xpos = '_' then coalesce(q.xpos, '_') else u.xpos end as xpos, count(*) as n from u left join q on q.upos = u.upos and q.feats = u.feats and u.xpos = '_' group by 1, 2, 3"""))
+def map_tags_both(spark, d):
+    g = gold(spark, d)
+    blank = lambda c, k: F.when(F.length("form") % k == 0, "_").otherwise(F.col(c)).alias(c)
+    holes = g.select("form", blank("upos", 2), blank("feats", 4), blank("xpos", 3))
+    return training.with_mapped_tags(holes, g, "both").groupBy("upos", "feats", "xpos").agg(F.count("*").alias("n"))
 
 
 @query(sql("g", """select field, name, value, count(*) as cnt from (select 'UPOS' as field, '' as name, upos as value from g union all
@@ -363,31 +400,29 @@ def viterbi_tags(spark, d):
 
 def _aligned(spark, d):
     g = gold(spark, d)
-    p = predicted(g).withColumn("tok", F.col("tok_no"))
-    return evaluation.same_place(g, p.withColumn("tok_no_", F.col("tok_no")), ("form", "upos", "xpos", "feats", "lemma", "head", "deprel", "tok_no_")).withColumnRenamed("pred_tok_no_", "pred_tok_no")
+    return evaluation.same_place(g, predicted(g).withColumn("number", F.col("tok_no")), ("form", "upos", "xpos", "feats", "lemma", "head", "deprel", "number")).withColumnRenamed("pred_number", "pred_tok_no")
 
 
 _METRICS = ["tokenization", "upos", "xpos", "feats", "lemma", "feats_partial", "upos_feats"]
 
 
-@query(sql("pr", """, o as (select count(*) as total, count(*) as tokenization, count(*) filter (p_upos = upos) as upos, count(*) filter (p_xpos = xpos) as xpos, count(*) filter (p_feats = feats) as feats, count(*) filter (p_lemma = lemma) as lemma,
+@query(sql("pr", """, o as (select count(*) as total, count(*) filter (p_form = form) as tokenization, count(*) filter (p_upos = upos) as upos, count(*) filter (p_xpos = xpos) as xpos, count(*) filter (p_feats = feats) as feats, count(*) filter (p_lemma = lemma) as lemma,
     count(*) filter (len(list_filter(string_split(p_feats, '|'), lambda z: not list_contains(string_split(feats, '|'), z))) = 0) as feats_partial, count(*) filter (p_upos = upos and p_feats = feats) as upos_feats from pr)
     select metric, correct, total, round(correct / total, 6) as accuracy from (unpivot o on tokenization, upos, xpos, feats, lemma, feats_partial, upos_feats into name metric value correct)"""))
 def eval_metrics(spark, d):
     return evaluation.metrics(_aligned(spark, d)).withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query(sql("pr", "select metric, correct, total, round(correct / total, 6) as accuracy from (select unnest([{'metric': 'UAS', 'correct': u, 'total': n}, {'metric': 'LAS', 'correct': l, 'total': n}], recursive := true) from (select count(*) as n, count(*) as u, count(*) filter (p_deprel = deprel) as l from pr))"))
+@query(sql("pr", "select metric, correct, total, round(correct / total, 6) as accuracy from (select unnest([{'metric': 'UAS', 'correct': u, 'total': n}, {'metric': 'LAS', 'correct': l, 'total': n}], recursive := true) from (select count(*) as n, count(*) filter (p_head = head) as u, count(*) filter (p_head = head and p_deprel = deprel) as l from pr))"))
 def uas_las(spark, d):
     return evaluation.attachment(_aligned(spark, d)).withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query()
+@query(sql("mw", f", {_MWTS}, {_PAIRED} select count(im.form) as gold, count(cp.form) as pred, count(*) filter (im.form is not null and cp.form is not null) as found, count(*) filter (mwt_end = second) as same_parts from im full join cp on im.doc_id = cp.doc_id and im.line_no = cp.line_no and im.sent_no = cp.sent_no and mwt_start = first"))
 def split_prf(spark, d):
-    g = tk.with_space_after(gold(spark, d))
-    mwts = tk.implicit_mwts(g)
+    g = split_words(gold(spark, d))
     pairs = tk.contraction_pairs(g).select("doc_id", "line_no", "sent_no", F.col("first").alias("mwt_start"), F.col("second").alias("mwt_end"))
-    return evaluation.split_scores(mwts, pairs)
+    return evaluation.split_scores(tk.implicit_mwts(g), pairs)
 
 
 _LEN = "case when length(form) <= 2 then '1-2' when length(form) <= 4 then '3-4' when length(form) <= 7 then '5-7' when length(form) <= 10 then '8-10' else '11+' end"
@@ -449,7 +484,7 @@ def confidence_merge(spark, d):
     return evaluation.merged_by_confidence(g, predicted(g), ("upos",), PLACE).groupBy("upos", "from_fallback").agg(F.count("*").alias("n"))
 
 
-@query(sql("g", "select depth, count(*) as n from (select tok_no as depth from g) group by 1"))
+@query(sql("g", "select depth, count(*) as n from (select length(bin(tok_no + 1)) - 1 as depth from g) group by 1"))
 def tree_depth(spark, d):
     return evaluation.depths(gold(spark, d)).groupBy("depth").agg(F.count("*").alias("n"))
 
