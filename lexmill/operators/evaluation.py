@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+from operator import itemgetter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,38 +21,102 @@ def same_place(gold: DataFrame, pred: DataFrame, columns: tuple[str, ...], keys:
     return gold.join(side, list(keys), "left").withColumn("aligned", F.coalesce("aligned", F.lit(False)))
 
 
-def align(gold: DataFrame, pred: DataFrame, reach: int = 5) -> DataFrame:
-    """gold, pred(doc_id, n running number, sent_no, form) -> doc_id, g, p, how: one to one.
+def _indexed(tokens: DataFrame, side: str) -> DataFrame:
+    tokid = F.col("tokid") if "tokid" in tokens.columns else F.lit(None).cast("string")
+    return tokens.select("doc_id", F.lit(side).alias("side"), F.col("n").cast("long").alias("at"), F.col("sent_no").cast("long").alias("sent"), t.align_key(F.col("form")).alias("key"), F.nullif(tokid, F.lit("")).alias("tokid"))
+
+
+_PAIR = "doc_id long, g long, p long, how string"
+
+
+def _pairs(out: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(out, columns=["doc_id", "g", "p", "how"])
+
+
+def _in_groups(rows: DataFrame, key: str, columns: list[str], choose) -> DataFrame:
+    """Groups of (document, key) one after the other: choose(predicted rows, gold rows) yields (g, p, how).
 
-    First tokens of equal key at the same number, then, by falling score, pairs of equal key at most `reach`
-    apart (1000 less the distance, 100 more in the same sentence; of equal scores the smaller g, then p).
-    Candidate pairs come from an equality join on (document, key, stretch of numbers); the choice, which
-    depends on its own order, is made per stretch of WIDE numbers, so that no task gathers a long document.
+    Rows are dealt by group and sorted, so a task holds the predicted tokens of one group at a time; groups are far too many for a call of pandas each.
     """
-    wide = 2_000
-    g = gold.select("doc_id", F.col("n").alias("g"), F.col("sent_no").alias("gs"), t.align_key(F.col("form")).alias("key"))
-    p = pred.select("doc_id", F.col("n").alias("p"), F.col("sent_no").alias("ps"), t.align_key(F.col("form")).alias("key"))
-    exact = g.join(p, (g.doc_id == p.doc_id) & (g.g == p.p) & (g.key == p.key)).select(g.doc_id, "g", "p", F.lit("same").alias("how"))
-    g_rest, p_rest = g.join(exact, ["doc_id", "g"], "left_anti"), p.join(exact, ["doc_id", "p"], "left_anti")
-    cell = lambda c: F.floor(c / (reach + 1))
-    near = p_rest.select("doc_id", "p", "ps", "key", F.explode(F.array(cell(F.col("p")) - 1, cell(F.col("p")), cell(F.col("p")) + 1)).alias("cell"))
-    pairs = g_rest.withColumn("cell", cell(F.col("g"))).join(near, ["doc_id", "key", "cell"]).where(F.abs(F.col("g") - F.col("p")) <= reach)
-    pairs = pairs.select("doc_id", "g", "p", (1000 - F.abs(F.col("g") - F.col("p")) + F.when(F.col("gs") == F.col("ps"), 100).otherwise(0)).alias("score"), F.floor(F.col("g") / wide).alias("stretch"))
-
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        used_g, used_p, out = set(), set(), []
-        for d, g_, p_ in rows.sort_values(["score", "g", "p"], ascending=[False, True, True])[["doc_id", "g", "p"]].itertuples(index=False):
-            if g_ not in used_g and p_ not in used_p:
-                used_g.add(g_)
-                used_p.add(p_)
-                out.append((d, g_, p_, "near"))
-        return pd.DataFrame(out, columns=["doc_id", "g", "p", "how"])
-
-    chosen = pairs.groupBy("doc_id", "stretch").applyInPandas(greedy, "doc_id long, g long, p long, how string")
-    # neighbouring stretches may both take a predicted token: the nearer, then the smaller gold token keeps it
-    w = Window.partitionBy("doc_id", "p").orderBy(F.abs(F.col("g") - F.col("p")), "g")
-    chosen = chosen.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
-    return exact.unionByName(chosen)
+    dealt = rows.select("doc_id", key, "side", *columns).repartition("doc_id", key).sortWithinPartitions("doc_id", key, F.desc("side"), "at")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, pred, used = None, [], set()
+        for batch in batches:
+            out = []
+            for doc, k, side, *values in batch.itertuples(index=False):
+                if (doc, k) != now:
+                    now, pred, used = (doc, k), [], set()
+                if side == "p":
+                    pred.append(values)
+                else:
+                    out += [(doc, *x) for x in choose(pred, used, values)]
+            yield _pairs(out)
+
+    return dealt.mapInPandas(run, _PAIR)
+
+
+def _by_tokid(pred: list, used: set, gold: list) -> Iterator[tuple]:
+    """Of the unused tokens with that id one in the same sentence, then one of a similar form, then the first."""
+    at, sent, key = gold
+    best = min(((-1000 * (s == sent) - (100 if k == key else 50 if k in key or key in k else 0), p) for p, s, k in pred if p not in used), default=None)
+    if best:
+        used.add(best[1])
+        yield at, best[1], "tokid"
+
+
+def _by_form(reach: int):
+    def choose(pred: list, used: set, gold: list) -> Iterator[tuple]:
+        """The nearest within the range of the sentence, else the nearest around."""
+        at, sent, low, high = gold
+
+        def best(start: int, stop: int, same: int) -> tuple | None:
+            span = range(bisect_left(pred, start, key=itemgetter(0)), bisect_left(pred, stop, key=itemgetter(0)))
+            return min(((abs(at - pred[k][0]) - same * (pred[k][1] == sent), pred[k][0]) for k in span if pred[k][0] not in used), default=None)
+
+        how, found = "sentence", best(low, high, 100)
+        if found is None:
+            how, found = "near", best(at - 2 * reach, at + 2 * reach + 1, 0)
+        if found:
+            used.add(found[1])
+            yield at, found[1], how
+
+    return choose
+
+
+def align(gold: DataFrame, pred: DataFrame, reach: int = 10) -> DataFrame:
+    """gold, pred(doc_id, n running number from 0, sent_no, form, perhaps tokid) -> doc_id, g, p, how: one to one, tokens without a partner left out.
+
+    Gold tokens are taken in order, three times: by equal tokid (same sentence first, then similar forms); by equal
+    key within the predicted sentence of the same number, `reach` tokens more on either side (the nearest, 100
+    tokens' worth nearer in the same sentence; where that sentence is missing, around the same number); else the
+    nearest of equal key at most 2 * reach away. Only tokens of one id or one key compete, so the choice, which
+    depends on its order, is made in groups of (document, id) and (document, key).
+    """
+    both = _indexed(gold, "g").unionByName(_indexed(pred, "p"))
+    first = _in_groups(both.where("tokid is not null"), "tokid", ["at", "sent", "key"], _by_tokid)
+    taken = first.select("doc_id", F.lit("g").alias("side"), F.col("g").alias("at")).unionByName(first.select("doc_id", F.lit("p").alias("side"), F.col("p").alias("at")))
+    rest = both.join(taken, ["doc_id", "side", "at"], "left_anti")
+    bounds = pred.groupBy("doc_id", F.col("sent_no").cast("long").alias("sent")).agg(F.min("n").alias("low"), (F.max("n") + 1).alias("high"))
+    rest = rest.join(bounds, ["doc_id", "sent"], "left").withColumn("low", F.coalesce("low", "at") - reach).withColumn("high", F.coalesce("high", "at") + reach)
+    second = _in_groups(rest.where("key <> ''"), "key", ["at", "sent", "low", "high"], _by_form(reach))
+    return first.unionByName(second)
+
+
+def align_blocks(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """gold, pred(doc_id, n, form) -> doc_id, g, p: the longest run of equal keys is aligned, then what is left and right of it, and so on.
+
+    A document is one group: the choice of blocks needs both whole sequences.
+    """
+    sides = gold.select("doc_id", F.lit("g").alias("side"), "n", t.align_key(F.col("form")).alias("key")).unionByName(pred.select("doc_id", F.lit("p").alias("side"), "n", t.align_key(F.col("form")).alias("key")))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        (gn, gk), (pn, pk) = ((own["n"].tolist(), own["key"].tolist()) for own in (rows[rows.side == s].sort_values("n") for s in "gp"))
+        blocks = SequenceMatcher(None, gk, pk, autojunk=False).get_matching_blocks()
+        out = [(gn[b.a + k], pn[b.b + k]) for b in blocks for k in range(b.size) if gk[b.a + k]]
+        return pd.DataFrame({"doc_id": rows["doc_id"].iloc[0], "g": [x for x, _ in out], "p": [x for _, x in out]})
+
+    return sides.groupBy("doc_id").applyInPandas(run, "doc_id long, g long, p long")
 
 
 def metrics(aligned: DataFrame, fields: tuple[str, ...] = ("upos", "xpos", "feats", "lemma")) -> DataFrame:

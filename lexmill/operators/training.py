@@ -26,6 +26,11 @@ def case_profile(tokens: DataFrame, tag: str = "upos") -> DataFrame:
     return tokens.groupBy(F.col(tag).alias("tag"), t.case_class(F.col("form")).alias("wcase")).agg(F.count("*").alias("cnt"))
 
 
+def case_profile_of(vocab: DataFrame, tag: str = "upos") -> DataFrame:
+    """The same, from counted entries."""
+    return vocab.groupBy(F.col(tag).alias("tag"), t.case_class(F.col("form")).alias("wcase")).agg(F.sum("cnt").alias("cnt"))
+
+
 def vocabulary_stats(tokens: DataFrame) -> DataFrame:
     entries = vocabulary(tokens).agg(F.count("*").alias("entries"), F.sum("cnt").alias("tokens"))
     words = tokens.select("form").distinct().agg(F.count("*").alias("words"))

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import kernels
 from lexmill.functions import text as t
-from lexmill.operators import evaluation, language, reports, tagging, training
+from lexmill.operators import evaluation, language, model, reports, tagging, training
 from lexmill.operators import tokens as tk
 from lexmill.plans.fixtures import docs, gold, predicted, split_words, sql, tok
 from lexmill.sources import conllu, html, teitok
+from lexmill.sources.shared import park
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -361,38 +362,105 @@ def _forms(vocab: DataFrame) -> DataFrame:
 
 @query(sql("v", f", {_KNOWN}, {_FORMS}, {_LEX} select form, tag, round(weight, 4) as weight, source from lx"))
 def lexicon_candidates(spark, d):
-    vocab = training.vocabulary(gold(spark, d))
+    vocab = _parked_vocab(spark, d)
     return tagging.lexicon_candidates(_forms(vocab), vocab).withColumn("weight", F.round("weight", 4))
 
 
 _EN = "en as (select ending, tag, count(*) as types from (select tag, substr(form, length(form) - n + 1) as ending from (select distinct form, lemma, upos as tag from v), range(1, 7) r(n) where n <= length(form)) group by 1, 2)"
-_END = "ec as (select form, tag, sum(types * pow(5.0, -nth)) as weight, 'ending' as source from (select q.form, en.tag, en.types, dense_rank() over (partition by q.form order by length(en.ending) desc) as nth from (select form, substr(form, length(form) - n + 1) as ending from fo, range(1, 7) r(n) where n <= length(form)) q join en using (ending)) where nth <= 3 group by 1, 2)"
+_END = "ec as (select form, ending, tag, types * pow(5.0, -nth) as weight, 'ending' as source from (select q.form, ending, en.tag, en.types, dense_rank() over (partition by q.form order by length(ending) desc) as nth from (select form, substr(form, length(form) - n + 1) as ending from fo, range(1, 7) r(n) where n <= length(form)) q join en using (ending)) where nth <= 3)"
 
 
-@query(sql("v", f", fo as (select distinct 'zz' || form as form from v), {_EN}, {_END} select form, tag, round(weight, 4) as weight, source from ec"))
+@query(sql("v", f", fo as (select distinct 'zz' || form as form from v), {_EN}, {_END} select form, ending, tag, round(weight, 4) as weight, source from ec"))
 def ending_candidates(spark, d):
-    vocab = training.vocabulary(gold(spark, d))
+    vocab = _parked_vocab(spark, d)
     forms = vocab.select(F.concat(F.lit("zz"), "form").alias("form")).distinct()
     return tagging.ending_candidates(forms, training.endings(vocab)).withColumn("weight", F.round("weight", 4))
 
 
-def _lattice(spark, d, forms=None):
-    g = gold(spark, d)
-    vocab = training.vocabulary(g)
-    return tagging.lattice(forms if forms is not None else _forms(vocab), vocab, training.endings(vocab), training.tag_types(g))
+def _parked_vocab(spark, d) -> DataFrame:
+    """The vocabulary, written once for the many places that read it."""
+    return park(training.vocabulary(gold(spark, d)), "vocabulary")
+
+
+def _lattice(spark, d, given: str):
+    vocab = _parked_vocab(spark, d)
+    forms = _forms(vocab).withColumn("given", F.expr(given))
+    return tagging.lattice(forms, vocab, training.endings(vocab), training.tag_types(vocab)).withColumn("prob", F.round("prob", 6)).select("form", "tag", "lemma", "xpos", "feats", "ending", "prob", "source", "given")
+
 
+#: The cascade: entries, entries of the lower-case form, endings, the given tag, types; g(f) is whether a tag agrees.
+_CASCADE = f"""
+    , {_FORMS}, fg as (select form, $given as given from f),
+    c1 as (select fg.form, given, v.upos as tag, lemma, xpos, feats, null as ending, cnt::double as weight, 'exact' as source from fg join v using (form) where given = '_' or given = v.upos),
+    r1 as (select * from fg anti join c1 using (form, given)),
+    c2 as (select r1.form, given, v.upos, lemma, xpos, feats, null, cnt * 0.1, 'lower' from r1 join v on v.form = lower(r1.form) where lower(r1.form) <> r1.form and (given = '_' or given = v.upos)),
+    r2 as (select * from r1 anti join c2 using (form, given)), fo as (select distinct form from r2), {_EN}, {_END},
+    c3 as (select r2.form, given, tag, null, null, null, ending, weight, source from r2 join ec using (form) where given = '_' or given = tag),
+    r3 as (select * from r2 anti join c3 using (form, given)), c4 as (select form, given, given, null, null, null, null, 1.0, 'existing' from r3 where given <> '_'),
+    r4 as (select * from r3 where given = '_'), ty as (select upos as tag, count(distinct form)::double as types from v group by 1),
+    c5 as (select form, given, tag, null, null, null, null, types, 'prior' from r4, ty),
+    al as (select * from c1 union all select * from c2 union all select * from c3 union all select * from c4 union all select * from c5)
+    select form, given, tag, lemma, xpos, feats, ending, round(weight / sum(weight) over (partition by form, given), 6) as prob, source from al"""
+_GIVEN = "case length(form) % 4 when 0 then 'VERB' when 1 then 'X' else '_' end"
 
-@query(sql("v", f", {_KNOWN}, {_FORMS}, {_LEX}, fo as (select form from f where form not in (select form from lx)), {_EN}, {_END}, ty as (select upos as tag, count(distinct form)::double as types from v group by 1), al as (select * from lx union all select * from ec union all select form, tag, types, 'prior' from fo, ty where form not in (select form from ec)) select form, tag, round(weight / sum(weight) over (partition by form), 6) as prob, source from al"))
+
+@query(sql("v", _CASCADE.replace("$given", "'_'")))
 def lattice_normalized(spark, d):
-    return _lattice(spark, d).withColumn("prob", F.round("prob", 6))
+    return _lattice(spark, d, "'_'")
 
 
-@query()
+@query(sql("v", _CASCADE.replace("$given", _GIVEN)))
+def lattice_constrained(spark, d):
+    return _lattice(spark, d, _GIVEN)
+
+
+@query(sql("v", f"""
+    , en as (select substr(form, length(form) - n + 1) as ending, tag, count(*) as cnt from (select distinct form, lemma, upos as tag from v where lower(form) = form and (lemma = form or lemma || 's' = form)), range(1, 7) r(n) where n <= length(form) group by 1, 2)
+    select ending, tag, cnt from en"""))
+def lemma_rule_counts(spark, d):
+    """Of all lemma rules those of regular forms, over endings."""
+    vocab = _parked_vocab(spark, d).where("lower(form) = form and (lemma = form or concat(lemma, 's') = form)")
+    rules = training.ending_rules(vocab, kernels.lemma_rule(F.col("form"), F.col("lemma")))
+    return rules.groupBy("ending", "tag").agg(F.sum("cnt").alias("cnt"))
+
+
+def _model(spark, d):
+    g = gold(spark, d)
+    return model.from_counts(_parked_vocab(spark, d), training.transitions(g), training.case_profile(g))
+
+
+_AT = "doc_id, line_no, sent_no"
+
+
+@query(sql("v", f"""
+    , c as (select form, upos as tag, max(cnt) / any_value(al) as p from (select *, sum(cnt) over (partition by form) as al from v) group by 1, 2),
+    tr as (select prev, tag, count(*)::double as n from (select lag(upos) over (partition by {_AT} order by tok_no) as prev, upos as tag from g) where prev is not null group by 1, 2),
+    cs as (select tag, wcase, greatest(n / sum(n) over (partition by tag), 0.001) as k from (select upos as tag, {_CASE} as wcase, count(*) as n from g group by 1, 2)),
+    co as materialized (select w.doc_id, w.line_no, w.sent_no, tok_no, c.tag, p, coalesce(k, 1.0) as k from (select *, {_CASE} as wcase from g) w join c using (form) left join cs on cs.tag = c.tag and cs.wcase = w.wcase),
+    r as (select {_AT}, tok_no, tag, p / max(p) over (partition by {_AT}) as score, [tag] as path from co where tok_no = 0 union all
+        select {_AT}, tok_no, tag, score / max(score) over (partition by {_AT}), path from (
+            select {_AT}, tok_no, tag, case when top > 0 then top else p end as score, list_append(path, tag) as path from (
+                select *, max(s) over (partition by {_AT}, tag) as top from (
+                    select co.doc_id, co.line_no, co.sent_no, co.tok_no, co.tag, p, path, r.tag as prev, r.score as before, r.score * (coalesce(n, 0) * (greatest(p, 1e-10) * k)) as s
+                    from r join co on co.doc_id = r.doc_id and co.line_no = r.line_no and co.sent_no = r.sent_no and co.tok_no = r.tok_no + 1 left join tr on tr.prev = r.tag and tr.tag = co.tag))
+            qualify row_number() over (partition by {_AT}, tag order by s desc, case when top > 0 then 0 else before end desc, prev) = 1)),
+    pa as (select {_AT}, path from r join (select {_AT}, max(tok_no) as tok_no from g group by 1, 2, 3) e using ({_AT}, tok_no) qualify row_number() over (partition by {_AT} order by score desc, tag) = 1)
+    select g.doc_id, g.line_no, g.sent_no, g.tok_no, form, path[g.tok_no + 1] as tag from g join pa using ({_AT})""").replace("with l as", "with recursive l as", 1))
 def viterbi_tags(spark, d):
+    m = _model(spark, d)
     g = gold(spark, d)
-    forms = g.select("form").distinct()
-    tagged = tagging.viterbi(g.select(*PLACE, "form"), _lattice(spark, d, forms), training.transitions(g))
-    return tagged.select("doc_id", *_long("line_no", "sent_no", "tok_no"), "form", "tag")
+    lattice = park(tagging.lattice(g.select("form").distinct(), m.vocab, m.endings, m.types), "lattice")
+    return tagging.viterbi(g.select(*PLACE, "form"), lattice, m.transitions, cases=m.cases).select("doc_id", *_long("line_no", "sent_no", "tok_no"), "form", "tag")
+
+
+@query(sql("g", "select case when length(form) % 3 = 0 then upos else 'free' end as given, count(*) as tokens, sum(case when length(form) % 3 = 0 then 1 else 0 end)::bigint as kept, 0::bigint as empty from g group by 1"))
+def tag_end_to_end(spark, d):
+    """Every token comes out, given tags stay, none is empty."""
+    m, g = _model(spark, d), gold(spark, d)
+    given = F.when(F.length("form") % 3 == 0, F.col("upos")).otherwise("_")
+    out = model.tagged(m, g.select(*PLACE, "form", given.alias("upos")))
+    kind = F.when(F.length("form") % 3 == 0, F.col("upos")).otherwise("free")
+    return out.groupBy(kind.alias("given")).agg(F.count("*").alias("tokens"), F.count(F.when(F.length("form") % 3 == 0, 1)).alias("kept"), F.count(F.when(F.col("upos").isin("_", "") | F.col("lemma").isin("_", ""), 1)).alias("empty"))
 
 
 # --- evaluation -----------------------------------------------------------------------------------------------
@@ -436,13 +504,23 @@ def error_grouping_sets(spark, d):
     return evaluation.error_report(rows, F.col("pred_upos") != F.col("upos"), "gold_upos", "length", "lang")
 
 
-@query()
-def align_greedy(spark, d):
+def _sides(spark, d):
+    """Gold tokens with running numbers, and a predicted side that lost every token of one character."""
     g = tok(spark, d).join(tk.sentence_bounds(tok(spark, d)), ["doc_id", "line_no", "sent_no"]).withColumn("n", F.col("tok_start") + F.col("tok_no"))
     g = g.withColumn("sent_no", F.col("line_no") * 10000 + F.col("sent_no")).select("doc_id", "n", "sent_no", "form")
-    # the predicted side lost every token of one character
-    p = g.where("length(form) > 1").withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("n")) - 1)
-    return evaluation.align(g, p)
+    return g, g.where("length(form) > 1").withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("n")) - 1)
+
+
+@query()
+def align_greedy(spark, d):
+    return evaluation.align(*_sides(spark, d))
+
+
+#: Without one-character tokens the longest common blocks are all that is left of the gold side.
+@query(sql("t", "select doc_id, count(*) filter (length(form) > 1) as aligned from t group by 1 having count(*) filter (length(form) > 1) > 0"))
+def align_blocks(spark, d):
+    g, p = _sides(spark, d)
+    return evaluation.align_blocks(g.where("length(form) > 1"), p).groupBy("doc_id").agg(F.count("*").alias("aligned"))
 
 
 _RUNS = "er as (select doc_id, line_no, sent_no, min(n) as start, max(n) + 1 as e, count(*) as k from (select *, n - row_number() over (partition by doc_id, line_no, sent_no order by n) as grp from (select g.*, b.tok_start + tok_no as n from g join b using (doc_id, line_no, sent_no)) where upos = 'PROPN') group by doc_id, line_no, sent_no, grp)"

@@ -1,11 +1,14 @@
 """Operators on small tables."""
 
 import itertools
+import math
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from lexmill.operators import evaluation, reports, tagging, training
+from lexmill.operators import evaluation, model, reports, tagging, training
 from lexmill.operators import tokens as tk
 from lexmill.plans.fixtures import annotated
 from lexmill.sources import conllu, registry, teitok
@@ -68,15 +71,66 @@ def test_teitok(spark):
     assert [r.form for r in teitok.parsed(teitok.documents(tokens)).orderBy("tok_no").collect()] == ["a", "<", "b", "&", '"', "c", '"']
 
 
-def test_best_path_is_the_best():
+def plain_path(rows, trans, smooth=0.0):
+    """rows: of each word tag -> (probability, case factor)."""
+    score, back = {k: p for k, (p, _) in rows[0].items()}, []
+    for row in rows[1:]:
+        top = max(score.values())
+        score, now, links = {k: v / top for k, v in score.items()}, {}, {}
+        for tag, (p, case) in sorted(row.items()):
+            steps = {a: s * ((trans.get((a.split(".")[-1], tag.split(".")[0]), 0.0) + smooth) * (p * case)) for a, s in score.items()}
+            best = min(steps, key=lambda a: (-steps[a], a))
+            links[tag] = best if steps[best] > 0 else min(score, key=lambda a: (-score[a], a))
+            now[tag] = steps[best] if steps[best] > 0 else p
+        score = now
+        back.append(links)
+    tag = min(score, key=lambda a: (-score[a], a))
+    path = [tag]
+    for links in reversed(back):
+        path.append(links[path[-1]])
+    return path[::-1]
+
+
+@pytest.mark.parametrize("smooth", [0.0, 0.5])
+def test_paths_of_many_sentences(smooth):
     rnd = random.Random(3)
-    tags = "ABC"
-    for _ in range(200):
-        rows = [[(t, rnd.random()) for t in tags] for _ in range(4)]
-        trans = {(a, b): rnd.random() for a in tags for b in tags}
-        best = max(itertools.product(tags, repeat=4), key=lambda p: dict(rows[0])[p[0]] * __import__("math").prod(trans[a, b] * dict(rows[k + 1])[b] for k, (a, b) in enumerate(itertools.pairwise(p))))
-        assert tuple(tagging.best_path(rows, trans)) == best
-    assert tagging.best_path([[("A", 1.0)], [("B", 1.0)]], {}) == ["A", "B"]
+    tags = ["A", "A.C", "B", "C", "D.B"]
+    trans = {(a, b): rnd.randrange(1, 9) for a in "ABC" for b in "ABC" if rnd.random() < 0.7}
+    sentences = [[{t: (rnd.random(), rnd.choice([1.0, 0.3])) for t in rnd.sample(tags, rnd.randrange(1, 6))} for _ in range(rnd.randrange(0, 9))] for _ in range(300)]
+    flat = [(t, *x) for s in sentences for word in s for t, x in sorted(word.items())]
+    paths = tagging.Paths([(a, b, c) for (a, b), c in trans.items()], smooth=smooth)
+    lengths, choices = np.array([len(s) for s in sentences]), np.array([len(w) for s in sentences for w in s])
+    got = paths.best(lengths, choices, np.array([tags.index(t) for t, _, _ in flat]), tags, np.array([p for _, p, _ in flat]), np.array([c for _, _, c in flat]))
+    want = [tags.index(t) for s in sentences if s for t in plain_path(s, trans, smooth)]
+    assert got.tolist() == want
+
+
+def test_paths_are_the_best_of_all():
+    rnd = random.Random(4)
+    for _ in range(50):
+        rows = [{t: (rnd.random(), 1.0) for t in "ABC"} for _ in range(4)]
+        trans = {(a, b): rnd.random() for a in "ABC" for b in "ABC"}
+        best = max(itertools.product("ABC", repeat=4), key=lambda p: math.prod([rows[0][p[0]][0], *(trans[a, b] * rows[k + 1][b][0] for k, (a, b) in enumerate(itertools.pairwise(p)))]))
+        assert tuple(plain_path(rows, trans)) == best
+
+
+def test_tagging_end_to_end(spark, tmp_path):
+    g = annotated(tk.token_table(table(spark, TEXT * 3)))
+    m = model.trained(g)
+    model.save(m, str(tmp_path / "tables"))
+    model.write_json(m, str(tmp_path / "json"), {"corpus_name": 'a "b"'})
+    for again in (m, model.load(spark, str(tmp_path / "tables")), model.read_json(spark, str(tmp_path / "json"))):
+        got = {r.tok_no: r for r in model.tagged(again, spark.createDataFrame([(1, 0, 0, k, f, u) for k, (f, u) in enumerate([("cat", "_"), ("CAT", "X"), ("zzat", None), ("ϟ", "_"), ("ϟ", "INTJ")])], "doc_id long, line_no int, sent_no int, tok_no int, form string, upos string")).collect()}
+        assert [got[k].source for k in range(5)] == ["exact", "existing", "ending", "prior", "existing"]
+        assert [got[k].upos for k in (1, 4)] == ["X", "INTJ"] and all(r.upos not in ("_", "") and r.lemma not in ("_", "") for r in got.values())
+    assert sorted(map(tuple, model.read_json(spark, str(tmp_path / "json")).vocab.collect())) == sorted(map(tuple, m.vocab.select("form", "lemma", "upos", "xpos", "feats", "cnt").collect()))
+
+
+def test_lemmas_by_rules(spark):
+    rules = spark.createDataFrame([("ing", "V", "*ing#*", 5), ("ing", "V", "*#*", 9), ("ng", "V", "x*#*", 99), ("s", "N", "*s#*", 2), ("s", "N", "*#*", 2)], "ending string, tag string, rule string, cnt long")
+    rows = spark.createDataFrame([("sing", "V", None, None), ("walking", "V", None, "ng"), ("cats", "N", "cats", None), ("cats", "N", "cat!", None), ("s", "N", None, None)], "form string, tag string, lemma string, ending string")
+    got = sorted((r.form, r.lemma) for r in tagging.refined_lemmas(rows, rules).collect())
+    assert got == [("cats", "cat!"), ("cats", "cats"), ("s", "s"), ("sing", "sing"), ("walking", "walking")]
 
 
 def test_lattice_sums_to_one(spark):
@@ -88,10 +142,42 @@ def test_lattice_sums_to_one(spark):
     assert all(abs(r.s - 1) < 1e-9 for r in rows.groupBy("form").agg(F.sum("prob").alias("s")).collect())
 
 
-def test_alignment_is_one_to_one(spark):
-    side = lambda forms: spark.createDataFrame([(1, k, 0, f) for k, f in enumerate(forms)], "doc_id long, n long, sent_no int, form string")
-    got = sorted((r.g, r.p, r.how) for r in evaluation.align(side(["a", "b", "b", "c", "d"]), side(["a", "x", "b", "b", "c"])).collect())
-    assert got == [(0, 0, "same"), (1, 3, "near"), (2, 2, "same"), (3, 4, "near")]
+def plain_alignment(gold, pred, reach=10):
+    """gold, pred: (sentence, form, tokid) in order -> (g, p, how), token after token."""
+    key = lambda f: "".join(c.lower() for c in f if c.isalnum()) or f.lower()
+    bounds = {}
+    for k, (s, _, _) in enumerate(pred):
+        bounds.setdefault(s, [k, k])[1] = k + 1
+    used, out = set(), {}
+    for g, (s, form, tokid) in enumerate(gold):
+        own = [(-(1000 * (pred[p][0] == s) + (100 if key(pred[p][1]) == key(form) else 50 if key(pred[p][1]) in key(form) or key(form) in key(pred[p][1]) else 0)), p) for p in range(len(pred)) if tokid and pred[p][2] == tokid and p not in used]
+        if own:
+            out[g] = (min(own)[1], "tokid")
+            used.add(min(own)[1])
+    for g, (s, form, _) in enumerate(gold):
+        if g in out:
+            continue
+        low, high = bounds.get(s, (g, g))
+        same = [p for p in range(len(pred)) if p not in used and key(pred[p][1]) == key(form)]
+        near = [(abs(g - p) - 100 * (pred[p][0] == s), p, "sentence") for p in same if low - reach <= p < high + reach] or [(abs(g - p), p, "near") for p in same if abs(g - p) <= 2 * reach]
+        if near:
+            out[g] = min(near)[1:]
+            used.add(out[g][0])
+    return sorted((g, p, how) for g, (p, how) in out.items())
+
+
+def test_alignment_goes_through_the_passes(spark):
+    rnd = random.Random(9)
+    for kind in range(6):
+        gold = [(k // 7, rnd.choice(["a", "b", "B", "c.", "dd", "."]), f"w{k}" if kind % 2 and rnd.random() < 0.3 else None) for k in range(260)]
+        pred = [(s, f if rnd.random() < 0.9 else f + "x", i) for s, f, i in gold if rnd.random() < 0.5 + 0.1 * kind]
+        if kind == 3:
+            pred = [(s + 2, f, i) for s, f, i in pred]
+        side = lambda rows: spark.createDataFrame([(1, k, *r) for k, r in enumerate(rows)], "doc_id long, n long, sent_no int, form string, tokid string")
+        got = sorted((r.g, r.p, r.how) for r in evaluation.align(side(gold), side(pred)).collect())
+        assert got == plain_alignment(gold, pred)
+        blocks = {(r.g, r.p) for r in evaluation.align_blocks(side(gold), side(pred)).collect()}
+        assert len(blocks) > len(gold) / 6 and all(a[0] < b[0] and a[1] < b[1] for a, b in itertools.pairwise(sorted(blocks)))
 
 
 def test_depths(spark):
