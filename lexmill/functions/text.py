@@ -184,3 +184,32 @@ def model_rating(name: Column) -> Column:
     low = F.lower(name)
     large, small = low.rlike(r"(_trf|_lg|large|_full)$"), low.rlike(r"(_sm|small|_fast|tiny)$")
     return F.struct(F.when(large, 1).when(small, 3).otherwise(2).alias("speed"), F.when(large, 3).when(small, 1).otherwise(2).alias("accuracy"))
+
+
+def sanitized(data: Column) -> Column:
+    """Text of bytes or of a string, with what isn't UTF-8 replaced and control characters but tab and newline dropped."""
+    return F.regexp_replace(F.make_valid_utf8(data), r"[\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}\x{FEFF}]", "")
+
+
+def decoded(data: Column) -> Column:
+    """struct<encoding, text> of the bytes of a file: by byte order mark, else UTF-8 where they are valid, else Latin-1."""
+    head = F.hex(F.substring(data, 1, 3))
+    encoding = F.when(head == "EFBBBF", "UTF-8-SIG").when(head.startswith("FFFE"), "UTF-16LE").when(head.startswith("FEFF"), "UTF-16BE").when(F.is_valid_utf8(data.cast("string")), "UTF-8").otherwise("ISO-8859-1")
+    rest = lambda n: F.substring(data, F.lit(n + 1), F.length(data))
+    text = F.when(encoding == "UTF-8-SIG", F.decode(rest(3), "UTF-8")).when(encoding == "UTF-16LE", F.decode(rest(2), "UTF-16LE")).when(encoding == "UTF-16BE", F.decode(rest(2), "UTF-16BE")).when(encoding == "UTF-8", F.decode(data, "UTF-8")).otherwise(F.decode(data, "ISO-8859-1"))
+    return F.struct(encoding.alias("encoding"), text.alias("text"))
+
+
+def own_id(tokid: Column) -> Column:
+    """A token id without those made up by numbering (s3-t7), which are not shown."""
+    return F.when(~tokid.rlike(r"^s\d+-t\d+$"), tokid)
+
+
+def plain_name(name: Column) -> Column:
+    """A language name for comparison: lower case, letters and numbers alone, no marks."""
+    return F.regexp_replace(F.lower(F.translate(name, "áàâäãåéèêëíìîïóòôöõúùûüçñÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÇÑ", "aaaaaaeeeeiiiiooooouuuucnAAAAAAEEEEIIIIOOOOOUUUUCN")), r"[^\p{L}\p{N}]", "")
+
+
+def position_bucket(tok_no: Column, n: Column) -> Column:
+    """Where a token stands in its sentence: first, last, and thirds between."""
+    return F.when(tok_no == 0, "first").when(tok_no == n - 1, "last").when(tok_no * 3 < n, "early").when(tok_no * 3 < n * 2, "middle").otherwise("late")

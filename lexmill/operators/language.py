@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions import kernels
+from lexmill.functions import text as t
+
 PENALTY = 300.0
 #: The prefix that the registered queries and their SQL look at.
 MOST_CHARS = 20_000
@@ -62,3 +65,24 @@ def detected(scored: DataFrame, k: int = 2) -> DataFrame:
     ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(2, k))
     best = ranked.groupBy("doc_id").agg(F.min_by("lang", "rank").alias("lang"), F.max("score").alias("score"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"))
     return best.where("score > 0").select("doc_id", "lang", "score", (F.coalesce(F.col("second") / F.col("score"), F.lit(0.0)) <= 0.8).alias("reliable"))
+
+
+def resolved(queries: DataFrame, languages: DataFrame, least: float = 0.65) -> DataFrame:
+    """queries(q), languages(iso1, iso3, name) -> q, iso (two letters, else three), name, how: `code`, `name`, `fuzzy` or `none`.
+
+    A code is two or three letters; names are compared without case, marks and blanks; of names that are alike to
+    `least` or more the most alike counts. The list of languages is a table of a few thousand rows and is broadcast.
+    """
+    names = F.broadcast(languages.select("iso1", "iso3", "name", t.plain_name(F.col("name")).alias("plain")))
+    code = F.lower(F.trim("q"))
+    rows = queries.select("q").distinct().withColumn("code", F.when(code.rlike("^[a-z]{2,3}$"), code)).withColumn("key", t.plain_name(F.col("q")))
+    met = lambda on, how: rows.join(names, on).select("q", F.coalesce("iso1", "iso3").alias("iso"), "name", F.lit(how).alias("how"), F.lit(1.0).alias("score"))
+    by_code = met((F.col("code") == F.col("iso1")) | (F.col("code") == F.col("iso3")), "code")
+    by_name = met(F.col("key") == F.col("plain"), "name")
+    exact = by_code.unionByName(by_name)
+    rest = rows.join(exact.select("q").distinct(), "q", "left_anti").where("key <> ''")
+    fuzzy = rest.join(names, F.lit(True)).withColumn("score", kernels.likeness(F.col("plain"), F.col("key"))).where(F.col("score") >= least)
+    every = exact.unionByName(fuzzy.select("q", F.coalesce("iso1", "iso3").alias("iso"), "name", F.lit("fuzzy").alias("how"), "score"))
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "how", "iso")
+    best = every.withColumn("rank", F.row_number().over(w)).where("rank = 1").select("q", "iso", "name", "how")
+    return queries.join(best, "q", "left").withColumn("how", F.coalesce("how", F.lit("none")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RESULT_KEY = ("language", "backend", "model", "treebank", "mode")
@@ -70,3 +70,56 @@ def split_assigned(rows: DataFrame, key: str, shares: tuple[float, float, float]
         return rows.withColumn("split", drawn)
     joined = rows.join(existing.select(key, F.col("split").alias("_split")), key, "left")
     return joined.withColumn("split", F.coalesce("_split", drawn)).drop("_split")
+
+
+def narrowed(results: DataFrame, languages: tuple[str, ...] = (), backends: tuple[str, ...] = (), modes: tuple[str, ...] = ()) -> DataFrame:
+    """Results of these languages, backends and modes, whatever their case; an empty list lets all through, a missing mode is `auto`."""
+    for column, names in ((F.col("language"), languages), (F.col("backend"), backends), (F.coalesce("mode", F.lit("auto")), modes)):
+        if names:
+            results = results.where(F.lower(column).isin(*(x.lower() for x in names)))
+    return results
+
+
+def summary(results: DataFrame) -> DataFrame:
+    """One row: benchmarks, models (pairs of backend and model), languages, treebanks."""
+    named = lambda c: F.nullif(F.col(c), F.lit(""))
+    pair = F.when(named("backend").isNotNull() & named("model").isNotNull(), F.struct("backend", "model"))
+    return results.agg(F.count("*").alias("benchmarks"), F.countDistinct(pair).alias("models"), F.countDistinct(named("language")).alias("languages"), F.countDistinct(named("treebank")).alias("treebanks"))
+
+
+def language_report(models: DataFrame) -> DataFrame:
+    """models(language, backend, model) -> language, backends (sorted, joined by a comma), n_models."""
+    return models.groupBy("language").agg(F.array_join(F.array_sort(F.collect_set("backend")), ",").alias("backends"), F.countDistinct("backend", "model").alias("n_models"))
+
+
+def tag_usage(tokens: DataFrame, treebank: str) -> DataFrame:
+    """field (UPOS or FEATS), name, upos, treebank, cnt: how often a tag, or a feature with a tag, occurs in each treebank."""
+    pair = F.explode(F.filter(F.split("feats", r"\|"), lambda x: x.contains("=")))
+    tags = tokens.select(F.lit("UPOS").alias("field"), F.col("upos").alias("name"), "upos", F.col(treebank).alias("treebank"))
+    feats = tokens.select("upos", F.col(treebank).alias("treebank"), pair.alias("pair")).select(F.lit("FEATS").alias("field"), F.substring_index("pair", "=", 1).alias("name"), "upos", "treebank")
+    return tags.unionByName(feats).groupBy("field", "name", "upos", "treebank").agg(F.count("*").alias("cnt"))
+
+
+def discovered(treebanks: DataFrame, language: str, limit: int | None = None) -> DataFrame:
+    """treebanks(language, path): those of a language, the first `limit` of them by path."""
+    found = treebanks.where(F.lower("language") == language.lower())
+    return found if limit is None else found.orderBy("path").limit(limit)
+
+
+def sessions(rows: DataFrame, now: str, stale: str = "INTERVAL 1 HOUR", include_completed: bool = False) -> DataFrame:
+    """rows(session_id, status, started, seen), newest first: the running ones, last seen within `stale`, and, if asked for, the others as completed."""
+    live = (F.col("status") == "running") & (F.expr(f"seen >= {now} - {stale}"))
+    out = rows.withColumn("status", F.when((F.col("status") == "running") & ~live, "completed").otherwise(F.col("status")))
+    return (out if include_completed else out.where(live)).orderBy(F.desc("started"), "session_id")
+
+
+def natural_key(name: Column, width: int = 20) -> Column:
+    """A string that sorts like the name with its numbers read as numbers, whatever its case; null sorts as empty."""
+    parts = F.regexp_extract_all(F.lower(F.coalesce(name, F.lit(""))), F.lit(r"(\d+|\D+)"), F.lit(1))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.lpad(F.regexp_replace(x, "^0+(?=[0-9])", ""), width, "0")).otherwise(x)), "")
+
+
+def tagging_stats(tagged: DataFrame, seconds: float | None = None) -> DataFrame:
+    """One row: words, words that no lexicon step knew, seconds, words a second (null without seconds)."""
+    per = F.lit(None).cast("double") if not seconds else F.count("*") / seconds
+    return tagged.agg(F.count("*").alias("words"), F.count(F.when(~F.col("source").isin("exact", "lower", "normalized"), 1)).alias("oov"), F.lit(seconds).cast("double").alias("seconds"), per.alias("words_per_second"))

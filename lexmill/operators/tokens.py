@@ -164,3 +164,43 @@ def with_annotations(tokens: DataFrame, required: tuple[str, ...]) -> DataFrame:
 def with_nlp_form(tokens: DataFrame) -> DataFrame:
     """form := the regularised form, where there is one."""
     return tokens.withColumn("form", F.coalesce(F.when(~F.col("reg").isin("_", ""), F.col("reg")), F.col("form")))
+
+
+def with_ids_of(target: DataFrame, source: DataFrame) -> DataFrame:
+    """target(doc_id, sent_id, sent_no, tok_no, tokid) with ids of source tokens at the same place of the same sentence; ids there stay.
+
+    Sentences meet by their sent_id; those left on both sides by their order among the left ones.
+    """
+    sides = []
+    for rows in (target, source):
+        s = rows.select("doc_id", "sent_no", F.nullif(F.trim("sent_id"), F.lit("")).alias("sent_id")).distinct()
+        # of sentences with one id the first counts
+        first = F.row_number().over(Window.partitionBy("doc_id", "sent_id").orderBy("sent_no")) == 1
+        sides.append(s.withColumn("sent_id", F.when(first, F.col("sent_id"))))
+    t_, s_ = sides
+    named = t_.where("sent_id is not null").select("doc_id", "sent_id", F.col("sent_no").alias("t_no")).join(s_.where("sent_id is not null").select("doc_id", "sent_id", F.col("sent_no").alias("s_no")), ["doc_id", "sent_id"]).drop("sent_id")
+    nth = lambda rows, key: rows.join(named.select("doc_id", F.col(key).alias("sent_no")), ["doc_id", "sent_no"], "left_anti").select("doc_id", F.col("sent_no").alias(key), F.row_number().over(Window.partitionBy("doc_id").orderBy("sent_no")).alias("nth"))
+    pairs = named.unionByName(nth(t_, "t_no").join(nth(s_, "s_no"), ["doc_id", "nth"]).select("doc_id", "t_no", "s_no"))
+    ids = pairs.join(source.select("doc_id", F.col("sent_no").alias("s_no"), "tok_no", F.nullif("tokid", F.lit("")).alias("source_id")), ["doc_id", "s_no"]).select("doc_id", F.col("t_no").alias("sent_no"), "tok_no", "source_id")
+    joined = target.join(ids, ["doc_id", "sent_no", "tok_no"], "left")
+    return joined.withColumn("tokid", F.coalesce(F.nullif("tokid", F.lit("")), "source_id")).select(*target.columns)
+
+
+def referenced(tokens: DataFrame, sentences: DataFrame, attribute: str = "corresp") -> DataFrame:
+    """Tokens moved into the sentences that name them: sentences(doc_id, sent_no, corresp: blank-separated #ids); others stay where they are."""
+    named = sentences.select("doc_id", F.col("sent_no").alias("new_no"), F.posexplode(F.split(F.trim(F.coalesce(attribute, F.lit(""))), r"\s+")).alias("place", "ref")).where("ref <> ''")
+    named = named.select("doc_id", "new_no", "place", F.regexp_replace("ref", "^#", "").alias("tokid")).groupBy("doc_id", "tokid").agg(F.min(F.struct("new_no", "place")).alias("at"))
+    joined = tokens.join(named, ["doc_id", "tokid"], "left")
+    moved = joined.select(*(F.coalesce("at.new_no", "sent_no").alias("sent_no") if c == "sent_no" else F.coalesce("at.place", "tok_no").alias("tok_no") if c == "tok_no" else F.col(c) for c in tokens.columns))
+    return moved
+
+
+def spans_meet(tokens: DataFrame, blocks: DataFrame, width: int = 512) -> DataFrame:
+    """tokens(doc_id, char_start, char_end), blocks(doc_id, block, start, end): the token rows with each block they overlap. A range join by cells."""
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor((F.greatest(F.col(b), F.col(a) + 1) - 1) / width)))
+    left = tokens.withColumn("cell", cells("char_start", "char_end"))
+    right = blocks.select("doc_id", "block", "start", "end").withColumn("cell", cells("start", "end"))
+    met = left.join(right, ["doc_id", "cell"]).where("char_start < end and start < char_end")
+    # a pair that shares several cells counts in the first of them
+    first = F.greatest(F.floor(F.col("char_start") / width), F.floor(F.col("start") / width)) == F.col("cell")
+    return met.where(first).drop("cell")

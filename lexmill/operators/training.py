@@ -201,24 +201,3 @@ def substitutions(pairs: DataFrame, least: int = 10) -> DataFrame:
     zipped = F.arrays_zip(F.split("form", "").alias("a"), F.split("reg", "").alias("b"))
     each = rows.select(F.explode(F.filter(zipped, lambda x: x["a"] != x["b"])).alias("x"))
     return each.groupBy(F.col("x.a").alias("old"), F.col("x.b").alias("new")).agg(F.count("*").alias("cnt")).where(F.col("cnt") >= least)
-
-
-def normalize(words: DataFrame, explicit: DataFrame, vocab: DataFrame, replaced: DataFrame, bold: bool = False) -> DataFrame:
-    """words(form) -> form, reg, how: an explicit regular form, else (bold) one frequent replacement that gives a known word.
-
-    vocab(form, cnt): a frequent word (100 or more) needs a regular form five times as frequent.
-    """
-    known = vocab.groupBy("form").agg(F.sum("cnt").alias("freq"))
-    out = words.join(explicit.select("form", F.col("reg").alias("reg_explicit")), "form", "left").join(known, "form", "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
-    if bold:
-        # the replacements are few; words contain few of them
-        cand = out.where("reg_explicit is null").select("form", "freq").distinct().join(F.broadcast(replaced.select("old", "new", F.col("cnt").alias("weight")).orderBy(F.desc("cnt"), "old", "new").limit(200)), F.contains("form", "old"))
-        cand = cand.withColumn("reg", F.replace("form", "old", "new")).join(known.select(F.col("form").alias("reg"), F.col("freq").alias("reg_freq")), "reg")
-        cand = cand.where("freq < 100 or (reg_freq >= 5 * freq)")
-        w = Window.partitionBy("form").orderBy(F.desc("weight"), F.desc("reg_freq"), "reg")
-        cand = cand.withColumn("rank", F.row_number().over(w)).where("rank = 1").select("form", F.col("reg").alias("reg_bold"))
-        out = out.join(cand, "form", "left")
-    else:
-        out = out.withColumn("reg_bold", F.lit(None).cast("string"))
-    how = F.when(F.col("reg_explicit").isNotNull(), "explicit").when(F.col("reg_bold").isNotNull(), "substitution").otherwise("same")
-    return out.select("form", F.coalesce("reg_explicit", "reg_bold", "form").alias("reg"), how.alias("how"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import kernels
 from lexmill.functions import text as t
-from lexmill.operators import evaluation, language, model, reports, tagging, training
+from lexmill.operators import evaluation, language, lexicon, model, reports, tagging, training
 from lexmill.operators import tokens as tk
 from lexmill.plans.fixtures import docs, gold, predicted, split_words, sql, tok
 from lexmill.sources import conllu, html, teitok
@@ -684,12 +684,28 @@ def substitution_patterns(spark, d):
     return training.substitutions(_pairs(spark, d).where("reg <> '_' and reg <> form").distinct())
 
 
+@query(sql("t", f""", {_PAIRS}, c as (select form, case when reg not in ('_', '') and reg <> form then reg end as reg, count(*) as cnt from pa group by 1, 2),
+    w as (select *, sum(cnt) over (partition by form) as al, coalesce(sum(cnt) filter (reg is null) over (partition by form), 0) as same from c),
+    re as (select form, reg from (select form, reg, cnt, same, al from w where reg is not null qualify row_number() over (partition by form order by cnt desc, reg) = 1) where cnt > same or same * 5 < al),
+    us as (select form, reg from re where lower(form) <> lower(reg)), vo as (select form, count(*) as f from t group by 1), lo as (select lower(form) as form, max(f) as f from vo group by 1),
+    x as (select vo.form, coalesce(us.reg, ul.reg) as reg, vo.f, lower(vo.form) in (select lower(reg) from re) as regular from vo left join us on us.form = vo.form left join us ul on ul.form = lower(vo.form) and lower(vo.form) <> vo.form),
+    y as (select x.*, coalesce(rv.f, rl.f) as rf, lower(x.reg) in (select lower(reg) from re) as listed, coalesce(ua.reg, ub.reg) as again from x left join vo rv on rv.form = x.reg left join lo rl on rl.form = lower(x.reg)
+        left join us ua on ua.form = x.reg left join us ub on ub.form = lower(x.reg) and lower(x.reg) <> x.reg)
+    select form, case when how = 'explicit' then coalesce(again, reg) else form end as reg, how from (select *, case when not regular and reg is not null and lower(reg) <> lower(form) and (rf is not null or listed) and (f < 100 or f * 10 <= coalesce(rf, 0)) then 'explicit' else 'same' end as how from y)"""))
+def normalize_explicit(spark, d):
+    pairs = _pairs(spark, d)
+    vocab = park(pairs.groupBy("form").agg(F.count("*").alias("cnt")), "words")
+    return lexicon.regular_forms(vocab.select("form"), park(training.dominant_reg(pairs), "regs"), vocab)
+
+
 @query()
 def normalize_bold(spark, d):
+    """With suffixes and replacements, over words of which every third is spelt in a way the lexicon lacks."""
     pairs = _pairs(spark, d)
-    lexicon = pairs.where("reg <> '_' and reg <> form").distinct()
-    vocab = pairs.groupBy("form").agg(F.count("*").alias("cnt"))
-    return training.normalize(vocab.select("form"), training.dominant_reg(pairs), vocab, training.substitutions(lexicon), bold=True).groupBy("how").agg(F.count("*").alias("n"))
+    vocab = park(pairs.groupBy("form").agg(F.count("*").alias("cnt")), "words")
+    lexical = park(pairs.where("reg <> '_' and reg <> form").distinct(), "pairs")
+    words = vocab.select(F.when(F.length("form") % 3 == 0, F.replace("form", F.lit("e"), F.lit("é"))).otherwise(F.col("form")).alias("form")).distinct()
+    return lexicon.regular_forms(words, park(training.dominant_reg(pairs), "regs"), vocab, training.suffix_patterns(lexical), training.substitutions(lexical)).groupBy("how").agg(F.count("*").alias("n"))
 
 
 # --- formats --------------------------------------------------------------------------------------------------

@@ -12,8 +12,13 @@ from pyspark.sql import types as T
 from lexmill.operators import language
 from lexmill.sources import conllu, teitok
 
-#: Tasks, their other names, and those that every run has; fixed values.
-TASKS = {"segment": (), "tokenize": ("tok",), "tag": ("pos", "upos", "xpos", "feats"), "lemmatize": ("lemma",), "parse": ("dep", "depparse"), "normalize": ("norm", "reg"), "ner": ("entities",), "expand": ("expan",), "mwt": (), "detect": ("langid",), "align": (), "validate": ()}
+#: Tasks, their other names, those that run without being asked for, and those that every run has; fixed values.
+TASKS = {
+    "segment": ("segmentation", "sentence", "sent"), "tokenize": ("tokenization", "token"), "lemmatize": ("lemmatization", "lemma"), "tag": ("upos", "pos"), "xpos": (), "parse": ("parser", "depparse", "dependency"),
+    "normalize": ("normalization", "norm", "reg"), "ner": ("entity", "entities", "name", "named"), "wsd": ("wsd-frame", "frame", "frames"), "gec": ("grammar", "grammatical", "error", "correction"),
+    "topic": ("topics", "topic-model", "classification"), "langdetect": ("langid", "language-detection", "languageid"),
+}
+DEFAULT = ("segment", "tokenize", "lemmatize", "tag", "parse", "normalize", "ner")
 MANDATORY = ("segment", "tokenize")
 
 
