@@ -26,7 +26,8 @@ def _indexed(tokens: DataFrame, side: str) -> DataFrame:
     return tokens.select("doc_id", F.lit(side).alias("side"), F.col("n").cast("long").alias("at"), F.col("sent_no").cast("long").alias("sent"), t.align_key(F.col("form")).alias("key"), F.nullif(tokid, F.lit("")).alias("tokid"))
 
 
-_PAIR = "doc_id long, g long, p long, how string"
+def _id_type(rows: DataFrame) -> str:
+    return rows.schema["doc_id"].dataType.simpleString()
 
 
 def _pairs(out: list[tuple]) -> pd.DataFrame:
@@ -53,7 +54,7 @@ def _in_groups(rows: DataFrame, key: str, columns: list[str], choose) -> DataFra
                     out += [(doc, *x) for x in choose(pred, used, values)]
             yield _pairs(out)
 
-    return dealt.mapInPandas(run, _PAIR)
+    return dealt.mapInPandas(run, f"doc_id {_id_type(rows)}, g long, p long, how string")
 
 
 def _by_tokid(pred: list, used: set, gold: list) -> Iterator[tuple]:
@@ -116,7 +117,7 @@ def align_blocks(gold: DataFrame, pred: DataFrame) -> DataFrame:
         out = [(gn[b.a + k], pn[b.b + k]) for b in blocks for k in range(b.size) if gk[b.a + k]]
         return pd.DataFrame({"doc_id": rows["doc_id"].iloc[0], "g": [x for x, _ in out], "p": [x for _, x in out]})
 
-    return sides.groupBy("doc_id").applyInPandas(run, "doc_id long, g long, p long")
+    return sides.groupBy("doc_id").applyInPandas(run, f"doc_id {_id_type(gold)}, g long, p long")
 
 
 def metrics(aligned: DataFrame, fields: tuple[str, ...] = ("upos", "xpos", "feats", "lemma")) -> DataFrame:
