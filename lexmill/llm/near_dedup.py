@@ -20,8 +20,9 @@ lower-cased); one hash function orders the shingles, and the k smallest values f
    has two labels and an uncompared pair. A list of n near copies thus costs n pairs and not n * n, and no
    pair of different labels that could be linked is skipped.
 
-Skew: a list, or a pivot, that a third of all rows belong to is found by counting, and its rows are dealt to
-salts; the other side of such a join (pivots, sketches, sets) is repeated once per salt.
+Skew: a value that a third of all sketches or sets hold is found by counting, and the rows of its list are
+dealt to salts; the other side of such a join (counts, pivots) is repeated once per salt. So are the rows of a
+large group of equal sets.
 
 Defined cases: null, empty or wordless text has the empty set and is linked with nothing; fewer than five
 words form one shingle; a null doc_id has component_id null and is kept; repeated rows give repeated
@@ -37,7 +38,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import WordHashes, binary_rows, dealt, hot_keys, keyed, map_batches, park, repeated, salted_join, smallest_labels, window_hashes
+from lexmill.llm.common import WordHashes, binary_rows, keyed, map_batches, smallest_labels, window_hashes
+from lexmill.operators.joins import Hot, hot_keys, salted_join
+from lexmill.sources.shared import park
 
 WIDTH = 5
 SKETCH = 64
@@ -95,37 +98,37 @@ def _estimate(a: str, b: str, k: int):
     return F.size(F.array_intersect(F.array_intersect(a, b), union)) / F.size(union)
 
 
-def _exact_lists(entries: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Inverted lists of the full sets of the documents in the entries: v, id, o, n, pos (from 0, rarest first), label."""
+def _exact_lists(entries: DataFrame, full: DataFrame, percent: int) -> tuple[Hot, DataFrame]:
+    """Inverted lists of the full sets of the documents in the entries: the hot lists, and v, id, o, n, pos (from 0, rarest first), label, _salt."""
     docs = entries.select("id", "o", "n", "label").distinct()
     values = docs.join(full, "id").select("id", F.explode("full").alias("v"))
     shared = park(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "near-full-counts")
-    ranked = salted_join(values, shared, "v", "id", counted="df").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs")).join(docs, "id")
+    hot = hot_keys(shared, "v", "df")
+    met = hot.dealt(values, "id").join(hot.repeated(shared), ["v", "_salt"])
+    ranked = met.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs")).join(docs, "id")
     # shingles that no other of these documents has come before all others
     own = F.col("n") - F.size("vs")
     places = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - own).cast("int")
     each = ranked.select("id", "o", "n", "label", own.alias("own"), F.posexplode(F.slice("vs", F.lit(1), F.greatest(F.lit(0), places))).alias("at", "e"))
-    return each.select(F.col("e.v").alias("v"), "id", "o", "n", (F.col("own") + F.col("at")).alias("pos"), "label")
-
-
-def _dealt_lists(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The lists that hold over 1/HOT of all entries, and the entries with those lists' rows dealt to salts."""
-    hot = hot_keys(entries.groupBy("v").agg(F.count("*").alias("c")), "v", "c", entries.count())
-    return hot, dealt(entries, hot, "v", "id")
+    return hot, hot.dealt(each.select(F.col("e.v").alias("v"), "id", "o", "n", (F.col("own") + F.col("at")).alias("pos"), "label"), "id")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, k: int = SKETCH) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id, kept."""
     docs = keyed(docs)
     sketched = park(map_batches(docs, _sketches(k), "doc_id long, n_shingles long, digest binary, sketch array<long>"), "near-sketches")
-    # one text stands for a doc_id, one document for all with the same set
-    chosen = sketched.where("digest is not null and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("digest"), F.min_by("sketch", "digest").alias("sketch"), F.min_by("n_shingles", "digest").alias("n"))
-    chosen = park(chosen, "near-chosen")
-    sets = park(chosen.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("sketch", "doc_id").alias("sketch"), F.first("n").alias("n")), "near-sets")
+    # one text stands for a doc_id (there are few with several), one document for all with the same set
+    chosen = sketched.where("doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("chosen"), F.max("digest").alias("other")).where("chosen <> other")
+    chosen = park(chosen.select("doc_id", "chosen"), "near-chosen")
+    sketched = sketched.join(chosen, "doc_id", "left")
+    usable = sketched.where("digest is not null and doc_id is not null and (chosen is null or chosen = digest)")
+    sets = park(usable.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("sketch", "doc_id").alias("sketch"), F.first("n_shingles").alias("n"), F.count("*").alias("copies")), "near-sets")
 
     values = sets.select("id", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("v"))
     shared = park(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "near-counts")
-    ranked = salted_join(values, shared, "v", "id", counted="df").groupBy("id").agg(F.first("s").alias("s"), F.first("n").alias("n"), (-F.sum("df")).alias("hub"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    # a value that many sketches hold may make a long list
+    hot = hot_keys(shared, "v", "df")
+    ranked = hot.dealt(values, "id").join(hot.repeated(shared), ["v", "_salt"]).groupBy("id").agg(F.first("s").alias("s"), F.first("n").alias("n"), (-F.sum("df")).alias("hub"), F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
     # values that only this sketch holds are its rarest: they use up the first places of the prefix
     least = F.ceil(F.col("s") * F.when(F.col("s") <= k * percent / 100, percent / 100).otherwise(LEAST_SHARE))
     places = (F.size("vs") - least + 1).cast("int")
@@ -133,37 +136,38 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = SKETCH) -> Data
     lists = park(ranked.select("id", "o", "n", F.col("e.v").alias("v")), "near-lists")
 
     members = lists.select("id").distinct()
-    full = map_batches(docs.join(members, docs.doc_id == members.id, "left_semi"), _full_sets(), "id long, digest binary, full array<long>")
-    # rows of a doc_id with another text than the chosen one drop out
-    full = park(full.join(sets.select("id", "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id"]).drop("digest"), "near-full")
+    wanted = docs.join(members, docs.doc_id == members.id, "left_semi")
+    several = not chosen.isEmpty()
+    full = map_batches((wanted.join(chosen, "doc_id", "left_anti") if several else wanted).dropDuplicates(["doc_id"]), _full_sets(), "id long, digest binary, full array<long>")
+    if several:
+        again = map_batches(wanted.join(chosen, "doc_id", "left_semi"), _full_sets(), "id long, digest binary, full array<long>")
+        full = full.unionByName(again.join(chosen.select(F.col("doc_id").alias("id"), F.col("chosen").alias("digest")), ["id", "digest"], "left_semi").dropDuplicates(["id"]))
+    full = park(full.drop("digest"), "near-full")
     sketch = sets.select("id", "sketch")
 
     labels, pivots, exact = None, 1, False
-    entries = lists.withColumn("label", F.col("id")).withColumn("pos", F.lit(0))
-    hot, entries = _dealt_lists(entries)
+    entries = hot.dealt(lists.withColumn("label", F.col("id")).withColumn("pos", F.lit(0)), "id")
     # the shingles that linked sets share: J / (1 + J) of the sum of their sizes, at least
     overlap = lambda m, n: f"ceil({percent} * ({m} + {n}) / {100 + percent})"
     while True:
         open_lists = entries.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("v")
-        entries = park(entries.join(repeated(open_lists, hot, "v"), ["v", "_salt"], "left_semi"), "near-open")
+        entries = park(entries.join(hot.repeated(open_lists), ["v", "_salt"], "left_semi"), "near-open")
         if entries.isEmpty():
             break
         if pivots > 1 and not exact:
             exact = True
-            hot, entries = _dealt_lists(park(_exact_lists(entries, full, percent), "near-exact"))
-            entries = park(entries, "near-open")
+            hot, entries = _exact_lists(entries, full, percent)
+            entries = park(entries, "near-exact")
             continue
         first = entries.withColumn("rank", F.row_number().over(Window.partitionBy("v").orderBy("o"))).where(F.col("rank") <= pivots)
         first = park(first.select("v", F.col("id").alias("a"), F.col("o").alias("o_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("label").alias("label_a")), "near-pivots")
         within = f"pos <= n - {overlap('n_a', 'n')} and pos_a <= n_a - {overlap('n_a', 'n')}" if exact else "true"
-        pairs = repeated(first, hot, "v").join(entries, ["v", "_salt"]).where(f"o_a < o and label_a <> label and 100 * least(n_a, n) >= {percent} * greatest(n_a, n) and {within}")
-        pairs = park(pairs.select("a", F.col("id").alias("b")).distinct(), "near-pairs")
-        # one pivot may have very many partners
-        busy = hot_keys(pairs.groupBy("a").agg(F.count("*").alias("c")), "a", "c", pairs.count())
+        pairs = hot.repeated(first).join(entries, ["v", "_salt"]).where(f"o_a < o and label_a <> label and 100 * least(n_a, n) >= {percent} * greatest(n_a, n) and {within}")
+        pairs = pairs.select("a", F.col("id").alias("b")).distinct()
+        # the sketches and sets of `a` meet rows that are dealt by `a` already; a pivot with very many partners is split by the adaptive skew join
         of = lambda table, side, value: table.select(F.col("id").alias(side), F.col(value).alias(f"{value}_{side}"))
-        near = dealt(pairs, busy, "a", "b").join(of(sketch, "b", "sketch"), "b").join(repeated(of(sketch, "a", "sketch"), busy, "a"), ["a", "_salt"])
-        near = near.where(_estimate("sketch_a", "sketch_b", k) >= LEAST_SHARE).select("a", "b", "_salt")
-        confirmed = near.join(of(full, "b", "full"), "b").join(repeated(of(full, "a", "full"), busy, "a"), ["a", "_salt"])
+        near = pairs.join(of(sketch, "b", "sketch"), "b").join(of(sketch, "a", "sketch"), "a").where(_estimate("sketch_a", "sketch_b", k) >= LEAST_SHARE).select("a", "b")
+        confirmed = near.join(of(full, "a", "full"), "a").join(of(full, "b", "full"), "b")
         links = park(map_batches(confirmed.select("a", "b", "full_a", "full_b"), _verify(percent), "a long, b long"), "near-links")
         if labels is not None:
             links = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
@@ -177,19 +181,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = SKETCH) -> Data
                 moved = labels.join(new.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
                 labels = park(moved.unionByName(new.join(labels.select("node"), "node", "left_anti")), "near-labels")
         cut = first.groupBy("v").agg(F.max("o_a").alias("cut"))
-        entries = entries.join(repeated(cut, hot, "v"), ["v", "_salt"]).where("o > cut").drop("cut", "label")
+        entries = entries.join(hot.repeated(cut), ["v", "_salt"]).where("o > cut").drop("cut", "label")
         if labels is None:
             entries = entries.withColumn("label", F.col("id"))
         else:
             entries = entries.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
         pivots *= 4
 
-    label = sets.select("digest", "id")
+    label = sets.select("digest", "id", "copies")
     if labels is not None:
-        label = label.join(labels.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("label", "id").alias("label"))
+        label = label.join(labels.withColumnRenamed("node", "id"), "id", "left").select("digest", "copies", F.coalesce("label", "id").alias("label"))
     else:
         label = label.withColumnRenamed("id", "label")
-    found = salted_join(chosen.select("doc_id", "digest"), label, "digest", "doc_id").select("doc_id", "label")
-    out = sketched.select("doc_id", "n_shingles").join(found, "doc_id", "left")
+    own = sketched.select("doc_id", "n_shingles", F.coalesce("chosen", "digest").alias("digest"))
+    out = salted_join(own, label, "digest", "doc_id", "left", counted="copies")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -15,7 +15,7 @@ earlier start) goes; windows are judged on the input.
    among those seen before. The comparison is of the words themselves, hash collisions change nothing.
 4. Remove. The covered ranges go back to their documents.
 
-Skew. Phrases with more than 1/HOT of all anchors (so fewer than HOT phrases) are hot: their places are
+Skew. Phrases with more than 1/HOT of all confirmed places (so fewer than HOT phrases, see joins.py) are hot: their places are
 confirmed by a broadcast of those few phrases, and their windows travel one by one, dealt by a hash of the
 whole window instead of the phrase. Equal windows of a task are merged before they travel, so a passage in a
 third of all documents sends one row per task. Memory is bounded by the block, the merge table (emptied at
@@ -40,7 +40,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import HOT, LEAST_HOT, NO_ID, WordHashes, binary_rows, keyed, map_batches, park, window_hashes
+from lexmill.llm.common import NO_ID, WordHashes, binary_rows, keyed, map_batches, window_hashes
+from lexmill.operators import joins
+from lexmill.sources.shared import park
 
 WINDOW = 20
 PHRASE = 5
@@ -301,14 +303,16 @@ def covered_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = keyed(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "text", F.xxhash64("text").alias("th")).select(at(), "key", "text", "th")
     found = park(map_batches(rows.select("at", "text"), _anchor_rows(), "at long, hs array<long>, ps array<int>"), "substring-anchors")
     confirmed = park(found.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "substring-confirmed")
-    total = found.agg(F.coalesce(F.sum(F.size("hs")), F.lit(0))).first()[0]
-    # fewer than HOT phrases can have more than 1/HOT of all places each
-    most = max(total / HOT, LEAST_HOT)
-    hot = F.broadcast(confirmed.where(F.col("n") > most).select("h", F.lit(True).alias("hot")))
+    # hot phrases are fewer than joins.HOT, whatever the size of the corpus
+    hot = joins.hot_keys(confirmed, "h").table
     each = found.select("at", F.inline(F.arrays_zip(F.col("hs").alias("h"), F.col("ps").alias("p"))))
-    each = each.join(hot, "h", "left")
-    common = each.where("hot").select("at", (-1 - F.col("p")).alias("p"))
-    rare = each.where("hot is null").join(confirmed.where(F.col("n") <= most).select("h"), "h").select("at", "p")
+    if hot is None:
+        rare, common = each, each.where(F.lit(False)).select("at", "p")
+    else:
+        marked = each.join(F.broadcast(hot), "h", "left")
+        rare, common = marked.where("_hot is null"), marked.where("_hot is not null").select("at", (-1 - F.col("p")).alias("p"))
+        confirmed = confirmed.join(F.broadcast(hot), "h", "left_anti")
+    rare = rare.join(confirmed.select("h"), "h").select("at", "p")
     wanted = rare.unionByName(common).groupBy("at").agg(F.collect_set("p").alias("found"))
     located = rows.join(wanted, "at").select("key", "th", "text", "found").mapInArrow(_located, _SNIPPET)
     sorted_ = located.repartition("h").sortWithinPartitions("h", "key", "start")

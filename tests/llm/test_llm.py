@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lexmill.llm import chat, common, decontaminate, line_dedup, near_dedup, pieces, quality, secrets, substring_dedup, toxicity, url_filter
+from lexmill.operators import joins
 
 WS = re.compile("[^\x20\x09-\x0d]+")
 ODD = [(100, None), (101, ""), (102, " \n\t"), (103, "one two"), (103, "one two"), (None, "null id text with some words in it"), (104, "ÄÖ ß 😀 é \x85 x"), (105, "long " * 3000)]
@@ -50,7 +51,7 @@ def shingles(text):
 
 @pytest.mark.parametrize("least_hot", [64, 0])
 def test_near_duplicates(spark, monkeypatch, least_hot):
-    monkeypatch.setattr(common, "LEAST_HOT", least_hot)
+    monkeypatch.setattr(joins, "LEAST_HOT", least_hot)
     rows = [r for r in corpus() if r[0] != 103]
     sets = {i: shingles(x) for i, x in rows if i is not None}
     label = {i: i for i in sets}
@@ -79,7 +80,7 @@ def test_near_duplicates_of_rows_with_one_doc_id(spark):
 
 @pytest.mark.parametrize("least_hot", [64, 1])
 def test_substring_dedup(spark, monkeypatch, least_hot):
-    monkeypatch.setattr(substring_dedup, "LEAST_HOT", least_hot)
+    monkeypatch.setattr(joins, "LEAST_HOT", least_hot)
     repeated = " ".join(f"q{k}" for k in range(60))
     # ids of all sizes; rows without an id are one document
     rows = [(i if i is None or i % 4 else i + 10**15 if i % 8 else i + 9 * 10**18, x) for i, x in corpus(2, 40)] + [(3 * 10**18, repeated), (10**13, f"x {repeated}"), (None, repeated), (None, f"y {repeated} z"), (-5, f"z {repeated}")]
