@@ -5,7 +5,7 @@ lower-cased); one hash function orders the shingles, and the k smallest values f
 
 1. Documents with equal sets fall together at once, through a 128-bit digest of the sorted set.
 2. Two sets with Jaccard 0.75 share about three quarters of the k smallest values of their union, so two
-   sketches of a link share at least `least` values but for a chance of 5 in 100,000,000,000. Hence each
+   sketches of a link share at least `least` values but for a chance of about 1 in 1,000,000,000. Hence each
    sketch needs inverted-list entries only for its k - least + 1 rarest values: a passage that many
    documents share has frequent values, which stay out of the lists. (Of sets small enough
    that every partner's sketch is its whole set, a link shares three quarters for certain.)
@@ -16,7 +16,7 @@ lower-cased); one hash function orders the shingles, and the k smallest values f
    sets of sizes m and n that are linked share ceil(3/7 (m + n)) shingles, so one within the first
    m - that + 1 of the one and the first n - that + 1 of the other. Copies that differ too much have too
    many shingles of their own and meet nobody.
-5. In those lists pivots, four times as many each turn, are compared with the list as in 3, until no list
+5. In those lists pivots, sixteen times as many each turn, are compared with the list as in 3, until no list
    has two labels and an uncompared pair. A list of n near copies thus costs n pairs and not n * n, and no
    pair of different labels that could be linked is skipped.
 
@@ -44,8 +44,8 @@ from lexmill.sources.shared import park
 
 WIDTH = 5
 SKETCH = 64
-#: Of 64 values 48 are shared on average at Jaccard 0.75; fewer than 24 with a chance of 5e-11 (binomial).
-LEAST_SHARE = 0.375
+#: Of 64 values 48 are shared on average at Jaccard 0.75; fewer than 26 with a chance of 1.3e-9 (binomial).
+LEAST_SHARE = 0.40625
 
 
 def shingle_set(text: bytes, hashes: WordHashes, width: int = WIDTH) -> np.ndarray:
@@ -80,24 +80,30 @@ def _full_sets():
     return run
 
 
-def _verify(percent: int):
+def estimate(x: np.ndarray, y: np.ndarray, k: int) -> float:
+    """Share of the k smallest values of the union that both sets hold; the sketches, the first k of each, tell."""
+    x, y = x[:k], y[:k]
+    values, times = np.unique(np.concatenate((x, y)), return_counts=True)
+    return float((times[:k] == 2).mean())
+
+
+def _verify(percent: int, k: int):
+    """Pairs whose sketches agree enough and whose full sets are linked."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
         for x, y in zip(batch.column("full_a"), batch.column("full_b"), strict=True):
             x, y = x.values.to_numpy(), y.values.to_numpy()
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            linked = estimate(x, y, k) >= LEAST_SHARE
+            if linked:
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                linked = 100 * both >= percent * (len(x) + len(y) - both)
+            keep.append(linked)
         return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _estimate(a: str, b: str, k: int):
-    """Share of the union's k smallest values that both sketches hold."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, k)
-    return F.size(F.array_intersect(F.array_intersect(a, b), union)) / F.size(union)
-
-
 def _exact_lists(entries: DataFrame, full: DataFrame, percent: int) -> tuple[Hot, DataFrame]:
     """Inverted lists of the full sets of the documents in the entries: the hot lists, and v, id, o, n, pos (from 0, rarest first), label, _salt."""
     docs = entries.select("id", "o", "n", "label").distinct()
@@ -120,7 +126,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = SKETCH) -> Data
     # one text stands for a doc_id (there are few with several), one document for all with the same set
     chosen = sketched.where("doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("chosen"), F.max("digest").alias("other")).where("chosen <> other")
     chosen = park(chosen.select("doc_id", "chosen"), "near-chosen")
-    sketched = sketched.join(chosen, "doc_id", "left")
+    several = not chosen.isEmpty()
+    sketched = sketched.join(chosen, "doc_id", "left") if several else sketched.withColumn("chosen", F.lit(None).cast("binary"))
     usable = sketched.where("digest is not null and doc_id is not null and (chosen is null or chosen = digest)")
     sets = park(usable.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("sketch", "doc_id").alias("sketch"), F.first("n_shingles").alias("n"), F.count("*").alias("copies")), "near-sets")
 
@@ -137,13 +144,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = SKETCH) -> Data
 
     members = lists.select("id").distinct()
     wanted = docs.join(members, docs.doc_id == members.id, "left_semi")
-    several = not chosen.isEmpty()
     full = map_batches((wanted.join(chosen, "doc_id", "left_anti") if several else wanted).dropDuplicates(["doc_id"]), _full_sets(), "id long, digest binary, full array<long>")
     if several:
         again = map_batches(wanted.join(chosen, "doc_id", "left_semi"), _full_sets(), "id long, digest binary, full array<long>")
         full = full.unionByName(again.join(chosen.select(F.col("doc_id").alias("id"), F.col("chosen").alias("digest")), ["id", "digest"], "left_semi").dropDuplicates(["id"]))
     full = park(full.drop("digest"), "near-full")
-    sketch = sets.select("id", "sketch")
 
     labels, pivots, exact = None, 1, False
     entries = hot.dealt(lists.withColumn("label", F.col("id")).withColumn("pos", F.lit(0)), "id")
@@ -164,11 +169,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = SKETCH) -> Data
         within = f"pos <= n - {overlap('n_a', 'n')} and pos_a <= n_a - {overlap('n_a', 'n')}" if exact else "true"
         pairs = hot.repeated(first).join(entries, ["v", "_salt"]).where(f"o_a < o and label_a <> label and 100 * least(n_a, n) >= {percent} * greatest(n_a, n) and {within}")
         pairs = pairs.select("a", F.col("id").alias("b")).distinct()
-        # the sketches and sets of `a` meet rows that are dealt by `a` already; a pivot with very many partners is split by the adaptive skew join
-        of = lambda table, side, value: table.select(F.col("id").alias(side), F.col(value).alias(f"{value}_{side}"))
-        near = pairs.join(of(sketch, "b", "sketch"), "b").join(of(sketch, "a", "sketch"), "a").where(_estimate("sketch_a", "sketch_b", k) >= LEAST_SHARE).select("a", "b")
-        confirmed = near.join(of(full, "a", "full"), "a").join(of(full, "b", "full"), "b")
-        links = park(map_batches(confirmed.select("a", "b", "full_a", "full_b"), _verify(percent), "a long, b long"), "near-links")
+        # a set's sketch is its beginning, so the sets alone travel; a pivot with very many partners is split by the adaptive skew join
+        of = lambda side: full.select(F.col("id").alias(side), F.col("full").alias(f"full_{side}"))
+        met = pairs.join(of("a"), "a").join(of("b"), "b")
+        links = park(map_batches(met.select("a", "b", "full_a", "full_b"), _verify(percent, k), "a long, b long"), "near-links")
         if labels is not None:
             links = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
             links = links.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
@@ -186,7 +190,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, k: int = SKETCH) -> Data
             entries = entries.withColumn("label", F.col("id"))
         else:
             entries = entries.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        pivots *= 4
+        pivots *= 16
 
     label = sets.select("digest", "id", "copies")
     if labels is not None:
