@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 #: A key with more than 1/HOT of all rows is hot; there are fewer than HOT such keys, whatever the size of the
 #: table, so they may be broadcast. No key with LEAST_HOT rows or fewer is hot.
-HOT, LEAST_HOT = 5_000, 64
-#: Parts that the rows of a hot key are dealt to.
-SALTS = 64
+HOT, LEAST_HOT = 5_000, 4_096
+#: Rows of a hot key in one part, and the most parts of a key.
+PART, SALTS = 1_024, 64
 
 
 @dataclass
@@ -22,10 +22,10 @@ class Hot:
     table: DataFrame | None
 
     def dealt(self, many: DataFrame, row: str) -> DataFrame:
-        """`many` with `_salt`: rows of a hot key are dealt to SALTS parts by a hash of `row`, others have 0."""
+        """`many` with `_salt`: rows of a hot key are dealt to its parts by a hash of `row`, others have 0."""
         if self.table is None:
             return many.withColumn("_salt", F.lit(0))
-        salt = F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(row), F.lit(SALTS))).cast("int")
+        salt = F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(row), F.col("_hot"))).cast("int")
         return many.join(F.broadcast(self.table), self.key, "left").withColumn("_salt", salt).drop("_hot")
 
     def repeated(self, few: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def hot_keys(counts: DataFrame, key: str, n: str = "n") -> Hot:
     least = max((total or 0) / HOT, LEAST_HOT)
     if (most or 0) <= least:
         return Hot(key, None)
-    rows = counts.where(F.col(n) > least).select(key, F.lit(SALTS).alias("_hot"))
+    rows = counts.where(F.col(n) > least).select(key, F.least(F.lit(SALTS), F.greatest(F.lit(2), F.ceil(F.col(n) / PART))).cast("int").alias("_hot"))
     return Hot(key, counts.sparkSession.createDataFrame(rows.collect(), rows.schema))
 
 
