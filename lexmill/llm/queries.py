@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat, common, decontaminate, line_dedup, near_dedup, pieces, quality, secrets, substring_dedup, toxicity, url_filter
+from lexmill.llm import chat, common, decontaminate, infill, line_dedup, mixing, near_dedup, negatives, pieces, quality, secrets, substring_dedup, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -178,3 +178,67 @@ def op1_toxicity(spark, sf_dir):
 
 
 QUERIES["op1_toxicity"] = op1_toxicity
+
+
+def op11_mix_sources(spark, sf_dir):
+    return mixing.mixed(common.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES["op11_mix_sources"] = op11_mix_sources
+
+ORACLES["op11_mix_sources"] = rf"""
+with d as (select doc_id, source, len({_WORDS}) as size from documents),
+k as (select *, row_number() over (partition by doc_id, source, size) as nth from d),
+q as (select *, ('0x' || substr(md5('7:' || coalesce(doc_id::varchar, '') || ':' || size || ':' || nth), 1, 15))::bigint as key from k),
+s as (select source, sum(size)::bigint as source_size, [3, 1, 2][(row_number() over (order by source nulls last) - 1) % 3 + 1] as w from d group by 1),
+r as (select *, sum(source_size) over o as filled, sum(w) over () - sum(w) over o as rest, 1.5::double * sum(source_size) over () as budget
+    from s window o as (order by source_size / w, source nulls last rows unbounded preceding)),
+f as (select *, (2 * filled * w + 2 * source_size * rest)::double <= budget * w as full_up from r),
+t as (select source, source_size, case when full_up then (2 * source_size)::double
+    else w * (budget - 2 * coalesce(sum(source_size) filter (full_up) over (), 0))::double / sum(w) filter (not full_up) over () end as target from f),
+u as (select doc_id, q.source, size, nth, source_size, target, sum(size) over (partition by q.source order by key, doc_id, size, nth rows unbounded preceding) as upto
+    from q join t on q.source is not distinct from t.source),
+p as (select *, least(256, size - 256 * part) as words, (turn * source_size + upto - size + 256 * part + least(256, size - 256 * part))::double / target as finish
+    from u, range(2) a(turn), unnest(range(0, ((size + 255) // 256)::bigint)) b(part) where size > 0),
+m as (select *, sum(words) over (order by finish, source nulls last, turn, part rows unbounded preceding) <= 1.5 * (select sum(size) from d) as is_taken from p),
+g as (select doc_id, source, size, nth, coalesce(sum(words) filter (is_taken), 0)::bigint as taken from m group by 1, 2, 3, 4)
+select u.doc_id, u.size, u.source_size, u.target, coalesce(taken, 0)::bigint as taken from u left join g
+    on u.doc_id is not distinct from g.doc_id and u.source is not distinct from g.source and u.size = g.size and u.nth = g.nth
+"""
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    made = infill.fill_in_middle(common.documents(spark, sf_dir).select("doc_id", "text"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+QUERIES["op12_fill_in_middle"] = op12_fill_in_middle
+
+ORACLES["op12_fill_in_middle"] = r"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u, sha256('7:' || coalesce(doc_id::varchar, '')) as h from documents),
+h as (select *, len(u)::bigint as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[25:32])::bigint as h4 from d),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form from h),
+p as (select *, array_to_string(u[1:a], '') as pre, array_to_string(u[a + 1:b], '') as mid, array_to_string(u[b + 1:n], '') as suf from c)
+select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix_chars, case when form <> 'plain' then length(mid) end as middle_chars,
+    sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+    sha256(t) as restored_sha256 from p
+"""
+
+
+def op13_hard_negatives(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", moved))
+
+
+QUERIES["op13_hard_negatives"] = op13_hard_negatives
+
+ORACLES["op13_hard_negatives"] = """
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+    where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as a, b.vec_id as b, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint as s from e a join e b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select a, b, s from s where same qualify row_number() over (partition by a order by s desc, b) <= 5),
+n as (select p.a, p.b as p, p.s as ps, s.b as n, s.s as ns, row_number() over (partition by p.a, p.b order by s.s desc, s.b) as r from p join s on p.a = s.a and not same and 30 * p.s <= 100 * s.s and 100 * s.s <= 90 * p.s)
+select a as anchor_id, p as positive_id, r::int as rank, n as negative_id, ps as positive_score, ns as negative_score from n where r <= 10
+"""
