@@ -199,7 +199,7 @@ def indexed(rows: DataFrame, width: int = 2) -> tuple[DataFrame, Quantiser, int]
         raise ValueError(f"components up to {most.largest} make scores too large")
     rows = rows.where(size == dim)
     sample = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(SAMPLE).select("v").collect()
-    quantiser = fitted(np.array([r.v for r in sample], dtype=np.int64).reshape(-1, dim), width)
+    quantiser = fitted(np.array([r.v for r in sample], dtype=np.int64).reshape(len(sample), dim), width)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
