@@ -385,7 +385,10 @@ def _parked_vocab(spark, d) -> DataFrame:
 def _lattice(spark, d, given: str):
     vocab = _parked_vocab(spark, d)
     forms = _forms(vocab).withColumn("given", F.expr(given))
-    return tagging.lattice(forms, vocab, training.endings(vocab), training.tag_types(vocab)).withColumn("prob", F.round("prob", 6)).select("form", "tag", "lemma", "xpos", "feats", "ending", "prob", "source", "given")
+    found = tagging.lattice(forms, vocab, training.endings(vocab), training.tag_types(vocab))
+    # tenths of counts and of counts over 125 are whole numbers in units of 1/1,250: nothing is left to round
+    whole = lambda c: F.round(F.col(c) * 1_250).cast("long").alias(c)
+    return found.select("form", "tag", "lemma", "xpos", "feats", "ending", whole("weight"), whole("total"), "source", "given")
 
 
 #: The cascade: entries, entries of the lower-case form, endings, the given tag, types; g(f) is whether a tag agrees.
@@ -400,7 +403,7 @@ _CASCADE = f"""
     r4 as (select * from r3 where given = '_'), ty as (select upos as tag, count(distinct form)::double as types from v group by 1),
     c5 as (select form, given, tag, null, null, null, null, types, 'prior' from r4, ty),
     al as (select * from c1 union all select * from c2 union all select * from c3 union all select * from c4 union all select * from c5)
-    select form, given, tag, lemma, xpos, feats, ending, round(weight / sum(weight) over (partition by form, given), 6) as prob, source from al"""
+    select form, given, tag, lemma, xpos, feats, ending, round(weight * 1250)::bigint as weight, (sum(round(weight * 1250)::bigint) over (partition by form, given))::bigint as total, source from al"""
 _GIVEN = "case length(form) % 4 when 0 then 'VERB' when 1 then 'X' else '_' end"
 
 
@@ -432,20 +435,25 @@ def _model(spark, d):
 _AT = "doc_id, line_no, sent_no"
 
 
+#: A step of the search: of each tag of the next word the best way there. A path is the string of its tags. Without a way that counts,
+#: a tag starts afresh behind the best tag before.
+_STEP = """list_transform(x.c, lambda c: list_sort(list_transform(s.r, lambda q: {'v': -(q.s * (coalesce(c.n[q.i], 0) * (greatest(c.p, 1e-10) * c.k))), 'i': q.i, 'b': -q.s, 'path': q.path, 'to': c.i, 'p': c.p, 'name': c.t})))"""
+_NEXT = f"""list_transform({_STEP}, lambda w: case when w[1].v < 0 then {{'i': w[1].to, 's': -w[1].v, 'path': w[1].path || ' ' || w[1].name}}
+        else {{'i': w[1].to, 's': w[1].p, 'path': list_sort(list_transform(w, lambda z: {{'b': z.b, 'i': z.i, 'path': z.path}}))[1].path || ' ' || w[1].name}} end)"""
+_SCALED = "list_transform({0}, lambda q: {{'i': q.i, 's': q.s / list_max(list_transform({0}, lambda z: z.s)), 'path': q.path}})"
+
+
 @query(sql("v", f"""
     , c as (select form, upos as tag, max(cnt) / any_value(al) as p from (select *, sum(cnt) over (partition by form) as al from v) group by 1, 2),
+    tg as (select tag, row_number() over (order by tag) as i from (select distinct tag from c)),
     tr as (select prev, tag, count(*)::double as n from (select lag(upos) over (partition by {_AT} order by tok_no) as prev, upos as tag from g) where prev is not null group by 1, 2),
+    tn as (select t.tag, t.i, list(coalesce(n, 0.0) order by b.i) as n from tg t cross join tg b left join tr on tr.prev = b.tag and tr.tag = t.tag group by 1, 2),
     cs as (select tag, wcase, greatest(n / sum(n) over (partition by tag), 0.001) as k from (select upos as tag, {_CASE} as wcase, count(*) as n from g group by 1, 2)),
-    co as materialized (select w.doc_id, w.line_no, w.sent_no, tok_no, c.tag, p, coalesce(k, 1.0) as k from (select *, {_CASE} as wcase from g) w join c using (form) left join cs on cs.tag = c.tag and cs.wcase = w.wcase),
-    r as (select {_AT}, tok_no, tag, p / max(p) over (partition by {_AT}) as score, [tag] as path from co where tok_no = 0 union all
-        select {_AT}, tok_no, tag, score / max(score) over (partition by {_AT}), path from (
-            select {_AT}, tok_no, tag, case when top > 0 then top else p end as score, list_append(path, tag) as path from (
-                select *, max(s) over (partition by {_AT}, tag) as top from (
-                    select co.doc_id, co.line_no, co.sent_no, co.tok_no, co.tag, p, path, r.tag as prev, r.score as before, r.score * (coalesce(n, 0) * (greatest(p, 1e-10) * k)) as s
-                    from r join co on co.doc_id = r.doc_id and co.line_no = r.line_no and co.sent_no = r.sent_no and co.tok_no = r.tok_no + 1 left join tr on tr.prev = r.tag and tr.tag = co.tag))
-            qualify row_number() over (partition by {_AT}, tag order by s desc, case when top > 0 then 0 else before end desc, prev) = 1)),
-    pa as (select {_AT}, path from r join (select {_AT}, max(tok_no) as tok_no from g group by 1, 2, 3) e using ({_AT}, tok_no) qualify row_number() over (partition by {_AT} order by score desc, tag) = 1)
-    select g.doc_id, g.line_no, g.sent_no, g.tok_no, form, path[g.tok_no + 1] as tag from g join pa using ({_AT})""").replace("with l as", "with recursive l as", 1))
+    fc as (select form, list({{'i': i, 't': c.tag, 'p': p, 'k': coalesce(k, 1.0), 'n': tn.n}} order by i) as c from (select *, {_CASE} as wcase from c) c join tn using (tag) left join cs using (tag, wcase) group by 1),
+    se as (select {_AT}, list({{'c': c, 'r': case when tok_no = 0 then list_transform(c, lambda z: {{'i': z.i, 's': z.p / list_max(list_transform(c, lambda y: y.p)), 'path': z.t}}) end}} order by tok_no) as ws from g join fc using (form) group by 1, 2, 3),
+    fi as (select {_AT}, list_reduce(ws, lambda s, x: {{'c': x.c, 'r': {_SCALED.format(_NEXT)}}}).r as r from se),
+    pa as (select {_AT}, string_split(list_sort(list_transform(r, lambda q: {{'s': -q.s, 'i': q.i, 'path': q.path}}))[1].path, ' ') as path from fi)
+    select g.doc_id, g.line_no, g.sent_no, g.tok_no, form, path[g.tok_no + 1] as tag from g join pa using ({_AT})"""))
 def viterbi_tags(spark, d):
     m = _model(spark, d)
     g = gold(spark, d)
