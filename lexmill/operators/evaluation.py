@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from operator import itemgetter
 
 import pandas as pd
@@ -104,22 +103,6 @@ def align(gold: DataFrame, pred: DataFrame, reach: int = 10) -> DataFrame:
     return first.unionByName(second)
 
 
-def align_blocks(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """gold, pred(doc_id, n, form) -> doc_id, g, p: the longest run of equal keys is aligned, then what is left and right of it, and so on.
-
-    A document is one group: the choice of blocks needs both whole sequences.
-    """
-    sides = gold.select("doc_id", F.lit("g").alias("side"), "n", t.align_key(F.col("form")).alias("key")).unionByName(pred.select("doc_id", F.lit("p").alias("side"), "n", t.align_key(F.col("form")).alias("key")))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        (gn, gk), (pn, pk) = ((own["n"].tolist(), own["key"].tolist()) for own in (rows[rows.side == s].sort_values("n") for s in "gp"))
-        blocks = SequenceMatcher(None, gk, pk, autojunk=False).get_matching_blocks()
-        out = [(gn[b.a + k], pn[b.b + k]) for b in blocks for k in range(b.size) if gk[b.a + k]]
-        return pd.DataFrame({"doc_id": rows["doc_id"].iloc[0], "g": [x for x, _ in out], "p": [x for _, x in out]})
-
-    return sides.groupBy("doc_id").applyInPandas(run, f"doc_id {_id_type(gold)}, g long, p long")
-
-
 def metrics(aligned: DataFrame, fields: tuple[str, ...] = ("upos", "xpos", "feats", "lemma")) -> DataFrame:
     """metric, correct, total, accuracy over aligned tokens, feats_partial (predicted within gold) included; accuracy null at 0."""
     checks = {"tokenization": F.col("pred_form") == F.col("form")} | {f: F.col(f"pred_{f}") == F.col(f) for f in fields}

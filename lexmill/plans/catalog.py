@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import kernels
 from lexmill.functions import text as t
-from lexmill.operators import evaluation, language, lexicon, model, reports, tagging, training
+from lexmill.operators import blocks, evaluation, language, lexicon, model, reports, tagging, training
 from lexmill.operators import tokens as tk
 from lexmill.plans.fixtures import docs, gold, predicted, split_words, sql, tok
 from lexmill.sources import conllu, html, teitok
@@ -525,10 +525,31 @@ def align_greedy(spark, d):
 
 
 #: Without one-character tokens the longest common blocks are all that is left of the gold side.
-@query(sql("t", "select doc_id, count(*) filter (length(form) > 1) as aligned from t group by 1 having count(*) filter (length(form) > 1) > 0"))
+#: Every 13th token but one like its neighbours is gone, others are changed, and some follow that the other side lacks.
+_EDITED = r"""ed as (select doc_id, n, key, case when n * 7919 % 13 = 0 and key <> coalesce(lag(key) over w, '') and key <> coalesce(lead(key) over w, '') then 'gone' when n * 7919 % 13 = 5 then 'changed' when n * 7919 % 13 = 9 then 'more' else 'kept' end as how
+    from (select doc_id, row_number() over (partition by doc_id order by line_no, sent_no, tok_no) - 1 as n, case when regexp_replace(lower(form), '[^\p{L}\p{N}]', '', 'g') <> '' then regexp_replace(lower(form), '[^\p{L}\p{N}]', '', 'g') else lower(form) end as key from g) window w as (partition by doc_id order by n))"""
+
+
+def _edited(spark, d) -> tuple[DataFrame, DataFrame]:
+    own = Window.partitionBy("doc_id").orderBy("line_no", "sent_no", "tok_no")
+    w = Window.partitionBy("doc_id").orderBy("n")
+    g = gold(spark, d).select("doc_id", (F.row_number().over(own) - 1).alias("n"), "form").withColumn("key", t.align_key(F.col("form")))
+    odd = lambda k: F.col("n") * 7919 % 13 == k
+    alone = (F.col("key") != F.coalesce(F.lag("key").over(w), F.lit(""))) & (F.col("key") != F.coalesce(F.lead("key").over(w), F.lit("")))
+    forms = F.when(odd(0) & alone, F.array().cast("array<string>")).when(odd(5), F.array(F.concat(F.lit("zz§"), F.col("n").cast("string")))).when(odd(9), F.array("form", F.concat(F.lit("qq§"), F.col("n").cast("string")))).otherwise(F.array("form"))
+    p = g.withColumn("forms", forms).select("doc_id", "n", F.posexplode("forms").alias("k", "form"))
+    return g.select("doc_id", "n", "form"), p.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "k")) - 1).alias("n"), "form")
+
+
+@query(sql("g", f", {_EDITED} select doc_id, count(*) filter (how in ('kept', 'more')) as aligned, count(*) filter (how in ('kept', 'more')) as equal, true as forward from ed group by 1 having count(*) filter (how in ('kept', 'more')) > 0"))
 def align_blocks(spark, d):
-    g, p = _sides(spark, d)
-    return evaluation.align_blocks(g.where("length(form) > 1"), p).groupBy("doc_id").agg(F.count("*").alias("aligned"))
+    """Pairs of edited documents: all that is left of the tokens, each with one of its own key, in the order of both sides."""
+    g, p = (park(x, "sides") for x in _edited(spark, d))
+    found = park(blocks.align_blocks(g, p), "pairs")
+    keyed = lambda rows, n: rows.select("doc_id", F.col("n").alias(n), t.align_key(F.col("form")).alias(f"{n}_key"))
+    met = found.join(keyed(g, "g"), ["doc_id", "g"]).join(keyed(p, "p"), ["doc_id", "p"])
+    met = met.withColumn("back", F.col("p") <= F.lag("p").over(Window.partitionBy("doc_id").orderBy("g")))
+    return met.groupBy("doc_id").agg(F.count("*").alias("aligned"), F.count(F.when(F.col("g_key") == F.col("p_key"), 1)).alias("equal"), F.coalesce(~F.bool_or("back"), F.lit(True)).alias("forward"))
 
 
 _RUNS = "er as (select doc_id, line_no, sent_no, min(n) as start, max(n) + 1 as e, count(*) as k from (select *, n - row_number() over (partition by doc_id, line_no, sent_no order by n) as grp from (select g.*, b.tok_start + tok_no as n from g join b using (doc_id, line_no, sent_no)) where upos = 'PROPN') group by doc_id, line_no, sent_no, grp)"

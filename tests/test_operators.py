@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.operators import evaluation, model, reports, tagging, training
+from lexmill.operators import blocks, evaluation, model, reports, tagging, training
 from lexmill.operators import tokens as tk
 from lexmill.plans.fixtures import annotated
 from lexmill.sources import conllu, registry, teitok
@@ -176,8 +176,8 @@ def test_alignment_goes_through_the_passes(spark):
         side = lambda rows: spark.createDataFrame([(1, k, *r) for k, r in enumerate(rows)], "doc_id long, n long, sent_no int, form string, tokid string")
         got = sorted((r.g, r.p, r.how) for r in evaluation.align(side(gold), side(pred)).collect())
         assert got == plain_alignment(gold, pred)
-        blocks = {(r.g, r.p) for r in evaluation.align_blocks(side(gold), side(pred)).collect()}
-        assert len(blocks) > len(gold) / 6 and all(a[0] < b[0] and a[1] < b[1] for a, b in itertools.pairwise(sorted(blocks)))
+        met = {(r.g, r.p) for r in blocks.align_blocks(side(gold), side(pred)).collect()}
+        assert len(met) > len(gold) / 6 and all(a[0] < b[0] and a[1] < b[1] for a, b in itertools.pairwise(sorted(met)))
 
 
 def test_depths(spark):
