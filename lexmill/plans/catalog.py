@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import kernels
 from lexmill.functions import text as t
-from lexmill.operators import blocks, evaluation, language, lexicon, model, reports, tagging, training
+from lexmill.operators import blocks, evaluation, language, lexicon, model, reports, stages, tagging, training, tuning
 from lexmill.operators import tokens as tk
+from lexmill.operators.joins import salted_join
 from lexmill.plans.fixtures import docs, gold, predicted, split_words, sql, tok
 from lexmill.sources import conllu, html, teitok
 from lexmill.sources.shared import park
@@ -437,13 +438,12 @@ _AT = "doc_id, line_no, sent_no"
 
 #: A step of the search: of each tag of the next word the best way there. A path is the string of its tags. Without a way that counts,
 #: a tag starts afresh behind the best tag before.
-_STEP = """list_transform(x.c, lambda c: list_sort(list_transform(s.r, lambda q: {'v': -(q.s * (coalesce(c.n[q.i], 0) * (greatest(c.p, 1e-10) * c.k))), 'i': q.i, 'b': -q.s, 'path': q.path, 'to': c.i, 'p': c.p, 'name': c.t})))"""
+_STEP = """list_transform(x.c, lambda c: list_sort(list_transform(s.r, lambda q: {'v': -(q.s * ((coalesce(c.n[q.i], 0) + $smooth) * (greatest(c.p, 1e-10) * c.k))), 'i': q.i, 'b': -q.s, 'path': q.path, 'to': c.i, 'p': c.p, 'name': c.t})))"""
 _NEXT = f"""list_transform({_STEP}, lambda w: case when w[1].v < 0 then {{'i': w[1].to, 's': -w[1].v, 'path': w[1].path || ' ' || w[1].name}}
         else {{'i': w[1].to, 's': w[1].p, 'path': list_sort(list_transform(w, lambda z: {{'b': z.b, 'i': z.i, 'path': z.path}}))[1].path || ' ' || w[1].name}} end)"""
 _SCALED = "list_transform({0}, lambda q: {{'i': q.i, 's': q.s / list_max(list_transform({0}, lambda z: z.s)), 'path': q.path}})"
-
-
-@query(sql("v", f"""
+#: vi: the tags of all tokens.
+_VITERBI = f"""
     , c as (select form, upos as tag, max(cnt) / any_value(al) as p from (select *, sum(cnt) over (partition by form) as al from v) group by 1, 2),
     tg as (select tag, row_number() over (order by tag) as i from (select distinct tag from c)),
     tr as (select prev, tag, count(*)::double as n from (select lag(upos) over (partition by {_AT} order by tok_no) as prev, upos as tag from g) where prev is not null group by 1, 2),
@@ -452,8 +452,11 @@ _SCALED = "list_transform({0}, lambda q: {{'i': q.i, 's': q.s / list_max(list_tr
     fc as (select form, list({{'i': i, 't': c.tag, 'p': p, 'k': coalesce(k, 1.0), 'n': tn.n}} order by i) as c from (select *, {_CASE} as wcase from c) c join tn using (tag) left join cs using (tag, wcase) group by 1),
     se as (select {_AT}, list({{'c': c, 'r': case when tok_no = 0 then list_transform(c, lambda z: {{'i': z.i, 's': z.p / list_max(list_transform(c, lambda y: y.p)), 'path': z.t}}) end}} order by tok_no) as ws from g join fc using (form) group by 1, 2, 3),
     fi as (select {_AT}, list_reduce(ws, lambda s, x: {{'c': x.c, 'r': {_SCALED.format(_NEXT)}}}).r as r from se),
-    pa as (select {_AT}, string_split(list_sort(list_transform(r, lambda q: {{'s': -q.s, 'i': q.i, 'path': q.path}}))[1].path, ' ') as path from fi)
-    select g.doc_id, g.line_no, g.sent_no, g.tok_no, form, path[g.tok_no + 1] as tag from g join pa using ({_AT})"""))
+    pa as (select {_AT}, string_split(list_sort(list_transform(r, lambda q: {{'s': -q.s, 'i': q.i, 'path': q.path}}))[1].path, ' ') as path from fi),
+    vi as (select g.doc_id, g.line_no, g.sent_no, g.tok_no, form, upos, path[g.tok_no + 1] as tag from g join pa using ({_AT}))"""
+
+
+@query(sql("v", _VITERBI.replace("$smooth", "0") + " select * exclude (upos) from vi"))
 def viterbi_tags(spark, d):
     m = _model(spark, d)
     g = gold(spark, d)
@@ -461,6 +464,39 @@ def viterbi_tags(spark, d):
     return tagging.viterbi(g.select(*PLACE, "form"), lattice, m.transitions, cases=m.cases).select("doc_id", *_long("line_no", "sent_no", "tok_no"), "form", "tag")
 
 
+def _scored(smooth: str) -> str:
+    return "select * from (" + sql("v", _VITERBI.replace("$smooth", smooth) + f" select {smooth}::double as smooth, count(*) filter (tag = upos) as correct, count(*) as total from vi") + ")"
+
+
+@query(f"{_scored('0.0')} union all {_scored('0.5')}")
+def tuning_scores(spark, d):
+    """Two settings decoded in one pass over shared candidates."""
+    m = _model(spark, d)
+    bench = tuning.Bench(m, park(gold(spark, d), "gold"))
+    tried = [m.settings | {"transitionsmooth": x} for x in (0.0, 0.5)]
+    return spark.createDataFrame([(x["transitionsmooth"], s.right, s.total) for x, s in zip(tried, bench.scores(tried), strict=True)], "smooth double, correct long, total long")
+
+
+@query(sql("v", """
+    , k as (select form, upos as tag, sum(cnt) as cnt from v group by 1, 2),
+    f as (select form, arg_max(tag, cnt - rank / 1000.0) as tag, max(cnt)::double / sum(cnt)::double as confidence from (select *, row_number() over (partition by form order by tag) as rank from k) group by 1),
+    b as (select g.lang, doc_id, line_no, sent_no, upos = f.tag as fits, least(floor(confidence * 20)::int, 19) as bin from g join f using (form)),
+    c as (select bin, max(p) over (order by bin) as calibrated from (select bin, count(*) filter (fits)::double / count(*)::double as p from b group by 1)),
+    w as (select lang, doc_id, line_no, sent_no, min(calibrated) < 0.95 as unsure, count(*) as n from b join c using (bin) group by 1, 2, 3, 4)
+    select lang, count(*) as sentences, count(*) filter (unsure) as routed, coalesce(sum(n) filter (unsure), 0)::bigint as routed_tokens from w group by 1"""))
+def routed_share(spark, d):
+    """How much of each language a second stage would read, by calibrated confidence of the most frequent tag."""
+    g, vocab = gold(spark, d), _parked_vocab(spark, d)
+    share = F.col("cnt") / F.sum("cnt").over(Window.partitionBy("form"))
+    k = vocab.groupBy("form", F.col("upos").alias("tag")).agg(F.sum("cnt").alias("cnt")).withColumn("confidence", share)
+    best = k.withColumn("rank", F.row_number().over(Window.partitionBy("form").orderBy(F.desc("cnt"), "tag"))).where("rank = 1").drop("rank", "cnt")
+    tagged = park(salted_join(g.withColumn("place", F.xxhash64(*PLACE)), best, "form", "place"), "first-stage")
+    table = stages.calibration(tagged, F.col("tag") == F.col("upos"))
+    rows = stages.routed(stages.calibrated(tagged, table), 0.95)
+    s = rows.groupBy("lang", *tk.SENTENCE).agg(F.bool_or("unsure").alias("unsure"), F.count("*").alias("n"))
+    return s.groupBy("lang").agg(F.count("*").alias("sentences"), F.count(F.when(F.col("unsure"), 1)).alias("routed"), F.coalesce(F.sum(F.when(F.col("unsure"), F.col("n"))), F.lit(0)).alias("routed_tokens"))
+
+
 @query(sql("g", "select case when length(form) % 3 = 0 then upos else 'free' end as given, count(*) as tokens, sum(case when length(form) % 3 = 0 then 1 else 0 end)::bigint as kept, 0::bigint as empty from g group by 1"))
 def tag_end_to_end(spark, d):
     """Every token comes out, given tags stay, none is empty."""
