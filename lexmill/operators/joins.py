@@ -1,4 +1,8 @@
-"""Joins in which one key may hold a third of all rows."""
+"""Joins in which one key may hold a third of all rows.
+
+What is hot is a number of rows, not a share: a task should get about `part` rows of one key, and that number
+grows with the table from PART to LARGEST only. A hot key is dealt to as many parts as its rows ask for.
+"""
 
 from __future__ import annotations
 
@@ -7,42 +11,55 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A key with more than 1/HOT of all rows is hot; there are fewer than HOT such keys, whatever the size of the
-#: table, so they may be broadcast. No key with LEAST_HOT rows or fewer is hot.
-HOT, LEAST_HOT = 5_000, 4_096
-#: Rows of a hot key in one part, and the most parts of a key.
-PART, SALTS = 1_024, 64
+from lexmill.sources.shared import park
+
+#: Rows of a hot key in one part: PART in small tables, 1/PARTS of all rows in larger ones, LARGEST at most.
+PART, PARTS, LARGEST = 1_024, 4_096, 1 << 16
+#: Where a part has PART rows, keys with more rows than this are hot; in larger tables as many times more as parts are larger.
+LEAST_HOT = 4_096
+#: Hot keys that are broadcast; more of them are a table in the shared folder that is joined.
+FEW = 200_000
 
 
 @dataclass
 class Hot:
-    """The hot keys of a column, fewer than HOT, as a table to broadcast; None where there are none (then nothing is salted)."""
+    """The hot keys of a column with their number of parts, `_hot`; None where there are none (then nothing is salted)."""
 
     key: str
     table: DataFrame | None
+    few: bool = True
+
+    @property
+    def known(self) -> DataFrame:
+        """The table as a side of a join: to broadcast if it has FEW rows at most; else the join's other side is split where it is skewed."""
+        return F.broadcast(self.table) if self.few else self.table
 
     def dealt(self, many: DataFrame, row: str) -> DataFrame:
         """`many` with `_salt`: rows of a hot key are dealt to its parts by a hash of `row`, others have 0."""
         if self.table is None:
             return many.withColumn("_salt", F.lit(0))
         salt = F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(row), F.col("_hot"))).cast("int")
-        return many.join(F.broadcast(self.table), self.key, "left").withColumn("_salt", salt).drop("_hot")
+        return many.join(self.known, self.key, "left").withColumn("_salt", salt).drop("_hot")
 
     def repeated(self, few: DataFrame) -> DataFrame:
         """`few` with `_salt`: rows of a hot key once for every salt."""
         if self.table is None:
             return few.withColumn("_salt", F.lit(0))
-        return few.join(F.broadcast(self.table), self.key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_hot"), F.lit(1)) - 1))).drop("_hot")
+        return few.join(self.known, self.key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_hot"), F.lit(1)) - 1))).drop("_hot")
 
 
 def hot_keys(counts: DataFrame, key: str, n: str = "n") -> Hot:
-    """The keys of counts(key, n) with over 1/HOT of all rows. Only they, and two numbers, come to the driver."""
+    """The keys of counts(key, n) with more rows than a task should get. Two numbers come to the driver, and FEW keys at most."""
     total, most = counts.agg(F.sum(n), F.max(n)).first()
-    least = max((total or 0) / HOT, LEAST_HOT)
+    part = min(max(PART, (total or 0) // PARTS), LARGEST)
+    least = LEAST_HOT * part // PART
     if (most or 0) <= least:
         return Hot(key, None)
-    rows = counts.where(F.col(n) > least).select(key, F.least(F.lit(SALTS), F.greatest(F.lit(2), F.ceil(F.col(n) / PART))).cast("int").alias("_hot"))
-    return Hot(key, counts.sparkSession.createDataFrame(rows.collect(), rows.schema))
+    rows = counts.where(F.col(n) > least).select(key, F.greatest(F.lit(2), F.ceil(F.col(n) / part)).cast("int").alias("_hot"))
+    found = rows.limit(FEW + 1).collect()
+    if len(found) <= FEW:
+        return Hot(key, counts.sparkSession.createDataFrame(found, rows.schema))
+    return Hot(key, park(rows, "hot-keys"), few=False)
 
 
 def salted_join(many: DataFrame, few: DataFrame, key: str, row: str, how: str = "inner", counted: str | None = None) -> DataFrame:
