@@ -15,15 +15,15 @@ earlier start) goes; windows are judged on the input.
    among those seen before. The comparison is of the words themselves, hash collisions change nothing.
 4. Remove. The covered ranges go back to their documents.
 
-Skew. Phrases with more than 1/HOT of all confirmed places (so fewer than HOT phrases, see joins.py) are hot: their places are
-confirmed by a broadcast of those few phrases, and their windows travel one by one, dealt by a hash of the
+Skew. Phrases with more places than a task should get are hot (see joins.py): their places are confirmed by a join with those
+phrases alone, which are broadcast where they are few, and their windows travel one by one, dealt by a hash of the
 whole window instead of the phrase. Equal windows of a task are merged before they travel, so a passage in a
 third of all documents sends one row per task. Memory is bounded by the block, the merge table (emptied at
 MERGE_LIMIT rows or MERGE_BYTES) and the snippets of one phrase that is not hot.
 
 Defined cases: null text has no words; the digest of no words is that of the empty string; rows with the
 same doc_id are one document (of two equal starts none is earlier); a null doc_id sorts last, and all such
-rows count as one document; repeated rows give repeated result rows. Any 64-bit doc_id will do.
+rows count as one document; repeated rows give repeated result rows. The doc_id 2**63 - 1 is taken for none.
 """
 
 from __future__ import annotations
@@ -303,15 +303,14 @@ def covered_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = keyed(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "text", F.xxhash64("text").alias("th")).select(at(), "key", "text", "th")
     found = park(map_batches(rows.select("at", "text"), _anchor_rows(), "at long, hs array<long>, ps array<int>"), "substring-anchors")
     confirmed = park(found.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "substring-confirmed")
-    # hot phrases are fewer than joins.HOT, whatever the size of the corpus
-    hot = joins.hot_keys(confirmed, "h").table
+    hot = joins.hot_keys(confirmed, "h")
     each = found.select("at", F.inline(F.arrays_zip(F.col("hs").alias("h"), F.col("ps").alias("p"))))
-    if hot is None:
+    if hot.table is None:
         rare, common = each, each.where(F.lit(False)).select("at", "p")
     else:
-        marked = each.join(F.broadcast(hot), "h", "left")
+        marked = each.join(hot.known, "h", "left")
         rare, common = marked.where("_hot is null"), marked.where("_hot is not null").select("at", (-1 - F.col("p")).alias("p"))
-        confirmed = confirmed.join(F.broadcast(hot), "h", "left_anti")
+        confirmed = confirmed.join(hot.known, "h", "left_anti")
     rare = rare.join(confirmed.select("h"), "h").select("at", "p")
     wanted = rare.unionByName(common).groupBy("at").agg(F.collect_set("p").alias("found"))
     located = rows.join(wanted, "at").select("key", "th", "text", "found").mapInArrow(_located, _SNIPPET)
