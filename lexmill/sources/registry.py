@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from importlib import metadata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,6 +55,18 @@ writers.add(conllu.json_documents, "json")
 detectors.add(lambda docs, known: language.detected(language.scores(docs, known)), "trigram")
 
 
+#: The group of entry points under which installed packages offer annotators: functions of a token table.
+GROUP = "lexmill.annotators"
+
+
+def discover(group: str = GROUP) -> list[str]:
+    """Adds the annotators that installed packages offer and that are not known yet; their names. A package is only loaded for an annotator that is new."""
+    new = [point for point in metadata.entry_points(group=group) if point.name.lower() not in annotators.entries]
+    for point in new:
+        annotators.add(point.load(), point.name)
+    return sorted(point.name for point in new)
+
+
 def annotate(rows: DataFrame, annotator: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType | str) -> DataFrame:
     """Run an external annotator over Arrow batches of sentences: a model is loaded once per worker by the annotator."""
 
