@@ -114,6 +114,59 @@ def metrics(aligned: DataFrame, fields: tuple[str, ...] = ("upos", "xpos", "feat
     return rows.select("metric", "correct", "total", F.try_divide("correct", "total").alias("accuracy"))
 
 
+#: What the parts of a token are scored on.
+PART_FIELDS = ("upos", "xpos", "feats", "lemma", "reg", "expan")
+
+
+def _value(part: Column, field: str) -> Column:
+    """A part's value, empty where it is null or _."""
+    return F.coalesce(F.nullif(part[field], F.lit("_")), F.lit(""))
+
+
+def _feats(value: Column) -> Column:
+    """Features, key=value without blanks around either; of a repeated key the last counts."""
+    pairs = F.transform(F.split(value, r"\|"), lambda x: F.concat(F.trim(F.substring_index(x, "=", 1)), F.lit("="), F.trim(F.regexp_extract(x, "=(.*)$", 1))))
+    good = F.filter(F.arrays_zip(F.split(value, r"\|").alias("raw"), pairs.alias("pair")), lambda z: z["raw"].contains("=") & ~z["pair"].startswith("="))
+    start = F.array().cast("array<string>")
+    return F.aggregate(good, start, lambda kept, z: F.concat(F.filter(kept, lambda y: F.substring_index(y, "=", 1) != F.substring_index(z["pair"], "=", 1)), F.array(z["pair"])))
+
+
+def feats_match(gold: Column, pred: Column) -> Column:
+    """Whether the predicted features are a part of the gold ones: none if gold has none, else one at least."""
+    g, p = _feats(gold), _feats(pred)
+    within = F.forall(p, lambda x: F.array_contains(g, x))
+    return F.when(F.size(g) == 0, F.size(p) == 0).otherwise((F.size(p) > 0) & within)
+
+
+def part_metrics(aligned: DataFrame) -> DataFrame:
+    """metric, correct, total, accuracy over gold tokens and, of multiword ones, their parts.
+
+    aligned: gold columns form and PART_FIELDS, `parts` (array of structs of PART_FIELDS, empty or null without), the same with
+    `pred_`, and `aligned`. A field counts where gold has a value, FEATS always, FEATS in part where one side has any, UPOS
+    with FEATS where gold has either. All fields of a token without a partner are wrong, and those of one with another number of parts.
+    """
+    missing = lambda side: [c for c in PART_FIELDS if f"{side}{c}" not in aligned.columns]
+    rows = aligned.withColumns({f"{side}{c}": F.lit("_") for side in ("", "pred_") for c in missing(side)})
+    kind = f"array<struct<{','.join(f'{c}:string' for c in PART_FIELDS)}>>"
+    for side in ("", "pred_"):
+        name = f"{side}parts"
+        own = F.array(F.struct(*(F.col(f"{side}{c}").cast("string").alias(c) for c in PART_FIELDS)))
+        given = F.transform(F.col(name), lambda x: F.struct(*(x[c].cast("string").alias(c) for c in PART_FIELDS))) if name in aligned.columns else F.array().cast(kind)
+        rows = rows.withColumn(f"_{name}", F.when(F.size(F.coalesce(given, F.array().cast(kind))) > 0, given).otherwise(own))
+    met = F.coalesce(F.col("aligned"), F.lit(False))
+    same = met & (F.size("_parts") == F.size("_pred_parts"))
+    forms = rows.agg(F.lit("tokenization").alias("metric"), F.count(F.when(met & (F.col("pred_form") == F.col("form")), 1)).alias("correct"), F.count(F.when(met, 1)).alias("total"))
+    each = rows.select(met.alias("met"), same.alias("same"), "_pred_parts", F.posexplode("_parts").alias("k", "g")).withColumn("p", F.when(F.col("same"), F.get("_pred_parts", F.col("k"))))
+    g, p, ok = (lambda c: _value(F.col("g"), c)), (lambda c: _value(F.col("p"), c)), F.col("same")
+    checks = {c: (g(c) != "", ok & (g(c) == p(c))) for c in PART_FIELDS if c != "feats"}
+    checks["feats"] = (F.lit(True), ok & (g("feats") == p("feats")))
+    checks["feats_partial"] = ((ok & ((g("feats") != "") | (p("feats") != ""))) | (~F.col("met") & (g("feats") != "")), ok & feats_match(g("feats"), p("feats")))
+    checks["upos_feats"] = ((g("upos") != "") | (g("feats") != ""), ok & (g("upos") == p("upos")) & (g("feats") == p("feats")))
+    one = each.agg(*(x for name, (counts, right) in checks.items() for x in (F.count(F.when(counts, 1)).alias(f"{name}_n"), F.count(F.when(counts & right, 1)).alias(f"{name}_c"))))
+    parts = one.select(F.inline(F.array(*(F.struct(F.lit(name).alias("metric"), F.col(f"{name}_c").alias("correct"), F.col(f"{name}_n").alias("total")) for name in checks))))
+    return forms.unionByName(parts).withColumn("accuracy", F.try_divide("correct", "total"))
+
+
 def coverage(aligned: DataFrame) -> DataFrame:
     return aligned.agg(F.sum(F.col("aligned").cast("long")).alias("aligned"), F.count("*").alias("total"))
 

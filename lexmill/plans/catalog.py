@@ -383,9 +383,9 @@ def _parked_vocab(spark, d) -> DataFrame:
     return park(training.vocabulary(gold(spark, d)), "vocabulary")
 
 
-def _lattice(spark, d, given: str):
+def _lattice(spark, d, given):
     vocab = _parked_vocab(spark, d)
-    forms = _forms(vocab).withColumn("given", F.expr(given))
+    forms = _forms(vocab).withColumn("given", F.expr(given) if isinstance(given, str) else given)
     found = tagging.lattice(forms, vocab, training.endings(vocab), training.tag_types(vocab))
     # tenths of counts and of counts over 125 are whole numbers in units of 1/1,250: nothing is left to round
     whole = lambda c: F.round(F.col(c) * 1_250).cast("long").alias(c)
@@ -418,6 +418,22 @@ def lattice_constrained(spark, d):
     return _lattice(spark, d, _GIVEN)
 
 
+_KEYED = "case length(form) % 4 when 0 then 'VERB' when 2 then '_' || chr(9) || '_' || chr(9) || 'NO-s' || chr(9) || '_' when 3 then '_' || chr(9) || '_' || chr(9) || '_' || chr(9) || 'Number=Plur' else '_' end"
+_TAG_OF = "split_part(given, chr(9), 1)"
+_BOUND = "(length(form) % 4 <> 2 or v.xpos = 'NO-s') and (length(form) % 4 <> 3 or list_contains(string_split(v.feats, '|'), 'Number=Plur'))"
+_BY_ATTRIBUTES = _CASCADE.replace("$given", _KEYED).replace("where given = '_' or given = v.upos)", f"where ({_TAG_OF} = '_' or {_TAG_OF} = v.upos) and {_BOUND})").replace("and (given = '_' or given = v.upos))", f"and ({_TAG_OF} = '_' or {_TAG_OF} = v.upos) and {_BOUND.replace('length(form)', 'length(r1.form)')})")
+_BY_ATTRIBUTES = _BY_ATTRIBUTES.replace("where given = '_' or given = tag)", f"where {_TAG_OF} = '_' or {_TAG_OF} = tag)").replace("select form, given, given, null, null, null, null, 1.0, 'existing' from r3 where given <> '_'", f"select form, given, {_TAG_OF}, null, null, null, null, 1.0, 'existing' from r3 where {_TAG_OF} <> '_'").replace("from r3 where given = '_')", f"from r3 where {_TAG_OF} = '_')")
+
+
+@query(sql("v", _BY_ATTRIBUTES))
+def lattice_attributes(spark, d):
+    """Candidates bound by a given tag, xpos or features."""
+    none = F.lit("_")
+    when = lambda k, x: F.when(F.length("form") % 4 == k, x).otherwise("_")
+    key = tagging.given_key(when(0, "VERB"), none, when(2, "NO-s"), when(3, "Number=Plur"))
+    return _lattice(spark, d, key)
+
+
 @query(sql("v", f"""
     , en as (select substr(form, length(form) - n + 1) as ending, tag, count(*) as cnt from (select distinct form, lemma, upos as tag from v where lower(form) = form and (lemma = form or lemma || 's' = form)), range(1, 7) r(n) where n <= length(form) group by 1, 2)
     select ending, tag, cnt from en"""))
@@ -525,6 +541,38 @@ def eval_metrics(spark, d):
     return evaluation.metrics(_aligned(spark, d)).withColumn("accuracy", F.round("accuracy", 6))
 
 
+#: Gold and predicted tokens with regularised forms and expansions, some without a partner, some in two parts.
+_PARTS = """, x as (select form, p_form, length(form) % 7 <> 3 as met, length(form) % 10 = 0 as two, length(form) % 20 = 0 as p_two,
+        {'upos': upos, 'xpos': xpos, 'feats': case when length(form) % 9 = 2 then '_' else feats end, 'lemma': lemma, 'reg': case when length(form) % 4 = 0 then lower(form) else '_' end, 'expan': case when length(form) % 6 = 0 then form || '.' else '' end} as g,
+        {'upos': p_upos, 'xpos': p_xpos, 'feats': case when length(form) % 5 = 2 then split_part(p_feats, '|', 1) when length(form) % 5 = 1 then '' else p_feats end, 'lemma': p_lemma, 'reg': case when length(form) % 8 = 0 then lower(form) else '_' end, 'expan': case when length(form) % 12 = 0 then form || '.' else '_' end} as p from pr),
+    y as (select *, case when two then [{'upos': 'ADP', 'xpos': '_', 'feats': '', 'lemma': 'a', 'reg': '_', 'expan': '_'}, g] else [g] end as gs, case when p_two then [{'upos': 'DET', 'xpos': 'x', 'feats': '_', 'lemma': 'a', 'reg': '_', 'expan': '_'}, p] else [p] end as ps from x),
+    w as (select met, met and len(gs) = len(ps) as same, unnest(range(1, len(gs) + 1)) as k, gs, ps from y),
+    z as (select met, same, lambda_value(gs[k]) as g, case when same then lambda_value(ps[k]) end as p from w)"""
+_FIELDS = ("upos", "xpos", "feats", "lemma", "reg", "expan")
+_CLEAN = lambda x: "{" + ", ".join(f"'{c}': case when {x}.{c} = '_' then '' else coalesce({x}.{c}, '') end" for c in _FIELDS) + "}"
+_PARTS = _PARTS.replace("lambda_value(gs[k])", _CLEAN("gs[k]")).replace("lambda_value(ps[k])", _CLEAN("ps[k]"))
+_WITHIN = "(case when g.feats = '' then p.feats = '' else p.feats <> '' and list_has_all(string_split(g.feats, '|'), string_split(p.feats, '|')) end)"
+_COUNTED = [(c, f"g.{c} <> ''", f"same and g.{c} = p.{c}") for c in _FIELDS if c != "feats"] + [
+    ("feats", "true", "same and g.feats = p.feats"), ("feats_partial", "(same and (g.feats <> '' or p.feats <> '')) or (not met and g.feats <> '')", f"same and {_WITHIN}"),
+    ("upos_feats", "g.upos <> '' or g.feats <> ''", "same and g.upos = p.upos and g.feats = p.feats")]
+
+
+@query(sql("pr", _PARTS + " select 'tokenization' as metric, count(*) filter (met and form = p_form) as correct, count(*) filter (met) as total from x" + "".join(f" union all select '{name}', count(*) filter (({counts}) and ({right})), count(*) filter ({counts}) from z" for name, counts, right in _COUNTED)))
+def part_metrics(spark, d):
+    g = gold(spark, d)
+    rows = evaluation.same_place(g, predicted(g), ("form", "upos", "xpos", "feats", "lemma"))
+    by = lambda n, k, value, other: F.when(F.length("form") % n == k, value).otherwise(other)
+    low, dot = F.lower("form"), F.concat("form", F.lit("."))
+    rows = rows.withColumn("feats", by(9, 2, F.lit("_"), F.col("feats"))).withColumn("reg", by(4, 0, low, F.lit("_"))).withColumn("expan", by(6, 0, dot, F.lit("")))
+    rows = rows.withColumn("pred_feats", by(5, 2, F.substring_index("pred_feats", "|", 1), by(5, 1, F.lit(""), F.col("pred_feats")))).withColumn("pred_reg", by(8, 0, low, F.lit("_"))).withColumn("pred_expan", by(12, 0, dot, F.lit("_")))
+    rows = rows.withColumn("aligned", F.length("form") % 7 != 3)
+    own = lambda side: F.struct(*(F.col(f"{side}{c}").alias(c) for c in _FIELDS))
+    first = lambda *values: F.struct(*(F.lit(v).alias(c) for v, c in zip(values, _FIELDS, strict=True)))
+    none = F.lit(None)
+    rows = rows.withColumn("parts", by(10, 0, F.array(first("ADP", "_", "", "a", "_", "_"), own("")), none)).withColumn("pred_parts", by(20, 0, F.array(first("DET", "x", "_", "a", "_", "_"), own("pred_")), none))
+    return evaluation.part_metrics(rows).drop("accuracy")
+
+
 @query(sql("pr", "select metric, correct, total, round(correct / total, 6) as accuracy from (select unnest([{'metric': 'UAS', 'correct': u, 'total': n}, {'metric': 'LAS', 'correct': l, 'total': n}], recursive := true) from (select count(*) as n, count(*) filter (p_head = head) as u, count(*) filter (p_head = head and p_deprel = deprel) as l from pr))"))
 def uas_las(spark, d):
     return evaluation.attachment(_aligned(spark, d)).withColumn("accuracy", F.round("accuracy", 6))
