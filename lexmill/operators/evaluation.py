@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as t
 from lexmill.operators.tokens import PLACE
+from lexmill.sources.shared import park
 
 
 def same_place(gold: DataFrame, pred: DataFrame, columns: tuple[str, ...], keys: tuple[str, ...] = PLACE) -> DataFrame:
@@ -255,6 +256,27 @@ def depths(tokens: DataFrame, most: int = 10_000) -> DataFrame:
         joined = now.join(above, [*keys, "up"], "left")
         gone = F.col("up").isNotNull() & F.col("there").isNull()
         now = joined.select(*keys, "tok_no", F.when(~gone, F.col("up2")).alias("up"), F.when(gone, None).otherwise(F.col("way") + F.coalesce("way2", F.when(F.col("up").isNull(), 0))).alias("way"))
-        now = now.checkpoint() if tokens.sparkSession.sparkContext.getCheckpointDir() else now
+        now = park(now, "depths")
         reach *= 2
     return now.select(*keys, "tok_no", F.when(F.col("up").isNull(), F.col("way")).alias("depth"))
+
+
+def covering_spans(tokens: DataFrame, most: int = 10_000) -> DataFrame:
+    """tokens(SENTENCE, tok_no, head 1-based, 0 root) -> SENTENCE, tok_no, first, last, size: the first, the last and the number of the tokens under each, itself included.
+
+    A token whose span has more places than tokens (last - first + 1 > size) has others' tokens among its own: an arc into it crosses
+    another. By pointer jumping: a turn hands what is known of all tokens less than 2^k below to the one 2^k above, so ~log2(depth)
+    turns do, each a table written once. A head outside the sentence is as none; a token in or under a cycle has nulls.
+    """
+    keys = ["doc_id", "line_no", "sent_no"]
+    now = tokens.select(*keys, "tok_no", F.when(F.col("head") > 0, F.col("head") - 1).alias("up"), F.col("tok_no").alias("first"), F.col("tok_no").alias("last"), F.lit(1).cast("long").alias("size"))
+    there = now.select(*keys, F.col("tok_no").alias("up"), F.lit(True).alias("there"))
+    now = park(now.join(there, [*keys, "up"], "left").select(*keys, "tok_no", F.when(F.col("there"), F.col("up")).alias("up"), "first", "last", "size"), "spans")
+    reach = 1
+    while reach < most and not now.where("up is not null").isEmpty():
+        below = now.where("up is not null").groupBy(*keys, F.col("up").alias("tok_no")).agg(F.min("first").alias("f"), F.max("last").alias("l"), F.sum("size").alias("s"))
+        above = now.select(*keys, F.col("tok_no").alias("up"), F.col("up").alias("up2"))
+        met = now.join(below, [*keys, "tok_no"], "left").join(above, [*keys, "up"], "left")
+        now = park(met.select(*keys, "tok_no", F.col("up2").alias("up"), F.least("first", "f").alias("first"), F.greatest("last", "l").alias("last"), (F.col("size") + F.coalesce("s", F.lit(0))).alias("size")), "spans")
+        reach *= 2
+    return now.select(*keys, "tok_no", *(F.when(F.col("up").isNull(), F.col(c)).alias(c) for c in ("first", "last", "size")))

@@ -675,6 +675,12 @@ def confidence_merge(spark, d):
     return evaluation.merged_by_confidence(g, predicted(g), ("upos",), PLACE).groupBy("upos", "from_fallback").agg(F.count("*").alias("n"))
 
 
+@query(sql("g", """, up(doc_id, line_no, sent_no, tok_no, above, head) as (select doc_id, line_no, sent_no, tok_no, tok_no, head from g union all select u.doc_id, u.line_no, u.sent_no, u.tok_no, g.tok_no, g.head from up u join g on g.doc_id = u.doc_id and g.line_no = u.line_no and g.sent_no = u.sent_no and g.tok_no = u.head - 1)
+    select doc_id, line_no, sent_no, above as tok_no, min(tok_no) as first, max(tok_no) as last, count(*) as size from up group by 1, 2, 3, 4""").replace("with l as", "with recursive l as", 1))
+def covering_spans(spark, d):
+    return evaluation.covering_spans(gold(spark, d)).select("doc_id", *_long("line_no", "sent_no", "tok_no", "first", "last", "size"))
+
+
 @query(sql("g", "select depth, count(*) as n from (select length(bin(tok_no + 1)) - 1 as depth from g) group by 1"))
 def tree_depth(spark, d):
     return evaluation.depths(gold(spark, d)).groupBy("depth").agg(F.count("*").alias("n"))

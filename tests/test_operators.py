@@ -185,6 +185,28 @@ def test_depths(spark):
     assert {r.tok_no: r.depth for r in evaluation.depths(rows).collect()} == {0: 1, 1: 0, 2: 1, 3: None, 4: None, 5: 2}
 
 
+def test_covering_spans(spark):
+    rnd = random.Random(5)
+    sentences = [[rnd.randrange(0, n + 1) for _ in range(n)] for n in range(1, 30)] + [[2, 1, 2], [9, 1], [0, 1, 2, 3, 4, 5, 6, 7]]
+    rows = [(1, 0, s, k, h) for s, heads in enumerate(sentences) for k, h in enumerate(heads)]
+    got = {(r.sent_no, r.tok_no): (r.first, r.last, r["size"]) for r in evaluation.covering_spans(spark.createDataFrame(rows, "doc_id long, line_no int, sent_no int, tok_no int, head int"), most=64).collect()}
+    want = {}
+    for s, heads in enumerate(sentences):
+        under = {k: set() for k in range(len(heads))}
+        lost = set()
+        for k in range(len(heads)):
+            at, path = k, []
+            while at is not None and at not in path:
+                path.append(at)
+                at = heads[at] - 1 if 0 < heads[at] <= len(heads) else None
+            for x in path:
+                under[x].add(k)
+            lost |= set() if at is None else {k}
+        for k, own in under.items():
+            want[s, k] = (None,) * 3 if k in lost else (min(own), max(own), len(own))
+    assert got == want
+
+
 def test_entities_in_sentences(spark):
     bounds = spark.createDataFrame([(1, 0, 0, 0, 100), (1, 0, 1, 100, 103)], "doc_id long, line_no int, sent_no int, tok_start long, tok_end long")
     spans = spark.createDataFrame([(1, 98, 100, "X"), (1, 99, 101, "Y"), (1, 100, 103, "Z")], "doc_id long, start long, end long, label string")
