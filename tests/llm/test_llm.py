@@ -234,10 +234,42 @@ def test_chat(spark):
         assert re.sub(r"(?s)\\(.)", r"\1", masked) == "".join(m.text for m in got[r.conv_id].messages if m.role == "assistant")
 
 
+def test_chat_log_of_a_conversation(spark):
+    rows = [(1, k, ["system", "user", "assistant"][k % 3], "x" * (k * 97 % 2500)) for k in range(150)] + [(2, 0, "user", "hello"), (2, 0, "user", "hello"), (None, None, None, None)]
+    log = chat.events_of(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    of = [r for r in sorted((r for r in log if r.conv_id == 1), key=lambda r: r.seq)]
+    assert len({r.seq for r in of}) == len(of) and {r.kind for r in of} == {"open", "delta", "edit", "regenerate"}
+    assert [r.message for r in of if r.kind == "open"] == list(range(150)) and of[-1].seq > chat.STRETCH
+    # streams of neighbours are woven: the message changes more often than messages begin
+    assert sum(x.message != y.message for x, y in zip(of, of[1:])) > 3 * 150
+    assert sorted(r.message for r in log if r.conv_id == 2 and r.kind == "open") == [0, 1]
+
+
+def plain_fold(log):
+    """Events in the order of their conversation's sequence, one after the other."""
+    messages = {}
+    for conv, seq, kind, message, role, text in sorted(log, key=lambda e: (e[0], e[1], e[2], e[4] is not None, e[4] or "", e[5] or "")):
+        m = messages.setdefault((conv, message), [seq, "", ""])
+        m[1] = m[1] if role is None else role
+        m[2] = {"delta": m[2] + (text or ""), "edit": text or "", "regenerate": ""}.get(kind, m[2])
+    return sorted((c, m, *rest) for (c, m), rest in messages.items())
+
+
 def test_chat_events(spark):
-    log = [(1, 0, 1, 0, "open", "user", None), (1, 0, 1, 2, "delta", None, "b"), (1, 0, 1, 1, "delta", None, "a"), (1, 1, 1, 0, "open", "assistant", None), (1, 1, 1, 1, "delta", None, "bad"), (1, 1, 1, 2, "regenerate", None, None), (1, 1, 1, 3, "delta", None, "go"), (1, 1, 1, 4, "delta", None, "od"), (1, 2, 1, 0, "open", "user", None), (1, 2, 1, 1, "delta", None, "x"), (1, 2, 1, 2, "edit", None, "y"), (1, 2, 1, 3, "ping", None, "z")]
-    df = spark.createDataFrame(log, "conv_id long, turn long, part int, seq long, kind string, role string, text string")
-    assert sorted((r.turn, r.role, r.text) for r in chat.fold_events(df).collect()) == [(0, "user", "ab"), (1, "assistant", "good"), (2, "user", "y")]
+    log = [(1, 0, "open", 0, "user", None), (1, 4, "delta", 0, None, "b"), (1, 2, "delta", 0, None, "a"), (1, 1, "open", 1, "assistant", None), (1, 3, "delta", 1, None, "bad"), (1, 5, "regenerate", 1, None, None), (1, 6, "delta", 1, None, "go"), (1, 9, "delta", 1, None, "od"), (1, 7, "open", 2, "user", None), (1, 8, "delta", 2, None, "x"), (1, 10, "edit", 2, None, "y"), (1, 11, "ping", 2, None, "z")]
+    rnd = random.Random(5)
+    for conv in (2, 3):
+        log += [(conv, rnd.randrange(6000), rnd.choice(["delta"] * 12 + ["edit", "regenerate", "open", "ping"]), rnd.randrange(9), rnd.choice([None] * 9 + ["user", "assistant"]), rnd.choice([None, "a", "b\n", "é"])) for _ in range(2000)]
+    log = list(dict.fromkeys(log))
+    rnd.shuffle(log)
+    schema = "conv_id long, seq long, kind string, message long, role string, text string"
+    clash = {c: F.lit(1) for c in ("stretch", "log", "part", "at")}
+    df = spark.createDataFrame(log, schema)
+    got = sorted((r.conv_id, r.message, r.at, r.role, r.text) for r in chat.fold_events(df.withColumns(clash)).collect())
+    assert got == plain_fold(log) and [r[3:] for r in got[:3]] == [("user", "ab"), ("assistant", "good"), ("user", "y")]
+    assert chat.fold_events(df.limit(0)).isEmpty() and chat.render(chat.fold_events(df.limit(0))).isEmpty()
+    odd = spark.createDataFrame([(None, None, "delta", None, None, "b"), (None, 1, None, None, "user", None)], schema)
+    assert [tuple(r) for r in chat.fold_events(odd).collect()] == [(None, None, 1, "user", "b")]
 
 
 def test_decontamination(spark):
