@@ -12,6 +12,7 @@ from lexmill.operators.joins import salted_join
 from lexmill.plans.catalog import _CASE, _MWTS, _RESULTS, _long, _model, _parked_vocab, _results, query
 from lexmill.plans.fixtures import docs, gold, predicted, split_words, sql
 from lexmill.sources import conllu
+from lexmill.streaming import sessions
 
 PLACE = tk.PLACE
 
@@ -152,6 +153,18 @@ def session_list(spark, d):
     return found.select("session_id", "status", F.row_number().over(Window.orderBy(F.desc("started"), "session_id")).cast("long").alias("place"))
 
 
+@query("""with e as (select user_id::varchar as session_id, ts as seen_at, case event_type when 'purchase' then 'completed' when 'error' then 'failed' else 'running' end as status from events where user_id is not null and ts is not null),
+    f as (select *, status <> 'running' as ends from e), g as (select *, coalesce(seen_at - lag(seen_at) over w > interval 6 hour or lag(ends) over w, true) as fresh from f window w as (partition by session_id order by seen_at, ends, status)),
+    r as (select *, sum(fresh::int) over (partition by session_id order by seen_at, ends, status rows unbounded preceding) as run from g),
+    s as (select session_id, min(seen_at) as started, max(seen_at) as seen, count(*) as events, coalesce(max(status) filter (ends), 'running') as status from r group by session_id, run)
+    select session_id, epoch_us(started) as started_us, epoch_us(seen) as seen_us, events, case status when 'running' then 'completed' else status end as status from s where status <> 'running' or seen < (select max(seen_at) from e) - interval 6 hour""")
+def ended_sessions(spark, d):
+    events = spark.read.parquet(f"{d}/events.parquet")
+    status = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed")
+    over = sessions.ended(events.select(F.col("user_id").alias("session_id"), F.col("ts").alias("at"), status.alias("status")), 6 * 3600)
+    return over.select("session_id", F.unix_micros("started").alias("started_us"), F.unix_micros("seen").alias("seen_us"), "events", "status")
+
+
 @query("select distinct source, regexp_replace(source, '[0-9]+', '') || lpad(regexp_extract(source, '[0-9]+'), 20, '0') as k from documents")
 def natural_sort_keys(spark, d):
     return docs(spark, d).select("source").distinct().withColumn("k", reports.natural_key(F.col("source")))
