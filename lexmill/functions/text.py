@@ -129,8 +129,14 @@ def form_unescaped(column: Column) -> Column:
 
 
 def misc_name(raw: Column) -> Column:
-    """A MISC field name without index suffixes and brackets: Gloss[en], Ref_1 and Ref-2 are Gloss and Ref."""
-    return F.regexp_replace(F.regexp_replace(F.trim(raw), r"\[[^\]]*\]$", ""), r"[_\-:]?[0-9]+$", "")
+    """A field name without leading #, what follows a bracket, and a numbered suffix; other signs become one underscore. Null where nothing is left, or letters beyond ASCII.
+
+    Gloss[en], Gloss(2), Ref_1 and a.b are Gloss, Gloss, Ref and a_b.
+    """
+    bare = F.regexp_replace(F.regexp_replace(raw, r"^[\s#]+", ""), r"(?s)\s*(?:[\[(].*)?$", "")
+    unnumbered = F.regexp_replace(bare, r"[-_.][0-9]+$", "")
+    name = F.regexp_replace(F.regexp_replace(unnumbered, "[^A-Za-z0-9]+", "_"), "^_|_$", "")
+    return F.when(unnumbered.rlike(r"^\p{ASCII}*$"), F.nullif(name, F.lit("")))
 
 
 def length_bucket(n: Column) -> Column:

@@ -138,6 +138,24 @@ def detagged(tokens: DataFrame, columns: tuple[str, ...] = ("lemma", "upos", "xp
     return tokens.select(*(F.lit("_").alias(c) if c in columns else F.col(c) for c in tokens.columns))
 
 
+def merged_detagged(tokens: DataFrame, mwts: DataFrame) -> DataFrame:
+    """tokens(SENTENCE, tok_no, form, ...) without annotation, the parts of each of mwts(SENTENCE, mwt_start, mwt_end, form) as one token.
+
+    It stands at the place of its first part and has that one's columns, but the multiword token's form (without one, or with _, the
+    forms of its parts joined) and the space_after of its last part. Multiword tokens don't overlap; those without tokens give none.
+    """
+    form = F.nullif(F.nullif("form", F.lit("")), F.lit("_")).alias("mwt_form")
+    parts = mwts.select(*SENTENCE, "mwt_start", form, F.explode(F.sequence("mwt_start", "mwt_end")).alias("tok_no"))
+    rows = detagged(tokens).join(parts, [*SENTENCE, "tok_no"], "left")
+    own = [c for c in tokens.columns if c not in (*SENTENCE, "tok_no", "form", "space_after")]
+    first = lambda c: F.min_by(c, "tok_no").alias(c)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_no", F.coalesce("form", F.lit("")).alias("form")))), lambda x: x.form), "")
+    last = [F.max_by("space_after", "tok_no").alias("space_after")] if "space_after" in tokens.columns else []
+    grouped = rows.groupBy(*SENTENCE, F.coalesce("mwt_start", "tok_no").alias("place"))
+    out = grouped.agg(F.min("tok_no").alias("tok_no"), F.coalesce(F.max("mwt_form"), joined).alias("form"), *last, *map(first, own))
+    return out.select(*tokens.columns)
+
+
 #: Columns that a task fills.
 TASK_COLUMNS = {"tag": ("upos", "xpos", "feats"), "lemmatize": ("lemma",), "parse": ("head", "deprel"), "normalize": ("reg",), "ner": ("entity",)}
 

@@ -162,6 +162,31 @@ def ud_inventory(tokens: DataFrame) -> DataFrame:
     return upos.unionByName(feats).groupBy("field", "name", "value").agg(F.count("*").alias("cnt"))
 
 
+#: Comments that belong to a sentence; fixed values. Others may belong to the document as well.
+SENTENCE_FIELDS = ("sent_id", "text", "lang", "date", "speaker", "participant", "annotator", "translation", "align", "translation_lang", "corr")
+
+
+def field_inventory(lines: DataFrame, line: str = "line") -> DataFrame:
+    """field (MISC, DOC or SENT), name, cnt over lines of CoNLL-U: fields of MISC, attributes of newdoc, names of comments.
+
+    A comment NAME = VALUE is of the sentence, and of the document too unless its name is one of SENTENCE_FIELDS.
+    """
+    text = F.regexp_replace(line, r"^\s+|\s+$", "")
+    named = lambda kind, raw: F.struct(F.lit(kind).alias("field"), raw.alias("raw"))
+    before = lambda pairs: F.transform(F.filter(pairs, lambda x: x.contains("=")), lambda x: F.trim(F.substring_index(x, "=", 1)))
+    columns = F.split("text", "\t")
+    misc = F.transform(before(F.split(F.get(columns, F.lit(9)), r"\|")), lambda x: named("MISC", x))
+    attributes = F.transform(before(F.split("text", r"\s+")), lambda x: named("DOC", x))
+    comment = F.regexp_extract("text", r"^#\s*([^=]+?)\s*=\s*.", 1)
+    comments = F.array(named("SENT", comment), named("COMMENT", comment))
+    found = F.when(F.col("text").startswith("# newdoc"), attributes).when(F.col("text").startswith("# newpar"), None).when(F.col("text").startswith("#"), comments).when(F.size(columns) >= 10, misc)
+    rows = lines.select(text.alias("text")).select(F.inline(found))
+    clean = t.misc_name(F.col("raw"))
+    rows = rows.withColumn("name", F.when(F.col("field") == "MISC", clean).otherwise(F.coalesce(clean, "raw"))).where("name <> ''")
+    rows = rows.where((F.col("field") != "COMMENT") | ~F.col("name").isin(*SENTENCE_FIELDS))
+    return rows.groupBy(F.when(F.col("field") == "COMMENT", "DOC").otherwise(F.col("field")).alias("field"), "name").agg(F.count("*").alias("cnt"))
+
+
 #: The universal part-of-speech tags; fixed values.
 UPOS = ("ADJ", "ADP", "ADV", "AUX", "CCONJ", "DET", "INTJ", "NOUN", "NUM", "PART", "PRON", "PROPN", "PUNCT", "SCONJ", "SYM", "VERB", "X")
 

@@ -195,6 +195,16 @@ def detag(spark, d):
     return tk.detagged(gold(spark, d)).groupBy("form", "upos", "lemma", "feats").agg(F.count("*").alias("n"))
 
 
+@query(sql("mw", f""", {_MWTS}, c as (select mw.*, im.mwt_start, im.form as mwt_form from mw left join im on im.doc_id = mw.doc_id and im.line_no = mw.line_no and im.sent_no = mw.sent_no and mw.tok_no between mwt_start and mwt_end)
+    select doc_id, min(tok_no)::bigint as tok_no, line_no, sent_no, case when length(max(mwt_form)) % 4 > 0 then max(mwt_form) else string_agg(form, '' order by tok_no) end as form, '_' as upos, arg_max(case when space_after is null then 'end' when space_after then 'yes' else 'no' end, tok_no) as space from c group by doc_id, line_no, sent_no, coalesce(mwt_start, tok_no)"""))
+def detag_merged(spark, d):
+    """Tokens without annotation, multiword tokens merged; every fourth of those has no form of its own."""
+    g = split_words(gold(spark, d))
+    mwts = tk.implicit_mwts(g).withColumn("form", F.when(F.length("form") % 4 > 0, F.col("form")).otherwise("_"))
+    space = F.when(F.col("space_after").isNull(), "end").when(F.col("space_after"), "yes").otherwise("no")
+    return tk.merged_detagged(g, mwts).select("doc_id", *_long("tok_no", "line_no", "sent_no"), "form", "upos", space.alias("space"))
+
+
 @query(sql("g", "select upos, '_' as lemma, '_' as deprel, count(*) as n from g group by 1"))
 def task_filter(spark, d):
     return tk.keep_tasks(gold(spark, d), ("tag",)).groupBy("upos", "lemma", "deprel").agg(F.count("*").alias("n"))
@@ -322,6 +332,15 @@ def ud_inventory(spark, d):
     return training.ud_inventory(gold(spark, d))
 
 
+@query(sql("sp", """select 'MISC' as field, 'SpaceAfter' as name, count(*) as cnt from sp where not space_after having count(*) > 0 union all select 'DOC', 'Genre', count(distinct doc_id) from g
+    union all select unnest(['DOC', 'SENT']), 'topic', count(distinct (doc_id, line_no)) from g union all select 'SENT', unnest(['sent_id', 'text']), count(distinct (doc_id, line_no, sent_no)) from g"""))
+def conllu_fields(spark, d):
+    """The fields of the documents as CoNLL-U, with attributes of documents and numbered names of comments."""
+    text = F.replace(F.replace("conllu", F.lit("# newdoc id = "), F.lit("# newdoc Genre[a]=")), F.lit("# newpar id = "), F.lit("# topic-3 = "))
+    lines = conllu.documents(tk.with_space_after(gold(spark, d))).select(F.explode(F.split(text, "\n")).alias("line"))
+    return training.field_inventory(lines)
+
+
 @query(sql("g", "select distinct case when upos = 'ADV' then 'ADVX' else upos end as upos from g where upos = 'ADV'"))
 def upos_extended(spark, d):
     return training.extended_upos(gold(spark, d).select(F.when(F.col("upos") == "ADV", "ADVX").otherwise(F.col("upos")).alias("upos")))
