@@ -1,4 +1,4 @@
-"""What a user asks for by name: process, train, convert, map tags, evaluate. Each is a short plan over the operators."""
+"""What a user asks for by name: process, train, convert, map tags, evaluate, validate. Each is a short plan over the operators."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.operators import evaluation, model, training
 from lexmill.operators import tokens as tk
-from lexmill.sources import conllu, registry, teitok
+from lexmill.sources import conllu, registry, teitok, validation
 
 #: Columns of a token table and what they are where a format lacks them.
 ANNOTATION = {"lemma": "_", "upos": "_", "xpos": "_", "feats": "_", "head": "0", "deprel": "_"}
@@ -45,6 +45,11 @@ def train(tokens: DataFrame, path: str, **settings) -> None:
     model.save(model.trained(tokens, **settings), path)
 
 
+def validate(spark: SparkSession, path: str, smart: bool = True) -> DataFrame:
+    """doc_id, sent_no, id, problem of the CoNLL-U files under a path; `smart` leaves out what is only not annotated."""
+    return validation.of_path(spark, path, smart)
+
+
 def map_tags(tokens: DataFrame, source: DataFrame, direction: str = "both") -> DataFrame:
     return training.with_mapped_tags(tokens, source, direction)
 

@@ -14,7 +14,7 @@ from lexmill.operators import blocks, evaluation, language, lexicon, model, repo
 from lexmill.operators import tokens as tk
 from lexmill.operators.joins import salted_join
 from lexmill.plans.fixtures import docs, gold, predicted, split_words, sql, tok
-from lexmill.sources import conllu, html, teitok
+from lexmill.sources import conllu, html, teitok, validation
 from lexmill.sources.shared import park
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -341,6 +341,19 @@ def conllu_fields(spark, d):
     return training.field_inventory(lines)
 
 
+@query(sql("g", """select doc_id, line_no, sent_no, (tok_no + 1)::varchar as id, 'upos' as problem from g where doc_id % 3 = 0 and upos = 'PROPN' union all
+    select doc_id, line_no, sent_no, null, 'cycle' from g where doc_id % 3 = 1 and tok_no = 1 union all
+    select doc_id, line_no, sent_no, '3', 'deprel' from g where doc_id % 3 = 2 and tok_no = 2 union all select doc_id, line_no, sent_no, null, 'roots' from g where doc_id % 3 = 2 and tok_no = 2"""))
+def conllu_problems(spark, d):
+    """Of the documents as CoNLL-U, by remainder: names under a tag of their own, second words that are their own heads, third words that are roots."""
+    of = lambda k, text: F.when(F.col("doc_id") % 3 == k, text)
+    c = F.col("conllu")
+    head = lambda k, h: F.regexp_replace(c, rf"(?m)^{k}\t((?:[^\t\n]*\t){{5}})[0-9]+\t", rf"{k}\t$1{h}\t".replace("\\t", "\t"))
+    files = conllu.documents(gold(spark, d).withColumn("space_after", F.lit(True))).withColumn("conllu", F.coalesce(of(0, F.replace(c, F.lit("\tPROPN\t"), F.lit("\tNAME\t"))), of(1, head(2, 2)), head(3, 0)))
+    found = validation.found(files).join(tk.sentence_bounds(gold(spark, d)).withColumn("k", (F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no", "sent_no")) - 1)).select(F.col("doc_id").alias("d"), "line_no", F.col("sent_no").alias("s"), "k"), (F.col("doc_id") == F.col("d")) & (F.col("sent_no") == F.col("k")))
+    return found.select("doc_id", *_long("line_no"), F.col("s").cast("long").alias("sent_no"), "id", "problem")
+
+
 @query(sql("g", "select distinct case when upos = 'ADV' then 'ADVX' else upos end as upos from g where upos = 'ADV'"))
 def upos_extended(spark, d):
     return training.extended_upos(gold(spark, d).select(F.when(F.col("upos") == "ADV", "ADVX").otherwise(F.col("upos")).alias("upos")))
