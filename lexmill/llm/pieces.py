@@ -1,13 +1,14 @@
 """SentencePiece encoding and decoding in batched numpy.
 
 A text becomes pieces as the model's library would make them: blanks turn into U+2581, one is put in front,
-and pieces merge by rank. No piece holds a newline or a U+2581 behind another character, so a text falls
-into units (U+2581 run and word, or a newline) that are encoded apart, each different unit of a block once.
+and pieces merge by rank. No merge crosses a border between two code points that stand side by side in no piece,
+so a text falls there into units that are encoded apart; a worker keeps the ids of the units it has met.
 
-Units of equal length (those of more than EVEN code points: of similar length, padded) advance together, one code point at a time. For every unit the last piece of the
+The candidates of all units of a batch are found together: from every code point on, hashes of ever longer
+substrings go on while they begin some piece, and probe the sorted hashes of the pieces; the code points of a
+hit are compared. Then the units advance together, one code point at a time. For every unit the last piece of the
 encoding of its first s code points is known for all s < e; the candidates for e are the pieces that end
-there: hashes of the substrings, from prefix hashes, probe the sorted hashes of the pieces, and the code
-points of a hit are compared. In a model that
+there. In a model that
 merges by rank a sequence of pieces is the encoding if, and only if, each two neighbours encode to
 themselves when joined (merges inside two pieces go on independently unless one crosses their border).
 Hence exactly one candidate fits behind the last piece of its prefix; a maximum over the lengths, where
@@ -25,12 +26,11 @@ from __future__ import annotations
 
 import heapq
 import itertools
-import re
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,14 +39,15 @@ from lexmill.llm.common import map_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-EVEN, LONG = 40, 4_096
-#: Code points of the units that advance together.
-BATCH_CODES = 800_000
-UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+LONG = 4_096
+#: Code points of the units that advance together, but for the last unit.
+BATCH_CODES = 400_000
 #: Units, and their code points, that a worker keeps; beyond it starts anew.
 KEEP, KEEP_CODES = 300_000, 6_000_000
 #: Places for pairs of pieces whose fit is known.
 PAIR_BITS = 20
+#: Leading bits of a hash by which pieces, their beginnings and neighbours in them are marked.
+MARK_BITS = 20
 
 
 @dataclass
@@ -80,12 +81,14 @@ def _codes(words: list[str], length: int) -> np.ndarray:
     return np.frombuffer("".join(w.ljust(length, "\0") for w in words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(words), length)
 
 
-def _width(length: int) -> int:
-    """Length that a unit is padded to: its own up to EVEN, then the next multiple of an eighth of its size."""
-    if length <= EVEN:
-        return length
-    step = 1 << (length.bit_length() - 3)
-    return -(-length // step) * step
+def _top(hashes: np.ndarray, bits: int = MARK_BITS) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _neighbours(codes: np.ndarray) -> np.ndarray:
+    """A hash, cut to MARK_BITS, of each code point and the next."""
+    codes = codes.astype(np.uint64)
+    return _top(((codes[:-1] << np.uint64(21)) | codes[1:]) * _BASE)
 
 
 def _prefix_hashes(codes: np.ndarray) -> np.ndarray:
@@ -101,7 +104,8 @@ def _prefix_hashes(codes: np.ndarray) -> np.ndarray:
 class Encoder:
     vocabulary: Vocabulary
     ids: dict[str, int] = field(init=False)
-    known: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    #: Number of each unit kept; the ids of unit k are flat[starts[k] : starts[k + 1]].
+    known: dict[str, int] = field(default_factory=dict)
     held: int = 0
 
     def __post_init__(self) -> None:
@@ -113,21 +117,33 @@ class Encoder:
         for p in self.ids:
             by_length.setdefault(len(p), []).append(p)
         hashes, ids = [], []
+        # by leading bits of a hash: 1 if a piece has them, 2 if a longer piece begins so
+        self.marks = np.zeros(1 << MARK_BITS, dtype=np.uint8)
+        self.codes = np.zeros((len(pieces), self.longest), dtype=np.uint32)
+        # pairs of code points side by side in some piece; another pair may share the mark, which only spares a cut
+        self.joined = np.zeros(1 << MARK_BITS, dtype=bool)
         for length, group in by_length.items():
-            hashes.append(_prefix_hashes(_codes(group, length))[:, -1])
             ids.append(np.array([self.ids[p] for p in group], dtype=np.int64))
+            self.codes[ids[-1], :length] = codes = _codes(group, length)
+            prefixes = _prefix_hashes(codes)
+            hashes.append(prefixes[:, -1])
+            self.marks[_top(prefixes[:, -1])] |= 1
+            for k in range(1, length):
+                self.marks[_top(prefixes[:, k])] |= 2
+                self.joined[_neighbours(codes[:, k - 1 : k + 1].ravel())[::2]] = True
         order = np.argsort(np.concatenate(hashes))
         self.keys, self.key_ids = np.concatenate(hashes)[order], np.concatenate(ids)[order]
-        self.codes = np.zeros((len(pieces), self.longest), dtype=np.uint32)
-        for length, group in by_length.items():
-            self.codes[[self.ids[p] for p in group], :length] = _codes(group, length)
-        # whether two pieces fit, by a hash of the pair; a later pair takes the place of an earlier one
-        self.pair_keys, self.pair_fits = np.full(1 << PAIR_BITS, -1, dtype=np.int64), np.zeros(1 << PAIR_BITS, dtype=bool)
-        # which values of 20 bits of a hash any piece has: most substrings are no piece and need no search
-        self.seen = np.zeros(1 << 20, dtype=bool)
-        self.seen[(self.keys >> np.uint64(44)).astype(np.int64)] = True
-        with np.errstate(over="ignore"):
-            self.powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(self.longest, _BASE))))
+        # the first key with given leading bits, and how many further ones may have the same
+        tops = _top(self.keys)
+        self.first = np.minimum(np.searchsorted(tops, np.arange(1 << MARK_BITS)), len(tops) - 1).astype(np.int32)
+        self.further = int(np.bincount(tops).max()) - 1
+        # whether two pieces fit, as 2 * pair + fit, by a hash of the pair; a later pair takes the place of an earlier one
+        self.pairs = np.full(1 << PAIR_BITS, -1, dtype=np.int64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known.clear()
+        self.held, self.flat, self.starts = 0, np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
 
     def merged(self, text: str) -> list[str]:
         """Merging by rank, the leftmost first: the definition that the batches are held to."""
@@ -186,10 +202,11 @@ class Encoder:
     def _fitting(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether piece `right` can stand behind piece `left`; left -1 is the start, -2 a code point without a piece."""
         n = len(self.vocabulary.pieces)
-        pairs = (left + 2) * n + right
-        slots = ((pairs.astype(np.uint64) * _BASE) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-        good = self.pair_fits[slots]
-        missed = np.flatnonzero(self.pair_keys[slots] != pairs)
+        pairs = (left.astype(np.int64) + 2) * n + right
+        slots = _top(pairs.astype(np.uint64) * _BASE, PAIR_BITS)
+        stored = self.pairs[slots]
+        good = (stored & 1).astype(bool)
+        missed = np.flatnonzero(stored >> 1 != pairs)
         if len(missed):
             new, at = np.unique(pairs[missed], return_inverse=True)
             fits = np.empty(len(new), dtype=bool)
@@ -199,84 +216,124 @@ class Encoder:
                 a = self.vocabulary.pieces[a - 2] if a >= 2 else ""
                 fits[k] = self.merged(a + b) == ([a, b] if a else [b])
             good[missed] = fits[at]
-            self.pair_keys[slots[missed]], self.pair_fits[slots[missed]] = pairs[missed], good[missed]
+            self.pairs[slots[missed]] = 2 * pairs[missed] + good[missed]
         return good
 
-    def _batch(self, words: list[str], length: int) -> list[tuple[int, ...]]:
-        count = len(words)
-        codes = _codes(words, length)
-        hashes = _prefix_hashes(codes)
-        last = np.full((count, length + 1), -1, dtype=np.int64)
-        back = np.zeros((count, length + 1), dtype=np.int64)
-        for e in range(1, length + 1):
-            best = np.zeros(count, dtype=np.int64)
-            # a code point without a piece stands for itself
-            last[:, e], back[:, e] = -2, e - 1
-            for size in range(min(self.longest, e), 0, -1):
-                s = e - size
-                with np.errstate(over="ignore"):
-                    h = hashes[:, e] - hashes[:, s] * self.powers[size]
-                rows = np.flatnonzero(self.seen[(h >> np.uint64(44)).astype(np.int64)] & (best == 0))
-                k = np.minimum(np.searchsorted(self.keys, h[rows]), len(self.keys) - 1)
-                real = self.keys[k] == h[rows]
-                rows, ids = rows[real], self.key_ids[k[real]]
-                same = (codes[rows, s:e] == self.codes[ids, :size]).all(axis=1)
-                rows, ids = rows[same], ids[same]
-                if not len(rows):
-                    continue
-                score = (size + 1) * self._fitting(last[rows, s], ids) if size > 1 else np.full(len(rows), 2)
-                better = score > best[rows]
-                rows, ids = rows[better], ids[better]
-                best[rows], last[rows, e], back[rows, e] = score[better], ids, s
-        # follow the backpointers of all units at once, filling the pieces in from the right
-        found = np.zeros((count, length), dtype=np.int64)
-        filled = np.zeros((count, length), dtype=bool)
-        rows, e = np.arange(count), np.fromiter(map(len, words), dtype=np.int64, count=count)
-        column = length - 1
-        while len(rows):
-            ids = last[rows, e]
-            # a code point without a piece is noted by its place
-            found[rows, column], filled[rows, column] = np.where(ids >= 0, ids, -e), True
-            e = back[rows, e]
-            rows, e = rows[e > 0], e[e > 0]
-            column -= 1
-        flat = found[filled].tolist()
-        bounds = np.concatenate(([0], np.cumsum(filled.sum(axis=1)))).tolist()
-        whole = (found >= 0).all(axis=1).tolist()
-        out = []
-        for k, (w, a, b) in enumerate(zip(words, bounds, bounds[1:], strict=False)):
-            path = flat[a:b]
-            if not whole[k]:
-                path = chain.from_iterable((i,) if i >= 0 else [self.vocabulary.bytes_from + x for x in w[-i - 1].encode("utf-8", "surrogatepass")] for i in path)
-            out.append(tuple(path))
-        return out
+    def _candidates(self, codes: np.ndarray, left: np.ndarray):
+        """For each size: the places where pieces of that size begin, and the ids of these. left: how far each place's unit reaches."""
+        spread = _spread(codes)
+        places = np.flatnonzero(left)
+        hashes = spread[places]
+        for size in range(1, self.longest + 1):
+            tops = _top(hashes)
+            marks = self.marks[tops]
+            hit = np.flatnonzero(marks & 1)
+            h = hashes[hit]
+            k = self.first[tops[hit]]
+            for _ in range(self.further):
+                k += self.keys[k] < h
+                np.minimum(k, len(self.keys) - 1, out=k)
+            real = self.keys[k] == h
+            found, ids = places[hit[real]], self.key_ids[k[real]]
+            same = (np.lib.stride_tricks.sliding_window_view(codes, size)[found] == self.codes[ids, :size]).all(axis=1)
+            yield size, found[same], ids[same]
+            on = (marks & 2).astype(bool) & (left[places] > size)
+            places = places[on]
+            if not len(places):
+                return
+            hashes = hashes[on] * _BASE + spread[places + size]
+
+    def _batch(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words in one array, and how many each word has."""
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        # one place before each word stands for its start
+        codes = np.frombuffer(("\0" + "\0".join(words)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        ends = np.cumsum(lengths + 1)
+        starts = ends - lengths
+        left = np.repeat(ends, lengths + 1) - np.arange(len(codes))
+        left[starts - 1] = 0
+        # the last piece of the encoding up to each place, and its size; a code point without a piece stands for itself
+        last, back = np.full(len(codes), -2, dtype=np.int32), np.ones(len(codes), dtype=np.int32)
+        last[starts - 1] = -1
+        places, pieces, sizes = [], [], []
+        for size, found, ids in self._candidates(codes, left):
+            if size == 1:
+                last[found] = ids
+            else:
+                places.append(found)
+                pieces.append(ids.astype(np.int32))
+                sizes.append(np.full(len(found), size, dtype=np.int32))
+        if places:
+            begins, pieces, sizes = np.concatenate(places), np.concatenate(pieces), np.concatenate(sizes)
+            # by the length of the prefix that they end (LONG fits 16 bits), the longest piece last
+            prefix = (np.repeat(lengths, lengths + 1) - left)[begins] + sizes
+            order = np.argsort(prefix.astype(np.uint16), kind="stable")
+            begins, pieces, sizes = begins[order], pieces[order], sizes[order]
+            bounds = np.concatenate(([0], np.cumsum(np.bincount(prefix)))).tolist()
+            for a, b in itertools.pairwise(bounds):
+                if a < b:
+                    fits = np.flatnonzero(self._fitting(last[begins[a:b] - 1], pieces[a:b])) + a
+                    e = begins[fits] + sizes[fits] - 1
+                    last[e], back[e] = pieces[fits], sizes[fits]
+        # follow the backpointers of all units at once, marking where pieces end
+        count = np.zeros(len(codes), dtype=np.int64)
+        e, stop = ends - 1, starts
+        while len(e):
+            count[e] = 1
+            e = e - back[e]
+            more = e >= stop
+            e, stop = e[more], stop[more]
+        at = np.flatnonzero(count)
+        ids = last[at]
+        if len(bare := at[ids < 0]):
+            count[bare] = 1 + (codes[bare] > 0x7F) + (codes[bare] > 0x7FF) + (codes[bare] > 0xFFFF)
+            is_byte = np.repeat(ids < 0, count[at])
+            text = codes[bare].tobytes().decode("utf-32-le", "surrogatepass")
+            spelled = np.empty(len(is_byte), dtype=np.int32)
+            spelled[~is_byte] = ids[ids >= 0]
+            spelled[is_byte] = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.int32) + self.vocabulary.bytes_from
+            ids = spelled
+        return ids, np.add.reduceat(count, starts)
 
     def learn(self, units: set[str]) -> None:
         """Encode the units not known yet."""
         if len(self.known) > KEEP or self.held > KEEP_CODES:
-            self.known.clear()
-            self.held = 0
-        by_length: dict[int, list[str]] = {}
-        for u in units:
-            if u not in self.known:
-                self.held += len(u)
-                by_length.setdefault(_width(len(u)) if len(u) <= LONG else 0, []).append(u)
-        self.known.update((w, self.out_ids(self.merged(w))) for w in by_length.pop(0, ()))
-        for length, words in by_length.items():
-            step = max(1, min(20_000, BATCH_CODES // length))
-            for k in range(0, len(words), step):
-                part = words[k : k + step]
-                self.known.update(zip(part, self._batch(part, length), strict=True))
+            self._forget()
+        new = sorted(units.difference(self.known), key=len)
+        if not new:
+            return
+        lengths = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
+        self.held += int(lengths.sum())
+        short = int(np.searchsorted(lengths, LONG, side="right"))
+        turns = np.cumsum(lengths[:short]) // BATCH_CODES
+        cuts = [0, *(np.flatnonzero(np.diff(turns)) + 1).tolist(), short]
+        parts = [self._batch(new[a:b]) for a, b in itertools.pairwise(cuts) if a < b]
+        for w in new[short:]:
+            out = self.out_ids(self.merged(w))
+            parts.append((np.array(out, dtype=np.int32), np.array([len(out)])))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.flat = np.concatenate([self.flat, *(ids for ids, _ in parts)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate([counts for _, counts in parts]))])
 
     def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and where each text's ids begin and the last ones end; a null text has none."""
-        units = [UNIT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        flat = list(chain.from_iterable(units))
-        self.learn(set(flat))
-        found = list(map(self.known.__getitem__, flat))
-        ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))))
-        ids = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(ends[-1]))
-        return ids, ends[np.concatenate(([0], np.cumsum([len(u) for u in units], dtype=np.int64)))]
+        whole = "".join([SPACE + t for t in texts if t]).replace(" ", SPACE)
+        if not whole:
+            return np.zeros(0, dtype=np.int32), np.zeros(len(texts) + 1, dtype=np.int64)
+        begins = np.concatenate(([0], np.cumsum([len(t) + 1 if t else 0 for t in texts])))
+        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        cut = np.ones(len(codes) + 1, dtype=bool)
+        cut[1:-1] = ~self.joined[_neighbours(codes)]
+        cut[begins] = True
+        cuts = np.flatnonzero(cut)
+        units = [whole[a:b] for a, b in itertools.pairwise(cuts.tolist())]
+        self.learn(set(units))
+        numbers = np.fromiter(map(self.known.__getitem__, units), dtype=np.int64, count=len(units))
+        starts = self.starts[numbers]
+        counts = self.starts[numbers + 1] - starts
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        ids = self.flat[np.repeat(starts - ends[:-1], counts) + np.arange(ends[-1])]
+        return ids, ends[np.searchsorted(cuts, begins)]
 
     def encode(self, texts: list[str | None]) -> list[list[int] | None]:
         ids, at = self.encode_flat(texts)
@@ -292,7 +349,7 @@ def _byte_table(vocabulary: Vocabulary) -> list[bytes]:
 
 #: Encoders and tables live as long as a worker.
 _WORKER: dict[str, object] = {}
-_BLOCK_CHARS = 2_000_000
+_BLOCK_CHARS = 1_000_000
 
 
 def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
@@ -304,17 +361,13 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
         if encoder is None:
             encoder = _WORKER[model] = Encoder(vocabulary.value)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            start = size = 0
-            for k, t in enumerate(texts):
-                size += len(t or "")
-                if size >= _BLOCK_CHARS or k == len(texts) - 1:
-                    ids, at = encoder.encode_flat(texts[start : k + 1])
-                    part = batch.slice(start, k + 1 - start)
-                    none = pa.array([t is None for t in texts[start : k + 1]])
-                    ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids), mask=none)
+            turns = np.cumsum(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(), dtype=np.int64) // _BLOCK_CHARS
+            for a, b in itertools.pairwise([0, *(np.flatnonzero(np.diff(turns)) + 1).tolist(), len(turns)]):
+                if a < b:
+                    part = batch.slice(a, b - a)
+                    ids, at = encoder.encode_flat(part.column("text").to_pylist())
+                    ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids), mask=part.column("text").is_null())
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), ids], names=["doc_id", "text", "ids"])
-                    start, size = k + 1, 0
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text string, ids array<int>")
 

@@ -313,6 +313,25 @@ def test_pieces(spark):
         assert got[k].ids == model.encode(x) and got[k].decoded == x
 
 
+@pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="no tokenizer files here")
+def test_pieces_units_end_where_no_piece_goes_on(monkeypatch):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    encoder = pieces.Encoder(pieces.Vocabulary.load())
+    # a word is encoded once, whatever stands behind it, and ideographs without blanks are no long unit
+    texts = ["".join(f"{w}{mark} " for w in ("alpha", "beta", "gamma") for mark in ",;:!?"), "日本語" * 3_000]
+    assert encoder.encode(texts) == [model.encode(x) for x in texts]
+    assert encoder.held < 60 and max(map(len, encoder.known)) <= 8
+    # units dealt over several batches, long ones beside them, and a worker that starts anew
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice("aeinorsth  ,.\n日é😀\0") for _ in range(rnd.randrange(0, 200))) for _ in range(300)] + [None, ""]
+    for name, value in (("KEEP", 100), ("BATCH_CODES", 50), ("LONG", 12)):
+        monkeypatch.setattr(pieces, name, value)
+    got = [x for k in range(0, len(texts), 40) for x in encoder.encode(texts[k : k + 40])]
+    assert got == [None if x is None else model.encode(x) for x in texts]
+
+
 def test_toxicity_gradients():
     r = np.random.default_rng(0)
     net = toxicity.Network.fresh()
