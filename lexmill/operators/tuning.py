@@ -49,7 +49,7 @@ class Score:
 
 
 class Bench:
-    """Annotated tokens(SENTENCE, tok_no, form, tag column) and the counts of a model; keeps the sentences of each lattice, and every score."""
+    """Annotated tokens(SENTENCE, tok_no, form, tag column) and the counts of a model; keeps the choices of each lattice, and every score."""
 
     def __init__(self, model: Model, gold: DataFrame) -> None:
         self.model, self.gold = model, gold
@@ -65,7 +65,7 @@ class Bench:
             endings = training.endings(m.vocab, m.tag, length)
             candidates = park(tagging.lattice(self.forms, m.vocab, endings, m.types, m.tag, length=length, retries=retries, decay=decay), "tuning-candidates")
             tokens = self.gold.select(*SENTENCE, "tok_no", "form", F.col(m.tag).alias("gold"))
-            self._sentences[key] = park(tagging.sentences(tokens, candidates, m.cases, also=("gold",)), "tuning-sentences")
+            self._sentences[key] = tagging.meeting(tokens, park(tagging.choices_of(candidates, m.cases), "tuning-choices"), also=("gold",))
         return self._sentences[key]
 
     def scores(self, tried: list[dict]) -> list[Score]:
@@ -85,14 +85,13 @@ class Bench:
         shared = self.gold.sparkSession.sparkContext.broadcast([tagging.Paths(self.pairs, x["transitionfactor"], x["transitionsmooth"], x["prob_epsilon"], x["case_prob_min"]) for x in group])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                own = tagging.Sentences.of(batch)
+            for own in tagging.met_choices(batches):
                 gold = own.tokens.field("gold")
                 inner = np.ones(len(own.choices), dtype=bool)
                 ends = np.cumsum(own.lengths)
                 inner[np.minimum(ends - own.lengths, len(inner) - 1)[own.lengths > 0]] = False
                 steps = int((own.choices[1:] * own.choices[:-1])[inner[1:]].sum())
-                right = [pc.sum(pc.equal(own.best(paths), gold)).as_py() or 0 for paths in shared.value]
+                right = [pc.sum(pc.equal(own.best(paths).field("tag"), gold)).as_py() or 0 for paths in shared.value]
                 n = len(right)
                 yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(right, pa.int64()), pa.array([len(own.choices)] * n, pa.int64()), pa.array([steps] * n, pa.int64())], names=["k", "right", "total", "steps"])
 
